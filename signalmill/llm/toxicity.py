@@ -1,11 +1,11 @@
 """Toxicity: a linear-chain conditional random field tags offending tokens; its marginals score the documents.
 
 Tokens are whitespace-separated. Their features are the lower-cased words in them and word prefixes of 3 to 9 letters,
-of which those are kept that mark toxic documents in the labelled sample (support and log odds of document
-frequencies). In training, a token with kept features is labelled offending in toxic documents; every other token is
+of which those are kept that mark toxic documents in the labelled sample (number of toxic documents,
+and log odds of token frequencies). In training, a token with kept features is labelled offending in toxic documents; every other token is
 not. A text is cut into segments: tokens with kept features and the two on either side, overlaps joined; tokens
 elsewhere carry no evidence and are not tagged. Forward-backward gives each token's marginal; a logistic curve over
-the largest marginal and the expected number of offending tokens, fitted on documents that the field did not see, is
+the largest marginal and the expected number and share of offending tokens, fitted on documents that the field did not see, is
 the document's score.
 
 Scale: the model is fitted on a bounded sample, at most ``sample`` labelled documents (the least by hash of their id in
@@ -174,8 +174,8 @@ class Model:
     def __init__(self, ids: dict[str, int], field: Field, curve: np.ndarray, prior: float | None = None):
         self.ids, self.field, self.curve, self.prior = ids, field, curve, prior
 
-    def evidence(self, text: str | None, known: _Known) -> tuple[float, float, list[int]]:
-        """Largest marginal, expected number of offending tokens, and the tagged tokens' numbers."""
+    def evidence(self, text: str | None, known: _Known) -> tuple[float, float, int, list[int]]:
+        """Largest marginal, expected number of offending tokens, number of tokens, and the tagged tokens' numbers."""
         tokens = list(map(known.__getitem__, (text or "").split()))
         best, total, tagged = 0.0, 0.0, []
         for a, b in segments(tokens):
@@ -183,15 +183,20 @@ class Model:
                 best, total = max(best, p), total + p
                 if p >= 0.5:
                     tagged.append(i)
-        return best, total, tagged
+        return best, total, len(tokens), tagged
 
-    def score(self, best: float, total: float) -> float:
+    def score(self, best: float, total: float, n: int) -> float:
         if self.prior is not None:
             return self.prior
-        x = float(self.curve @ np.array([1.0, best, math.log1p(total)]))
+        x = float(self.curve @ summary(best, total, n))
         return 1 / (1 + math.exp(min(700, -x)))
 
 
+def summary(best: float, total: float, n: int) -> np.ndarray:
+    """What the curve sees: a constant, the largest marginal, the expected number and share of offending tokens."""
+    return np.array([1.0, best, math.log1p(total), math.log1p(500 * total / (n + 20))])
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-2) -> np.ndarray:
     """Newton's method; ``l2`` keeps separable data finite."""
     w = np.zeros(x.shape[1])
@@ -205,7 +210,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-2) -> np.ndarray:
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = 8_000, n_features: int = 2_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = 8_000, n_features: int = 2_000, least_odds: float = 2.0) -> Model:
     """Features and field from folds 1 to 3 of the sample, the curve from fold 4 (all from all if one lacks a class)."""
     drawn = labelled_sample(labels, label, sample)
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
@@ -214,47 +219,51 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     counts = {(r["last"], r["y"]): r["n"] for r in rows.groupBy("last", "y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n = sum(v for (_, y), v in counts.items() if y), sum(counts.values())
     if not 0 < n1 < n:
-        return Model({}, Field(0), np.zeros(3), n1 / n if n else 0.0)
+        return Model({}, Field(0), np.zeros(4), n1 / n if n else 0.0)
     split = all(counts.get((last, y), 0) >= 3 for last in (True, False) for y in (True, False))
     part = rows.where("not last") if split else rows
     n1 = counts.get((False, True), 0) + (0 if split else counts.get((True, True), 0))
-    n0 = counts.get((False, False), 0) + (0 if split else counts.get((True, False), 0))
 
     def frequencies(batches):
         def full(c):
             keys = list(c[0].keys() | c[1].keys())
-            return pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.string()), pa.array([c[1][k] for k in keys], pa.int64()), pa.array([c[0][k] for k in keys], pa.int64())], names=["f", "n1", "n0"]
-            )
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([x[k] for k in keys], pa.int64()) for x in c)], names=["f", "t0", "t1", "n1"])
 
-        c = (Counter(), Counter())
+        c = (Counter(), Counter(), Counter())
         for batch in batches:
             for text, y in zip(batch.column(0), batch.column(1)):
-                found = set()
-                for token in set(text.as_py().split()):
-                    found |= token_features(token)
-                c[y.as_py()].update(found)
+                found, tokens = Counter(), Counter(text.as_py().split())
+                for token, k in tokens.items():
+                    for f in token_features(token):
+                        found[f] += k
+                found["total"] = sum(tokens.values())
+                c[int(y.as_py())].update(found)
+                if y.as_py():
+                    c[2].update(found.keys())
                 if len(c[0]) + len(c[1]) > 1_000_000:
                     yield full(c)
-                    c = (Counter(), Counter())
+                    c = (Counter(), Counter(), Counter())
         yield full(c)
 
-    each = part.select("text", "y").mapInArrow(frequencies, "f string, n1 long, n0 long").groupBy("f").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
-    odds = lambda k, m: F.log((F.col(k) + 0.5) / (F.lit(m + 0.5) - F.col(k)))
-    strong = each.where(F.col("n1") >= max(3, 0.008 * n1)).withColumn("odds", odds("n1", n1) - odds("n0", n0)).where("odds >= 3")
+    each = part.select("text", "y").mapInArrow(frequencies, "f string, t0 long, t1 long, n1 long")
+    each = materialize(each.groupBy("f").agg(*(F.sum(c).alias(c) for c in ("t0", "t1", "n1"))), "op9-features")
+    total = each.where("f = 'total'").first()
+    strong = each.where((F.col("n1") >= max(3, 0.008 * n1)) & (F.col("f") != "total"))
+    strong = strong.withColumn("odds", F.log((F.col("t1") + 0.5) / (F.col("t0") + 0.5) * (total["t0"] + 1) / (total["t1"] + 1))).where(F.col("odds") >= least_odds)
     kept = strong.orderBy(F.desc(F.col("odds") * F.sqrt("n1")), "f").limit(n_features).collect()
     ids = {r["f"]: k for k, r in enumerate(kept)}
 
     def evidence(batches):
         known = _Known(ids)
         for batch in batches:
-            found = []
+            found, sizes = [], []
             for text in batch.column(0):
                 tokens = list(map(known.__getitem__, text.as_py().split()))
                 found.append([[list(t) for t in tokens[a:b]] for a, b in segments(tokens)])
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.list_(pa.list_(pa.int64())))), batch.column(1), batch.column(2)], names=["s", "y", "last"])
+                sizes.append(len(tokens))
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.list_(pa.list_(pa.int64())))), pa.array(sizes, pa.int64()), batch.column(1), batch.column(2)], names=["s", "n", "y", "last"])
 
-    seen = rows.mapInArrow(evidence, "s array<array<array<long>>>, y boolean, last boolean").collect()
+    seen = rows.mapInArrow(evidence, "s array<array<array<long>>>, n long, y boolean, last boolean").collect()
     data = [([tuple(t) for t in seg], [int(r["y"] and bool(t)) for t in seg]) for r in seen if not (split and r["last"]) for seg in r["s"]]
     field = Field(len(ids))
     if data:
@@ -263,7 +272,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     for r in seen:
         if r["last"] or not split:
             p = [m for seg in r["s"] for m in field.marginals([tuple(t) for t in seg])]
-            x.append([1.0, max(p, default=0.0), math.log1p(sum(p))])
+            x.append(summary(max(p, default=0.0), sum(p), r["n"]))
             y.append(float(r["y"]))
     return Model(ids, field, _logistic(np.array(x), np.array(y)))
 
@@ -278,8 +287,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, *
             scores, spans = [], []
             for text in batch.column(1):
                 text = text.as_py()
-                best, total, tagged = model.evidence(text, known)
-                scores.append(model.score(best, total))
+                best, total, n, tagged = model.evidence(text, known)
+                scores.append(model.score(best, total, n))
                 where = [m.span() for m in _TOKEN.finditer(text)] if tagged else []
                 spans.append(",".join(f"{where[i][0]}:{where[i][1]}" for i in tagged))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(spans, pa.string())], names=["doc_id", "score", "spans"])
