@@ -16,7 +16,6 @@ input are ignored; with no items every document is clean.
 
 from __future__ import annotations
 
-import hashlib
 import re
 
 import numpy as np
@@ -145,6 +144,17 @@ def _pass(df: DataFrame, block: DataFrame | None, window: int, keep: list[str] |
     return df.mapInArrow(run, schema)
 
 
-def items_digest(items: list[str]) -> str:
-    """Lower-case hex SHA-256 of the sorted item ids, comma-joined."""
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 32_000_000) -> DataFrame:
+    """The document rows, with all their columns, in which no window of any item occurs: a narrow filter per block."""
+    at = docs.columns.index("text")
+    for block in _blocks(benchmark, block_bytes):
+        shared = docs.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in block.collect()])
+
+        def run(batches, shared=shared):
+            auto = _automaton(shared.value, window)
+            for batch in batches:
+                clean = [auto is None or not _scan(auto, words(x.as_py()))[0] for x in batch.column(at)]
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

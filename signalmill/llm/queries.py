@@ -9,12 +9,17 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import decontaminate
+from .packing import pack
 from .quality import classify
 from .secrets import find_secrets
 from .simhash import near_duplicates
 from .toxicity import score_toxicity
 
 
+def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -42,7 +47,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_secrets, op6_simhash, op8_quality, op9_toxicity, op10_decontaminate)}
+    return {f.__name__: f for f in (op3_secrets, op4_pack, op6_simhash, op8_quality, op9_toxicity, op10_decontaminate)}
 
 
 OP10_SQL = r"""

@@ -167,3 +167,24 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, list_limit: int = 256) ->
     return rows.join(named, "fp", "left").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp"
     )
+
+
+def keep_representatives(docs: DataFrame, shingle: int = 4) -> DataFrame:
+    """The document rows, with all their columns, that stand for their group of near duplicates.
+
+    The smallest doc_id of a group stays. Rows repeating a doc_id are one document, of which the row with the least
+    text hash stays; rows without doc_id stay. Ids to drop are joined by id, so Spark broadcasts them only while they are
+    small and otherwise shuffles the texts once.
+    """
+    rows = materialize(near_duplicates(docs, shingle).select("doc_id", "component_id", "fp"), "op6-groups").where("doc_id is not null")
+    each = rows.groupBy("doc_id").agg(F.min("component_id").alias("low"), F.count(F.lit(1)).alias("n"))
+    named = materialize(each.select("doc_id", (F.col("low") != F.col("doc_id")).alias("drop"), (F.col("n") > 1).alias("again")).where("drop or again"), "op6-named")
+    gone = materialize(named.where("drop").select(F.col("doc_id").alias("_gone")), "op6-gone")
+    left = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    if named.where("again and not drop").isEmpty():
+        return left
+    again = materialize(named.where("again and not drop").select(F.col("doc_id").alias("_again")), "op6-again")
+    twice = left.join(again, F.col("doc_id") == F.col("_again"), "left_semi")
+    names = docs.columns
+    least = twice.groupBy("doc_id").agg(F.min_by(F.struct(*names), F.struct(F.xxhash64("text"), F.to_json(F.struct(*names)))).alias("r"))
+    return left.join(again, F.col("doc_id") == F.col("_again"), "left_anti").unionByName(least.select("r.*"))
