@@ -10,10 +10,14 @@ from pyspark.sql import functions as F
 from .common import table
 from .decontaminate import decontaminate
 from .packing import pack
+from .permutation import nearest_neighbours
 from .quality import classify
+from .revisits import captures, resolve_revisits
 from .secrets import find_secrets
 from .simhash import near_duplicates
+from .substrings import shared_passages
 from .toxicity import score_toxicity
+from .viterbi import count_tokens
 
 
 def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,10 +28,28 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_passages(table(spark, sf_dir, "documents"))
+
+
+def op2_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resolve_revisits(captures(table(spark, sf_dir, "pages")))
+    entries = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return found.withColumns({"headers": F.array_join(entries, "; "), "target_id": F.coalesce("target_id", F.lit(-1)), "target_ts": F.coalesce("target_ts", F.lit(-1))})
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"))
+
+
+def op7_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -47,8 +69,44 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_secrets, op4_pack, op6_simhash, op8_quality, op9_toxicity, op10_decontaminate)}
-
+    return {f.__name__: f for f in (op1_substrings, op2_revisits, op3_secrets, op4_pack, op5_token_counts, op6_simhash, op7_permutation, op8_quality, op9_toxicity, op10_decontaminate)}
+
+
+OP2_SQL = r"""
+WITH p AS (
+  SELECT page_id, url, md5(coalesce(html, '')) AS digest, page_id % 5 AS k,
+         'day ' || CAST(page_id // 1440 AS VARCHAR) AS date FROM pages WHERE page_id IS NOT NULL),
+c AS (
+  SELECT page_id * 2 AS record_id, url, page_id AS ts, 200 AS status, '"' || left(digest, 16) || '"' AS etag, date AS lm, digest, page_id FROM p
+  UNION ALL
+  SELECT page_id * 2 + 1, regexp_replace(url, '#.*$', '') || '#again', page_id + CASE WHEN k = 4 THEN -1 ELSE 7 END, 304,
+         CASE WHEN page_id % 10 = 1 THEN '"other"' WHEN k = 0 THEN '"' || left(digest, 16) || '"' WHEN k = 1 THEN 'W/"' || left(digest, 16) || '"' END,
+         CASE WHEN k = 2 THEN date END, NULL, page_id FROM p),
+b AS (SELECT *, regexp_replace(trim(url), '#.*$', '') AS bare FROM c),
+u AS (
+  SELECT *, regexp_replace(lower(regexp_extract(bare, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)', 1)), ':(80|443)$', '')
+         || regexp_replace(regexp_extract(bare, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*([^?]*)', 1), '/+$', '') AS hp,
+         array_to_string(list_sort(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'),
+           lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|gclid|fbclid|ref)(=|$)'))), '&') AS q FROM b),
+n AS (SELECT *, hp || CASE WHEN q <> '' THEN '?' || q ELSE '' END AS canonical_url FROM u),
+j AS (
+  SELECT r.record_id, r.canonical_url, r.etag, r.lm, r.page_id AS rp, f.record_id AS fid, f.ts AS fts, f.etag AS fetag, f.lm AS flm, f.digest AS fd
+  FROM n r LEFT JOIN n f ON f.status = 200 AND f.canonical_url = r.canonical_url AND f.ts < r.ts
+  WHERE r.status = 304
+  QUALIFY row_number() OVER (PARTITION BY r.record_id ORDER BY f.ts DESC NULLS LAST, f.record_id DESC) = 1),
+s AS (
+  SELECT *, CASE WHEN fid IS NULL THEN 'no_earlier'
+    WHEN etag IS NOT NULL THEN CASE WHEN regexp_replace(etag, '^[Ww]/', '') = fetag THEN 'resolved_etag' ELSE 'mismatch' END
+    WHEN lm IS NOT NULL THEN CASE WHEN lm = flm THEN 'resolved_date' ELSE 'mismatch' END
+    ELSE 'resolved_url' END AS state FROM j)
+SELECT record_id, canonical_url, state,
+       CASE WHEN state LIKE 'resolved%' THEN fid ELSE -1 END AS target_id,
+       CASE WHEN state LIKE 'resolved%' THEN fts ELSE -1 END AS target_ts,
+       CASE WHEN state LIKE 'resolved%' THEN fd END AS digest,
+       CASE WHEN state LIKE 'resolved%' THEN 'cache-control=max-age=120; content-type=text/html; date=' || CAST(rp AS VARCHAR)
+            || '; etag=' || fetag || '; x-cache=miss' END AS headers
+FROM s
+"""
 
 OP10_SQL = r"""
 WITH d AS (
@@ -80,4 +138,4 @@ FROM d LEFT JOIN pos USING (r) LEFT JOIN its USING (r)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_decontaminate": OP10_SQL}
+    return {"op2_revisits": OP2_SQL, "op10_decontaminate": OP10_SQL}
