@@ -21,6 +21,7 @@ packed each; other columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 import zlib
 
@@ -36,6 +37,9 @@ END_ID = 1
 # Fixed value: how the tokenizer cuts normalised text.
 _CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
+_BEYOND_LATIN = re.compile("[^\x00-\u024f]|\u0130").search
+_WORD_END = re.compile(r"(?<=[a-z])([.,])(?=[ \n])").sub
+
 
 def default_tokenizer() -> str:
     import public_tokenizers
@@ -51,7 +55,7 @@ class Encoder:
     to cut alike (anything but printable Latin, or special tokens' strings) goes to the tokenizer itself.
     """
 
-    LIMIT = 1_000_000
+    LIMIT = 600_000
 
     def __init__(self, path: str):
         import regex
@@ -63,51 +67,53 @@ class Encoder:
         for token, i in vocabulary.items():
             self.ends[i] = token.endswith("</w>")
         self.cut = regex.compile(_CUT).findall
-        self.parts: dict[str, bytes] = {"": b""}
-        self.pieces: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {"": b""}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn_pieces(self, new: list[str]) -> None:
-        if len(self.pieces) > self.LIMIT:
-            self.pieces.clear()
+        """Encode pieces together, one apart from the next by a space; each ends with its only end-of-word token."""
         ids = np.array(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, "<u4")
         stops = np.flatnonzero(self.ends[ids]) + 1
         if len(stops) == len(new):
             raw, at = ids.tobytes(), 0
             for piece, stop in zip(new, (stops * 4).tolist()):
-                self.pieces[piece] = raw[at:stop]
+                self.known[piece] = raw[at:stop]
                 at = stop
         else:
-            self.pieces.update((piece, self._whole(piece)) for piece in new)
+            self.known.update((piece, self._whole(piece)) for piece in new)
 
     def _learn(self, parts: set[str]) -> None:
-        if len(self.parts) > self.LIMIT:
-            self.parts.clear()
-            self.parts[""] = b""
-        cuts = {}
+        if len(self.known) > self.LIMIT:
+            self.known = {"": b""}
+        known, cuts = self.known, {}
         for p in parts:
             plain = p.isascii() or (max(p) < "ɐ" and unicodedata.is_normalized("NFC", p))
             if plain and p.isprintable() and "<|" not in p:
                 cuts[p] = self.cut(p.lower())
             else:
-                self.parts[p] = self._whole(p)
-        new = list({c for cut in cuts.values() for c in cut if c not in self.pieces})
+                known[p] = self._whole(p)
+        new = list({c for cut in cuts.values() for c in cut if c not in known})
         if new:
             self._learn_pieces(new)
         for p, cut in cuts.items():
-            self.parts[p] = b"".join([self.pieces[c] if c in self.pieces else self._whole(c) for c in cut])
+            if p not in known:
+                known[p] = b"".join([known[c] for c in cut])
 
     def encode(self, text: str) -> bytes:
-        parts, known = text.replace("\n", " ").split(" "), self.parts
+        if (text.isascii() or not _BEYOND_LATIN(text) and unicodedata.is_normalized("NFC", text)) and "<|" not in text:
+            # Lower case and a space before a lone mark at a word's end change no ids and make parts recur.
+            text = _WORD_END(r" \1", text.lower())
+        parts, known = text.replace("\n", " ").split(" "), self.known
         try:
             return b"".join([known[p] for p in parts])
         except KeyError:
             out = []
             for k in range(0, len(parts), 100_000):
                 some = parts[k : k + 100_000]
-                self._learn({p for p in some if p not in self.parts})
+                self._learn({p for p in some if p not in self.known})
+                known = self.known  # emptied if it was full: what is gone is encoded again
                 out += [known[p] if p in known else self._whole(p) for p in some]
             return b"".join(out)
 
