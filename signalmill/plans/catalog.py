@@ -2,5 +2,682 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from signalmill.functions import jsons, scoring, text, times, vectors
+from signalmill.operators import briefing, clusters, counts, dedupe, queue, ranking, rendering, tables, threads
+from signalmill.plans import standins as S
+from signalmill.plans.standins import CLUSTERS, FINDINGS, ITEMS, MENTIONS, SECTION
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query, with its SQL where it has one."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def r6(c):
+    return F.round(c, 6)
+
+
+def joined(c: str):
+    return F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+
+
+# --- ranking -----------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {CLUSTERS}
+SELECT id, CAST(len(sources_seen) AS INTEGER) AS n_sources, CAST(len(days_seen) AS INTEGER) AS n_days, mention_count, recent, round(score, 6) AS score,
+       row_number() OVER (ORDER BY score DESC, id) AS rank
+FROM clusters WHERE score IS NOT NULL QUALIFY rank <= 50""")
+def recurrence_leaderboard(spark, d):
+    """Clusters by recurrence score: the flagship. The limit is the feature."""
+    c = ranking.features(S.clusters(spark, d).where("score is not null"), S.now())
+    top = c.orderBy(F.desc("score"), "id").limit(50)
+    rank = F.row_number().over(Window.orderBy(F.desc("score"), "id"))
+    return top.withColumn("rank", rank.cast("long")).select("id", "n_sources", "n_days", "mention_count", "recent", r6("score").alias("score"), "rank")
+
+
+@query(f"""WITH {CLUSTERS}
+SELECT id, kind, CAST(len(sources_seen) AS INTEGER) AS n_sources, CAST(len(days_seen) AS INTEGER) AS n_days, mention_count, recent FROM clusters""")
+def rank_features(spark, d):
+    c = S.clusters(spark, d)
+    shot = scoring.feature_snapshot(F.col("kind"), F.col("sources_seen"), F.col("days_seen"), F.col("mention_count"), times.recent(F.col("last_seen"), S.now()))
+    return c.select("id", shot.alias("f")).select("id", "f.kind", "f.n_sources", "f.n_days", "f.mention_count", "f.recent")
+
+
+@query(f"""WITH {CLUSTERS}
+SELECT id, (NOT muted AND (NOT pinned OR mention_count > pinned_mention_count)) AS visible FROM clusters""")
+def visible_clusters(spark, d):
+    return S.clusters(spark, d).select("id", ranking.visible().alias("visible"))
+
+
+@query(f"""WITH {CLUSTERS}
+SELECT id, CAST(len(list_filter(days_seen, lambda x: x >= DATE '2024-01-24')) AS INTEGER) AS new_this_week FROM clusters""")
+def new_this_week(spark, d):
+    return S.clusters(spark, d).select("id", ranking.new_this_week(F.col("days_seen"), F.to_date(S.now())).alias("new_this_week"))
+
+
+_CARD = """CASE kind WHEN 'pain' THEN '🔴' WHEN 'build' THEN '🛠️' WHEN 'signal' THEN '📡' WHEN 'research' THEN '🔬' WHEN 'read' THEN '📄' WHEN 'pattern' THEN '🧩' ELSE '•' END
+       || ' ' || canonical_statement || coalesce(chr(10) || '   ' || nullif(why, ''), '') || coalesce(chr(10) || '   "' || nullif(quote, '') || '"', '')
+       || chr(10) || '   ' || CAST(mention_count AS VARCHAR) || ' mentions · ' || CAST(len(sources_seen) AS VARCHAR) || ' sources · '
+       || CAST(len(list_filter(days_seen, lambda x: x >= DATE '2024-01-24')) AS VARCHAR) || ' new this week  ·  #' || CAST(p.id AS VARCHAR)"""
+_BEST = """best AS (SELECT f.cluster_id, why_it_matters AS why, evidence_quote AS quote, i.url FROM findings f LEFT JOIN items i ON i.id = f.item_id
+  WHERE f.cluster_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY f.cluster_id ORDER BY confidence DESC NULLS FIRST, f.id) = 1)"""
+
+
+def _cards(rows: DataFrame, spark, d) -> DataFrame:
+    c = ranking.with_evidence(rows, S.findings(spark, d), S.items(spark, d))
+    c = c.withColumns({"n_sources": scoring.set_size(F.col("sources_seen")), "new_this_week": ranking.new_this_week(F.col("days_seen"), F.to_date(S.now())), "statement": F.col("canonical_statement")})
+    return c.select("rank", "id", F.coalesce("url", F.lit("")).alias("url"), rendering.card().alias("card"))
+
+
+@query(f"""WITH {CLUSTERS}, {FINDINGS}, {ITEMS}, {_BEST},
+pool AS (SELECT * FROM clusters WHERE NOT muted ORDER BY score DESC NULLS FIRST, id LIMIT 50),
+p AS (SELECT *, CAST(row_number() OVER (ORDER BY score DESC NULLS FIRST, id) AS INTEGER) AS rank FROM pool
+      WHERE kind NOT IN ('research', 'read') AND (NOT pinned OR mention_count > pinned_mention_count))
+SELECT rank, p.id, coalesce(url, '') AS url, {_CARD} AS card FROM p LEFT JOIN best ON best.cluster_id = p.id WHERE rank <= 5""")
+def recurring_cards(spark, d):
+    """The recurring leaderboard with evidence, as cards. The limits are the feature."""
+    return _cards(ranking.recurring(S.clusters(spark, d)), spark, d)
+
+
+@query(f"""WITH {CLUSTERS}, {FINDINGS}, {ITEMS}, {_BEST},
+pool AS (SELECT * FROM clusters WHERE NOT muted AND kind IN ('research', 'read') ORDER BY last_seen DESC NULLS FIRST, id LIMIT 30),
+p AS (SELECT *, CAST(row_number() OVER (ORDER BY last_seen DESC NULLS FIRST, id) AS INTEGER) AS rank FROM pool WHERE NOT pinned OR mention_count > pinned_mention_count)
+SELECT rank, p.id, coalesce(url, '') AS url, {_CARD} AS card FROM p LEFT JOIN best ON best.cluster_id = p.id WHERE rank <= 3""")
+def single_shot_cards(spark, d):
+    return _cards(ranking.single_shot(S.clusters(spark, d)), spark, d)
+
+
+@query(f"""WITH {CLUSTERS}, pool AS (SELECT * FROM clusters WHERE NOT muted ORDER BY score DESC NULLS FIRST, id LIMIT 40)
+SELECT id, '- ' || canonical_statement || ' (' || kind || ') — ' || CAST(mention_count AS VARCHAR) || ' mentions, ' || CAST(len(sources_seen) AS VARCHAR) || ' sources, '
+       || CAST(len(days_seen) AS VARCHAR) || ' days, last seen ' || strftime(last_seen, '%Y-%m-%d') AS line
+FROM pool WHERE kind NOT IN ('research', 'read') AND mention_count > 1""")
+def recurring_shortlist(spark, d):
+    return ranking.shortlist(S.clusters(spark, d)).select("id", ranking.shortlist_line().alias("line"))
+
+
+@query(f"""WITH {FINDINGS}, {ITEMS}, {_BEST} SELECT cluster_id, why, quote, coalesce(url, '') AS url FROM best""")
+def representative_finding(spark, d):
+    best = ranking.top_findings(S.findings(spark, d), 1)
+    url = S.items(spark, d).select(F.col("id").alias("item_id"), "url")
+    return best.join(url, "item_id", "left").select("cluster_id", F.col("why_it_matters").alias("why"), F.col("evidence_quote").alias("quote"), F.coalesce("url", F.lit("")).alias("url"))
+
+
+@query(f"""WITH {FINDINGS}, {ITEMS}
+SELECT f.cluster_id, f.id, CAST(row_number() OVER (PARTITION BY f.cluster_id ORDER BY confidence DESC NULLS FIRST, f.id) AS INTEGER) AS rank, coalesce(i.url, '') AS url
+FROM findings f LEFT JOIN items i ON i.id = f.item_id WHERE f.cluster_id IS NOT NULL QUALIFY rank <= 20""")
+def cluster_evidence_top20(spark, d):
+    url = S.items(spark, d).select(F.col("id").alias("item_id"), "url")
+    return ranking.top_findings(S.findings(spark, d), 20).join(url, "item_id", "left").select("cluster_id", "id", "rank", F.coalesce("url", F.lit("")).alias("url"))
+
+
+# --- text, dedupe, filters ---------------------------------------------------------------------------------------
+
+
+@query(r"SELECT doc_id, sha256(trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) AS content_hash FROM documents")
+def content_hash(spark, d):
+    return S.load(spark, d, "documents").select("doc_id", text.content_hash(F.col("text")).alias("content_hash"))
+
+
+_DECIDED = r"""h AS (
+  SELECT doc_id AS id, CASE WHEN doc_id % 37 = 0 THEN NULL ELSE sha256(trim(regexp_replace(lower(t), '\s+', ' ', 'g'))) END AS hash, t,
+         CASE WHEN doc_id % 10 = 0 THEN 'done' WHEN doc_id % 10 = 1 THEN 'failed' ELSE 'fetched' END AS state
+  FROM (SELECT doc_id, CASE WHEN doc_id % 29 = 0 THEN 'https://example.com/a/very/long/path/to/something/' || CAST(doc_id AS VARCHAR) ELSE text END AS t FROM documents)),
+j AS (SELECT *, CASE WHEN length(trim(regexp_replace(t, '\s+', ' ', 'g'))) < 40 THEN 'too_short' WHEN regexp_matches(t, '(?i)^\s*https?://\S+\s*$') THEN 'link_only' END AS junk
+      FROM h WHERE state = 'fetched'),
+held AS (SELECT DISTINCT hash FROM h WHERE state IN ('ready', 'processing', 'done') AND hash IS NOT NULL),
+dec AS (SELECT id, CASE WHEN junk IS NOT NULL THEN junk
+          WHEN hash IS NOT NULL AND (hash IN (SELECT hash FROM held) OR id <> min(CASE WHEN junk IS NULL THEN id END) OVER (PARTITION BY hash)) THEN 'content_hash' ELSE 'ready' END AS reason
+        FROM j)"""
+
+
+def _dedupe_items(spark, d):
+    i = F.col("doc_id")
+    t = F.when(i % 29 == 0, F.concat(F.lit("https://example.com/a/very/long/path/to/something/"), i.cast("string"))).otherwise(F.col("text"))
+    state = F.when(i % 10 == 0, "done").when(i % 10 == 1, "failed").otherwise("fetched")
+    return S.load(spark, d, "documents").select(i.alias("id"), t.alias("raw_text"), F.when(i % 37 != 0, text.content_hash(t)).alias("content_hash"), state.alias("state"))
+
+
+@query(f"WITH {_DECIDED} SELECT id, reason, CASE WHEN reason = 'ready' THEN 'ready' ELSE 'duplicate' END AS state FROM dec")
+def structural_dedupe(spark, d):
+    return dedupe.decide(_dedupe_items(spark, d))
+
+
+@query(f"WITH {_DECIDED} SELECT CASE WHEN reason = 'ready' THEN 'ready' ELSE 'duplicate' END AS state, reason, count(*) AS n FROM dec GROUP BY ALL")
+def dedupe_summary(spark, d):
+    return dedupe.summary(dedupe.decide(_dedupe_items(spark, d)))
+
+
+_TAGS = r"regexp_replace(regexp_replace(html, '<\s*/?\s*(p|br|div|li|blockquote)\s*/?>', chr(10), 'gi'), '<[^>]+>', '', 'g')"
+_PLAIN = _TAGS
+for _entity, _char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "''"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+    _PLAIN = f"replace({_PLAIN}, '{_entity}', '{_char}')"
+_CLEAN = rf"regexp_replace(regexp_replace({_PLAIN}, '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
+
+
+@query(f"SELECT page_id, {_CLEAN} AS text FROM pages")
+def clean_html_pages(spark, d):
+    """Whole pages to text with every entity decoded."""
+    return S.load(spark, d, "pages").select("page_id", text.clean_html(F.col("html")).alias("text"))
+
+
+@query(f"SELECT page_id, {_CLEAN} AS text FROM pages")
+def clean_html_builtin_pages(spark, d):
+    """The same inside the JVM, for common entities."""
+    return S.load(spark, d, "pages").select("page_id", text.clean_html_builtin(F.col("html")).alias("text"))
+
+
+@query(r"""SELECT doc_id, trim(regexp_replace(lower(regexp_replace(trim(regexp_replace(replace(replace(regexp_replace(trim(t), '^#+\s*', ''), '**', ''), '__', ''), '\s+', ' ', 'g')),
+                 '\([^)]*\)\s*$', '')), '[^a-z0-9]+', ' ', 'g')) AS title
+FROM (SELECT doc_id, '## **' || left(replace(text, chr(10), ' '), 50) || '** (3 minute read)' AS t FROM documents)""")
+def normalize_title(spark, d):
+    t = F.concat(F.lit("## **"), F.left(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit(50)), F.lit("** (3 minute read)"))
+    return S.load(spark, d, "documents").select("doc_id", text.normalize_title(t).alias("title"))
+
+
+@query(r"""SELECT doc_id, regexp_replace(regexp_replace(t, '(?s)\[((?:[^\[\]]|\[[^\[\]]*\])*)\]\([^)]*\)', '\1', 'g'), 'https?://\S+', '', 'g') AS body
+FROM (SELECT doc_id, left(text, 80) || ' [a [b] ' || source || '](http://x.example/y) and https://z.example/q?' || CAST(doc_id AS VARCHAR) || ' end' AS t FROM documents)""")
+def sanitize_links(spark, d):
+    t = F.concat(F.left("text", F.lit(80)), F.lit(" [a [b] "), F.col("source"), F.lit("](http://x.example/y) and https://z.example/q?"), F.col("doc_id").cast("string"), F.lit(" end"))
+    return S.load(spark, d, "documents").select("doc_id", text.sanitize_links(t).alias("body"))
+
+
+@query(r"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) || CASE WHEN doc_id % 2 = 0 THEN ['## Subscribe to ' || source || ' to unlock the rest', 'paid'] ELSE ['end'] END AS lines FROM documents),
+p AS (SELECT *, list_position(list_transform(lines, lambda x: regexp_matches(trim(x), '(?i)^(#+\s*)?(subscribe to .{1,80} to unlock the rest|continue reading this post for free in the substack app)')), true) AS cut_at FROM l)
+SELECT doc_id, CAST(len(CASE WHEN cut_at > 0 THEN lines[1 : cut_at - 1] ELSE lines END) AS INTEGER) AS n_lines FROM p""")
+def cut_paywall(spark, d):
+    tail = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("## Subscribe to "), F.col("source"), F.lit(" to unlock the rest\npaid"))).otherwise("end")
+    return S.load(spark, d, "documents").select("doc_id", F.size(text.free_lines(F.concat_ws("\n", "text", tail))).alias("n_lines"))
+
+
+@query("SELECT doc_id, CAST(len(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: regexp_matches(x, '[\\p{L}\\p{N}]'))) AS INTEGER) AS n_lines FROM documents")
+def content_lines(spark, d):
+    return S.load(spark, d, "documents").select("doc_id", F.size(text.content_lines(F.split("text", "\n"))).alias("n_lines"))
+
+
+@query(f"""WITH {FINDINGS}, {ITEMS}
+SELECT f.id, coalesce(contains(trim(regexp_replace(lower(i.raw_text), '\\s+', ' ', 'g')), trim(regexp_replace(lower(f.evidence_quote), '\\s+', ' ', 'g'))), f.evidence_quote = '') AS verbatim
+FROM findings f LEFT JOIN items i ON i.id = f.item_id""")
+def quote_verbatim(spark, d):
+    return threads.quotes_found(S.findings(spark, d), S.items(spark, d)).select("id", "verbatim")
+
+
+@query("""SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(trim(regexp_replace(lower(d.text), '\\s+', ' ', 'g')), trim(regexp_replace(lower(b.text), '\\s+', ' ', 'g')))""")
+def quote_containment(spark, d):
+    """Texts that hold a benchmark passage verbatim. Passages are found by their first five words, then compared."""
+    norm = lambda c: text.collapsed(F.lower(F.col(c)))
+    b = S.load(spark, d, "benchmark").select("item_id", norm("text").alias("q"))
+    b = b.withColumn("lead", F.slice(F.split("q", " "), 1, 5)).withColumn("k", F.size("lead"))
+    full = b.where("k = 5").withColumn("lead", F.array_join("lead", " "))
+    t = S.load(spark, d, "documents").select("doc_id", norm("text").alias("t"))
+    w = F.split("t", " ")
+    # A passage may begin or end inside a word, so the words between are what is looked up.
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - 2)), lambda i: F.array_join(F.slice(w, i, 3), " ")))
+    inner = full.withColumn("lead", F.array_join(F.slice(F.split("q", " "), 2, 3), " "))
+    near = t.select("doc_id", "t", F.explode(grams).alias("lead")).join(inner, "lead").where(F.contains("t", "q")).select("doc_id", "item_id")
+    # Passages of fewer than five words have no inner words to look up; they are compared one by one with each text.
+    few = b.where("k < 5").select("item_id", "q")
+    short = t.join(F.broadcast(few), F.contains("t", "q")).select("doc_id", "item_id")
+    return near.union(short).distinct()
+
+
+@query("SELECT event_id, 'https://x.example/' || event_type || '/' || CAST(json_extract(props, '$.k') AS VARCHAR) AS url, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def json_props(spark, d):
+    e = S.load(spark, d, "events")
+    payload = F.to_json(F.struct(F.col("event_type").alias("type"), F.from_json("props", "k long").alias("p")))
+    return e.select("event_id", jsons.url_template("https://x.example/{type}/{p[k]}", payload).alias("url"), jsons.config_value(F.col("props"), "k", 0).cast("long").alias("k"))
+
+
+@query(f"""WITH {ITEMS} SELECT id, coalesce('{{"publication":"' || json_extract_string(metadata, '$.publication') || '"}}', '') AS kept FROM items""")
+def metadata_projection(spark, d):
+    return S.items(spark, d).select("id", F.coalesce(jsons.picked(F.col("metadata"), ["publication", "absent"]), F.lit("")).alias("kept"))
+
+
+@query("""SELECT event_id, CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS iso, CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS rfc, event_id % 5 = 0 AS bad FROM events""")
+def parse_times(spark, d):
+    e = S.load(spark, d, "events")
+    iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    rfc = F.concat(F.lit("Mon, "), F.date_format("ts", "d MMM yyyy HH:mm:ss"), F.lit(" GMT"))
+    bad = times.iso_epoch(F.when(F.col("event_id") % 5 == 0, "no date").otherwise(iso)).isNull()
+    return e.select("event_id", times.iso_epoch(iso).alias("iso"), times.rfc822_epoch(rfc).alias("rfc"), bad.alias("bad"))
+
+
+@query("""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'Pub ' || source WHEN 1 THEN source ELSE 'slug' END AS publication FROM documents""")
+def publication_name(spark, d):
+    i = F.col("doc_id") % 3
+    sender = F.when(i == 0, F.concat(F.lit('"Pub '), "source", F.lit('" <a@x.example>'))).when(i == 1, F.concat("source", F.lit("@x.example"))).otherwise("")
+    return S.load(spark, d, "documents").select("doc_id", text.publication_name(sender, F.lit("slug")).alias("publication"))
+
+
+# --- sources, tables ---------------------------------------------------------------------------------------------
+
+
+@query("""WITH w AS (SELECT event_type, CASE WHEN event_type IN ('click', 'view') THEN TIMESTAMP '2024-01-20 00:00:00' END AS wm FROM (SELECT DISTINCT event_type FROM events))
+SELECT event_id FROM events e JOIN w USING (event_type)
+WHERE epoch(ts) >= epoch(coalesce(wm, TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 30 DAY)) - 6 * 3600 AND epoch(ts) < epoch(TIMESTAMP '2024-01-28 00:00:00')""")
+def fetch_window(spark, d):
+    e = S.load(spark, d, "events")
+    wm = F.when(F.col("event_type").isin("click", "view"), F.lit("2024-01-20 00:00:00").cast("timestamp"))
+    since = F.unix_timestamp(times.lower_bound(wm, S.now()))
+    seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    return e.where(times.in_window(seconds, since, F.unix_timestamp(F.lit("2024-01-28 00:00:00").cast("timestamp")), 6)).select("event_id")
+
+
+@query("""WITH o AS (SELECT DISTINCT source, doc_id % 400 AS k FROM documents WHERE doc_id < 300),
+n AS (SELECT source, doc_id % 400 AS k, doc_id FROM documents WHERE doc_id >= 200)
+SELECT source, k, min(doc_id) AS doc_id FROM n WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.source = n.source AND o.k = n.k) GROUP BY ALL""")
+def insert_ignore(spark, d):
+    x = S.load(spark, d, "documents").select("source", (F.col("doc_id") % 400).alias("k"), "doc_id")
+    return tables.insert_ignore(x.where("doc_id < 300"), x.where("doc_id >= 200"), ["source", "k"], ["doc_id"])
+
+
+@query("""WITH n AS (SELECT source, doc_id % 400 AS k, doc_id FROM documents WHERE doc_id >= 200), o AS (SELECT DISTINCT source, doc_id % 400 AS k FROM documents WHERE doc_id < 300),
+i AS (SELECT source, min(doc_id) AS x FROM n WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.source = n.source AND o.k = n.k) GROUP BY source, k),
+f AS (SELECT source, count(*) AS items_fetched FROM n GROUP BY source), g AS (SELECT source, count(*) AS items_inserted FROM i GROUP BY source)
+SELECT f.source, items_fetched, coalesce(items_inserted, 0) AS items_inserted FROM f LEFT JOIN g USING (source)""")
+def fetched_and_inserted(spark, d):
+    x = S.load(spark, d, "documents").select("source", (F.col("doc_id") % 400).alias("k"), "doc_id")
+    new = tables.insert_ignore(x.where("doc_id < 300"), x.where("doc_id >= 200"), ["source", "k"], ["doc_id"])
+    return counts.fetched_and_inserted(x.where("doc_id >= 200"), new)
+
+
+@query("SELECT doc_id, CASE WHEN doc_id >= 400 THEN 'new' ELSE 'old' END AS version FROM documents")
+def upsert(spark, d):
+    x = S.load(spark, d, "documents").select("doc_id")
+    return tables.upsert(x.where("doc_id < 600").withColumn("version", F.lit("old")), x.where("doc_id >= 400").withColumn("version", F.lit("new")), ["doc_id"])
+
+
+@query("""SELECT 1000 + row_number() OVER (ORDER BY source, doc_id) AS id, doc_id FROM documents""")
+def append_ids(spark, d):
+    old = spark.range(1, 1001)
+    return tables.with_ids(old, S.load(spark, d, "documents").select("source", "doc_id"), [F.col("source"), F.col("doc_id")]).select("id", "doc_id")
+
+
+@query("""WITH s AS (SELECT source AS name, max(doc_id) AS m FROM documents GROUP BY source)
+SELECT name, CASE WHEN name LIKE 'src1%' THEN '2024-01-31 00:00:00' WHEN m % 2 = 0 THEN '2024-01-01 00:00:00' ELSE 'never' END AS watermark FROM s""")
+def watermarks(spark, d):
+    s = S.load(spark, d, "documents").groupBy(F.col("source").alias("name")).agg(F.max("doc_id").alias("m"))
+    s = s.select("name", F.when(F.col("m") % 2 == 0, F.lit("2024-01-01 00:00:00").cast("timestamp")).alias("last_successful_fetch_at"))
+    out = tables.advance_watermarks(s, s.where("name like 'src1%'").select("name", S.now().alias("started_at")))
+    return out.select("name", F.coalesce(F.date_format("last_successful_fetch_at", "yyyy-MM-dd HH:mm:ss"), F.lit("never")).alias("watermark"))
+
+
+@query("""SELECT doc_id AS item_id, CAST(doc_id % 3 AS INTEGER) AS n FROM documents WHERE doc_id % 2 = 0""")
+def record_judgement(spark, d):
+    f = F.struct(F.col("source").alias("kind"), F.lit("s").alias("statement"), F.lit(0.5).alias("confidence"))
+    p = F.to_json(F.slice(F.array(f, f), F.lit(1), (F.col("doc_id") % 3).cast("int")))
+    judged = S.load(spark, d, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("item_id"), p.alias("p_findings"))
+    return tables.record_judgement(S.items(spark, d), judged, S.now())[2]
+
+
+@query(f"""WITH {ITEMS} SELECT id, CASE WHEN id % 6 = 0 THEN 'done' ELSE state END AS state, CASE WHEN id % 6 = 0 THEN -1 ELSE length(raw_text) END AS n FROM items""")
+def mark_done(spark, d):
+    out = queue.mark(S.items(spark, d), S.items(spark, d).where("id % 6 = 0").select("id"), "done")
+    return out.select("id", "state", F.coalesce(F.length("raw_text"), F.lit(-1)).cast("long").alias("n"))
+
+
+# --- queue -------------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {ITEMS}, r AS (SELECT id, source, row_number() OVER (PARTITION BY source ORDER BY id) AS rn FROM items WHERE state = 'ready')
+SELECT id, source, CAST(rn AS INTEGER) AS rn, CAST((rn - 1) // 5 AS BIGINT) AS cycle FROM r""")
+def fair_queue_order(spark, d):
+    return queue.fair_order(S.items(spark, d)).select("id", "source", "rn", F.col("cycle").cast("long").alias("cycle"))
+
+
+@query(f"""WITH {ITEMS}, t AS (SELECT id, attempts, processing_at < TIMESTAMP '2024-01-30 23:00:00' AS old, CASE WHEN state = 'processing' AND attempts >= 3 AND processing_at < TIMESTAMP '2024-01-30 23:00:00' THEN 'failed' ELSE state END AS state FROM items),
+c AS (SELECT id FROM t WHERE state = 'ready' OR (state = 'processing' AND attempts < 3 AND old) ORDER BY id LIMIT 100)
+SELECT id, CASE WHEN id IN (SELECT id FROM c) THEN 'processing' ELSE state END AS state, CASE WHEN id IN (SELECT id FROM c) THEN attempts + 1 ELSE attempts END AS attempts, id IN (SELECT id FROM c) AS claimed FROM t""")
+def claim_batch(spark, d):
+    """One claim of a hundred; the batch size is the feature."""
+    after, claimed = queue.claim_items(S.items(spark, d), 100, S.now())
+    return after.select("id", "state", "attempts").join(claimed.select("id", F.lit(True).alias("claimed")), "id", "left").select("id", "state", "attempts", F.coalesce("claimed", F.lit(False)).alias("claimed"))
+
+
+@query(f"""WITH {ITEMS} SELECT id, CASE WHEN id % 9 = 0 THEN CASE WHEN attempts >= 3 THEN 'failed' ELSE 'ready' END ELSE state END AS state FROM items""")
+def after_model_error(spark, d):
+    i = S.items(spark, d)
+    return queue.after_model_error(i, i.where("id % 9 = 0").select("id")).select("id", "state")
+
+
+@query("""SELECT conv_id, turn FROM conversations QUALIFY row_number() OVER (PARTITION BY CASE WHEN conv_id % 4 = 0 THEN '_item:' || CAST(conv_id * 1000 + turn AS VARCHAR) ELSE 't' || CAST(conv_id AS VARCHAR) END ORDER BY turn) <= 2""")
+def thread_cap(spark, d):
+    c = S.load(spark, d, "conversations").select("conv_id", "turn", (F.col("conv_id") * 1000 + F.col("turn")).alias("item_id"), F.when(F.col("conv_id") % 4 != 0, F.concat(F.lit("t"), F.col("conv_id").cast("string"))).alias("thread_id"), F.lit("s").alias("source"))
+    return queue.capped_findings(c, ["turn"]).select("conv_id", "turn")
+
+
+@query("""WITH c AS (SELECT conv_id, turn, turn % 3 AS n FROM conversations),
+b AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c)
+SELECT conv_id, turn, CAST(before AS BIGINT) AS before, CAST(greatest(0, least(n, 2 - before)) AS BIGINT) AS allowed, before >= 2 AS retired FROM b""")
+def thread_retired(spark, d):
+    c = S.load(spark, d, "conversations").select("conv_id", "turn", (F.col("turn") % 3).alias("n"), F.col("conv_id").cast("string").alias("thread_key"))
+    out = queue.retired_by_cap(c, ["turn"], "n")
+    return out.select("conv_id", "turn", F.col("before").cast("long").alias("before"), F.col("allowed").cast("long").alias("allowed"), "retired")
+
+
+@query("""WITH e AS (SELECT user_id, event_id, CASE WHEN event_type = 'view' THEN 'capped' WHEN event_type IN ('error', 'click') THEN 'error' ELSE 'success' END AS o FROM events),
+i AS (SELECT *, sum(CASE WHEN o = 'success' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS island FROM e)
+SELECT user_id, CAST(island AS BIGINT) AS island, count(*) AS errors, count(*) >= 3 AS aborts FROM i WHERE o = 'error' GROUP BY ALL""")
+def error_streak(spark, d):
+    t = F.col("event_type")
+    e = S.load(spark, d, "events").select("user_id", "event_id", F.when(t == "view", "capped").when(t.isin("error", "click"), "error").otherwise("success").alias("outcome"))
+    return queue.error_streaks(e, ["user_id"], ["event_id"]).select("user_id", F.col("island").cast("long").alias("island"), "errors", "aborts")
+
+
+# --- clusters ----------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {MENTIONS} SELECT cluster_id, string_agg(DISTINCT source, ',' ORDER BY source) AS sources, string_agg(DISTINCT CAST(seen_on AS VARCHAR), ',' ORDER BY CAST(seen_on AS VARCHAR)) AS days,
+       count(DISTINCT source || CAST(seen_on AS VARCHAR)) AS mention_count FROM mentions GROUP BY cluster_id""")
+def mention_sets(spark, d):
+    return clusters.mention_sets(S.mentions(spark, d)).select("cluster_id", joined("sources_seen").alias("sources"), joined("days_seen").alias("days"), "mention_count")
+
+
+@query(f"""WITH {MENTIONS}, k AS (SELECT DISTINCT cluster_id, source, seen_on FROM mentions WHERE seen_on < DATE '2024-01-10' AND cluster_id % 2 = 0)
+SELECT id, row_number() OVER (PARTITION BY m.cluster_id, m.source, m.seen_on ORDER BY id) = 1 AND k.cluster_id IS NULL AS is_new
+FROM mentions m LEFT JOIN k ON k.cluster_id = m.cluster_id AND k.source = m.source AND k.seen_on = m.seen_on""")
+def mention_new_flag(spark, d):
+    m = S.mentions(spark, d)
+    return clusters.new_mentions(m, m.where("seen_on < date'2024-01-10' and cluster_id % 2 = 0"), ["id"]).select("id", "is_new")
+
+
+@query(f"""WITH {CLUSTERS}, n AS (SELECT id % 50 AS cluster_id, event_type AS source, DATE '2024-02-01' AS seen_on FROM (SELECT event_id AS id, event_type FROM events WHERE event_id < 500)),
+a AS (SELECT cluster_id, list(DISTINCT source) AS s, count(DISTINCT source) AS k FROM n GROUP BY cluster_id)
+SELECT c.id, CAST(c.mention_count + coalesce(k, 0) AS INTEGER) AS mention_count, CAST(len(list_distinct(list_concat(c.sources_seen, coalesce(s, [])))) AS INTEGER) AS n_sources,
+       CAST(len(c.days_seen) + CASE WHEN k IS NULL THEN 0 ELSE 1 END AS INTEGER) AS n_days FROM clusters c LEFT JOIN a ON a.cluster_id = c.id""")
+def record_mentions(spark, d):
+    new = S.load(spark, d, "events").where("event_id < 500").select((F.col("event_id") % 50).alias("cluster_id"), F.col("event_type").alias("source"), F.lit("2024-02-01").cast("date").alias("seen_on"))
+    out = clusters.record_mentions(S.clusters(spark, d), new, S.now())
+    return out.select("id", "mention_count", F.size("sources_seen").alias("n_sources"), F.size("days_seen").alias("n_days"))
+
+
+_UNIT = "SELECT vec_id AS id, label, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS v FROM embeddings"
+
+
+@query(f"""WITH u AS ({_UNIT}), p AS (SELECT a.id, a.label AS kind, b.id AS other, list_dot_product(a.v, b.v) AS s FROM u a JOIN u b ON a.label = b.label AND a.id <> b.id),
+m AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, other) AS r FROM p)
+SELECT id, kind, other AS nearest, round(s, 6) AS similarity, CASE WHEN s < 0.2 THEN 'new' WHEN s < 0.3 THEN 'tiebreak' ELSE 'merge' END AS action FROM m WHERE r = 1""")
+def nearest_same_kind(spark, d):
+    e = S.load(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("kind"), "embedding")
+    return clusters.nearest_same_kind(e, e, "kind", 0.30, 0.20).select("id", "kind", "nearest", r6("similarity").alias("similarity"), "action")
+
+
+@query()
+def greedy_clusters(spark, d):
+    """The fold per kind; order-dependent, held against a loop in the tests."""
+    e = S.load(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.concat(F.lit("k"), F.col("label").cast("string")).alias("kind"), F.lit("").alias("statement"), "embedding")
+    none = spark.createDataFrame([], "id long, kind string, canonical_statement string, centroid array<float>")
+    return clusters.greedy(e, none, 0.30, 0.20).select("id", "kind", "cluster_key", r6(F.coalesce("similarity", F.lit(-2.0))).alias("similarity"), "action", "merged")
+
+
+@query()
+def vector_text_roundtrip(spark, d):
+    """Vectors as text and back; the largest error per vector, rounded to five decimals, is 0."""
+    e = S.load(spark, d, "embeddings").withColumn("b", vectors.parse_vector(vectors.format_vector(F.col("embedding"))))
+    return e.select("vec_id", F.round(F.array_max(F.zip_with("embedding", "b", lambda x, y: F.abs(x - y))), 5).alias("error"))
+
+
+# --- briefing, reports -------------------------------------------------------------------------------------------
+
+_GATHERED = f"""{CLUSTERS}, {FINDINGS}, {ITEMS},
+g AS (SELECT f.*, i.url, i.source, json_extract_string(i.metadata, '$.publication') AS publication, c.mention_count AS c_mentions, len(c.sources_seen) AS c_sources, len(c.days_seen) AS c_days
+      FROM findings f LEFT JOIN items i ON i.id = f.item_id LEFT JOIN clusters c ON c.id = f.cluster_id WHERE f.created_at >= TIMESTAMP '2024-01-30 00:00:00')"""
+
+
+def _gathered(spark, d):
+    return briefing.gather(S.findings(spark, d), S.items(spark, d), S.clusters(spark, d), briefing.since(None, S.now()))
+
+
+@query(f"""WITH {_GATHERED} SELECT id, coalesce(url, '') AS url, coalesce(source, '') AS source, coalesce(publication, '') AS publication, kind, CAST(coalesce(c_mentions, -1) AS INTEGER) AS mentions FROM g""")
+def gather_findings(spark, d):
+    e = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    return _gathered(spark, d).select("id", e("url"), e("source"), e("publication"), "kind", F.coalesce("c_mentions", F.lit(-1)).cast("int").alias("mentions"))
+
+
+@query(f"""WITH {_GATHERED} SELECT id, concat_ws(' | ', '[' || CAST(id AS VARCHAR) || '] ' || kind || ': ' || trim(statement, ' '), 'why: ' || nullif(trim(why_it_matters), ''), 'source: ' || source, url,
+  CASE WHEN c_mentions > 1 THEN 'recurring: ' || CAST(c_mentions AS VARCHAR) || ' mentions across ' || CAST(c_sources AS VARCHAR) || ' sources, ' || CAST(c_days AS VARCHAR) || ' days' END) AS line FROM g""")
+def finding_lines(spark, d):
+    return _gathered(spark, d).select("id", briefing.finding_line().alias("line"))
+
+
+@query(f"""WITH {_GATHERED}, r AS (SELECT *, row_number() OVER (ORDER BY coalesce(confidence, 0.0) DESC, created_at DESC, id) AS rk,
+  row_number() OVER (PARTITION BY source ORDER BY coalesce(confidence, 0.0) DESC, created_at DESC, id) AS sr FROM g)
+SELECT id FROM r ORDER BY sr > greatest(1, CAST(floor(120 * 0.05) AS INTEGER)), rk LIMIT 120""")
+def select_for_prompt(spark, d):
+    """The prompt's findings; the cap is the feature."""
+    return briefing.select_for_prompt(_gathered(spark, d), 120, 0.05).select("id")
+
+
+_ITEMS7 = f"WITH s AS (SELECT doc_id AS n, {SECTION}[doc_id % 7 + 1] AS section, doc_id // 7 AS pos, list_position({SECTION}, {SECTION}[doc_id % 7 + 1]) AS sr FROM documents)"
+
+
+def _section_items(spark, d):
+    i = F.col("doc_id")
+    return S.load(spark, d, "documents").select(i.alias("key"), S.section_of(i).alias("section"), F.floor(i / 7).cast("long").alias("pos"))
+
+
+@query(f"""{_ITEMS7}, k AS (SELECT * FROM s QUALIFY section <> 'someone_built' OR row_number() OVER (PARTITION BY section ORDER BY pos) <= 5)
+SELECT n AS key, section FROM k QUALIFY row_number() OVER (ORDER BY sr, pos) <= 20""")
+def section_caps(spark, d):
+    """The digest's size caps, which are the feature."""
+    return briefing.apply_caps(_section_items(spark, d)).select("key", "section")
+
+
+@query(f"{_ITEMS7} SELECT n AS key, CAST(row_number() OVER (PARTITION BY n % 3 ORDER BY sr, pos) AS INTEGER) AS n FROM s")
+def section_numbering(spark, d):
+    """Numbers across sections, of three briefings side by side."""
+    return briefing.numbered(_section_items(spark, d).withColumn("b", F.col("key") % 3), ["b"]).select("key", "n")
+
+
+@query()
+def story_dedup(spark, d):
+    """One item a story in forty briefings; a fold, held against a loop in the tests."""
+    i = F.col("doc_id")
+    x = _section_items(spark, d).withColumns({"b": F.col("key") % 40, "finding_ids": F.array(F.col("key") % 23, F.col("key") % 31 + 100), "urls": F.array(F.concat(F.lit("u"), (F.col("key") % 17).cast("string")))})
+    return briefing.one_per_story(x.withColumn("pos", F.col("key")), ["b"]).select("b", "key", "section").where(i.isNotNull() if "doc_id" in x.columns else F.lit(True))
+
+
+_LINKS = """x AS (SELECT doc_id AS k, [doc_id, doc_id + 1, doc_id + 3] AS ids FROM documents),
+e AS (SELECT k, unnest(ids) AS f, unnest(range(1, 4)) AS place FROM x),
+m AS (SELECT k, place, i.url, json_extract_string(i.metadata, '$.publication') AS publication, CASE WHEN i.id % 19 <> 0 THEN i.id % 150 END AS cluster_id FROM e LEFT JOIN items i ON i.id = e.f)"""
+
+
+@query(f"""WITH {ITEMS}, {_LINKS}
+SELECT k AS key, coalesce(string_agg(url, ',' ORDER BY place) FILTER (url IS NOT NULL), '') AS links,
+       coalesce(array_to_string(list_sort(list_distinct(list(publication) FILTER (url IS NULL AND publication IS NOT NULL))), ','), '') AS via, coalesce(arg_min(cluster_id, place) FILTER (cluster_id IS NOT NULL), -1) AS cluster_id
+FROM m GROUP BY k""")
+def link_references(spark, d):
+    i = F.col("doc_id")
+    x = S.load(spark, d, "documents").select(i.alias("key"), F.array(i, i + 1, i + 3).alias("finding_ids"))
+    index = S.items(spark, d).select("id", "url", F.get_json_object("metadata", "$.publication").alias("publication"), F.when(F.col("id") % 19 != 0, F.col("id") % 150).alias("cluster_id"))
+    out = briefing.with_links(x, index, ["key"])
+    return out.select("key", F.array_join("links", ",").alias("links"), F.array_join(F.array_sort("via"), ",").alias("via"), F.coalesce("cluster_id", F.lit(-1)).alias("cluster_id"))
+
+
+@query(f"WITH {FINDINGS} SELECT kind, count(*) AS n, min(id) AS first_id, kind <> 'oddity' AS known FROM findings GROUP BY kind")
+def kinds_count(spark, d):
+    return counts.by_kind(S.findings(spark, d))
+
+
+@query("""SELECT CAST(place AS INTEGER) AS place, state, coalesce(n, 0) AS n FROM (VALUES (0, 'O'), (1, 'F'), (2, 'P'), (3, 'X')) s(place, state)
+LEFT JOIN (SELECT o_orderstatus AS state, count(*) AS n FROM orders GROUP BY 1) USING (state)""")
+def state_counts(spark, d):
+    return counts.by_state(S.load(spark, d, "orders").select(F.col("o_orderstatus").alias("state")), ("O", "F", "P", "X"))
+
+
+@query("""WITH s AS (SELECT DISTINCT source AS name FROM documents UNION ALL SELECT 'idle')
+SELECT name, coalesce(n, 0) AS n, CASE WHEN name LIKE 'src1%' THEN '2024-01-31 00:00:00' ELSE 'never' END AS watermark, name = 'idle' AS disabled
+FROM s LEFT JOIN (SELECT source AS name, count(*) AS n FROM documents GROUP BY 1) USING (name)""")
+def source_counts(spark, d):
+    docs = S.load(spark, d, "documents")
+    names = docs.select(F.col("source").alias("name")).distinct().union(spark.createDataFrame([("idle",)], "name string"))
+    s = names.withColumns({"last_successful_fetch_at": F.when(F.col("name").like("src1%"), S.now()), "enabled": F.col("name") != "idle"})
+    return counts.by_source(s, docs)
+
+
+@query(f"""WITH {FINDINGS}, {ITEMS}, s AS (SELECT DISTINCT source FROM items UNION ALL SELECT 'idle' UNION ALL SELECT 'unknown'),
+c AS (SELECT coalesce(i.source, 'unknown') AS source, count(*) AS n FROM findings f LEFT JOIN items i ON i.id = f.item_id GROUP BY 1)
+SELECT source, coalesce(n, 0) AS n FROM s LEFT JOIN c USING (source)""")
+def findings_per_source(spark, d):
+    i = S.items(spark, d)
+    names = i.select(F.col("source").alias("name")).distinct().union(spark.createDataFrame([("idle",), ("unknown",)], "name string"))
+    return counts.zero_filled(names, counts.findings_by_source(S.findings(spark, d), i))
+
+
+@query(f"""WITH {FINDINGS}, {ITEMS}, r AS (SELECT f.id, f.kind, confidence, coalesce(nullif(url, ''), '(no url)') AS url FROM findings f LEFT JOIN items i ON i.id = f.item_id),
+z AS (SELECT kind, count(*) AS kind_size, row_number() OVER (ORDER BY count(*) DESC, min(id)) AS kind_rank FROM r GROUP BY kind)
+SELECT id, kind, url, kind_size, CAST(kind_rank AS INTEGER) AS kind_rank, CAST(row_number() OVER (PARTITION BY kind ORDER BY coalesce(confidence, 0) DESC, id) AS INTEGER) AS place FROM r JOIN z USING (kind)""")
+def report_by_kind(spark, d):
+    return rendering.report_rows(S.findings(spark, d), S.items(spark, d)).select("id", "kind", "url", "kind_size", "kind_rank", "place")
+
+
+@query(f"""WITH {FINDINGS}, {ITEMS} SELECT f.id, '### ' || statement || coalesce(chr(10) || chr(10) || '**Why it matters:** ' || nullif(why_it_matters, ''), '') || chr(10) || chr(10) || '> ' || evidence_quote
+  || chr(10) || chr(10) || '[source](' || coalesce(url, '(no url)') || ') · ' || domain || coalesce(printf(' · confidence %.2f', confidence), '') AS entry FROM findings f LEFT JOIN items i ON i.id = f.item_id""")
+def report_entries(spark, d):
+    return rendering.report_rows(S.findings(spark, d), S.items(spark, d)).select("id", rendering.report_entry().alias("entry"))
+
+
+_LOG = """l AS (SELECT user_id, CASE WHEN event_type = 'error' THEN 'failed' WHEN event_type = 'view' THEN 'capped' ELSE 'judged' END AS outcome, event_type = 'signup' AS triaged_out,
+  event_type IN ('click', 'purchase', 'error') AS deep_read, CASE WHEN event_type = 'purchase' THEN event_id % 3 ELSE 0 END AS n FROM events)"""
+
+
+@query(f"""WITH {_LOG}, c AS (SELECT user_id, count(*) FILTER (outcome = 'judged') AS judged, count(*) FILTER (outcome = 'failed') AS failed, count(*) FILTER (outcome = 'judged' AND n = 0) AS empty,
+  count(*) FILTER (outcome = 'judged' AND triaged_out) AS triaged_out, count(*) FILTER (deep_read) AS deep_reads, count(*) FILTER (outcome = 'capped') AS capped,
+  CAST(coalesce(sum(n) FILTER (outcome = 'judged'), 0) AS BIGINT) AS findings FROM l GROUP BY user_id)
+SELECT *, round(coalesce(triaged_out / nullif(judged, 0), 0), 6) AS triage_kill_rate, round(coalesce((empty - triaged_out) / nullif(deep_reads, 0), 0), 6) AS empty_rate,
+       round(coalesce(90.0::DOUBLE / nullif(deep_reads, 0), 0), 6) AS seconds_per_read FROM c""")
+def run_rates(spark, d):
+    t = F.col("event_type")
+    log = S.load(spark, d, "events").select(
+        "user_id", F.when(t == "error", "failed").when(t == "view", "capped").otherwise("judged").alias("outcome"), (t == "signup").alias("triaged_out"),
+        t.isin("click", "purchase", "error").alias("deep_read"), F.when(t == "purchase", F.col("event_id") % 3).otherwise(0).alias("n"),
+    )
+    out = counts.run_rates(counts.run_counters(log, ["user_id"]), F.lit(90.0))
+    return out.withColumns({c: r6(c) for c in ("triage_kill_rate", "empty_rate", "seconds_per_read")})
+
+
+@query("""WITH r AS (SELECT max(ts) AS stamp, arg_max(event_id, ts) AS f FROM events WHERE event_type = 'purchase')
+SELECT 'last run ' || CASE WHEN m < 120 THEN CAST(m AS VARCHAR) || 'm ago' ELSE CAST(m // 60 AS VARCHAR) || 'h ago' END || ' · ' || CAST(f AS VARCHAR) || ' fetched · 0 findings' AS footer
+FROM (SELECT f, CAST(floor((epoch(TIMESTAMP '2024-01-31 00:00:00') - floor(epoch(stamp))) / 60) AS BIGINT) AS m FROM r)""")
+def last_run(spark, d):
+    runs = S.load(spark, d, "events").where("event_type = 'purchase'").select(F.col("ts").cast("timestamp").alias("started_at"), F.lit(None).cast("timestamp").alias("finished_at"), F.col("event_id").cast("int").alias("items_fetched"), F.lit(None).cast("int").alias("findings_created"))
+    return counts.last_run(runs, S.now())
+
+
+@query("""WITH l AS (SELECT event_id AS id, user_id, CAST(event_id % 3 + 1 AS INTEGER) AS attempt, ts AS created_at FROM events WHERE event_type <> 'view'),
+r AS (SELECT event_id AS id, CASE WHEN event_type = 'error' THEN 500 WHEN event_type = 'click' THEN 204 END AS status, CASE WHEN event_id % 2 = 0 THEN 'body ' || CAST(event_id AS VARCHAR) END AS content FROM events WHERE event_type IN ('error', 'click', 'signup')),
+j AS (SELECT l.*, r.status, r.content, r.id IS NOT NULL AS found FROM l LEFT JOIN r ON r.id = l.id WHERE created_at < TIMESTAMP '2024-01-30 23:59:15'),
+a AS (SELECT *, CASE WHEN NOT found THEN CASE WHEN created_at < TIMESTAMP '2024-01-30 23:50:00' THEN 'lost' ELSE 'wait' END WHEN status BETWEEN 200 AND 299 THEN 'accepted' WHEN attempt < 3 THEN 'retry' ELSE 'alert' END AS action FROM j)
+SELECT id, attempt, action, action <> 'wait' AS checked, CAST(coalesce(status, -1) AS INTEGER) AS status_code, coalesce(CASE WHEN action = 'lost' THEN 'no response row found' WHEN found THEN content END, '') AS note,
+       CASE WHEN action = 'alert' THEN 'dispatch failed after 3 attempts: HTTP ' || coalesce(CAST(status AS VARCHAR), 'none') || ' - ' || coalesce(content, 'no detail') ELSE '' END AS alert FROM a""")
+def dispatch_reconcile(spark, d):
+    e = S.load(spark, d, "events")
+    t = F.col("event_type")
+    log = e.where(t != "view").select(F.col("event_id").alias("id"), F.col("event_id").alias("request_id"), (F.col("event_id") % 3 + 1).cast("int").alias("attempt"), F.col("ts").cast("timestamp").alias("created_at"), F.lit(False).alias("checked"))
+    responses = e.where(t.isin("error", "click", "signup")).select(
+        F.col("event_id").alias("id"), F.when(t == "error", 500).when(t == "click", 204).alias("status_code"), F.lit(None).cast("string").alias("error_msg"),
+        F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("body "), F.col("event_id").cast("string"))).alias("content"),
+    )
+    out = counts.dispatch_reconcile(log, responses, S.now())
+    return out.select("id", "attempt", "action", "checked", F.coalesce("status_code", F.lit(-1)).alias("status_code"), F.coalesce("note", F.lit("")).alias("note"), F.coalesce("alert", F.lit("")).alias("alert"))
+
+
+@query(f"""WITH {ITEMS} SELECT id, CASE WHEN metadata IS NULL THEN '' ELSE '[Engagement: ' || json_extract_string(metadata, '$.points') || ' points; 50 points or 30 comments are strong.]' || chr(10) || chr(10) END AS line,
+  substring(raw_text, 1, 2000) AS triage_text FROM items""")
+def model_inputs(spark, d):
+    return S.items(spark, d).select("id", rendering.engagement_line(F.col("metadata")).alias("line"), rendering.triage_input(F.col("raw_text")).alias("triage_text"))
+
+
+@query("""WITH c AS (SELECT conv_id, turn, role, trim(text) AS t FROM conversations WHERE trim(text) <> '' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 40),
+x AS (SELECT conv_id AS thread, 'Story: conversation ' || CAST(conv_id AS VARCHAR) || chr(10) || chr(10) || 'Comments:' || chr(10) || chr(10) || string_agg('- ' || role || ': ' || t, chr(10) || chr(10) ORDER BY turn) AS context FROM c GROUP BY conv_id)
+SELECT thread, CASE WHEN length(context) > 6000 THEN rtrim(left(context, 6000), chr(32) || chr(10)) || chr(10) || '…[thread truncated]' ELSE context END AS context FROM x""")
+def thread_context(spark, d):
+    c = S.load(spark, d, "conversations")
+    nodes = c.select(F.col("conv_id").alias("thread"), F.col("turn").alias("node"), F.lit(None).cast("long").alias("parent"), F.col("turn").alias("ord"), F.col("role").alias("author"), "text")
+    stories = c.select(F.col("conv_id").alias("thread")).distinct().select("thread", F.concat(F.lit("conversation "), F.col("thread").cast("string")).alias("title"), F.lit("").alias("text"))
+    return threads.contexts(stories, threads.walk(nodes))
+
+
+@query("""SELECT lang, (SELECT count(*) FROM (SELECT source FROM documents x WHERE x.lang = d.lang AND doc_id % 2 = 0 INTERSECT SELECT source FROM documents x WHERE x.lang = d.lang AND doc_id % 2 = 1)) AS both,
+  (SELECT count(*) FROM (SELECT source FROM documents x WHERE x.lang = d.lang AND doc_id % 2 = 0 EXCEPT SELECT source FROM documents x WHERE x.lang = d.lang AND doc_id % 2 = 1)) AS even_only
+FROM (SELECT DISTINCT lang FROM documents) d""")
+def set_operations(spark, d):
+    i = F.col("doc_id") % 2
+    s = S.load(spark, d, "documents").groupBy("lang").agg(F.collect_set(F.when(i == 0, F.col("source"))).alias("a"), F.collect_set(F.when(i == 1, F.col("source"))).alias("b"))
+    return s.select("lang", F.size(F.array_intersect("a", "b")).cast("long").alias("both"), F.size(F.array_except("a", "b")).cast("long").alias("even_only"))
+
+
+@query(r"""SELECT CAST(event_id AS VARCHAR) AS source_id, CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS created_at_i, 'https://x.example/' || CAST(event_id AS VARCHAR) AS url, event_type || ' & more' AS raw_text,
+  'u' || CAST(user_id AS VARCHAR) AS thread_id, '{"points":"' || CAST(json_extract(props, '$.k') AS VARCHAR) || '"}' AS metadata
+FROM events WHERE event_type <> 'view' AND epoch(date_trunc('second', ts)) >= epoch(TIMESTAMP '2024-01-10 00:00:00')""")
+def json_hits(spark, d):
+    """Landed JSON pages to items: hits, text fields, ids, timestamps, thread, metadata and the window."""
+    import datetime as dt
+
+    from signalmill.sources import apis
+
+    e = S.load(spark, d, "events")
+    hit = F.struct(
+        F.col("event_id").alias("objectID"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("at"), F.when(F.col("event_type") != "view", F.concat(F.lit("<b>"), "event_type", F.lit("</b> &amp; more"))).alias("body"),
+        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("thread"), F.get_json_object("props", "$.k").alias("points"),
+    )
+    pages = e.groupBy((F.col("event_id") % 64).alias("page")).agg(F.to_json(F.struct(F.collect_list(hit).alias("hits"))).alias("body"))
+    config = {"text_fields": ["title", "body"], "clean_html": True, "timestamp_field": "at", "timestamp_is_iso": True, "url_template": "https://x.example/{objectID}", "thread_id_field": "thread", "metadata_fields": ["points"]}
+    since = int(dt.datetime(2024, 1, 10, tzinfo=dt.UTC).timestamp())
+    return apis.items_of(pages, "s", config, since).select("source_id", "created_at_i", "url", "raw_text", "thread_id", "metadata")
+
+
+_FEED_SQL = """SELECT 'guid-' || CAST(page_id AS VARCHAR) AS source_id, 'Title ' || CAST(page_id AS VARCHAR) || chr(10) || chr(10) || 'about ' || url AS raw_text, url AS url, CAST(1704067200 + page_id * 60 AS BIGINT) AS created_at_i FROM pages"""
+
+
+@query(_FEED_SQL)
+def feed_entries(spark, d):
+    """Atom and RSS feeds of the pages, half each, to items."""
+    from signalmill.sources import feeds
+
+    x = F.replace(F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    i = F.col("page_id").cast("string")
+    at = F.timestamp_seconds(F.lit(1704067200) + F.col("page_id") * 60)
+    atom = F.concat(F.lit("<entry><id>guid-"), i, F.lit("</id><title>Title "), i, F.lit("</title><content>about "), x, F.lit('</content><link rel="self" href="http://no.example"/><link href="'), x, F.lit('"/><updated>'), F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("</updated></entry>"))
+    rss = F.concat(F.lit("<item><guid>guid-"), i, F.lit("</guid><title>Title "), i, F.lit("</title><description>about "), x, F.lit("</description><link>"), x, F.lit("</link><pubDate>"), F.date_format(at, "EEE, d MMM yyyy HH:mm:ss"), F.lit(" +0000</pubDate></item>"))
+    p = S.load(spark, d, "pages").withColumn("even", F.col("page_id") % 2 == 0).withColumn("e", F.when(F.col("even"), atom).otherwise(rss))
+    body = F.when(F.col("even"), F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom">'), "b", F.lit("</feed>"))).otherwise(F.concat(F.lit('<rss version="2.0"><channel>'), "b", F.lit("</channel></rss>")))
+    bodies = p.groupBy("even", (F.col("page_id") % 32).alias("feed")).agg(F.array_join(F.collect_list("e"), "").alias("b")).select(F.col("feed").cast("string").alias("feed"), body.alias("body"))
+    items = feeds.map_entries(feeds.feed_fields(bodies), "feeds", {"clean_html": True, "text_fields": ["title", "summary"]})
+    return items.select("source_id", "raw_text", "url", "created_at_i")
+
+
+@query()
+def split_units(spark, d):
+    """Whole documents, given headings, through the mail splitter; goldens in the tests."""
+    from signalmill.sources.layouts import register
+
+    register(spark)
+    body = F.concat(F.lit("# "), "source", F.lit("\n"), F.col("text"))
+    S.load(spark, d, "documents").select("doc_id", body.alias("body")).createOrReplaceTempView("_signalmill_bodies")
+    return spark.sql("SELECT b.doc_id, u.pos, u.title, length(u.text) AS n, u.story FROM _signalmill_bodies b, LATERAL split_email(b.body, 4000, 400) u")
+
+
+@query()
+def strict_findings(spark, d):
+    """Model answers of every flaw, validated; cases in the tests."""
+    i = F.col("doc_id") % 5
+    good = F.to_json(F.array(F.struct(*[F.lit("x").alias(k) for k in jsons.FINDING_KEYS[:-1]], F.lit(0.5).alias("confidence"))))
+    raw = F.when(i == 0, good).when(i == 1, F.concat(good, F.lit(" trailing"))).when(i == 2, F.lit("[]")).when(i == 3, F.lit("{}")).otherwise(F.replace(good, F.lit("0.5"), F.lit("1.5")))
+    out = S.load(spark, d, "documents").select("doc_id", jsons.validate_findings(raw).alias("v"))
+    return out.select("doc_id", F.when(F.col("v.findings").isNull(), -1).otherwise(F.size("v.findings")).alias("n"), F.coalesce("v.error", F.lit("")).alias("error"))

@@ -1,0 +1,15 @@
+"""The session the engine expects: UTC, ANSI and adaptive execution on."""
+
+from __future__ import annotations
+
+from pyspark.sql import SparkSession
+
+
+def get_session(app: str = "signalmill", master: str | None = None, **conf: str) -> SparkSession:
+    """A session with UTC timestamps; ``conf`` keys use double underscores for dots."""
+    builder = SparkSession.builder.appName(app).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true")
+    if master:
+        builder = builder.master(master)
+    for key, value in conf.items():
+        builder = builder.config(key.replace("__", "."), value)
+    return builder.getOrCreate()
