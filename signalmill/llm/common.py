@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL_ROOT: list[str] = []
+BATCH_ROWS = 2_000
 
 #: Maps A-Z to a-z and every other byte to itself.
 ASCII_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -38,7 +39,13 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # Rows are texts of any length, so Arrow batches are kept short while the table is made.
+    rows = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(min(int(rows), BATCH_ROWS) if int(rows) > 0 else BATCH_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -95,6 +102,19 @@ def components(edges: DataFrame, tag: str, max_rounds: int = 64) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system; a reused worker would keep it beside its executor's next stages."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        return
+
+
 def worker_cache(name: str) -> dict:
     """A dict that lives as long as the Python process does, so that reused workers keep what is costly to build."""
     import sys
