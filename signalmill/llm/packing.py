@@ -21,12 +21,12 @@ packed each; other columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
-import re
 import unicodedata
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,8 +37,10 @@ END_ID = 1
 # Fixed value: how the tokenizer cuts normalised text.
 _CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-_BEYOND_LATIN = re.compile("[^\x00-\u024f]|\u0130").search
-_WORD_END = re.compile(r"(?<=[a-z])([.,])(?=[ \n])").sub
+#: Texts with characters beyond extended Latin (below, all are composed already), with a dotted capital I, or with what
+#: may be a special token.
+_ODD = r"[^\x{0}-\x{24f}]|\x{130}|<\|"
+_BYTES = 8_000_000
 
 
 def default_tokenizer() -> str:
@@ -55,13 +57,17 @@ class Encoder:
     to cut alike (anything but printable Latin, or special tokens' strings) goes to the tokenizer itself.
     """
 
-    LIMIT = 600_000
+    LIMIT = 1_200_000
 
     def __init__(self, path: str):
         import regex
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # For pieces, which are normalised and cut already: the same model without those steps.
+        self.model = Tokenizer.from_file(path)
+        self.model.normalizer = None
+        self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, i in vocabulary.items():
@@ -74,7 +80,7 @@ class Encoder:
 
     def _learn_pieces(self, new: list[str]) -> None:
         """Encode pieces together, one apart from the next by a space; each ends with its only end-of-word token."""
-        ids = np.array(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, "<u4")
+        ids = np.array(self.model.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
         stops = np.flatnonzero(self.ends[ids]) + 1
         if len(stops) == len(new):
             raw, at = ids.tobytes(), 0
@@ -84,8 +90,8 @@ class Encoder:
         else:
             self.known.update((piece, self._whole(piece)) for piece in new)
 
-    def _learn(self, parts: set[str]) -> None:
-        if len(self.known) > self.LIMIT:
+    def _learn(self, parts: set[str], keep_all: bool = False) -> None:
+        if len(self.known) > self.LIMIT and not keep_all:
             self.known = {"": b""}
         known, cuts = self.known, {}
         for p in parts:
@@ -102,20 +108,45 @@ class Encoder:
                 known[p] = b"".join([known[c] for c in cut])
 
     def encode(self, text: str) -> bytes:
-        if (text.isascii() or not _BEYOND_LATIN(text) and unicodedata.is_normalized("NFC", text)) and "<|" not in text:
-            # Lower case and a space before a lone mark at a word's end change no ids and make parts recur.
-            text = _WORD_END(r" \1", text.lower())
-        parts, known = text.replace("\n", " ").split(" "), self.known
-        try:
-            return b"".join([known[p] for p in parts])
-        except KeyError:
-            out = []
-            for k in range(0, len(parts), 100_000):
-                some = parts[k : k + 100_000]
-                self._learn({p for p in some if p not in self.known})
-                known = self.known  # emptied if it was full: what is gone is encoded again
-                out += [known[p] if p in known else self._whole(p) for p in some]
-            return b"".join(out)
+        """The ids of one text."""
+        parts = text.replace("\n", " ").split(" ")
+        missing = {p for p in parts if p not in self.known}
+        if missing:
+            self._learn(missing)
+        known = self.known  # emptied if it was full: what is gone is encoded again
+        return b"".join([known[p] if p in known else self._whole(p) for p in parts])
+
+    def encode_many(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text; null is empty. Plain Latin texts are cut, and their parts told apart, all at once."""
+        texts = pc.fill_null(texts, "")
+        odd = np.flatnonzero(pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False))
+        # Lower case and a space before a lone mark at a word's end change no ids and make parts recur.
+        plain = pc.replace_substring_regex(pc.utf8_lower(texts), r"([a-z])([.,])([ \n])", r"\1 \2\3")
+        if len(odd):
+            keep = np.ones(len(texts), bool)
+            keep[odd] = False
+            plain = pc.if_else(pa.array(keep), plain, "")
+        cut = pc.split_pattern(pc.replace_substring(plain, "\n", " "), " ")
+        words = cut.flatten().dictionary_encode()
+        distinct = words.dictionary.to_pylist()
+        missing = [p for p in distinct if p not in self.known]
+        if len(self.known) + len(missing) > self.LIMIT:
+            self.known, missing = {"": b""}, distinct
+        if missing:
+            self._learn({p for p in missing if p not in self.known}, keep_all=True)
+        ids = [self.known[p] for p in distinct]
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        first = np.concatenate([[0], np.cumsum(sizes)])[:-1]
+        index = words.indices.to_numpy(zero_copy_only=False)
+        taken = sizes[index]
+        ends = np.concatenate([[0], np.cumsum(taken)])
+        raw = flat[np.repeat(first[index] - ends[:-1], taken) + np.arange(ends[-1])].tobytes()
+        at = (ends[cut.offsets.to_numpy() - cut.offsets[0].as_py()] * 4).tolist()
+        out = [raw[a:b] for a, b in zip(at, at[1:])]
+        for i in odd.tolist():
+            out[i] = self.encode(texts[i].as_py())
+        return out
 
 
 def encoder(path: str) -> Encoder:
@@ -126,6 +157,16 @@ def encoder(path: str) -> Encoder:
     return cache[path]
 
 
+def _encoded(enc: Encoder, texts: pa.Array):
+    """The ids of a batch's texts, by parts of about ``_BYTES`` so that intermediate arrays stay small."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    a = 0
+    while a < len(texts):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + _BYTES, side="right")))
+        yield from enc.encode_many(texts.slice(a, b - a))
+        a = b
+
+
 def tokenised(docs: DataFrame, path: str, size: int = SIZE) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32 and salt, a number that deals equal lengths evenly."""
 
@@ -134,8 +175,8 @@ def tokenised(docs: DataFrame, path: str, size: int = SIZE) -> DataFrame:
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             ids, pieces, starts, lengths, crcs, salts = [], [], [], [], [], []
-            for doc_id, text in zip(batch.column(0), batch.column(1)):
-                raw, doc_id = enc.encode(text.as_py() or "") + end, doc_id.as_py()
+            for doc_id, raw in zip(batch.column(0).to_pylist(), _encoded(enc, batch.column(1))):
+                raw += end
                 for k, a in enumerate(range(0, len(raw), 4 * size)):
                     part = raw[a : a + 4 * size]
                     crc = zlib.crc32(part)

@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -25,12 +26,15 @@ def test_shortcut_equals_the_tokenizer(text):
     enc = P.encoder(P.default_tokenizer())
     for _ in range(2):
         assert enc.encode(text) == enc._whole(text)
+        assert enc.encode_many(pa.array(["x", text, None, "y. z"])) == [enc._whole(t) for t in ("x", text, "", "y. z")]
 
 
 def test_full_caches_change_nothing(enc):
     enc.LIMIT = 3
     text = "one two three. Four, five six seven " * 3
-    assert enc.encode(text) == enc._whole(text)
+    for other in (text, "eight nine ten", text.upper()):
+        assert enc.encode(other) == enc._whole(other)
+        assert enc.encode_many(pa.array([other])) == [enc._whole(other)]
 
 
 def check_plan(plan, counts, size):
