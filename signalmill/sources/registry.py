@@ -104,17 +104,8 @@ def add_missing(sources: DataFrame, seeds: DataFrame) -> DataFrame:
 
 def set_config(sources: DataFrame, name: str, key: str, value) -> DataFrame:
     """The registry with one configuration key of one source replaced."""
-    from pyspark.sql.types import MapType, StringType
-
-    parsed = F.from_json("config_json", MapType(StringType(), StringType()))
-    variant = F.to_json(F.parse_json("config_json"))
-    text = json.dumps(value)
-    # Other keys keep their JSON: the object is rebuilt from its text without the key's old value.
-    quoted = re.escape(json.dumps(key))
-    bare = F.regexp_replace(variant, quoted + r'\s*:\s*(\[[^\]]*\]|"(?:[^"\\]|\\.)*"|[^,}\]]+),?', "")
-    bare = F.regexp_replace(bare, r",\s*}$", "}")
-    empty = F.size(F.map_filter(parsed, lambda k, _: k != key)) == 0
-    new = F.when(empty, F.lit(json.dumps({key: value}))).otherwise(F.concat(F.regexp_replace(bare, "}$", ""), F.lit(f", {json.dumps(key)}: {text}}}")))
+    rest = F.map_filter(F.from_json("config_json", "map<string,variant>"), lambda k, _: k != key)
+    new = F.to_json(F.map_concat(rest, F.create_map(F.lit(key), F.parse_json(F.lit(json.dumps(value))))))
     return sources.withColumn("config_json", F.when(F.col("name") == name, new).otherwise(F.col("config_json")))
 
 

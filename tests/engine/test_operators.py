@@ -221,3 +221,46 @@ def test_model_contracts():
     assert models.judge_one("t", lambda p: next(answers)) == ([], None, 2)
     assert models.ask_same(lambda a, b: '{"same": true}')("a", "b") is True and models.ask_same(lambda a, b: "?")("a", "b") is False
     assert models.missing_models({"a", "b"}, {"b"}) == ["a"]
+
+
+def test_actions_and_reset(spark):
+    c = spark.createDataFrame([(1, "pain", ["a"], None, 4, None, False, False, None), (2, "read", None, None, None, None, False, False, None)], "id long, kind string, sources_seen array<string>, days_seen array<date>, mention_count int, last_seen timestamp, muted boolean, pinned boolean, pinned_mention_count int")
+    assert {r.id: r.muted for r in tables.mute(c, 1).collect()} == {1: True, 2: False}
+    assert {r.id: (r.pinned, r.pinned_mention_count) for r in tables.pin(c, 2).collect()} == {1: (False, None), 2: (True, 0)}
+    row = tables.feedback_rows(c, 1, "watch", NOW).first()
+    assert row.features_json == '{"n_sources":1,"n_days":0,"mention_count":4,"recent":false,"kind":"pain"}' and row.score_version == "v1-recurrence"
+    s = spark.createDataFrame([("a", None), ("b", None)], "name string, last_successful_fetch_at timestamp")
+    got = tables.reset({"sources": s, "clusters": c}, ["a"], NOW)
+    assert got["clusters"].count() == 0 and [(r.name, str(r.last_successful_fetch_at)) for r in got["sources"].collect()] == [("a", "2024-01-30 18:00:00")]
+    adv = tables.advance_watermarks(s, s.where("name = 'b'").select("name", NOW.alias("started_at")))
+    assert {r.name: str(r.last_successful_fetch_at) for r in adv.collect()} == {"a": "None", "b": "2024-01-31 00:00:00"}
+    errors = spark.createDataFrame([("b", "x"), ("a", "y")], "source string, error string")
+    run = tables.run_row(3, NOW, None, s, c, errors).first()
+    assert (run.id, run.items_fetched, run.findings_created, run.errors, run.finished_at) == (3, 2, 2, ["a: y", "b: x"], None)
+
+
+def test_cards_reports_and_prompts(spark):
+    x = spark.createDataFrame([(7, "pain", "S", "why", "", 3, 2, 1), (8, "odd", "T", None, "q", 1, 1, 0)], "id long, kind string, statement string, why string, quote string, mention_count int, n_sources int, new_this_week int")
+    assert [r.c for r in x.select(rendering.card().alias("c")).collect()] == ["🔴 S\n   why\n   3 mentions · 2 sources · 1 new this week  ·  #7", '• T\n   "q"\n   1 mentions · 1 sources · 0 new this week  ·  #8']
+    f = spark.createDataFrame([(1, 1, "k", "s1", None, "", "q", 0.5), (2, None, None, "s2", "w", "d", None, None), (3, 1, "k", "s3", None, None, None, 0.9)], "id long, item_id long, kind string, statement string, why_it_matters string, domain string, evidence_quote string, confidence double")
+    i = spark.createDataFrame([(1, "")], "id long, url string")
+    rows = rendering.report_rows(f, i)
+    assert sorted((r.kind_rank, r.place, r.id, r.kind, r.url) for r in rows.collect()) == [(1, 1, 3, "k", "(no url)"), (1, 2, 1, "k", "(no url)"), (2, 1, 2, "unknown", "(no url)")]
+    text = "\n".join(r.text for r in rendering.report_lines(rows).orderBy("kind_rank", "place").collect())
+    assert "_3 findings across 2 kinds_" in text and "**Why it matters:** w" in text and "[source]((no url)) · d" in text and "confidence 0.90" in text
+    m = spark.createDataFrame([('{"points": 5, "num_comments": 2}',), ("{}",), (None,)], "m string")
+    lines = [r.x for r in m.select(rendering.engagement_line(F.col("m")).alias("x")).collect()]
+    assert lines[0].startswith("[Engagement: 5 points, 2 comments;") and lines[1] == "" and not lines[2]
+    deep = spark.range(1).select(rendering.deep_read_input(F.lit("T"), F.lit(" ctx "), F.lit(None).cast("string"), F.lit("bad")).alias("x")).first().x
+    assert deep.endswith("[The item:]\nT\n\n[The last answer was refused: bad]") and "\nctx\n" in deep
+    lead = spark.createDataFrame([(2, "b"), (1, "a")], "id int, line string")
+    assert briefing.block(lead, "line", "id", "(none)").first().text == "a\nb" and briefing.block(lead.limit(0), "line", "id", "(none)").first().text == "(none)"
+    assert spark.range(1).select(briefing.synthesis_input(F.lit(""), F.lit(None).cast("string")).alias("x")).first().x == "Findings of the night:\n(none tonight)\n\nRecurring so far:\n(none yet)"
+
+
+def test_dispatches(spark):
+    log = spark.createDataFrame([(i, i, a, m, False) for i, a, m in ((1, 1, 1), (2, 3, 1), (3, 1, 1), (4, 1, 1), (5, 1, 11), (6, 1, 0))], "id long, request_id long, attempt int, age int, checked boolean")
+    log = log.withColumn("created_at", NOW - F.make_dt_interval(mins=F.col("age")))
+    got = spark.createDataFrame([(1, 204, None, ""), (2, 401, None, "denied"), (3, None, "timeout", None)], "id long, status_code int, error_msg string, content string")
+    out = {r.id: (r.action, r.note, r.alert) for r in counts.dispatch_reconcile(log, got, NOW).collect()}
+    assert out == {1: ("accepted", "", None), 2: ("alert", "denied", "dispatch failed after 3 attempts: HTTP 401 - denied"), 3: ("retry", "timeout", None), 4: ("wait", None, None), 5: ("lost", "no response row found", None)}
