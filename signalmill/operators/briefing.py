@@ -55,15 +55,15 @@ def synthesis_input(findings_text: Column, shortlist_text: Column) -> Column:
 def select_for_prompt(findings: DataFrame, n: int, share: float = 1.0) -> DataFrame:
     """At most ``n`` findings: the most confident, then newest, then lowest id; a source's quota first, then the rest.
 
-    ``n`` <= 0 keeps all. Sources get their rank in a window of their own; the cut is a sort with a limit, so only ``n``
-    rows a task go on. The global rank orders quota and refill alike, so it need not be computed.
+    ``n`` <= 0 keeps all. The global rank orders quota and refill alike, so it need not be computed.
     """
     if n <= 0:
         return findings
     best = [F.coalesce("confidence", F.lit(0.0)).desc(), F.coalesce(F.col("created_at").cast("string"), F.lit("")).desc(), F.col("id")]
     in_source = F.row_number().over(Window.partitionBy("source").orderBy(*best))
-    over = in_source > per_source_quota(n, share)
-    return findings.withColumn("_over", over).orderBy("_over", *best).limit(n).drop("_over")
+    # No source can place more than ``n``, so each task passes on its n best of a source at most.
+    few = findings.withColumn("_sr", in_source).where(F.col("_sr") <= n)
+    return few.withColumn("_over", F.col("_sr") > per_source_quota(n, share)).orderBy("_over", *best).limit(n).drop("_sr", "_over")
 
 
 def section_rank(section: Column) -> Column:

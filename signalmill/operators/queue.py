@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from signalmill.functions.scoring import cap_for_thread
 from signalmill.functions.text import thread_key
 from signalmill.functions.times import ago
-from signalmill.operators.tables import set_where
+from signalmill.operators.tables import rank_in_order, set_where
 
 # An item is stuck after an hour, dies after three attempts; five per source and cycle; two findings a thread.
 STUCK_SECONDS, MAX_ATTEMPTS, PER_SOURCE, PER_THREAD, MAX_ERRORS = 3600, 3, 5, 2, 3
@@ -60,10 +60,10 @@ def after_model_error(items: DataFrame, ids: DataFrame, max_attempts: int = MAX_
 def fair_order(items: DataFrame, per_source: int = PER_SOURCE) -> DataFrame:
     """Ready items with their turn: cycles of ``per_source`` of each source, sources by name, items by id.
 
-    ``cycle`` and ``rn`` come from a window per source; the order over all is the caller's sort by (cycle, source, rn).
+    The order over all is the caller's sort by (cycle, source, rn). A source may hold most items, so its numbers are
+    counted in parts.
     """
-    rn = F.row_number().over(Window.partitionBy("source").orderBy("id"))
-    return items.where("state = 'ready'").withColumn("rn", rn).withColumn("cycle", F.floor((F.col("rn") - 1) / per_source))
+    return rank_in_order(items.where("state = 'ready'"), ["source"], [F.col("id")], "rn").withColumn("cycle", F.floor((F.col("rn") - 1) / per_source))
 
 
 def capped_findings(findings: DataFrame, order: list[str], cap: int = PER_THREAD, qualify_source: bool = False) -> DataFrame:

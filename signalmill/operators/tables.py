@@ -22,19 +22,32 @@ def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFra
     return existing.join(incoming.select(*keys), keys, "left_anti").unionByName(incoming, allowMissingColumns=True)
 
 
-def with_ids(existing: DataFrame, incoming: DataFrame, order: list, column: str = "id") -> DataFrame:
-    """Incoming rows with ids that follow the largest existing one in ``order``; ids order the queue, so they are dense.
+def rank_in_order(df: DataFrame, by: list[str], order: list[Column], out: str, parts: int = 64) -> DataFrame:
+    """``df`` with the row's number from 1 inside its ``by`` group in ascending ``order``, also where a group is hot.
 
-    Rows are numbered inside range partitions and shifted by what lies before, so no single task numbers them all.
+    A sample of ``parts`` rows gives edges; rows are dealt by group and the number of edges below them, numbered there,
+    and shifted by what the parts before hold. The edges are literals, so every use of the plan deals alike.
     """
-    names = incoming.columns
-    spread = incoming.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    inside = spread.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
-    sizes = inside.groupBy("_p").agg(F.count(F.lit(1)).alias("_size"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_size")
+    key = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
+    drawn = df.select(key.alias("k")).orderBy(F.xxhash64("k")).limit(parts - 1).collect()
+    types = [f.dataType for f in df.select(key.alias("k")).schema["k"].dataType]
+    edges = [F.struct(*[F.lit(v).cast(t).alias(f"o{i}") for i, (v, t) in enumerate(zip(r["k"], types))]) for r in drawn]
+    part = F.size(F.filter(F.array(*edges), lambda e: e <= key)) if edges else F.lit(0)
+    dealt = df.withColumn("_part", part)
+    inside = F.row_number().over(Window.partitionBy(*by, "_part").orderBy(*order))
+    sizes = dealt.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_size"))
+    before = F.coalesce(F.sum("_size").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifts = sizes.withColumn("_before", before).select(*by, "_part", "_before")
+    return dealt.withColumn("_n", inside).join(shifts, [*by, "_part"]).withColumn(out, F.col("_before") + F.col("_n")).select(*df.columns, out)
+
+
+def with_ids(existing: DataFrame, incoming: DataFrame, order: list[Column], column: str = "id") -> DataFrame:
+    """Incoming rows with ids that follow the largest existing one in ascending ``order``; ids order the queue, so they are dense."""
+    numbered = rank_in_order(incoming.drop(column).withColumn("_all", F.lit(0)), ["_all"], order, "_id")
     # A global aggregate is one row; the constant key joins it to every row.
-    top = existing.agg(F.coalesce(F.max(column), F.lit(0)).alias("_top")).withColumn("_one", F.lit(1))
-    return inside.join(F.broadcast(before), "_p").withColumn("_one", F.lit(1)).join(F.broadcast(top), "_one").select((F.col("_top") + F.col("_before") + F.col("_n")).cast("long").alias(column), *[c for c in names if c != column])
+    top = existing.agg(F.coalesce(F.max(column), F.lit(0)).alias("_top")).withColumn("_all", F.lit(0))
+    rest = [c for c in incoming.columns if c != column]
+    return numbered.join(F.broadcast(top), "_all").select((F.col("_top") + F.col("_id")).cast("long").alias(column), *rest)
 
 
 def set_where(df: DataFrame, condition: Column, **values) -> DataFrame:

@@ -337,7 +337,7 @@ def mark_done(spark, d):
 @query(f"""WITH {ITEMS}, r AS (SELECT id, source, row_number() OVER (PARTITION BY source ORDER BY id) AS rn FROM items WHERE state = 'ready')
 SELECT id, source, CAST(rn AS INTEGER) AS rn, CAST((rn - 1) // 5 AS BIGINT) AS cycle FROM r""")
 def fair_queue_order(spark, d):
-    return queue.fair_order(S.items(spark, d)).select("id", "source", "rn", F.col("cycle").cast("long").alias("cycle"))
+    return queue.fair_order(S.items(spark, d)).select("id", "source", F.col("rn").cast("int").alias("rn"), F.col("cycle").cast("long").alias("cycle"))
 
 
 @query(f"""WITH {ITEMS}, t AS (SELECT id, attempts, processing_at < TIMESTAMP '2024-01-30 23:00:00' AS old, CASE WHEN state = 'processing' AND attempts >= 3 AND processing_at < TIMESTAMP '2024-01-30 23:00:00' THEN 'failed' ELSE state END AS state FROM items),

@@ -86,7 +86,7 @@ def run(state: State, fetched: DataFrame, now: str, m: Models | None = None, p:
     items = state.write("items", items, v)
     known = state.read("clusters")
     folded = _staged(state, f"folded/v{v}", clusters.greedy(new, known, p.merge, p.low, m.same))
-    founded = tables.with_ids(known, clusters.new_clusters(folded, new, at), [F.desc("cluster_key")])
+    founded = tables.with_ids(known, clusters.new_clusters(folded, new, at), [-F.col("cluster_key")])
     key = founded.select("cluster_key", F.col("id").alias("_new"))
     named = folded.join(key, "cluster_key", "left").select("id", F.coalesce("_new", "cluster_key").alias("_cluster"))
     new = new.join(named, "id").withColumn("cluster_id", F.col("_cluster")).drop("_cluster")

@@ -169,8 +169,8 @@ def test_table_versions(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "id long, name string")
     new = spark.createDataFrame([("b", 1), ("c", 2), ("c", 1)], "name string, n int")
     assert sorted((r.name, r.n) for r in tables.insert_ignore(old, new, ["name"], ["n"]).collect()) == [("c", 1)]
-    assert sorted(r.id for r in tables.with_ids(old, new.repartition(3), ["name", "n"]).collect()) == [3, 4, 5]
-    got = tables.with_ids(old, new.repartition(3), ["name", "n"]).orderBy("id").collect()
+    assert sorted(r.id for r in tables.with_ids(old, new.repartition(3), [F.col("name"), F.col("n")]).collect()) == [3, 4, 5]
+    got = tables.with_ids(old, new.repartition(3), [F.col("name"), F.col("n")]).orderBy("id").collect()
     assert [(r.name, r.n) for r in got] == [("b", 1), ("c", 1), ("c", 2)]
     assert [r.id for r in tables.get(old, name="b").collect()] == [2] and tables.get(old, name="z").collect() == []
     i = spark.createDataFrame([(1, "ready", "x"), (2, "ready", "y")], "id long, state string, raw_text string")
@@ -264,3 +264,15 @@ def test_dispatches(spark):
     got = spark.createDataFrame([(1, 204, None, ""), (2, 401, None, "denied"), (3, None, "timeout", None)], "id long, status_code int, error_msg string, content string")
     out = {r.id: (r.action, r.note, r.alert) for r in counts.dispatch_reconcile(log, got, NOW).collect()}
     assert out == {1: ("accepted", "", None), 2: ("alert", "denied", "dispatch failed after 3 attempts: HTTP 401 - denied"), 3: ("retry", "timeout", None), 4: ("wait", None, None), 5: ("lost", "no response row found", None)}
+
+
+def test_ranks_of_a_hot_group_equal_a_sort(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice("aaaaab"), rng.choice([None, "x", "y", "é", ""]), i) for i in range(500)]
+    d = spark.createDataFrame(rows, "g string, s string, i long").repartition(5)
+    got = {r.i: r.n for r in tables.rank_in_order(d, ["g"], [F.col("s"), F.col("i")], "n", parts=8).collect()}
+    want = {}
+    for g in "ab":
+        for n, r in enumerate(sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is not None, r[1] or "", r[2])), 1):
+            want[r[2]] = n
+    assert got == want
