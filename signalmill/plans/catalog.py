@@ -227,7 +227,9 @@ def quote_containment(spark, d):
     t = S.load(spark, d, "documents").select("doc_id", norm("text").alias("t"))
     w = F.split("t", " ")
     # A passage may begin or end inside a word, so the words between are what is looked up.
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - 2)), lambda i: F.array_join(F.slice(w, i, 3), " ")))
+    m = F.greatest(F.lit(0), F.size(w) - 2)
+    two = lambda a, b: F.concat(a, F.lit(" "), b)
+    grams = F.array_distinct(F.zip_with(F.zip_with(F.slice(w, F.lit(1), m), F.slice(w, F.lit(2), m), two), F.slice(w, F.lit(3), m), two))
     inner = full.withColumn("lead", F.array_join(F.slice(F.split("q", " "), 2, 3), " "))
     near = t.select("doc_id", "t", F.explode(grams).alias("lead")).join(inner, "lead").where(F.contains("t", "q")).select("doc_id", "item_id")
     # Passages of fewer than five words have no inner words to look up; they are compared one by one with each text.
