@@ -66,6 +66,7 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict[
         for batch in batches:
             got = step(batch)
             yield pa.RecordBatch.from_arrays([pa.array(got[f.name], type=f.type) for f in out], schema=out)
+        release_memory()
 
     return df.mapInArrow(run, schema)
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
-from .common import utf8
+from .common import release_memory, utf8
 
 #: A-Z to a-z, other ASCII that is no digit or lower-case letter to a space, the bytes of other characters kept.
 _WORDS = bytes(
@@ -140,6 +140,7 @@ def _pass(df: DataFrame, block: DataFrame | None, window: int, keep: list[str] |
             else:
                 own = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(found, pa.list_(pa.string())), pa.array(where, pa.string())]
                 yield pa.RecordBatch.from_arrays([batch.column(at[c]) for c in keep] + own, names=schema.names)
+        release_memory()
 
     return df.mapInArrow(run, schema)
 
@@ -155,6 +156,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_by
             for batch in batches:
                 clean = [auto is None or not _scan(auto, words(x.as_py()))[0] for x in batch.column(at)]
                 yield batch.filter(pa.array(clean, pa.bool_()))
+            release_memory()
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, worker_cache
+from .common import materialize, release_memory, worker_cache
 
 SIZE = 4096
 END_ID = 1
@@ -40,7 +40,7 @@ _CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Texts with characters beyond extended Latin (below, all are composed already), with a dotted capital I, or with what
 #: may be a special token.
 _ODD = r"[^\x{0}-\x{24f}]|\x{130}|<\|"
-_BYTES = 8_000_000
+_BYTES = 2_000_000
 
 
 def default_tokenizer() -> str:
@@ -57,18 +57,18 @@ class Encoder:
     to cut alike (anything but printable Latin, or special tokens' strings) goes to the tokenizer itself.
     """
 
-    LIMIT = 1_200_000
+    LIMIT = 700_000
 
     def __init__(self, path: str):
         import regex
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
-        # For pieces, which are normalised and cut already: the same model without those steps.
+        self.path, self.tokenizer = path, None
+        # For pieces, which are normalised and cut already: the model without those steps.
         self.model = Tokenizer.from_file(path)
         self.model.normalizer = None
         self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        vocabulary = self.tokenizer.get_vocab()
+        vocabulary = self.model.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, i in vocabulary.items():
             self.ends[i] = token.endswith("</w>")
@@ -76,6 +76,11 @@ class Encoder:
         self.known: dict[str, bytes] = {"": b""}
 
     def _whole(self, text: str) -> bytes:
+        """The ids by the tokenizer itself."""
+        if self.tokenizer is None:
+            from tokenizers import Tokenizer
+
+            self.tokenizer = Tokenizer.from_file(self.path)
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn_pieces(self, new: list[str]) -> None:
@@ -141,7 +146,7 @@ class Encoder:
         index = words.indices.to_numpy(zero_copy_only=False)
         taken = sizes[index]
         ends = np.concatenate([[0], np.cumsum(taken)])
-        raw = flat[np.repeat(first[index] - ends[:-1], taken) + np.arange(ends[-1])].tobytes()
+        raw = flat[np.repeat((first[index] - ends[:-1]).astype(np.int32), taken) + np.arange(ends[-1], dtype=np.int32)].tobytes()
         at = (ends[cut.offsets.to_numpy() - cut.offsets[0].as_py()] * 4).tolist()
         out = [raw[a:b] for a, b in zip(at, at[1:])]
         for i in odd.tolist():
@@ -188,6 +193,7 @@ def tokenised(docs: DataFrame, path: str, size: int = SIZE) -> DataFrame:
                 [pa.array(x, t) for x, t in zip((ids, pieces, starts, lengths, crcs, salts), kinds)],
                 names=["doc_id", "piece", "start", "length", "ids_crc32", "salt"],
             )
+        release_memory()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, salt int")
 

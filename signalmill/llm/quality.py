@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, utf8
+from .common import materialize, release_memory, utf8
 
 _CLASS = np.zeros((256, 16), np.float64)
 #: Byte classes in order: lower, upper, digit, space, line feed, other control, UTF-8 lead, then the marks below, other marks.
@@ -190,6 +190,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **fitti
         for batch in batches:
             got = model.score(np.array([statistics(x.as_py()) for x in batch.column(1)]).reshape(-1, N_STATS))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.float64())], names=["doc_id", "score"])
+        release_memory()
 
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
@@ -204,5 +205,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **fitt
         for batch in batches:
             got = model.score(np.array([statistics(x.as_py()) for x in batch.column(at)]).reshape(-1, N_STATS))
             yield batch.filter(pa.array(got >= threshold))
+        release_memory()
 
     return docs.mapInArrow(run, docs.schema)
