@@ -40,7 +40,7 @@ _CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Texts with characters beyond extended Latin (below, all are composed already), with a dotted capital I, or with what
 #: may be a special token.
 _ODD = r"[^\x{0}-\x{24f}]|\x{130}|<\|"
-_BYTES = 2_000_000
+_BYTES = 5_000_000
 
 
 def default_tokenizer() -> str:
