@@ -10,7 +10,8 @@ Scale: two narrow passes over the texts. The sample is one value for each of ``s
 aggregate with map-side combine, so it is bounded, uniform over distinct values and the same for any partitioning.
 
 Defined results: null or empty text has no spans; repeated rows each give a row; a kind with fewer than ``least``
-sampled values has no automaton; other columns are ignored.
+sampled values has no automaton; values over ``LONGEST`` characters are base spans but do not train; candidates of every
+length are scored; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,8 +35,10 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 LEAST_VALUE, LEAST_ACCESS = 8, 16
 
 _RUN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{12,}")
-#: Longest value that trains an automaton, and longest candidate scored with it (formats are short; longer runs match none).
+#: Candidates have the alphabet and least length of assigned values and any length; a part holds no separator.
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{8,}")
+_PART = re.compile(r"[A-Za-z0-9+/_-]{8,}")
+#: Longest value in the labelled sample that trains an automaton, so that the driver's prefix tree is bounded.
 LONGEST = 256
 
 
@@ -53,15 +56,32 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 
 
 def candidates(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Maximal credential-like runs with a digit or of one case throughout, that overlap no base span."""
+    """Maximal credential-like runs that overlap no base span, and the parts without separators of the others that do not."""
     out = []
+    free = lambda a, b: not any(a < y and x < b for x, y in taken)
     for m in _CANDIDATE.finditer(text):
         a, b = m.span()
-        if b - a <= LONGEST and not any(a < y and x < b for x, y in taken):
+        if free(a, b):
             out.append((a, b))
+        else:
+            out += [p.span() for p in _PART.finditer(text, a, b) if free(*p.span())]
     return out
 
 
+def learned_spans(text: str, a: int, b: int, grammar: Grammar) -> list[tuple[int, int, str]]:
+    """(start, end, kind) within a candidate: the whole run, without separators around it, what follows its last inner
+    "=", or each of its parts without separators, whichever first has a learned format."""
+    tried = set()
+    run = text[a:b]
+    x, y = b - len(run.lstrip(".=")), a + len(run.rstrip(".="))
+    for span in ((a, b), (x, b), (a, y), (x, y), (text.rfind("=", a, y) + 1 or a, b), (text.rfind("=", a, y) + 1 or a, y)):
+        if span not in tried and span[1] - span[0] >= LEAST_VALUE and (kind := grammar.kind(text[slice(*span)])):
+            return [(*span, kind)]
+        tried.add(span)
+    parts = [m.span() for m in _PART.finditer(text, a, b)]
+    return [(*p, kind) for p in parts if p not in tried and (kind := grammar.kind(text[slice(*p)]))]
+
+
 _HEXES, _UPPER, _LOWER = set("0123456789abcdef"), set("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"), set("0123456789abcdefghijklmnopqrstuvwxyz")
 
 
@@ -233,8 +253,8 @@ def all_spans(text: str, grammar: Grammar) -> tuple[list[tuple[int, int, int, st
     base = base_spans(text)
     out = [(s, k, e, KINDS[k]) for s, k, e, _ in base]
     for a, b in candidates(text, [(s, e) for s, _, e, _ in base]):
-        if kind := grammar.kind(text[a:b]):
-            out.append((a, len(KINDS) + KINDS.index(kind), b, "learned_" + kind))
+        for x, y, kind in learned_spans(text, a, b, grammar):
+            out.append((x, len(KINDS) + KINDS.index(kind), y, "learned_" + kind))
     return base, [(s, e, name) for s, _, e, name in sorted(out)]
 
 

@@ -72,3 +72,26 @@ def test_redaction_keeps_rows_and_columns(spark):
     d = spark.createDataFrame([(1, "a token=abcdefgh12 b", 20), (2, None, 0), (3, "clean", 5)], "doc_id long, text string, n_chars long")
     got = {r.doc_id: (r.text, r.n_chars) for r in S.redact(d).collect()}
     assert got == {1: ("a [secret] b", 12), 2: (None, 0), 3: ("clean", 5)}
+
+
+def test_candidates_of_every_length_and_of_the_values_alphabet_are_scored(spark):
+    values = ["Q-" * n for n in range(4, 60)]
+    long = S.Grammar({"assign": values}, ["ordinarywords"] * 50)
+    assert long.automata["assign"].bits(value := "Q-" * 150) is not None and len(value) > 256, "states that loop take any length"
+    assert S.all_spans(f"x {value} y", long)[1] == [(2, 302, "learned_assign")]
+    dotted = [f"{h[:6]}Q.{h[6:12]}Q.{h[12:18]}Q=" for h in (hashlib.sha1(str(i).encode()).hexdigest() for i in range(60))]
+    short = ["zq7" + hashlib.md5(str(i).encode()).hexdigest()[:8] for i in range(60)]
+    for formats in (dotted, short):
+        rows = [(i, f"words token={v} and others that are ordinary") for i, v in enumerate(formats[:50])] + [(100, f"bare {formats[55]} here")]
+        d = spark.createDataFrame(rows, "doc_id long, text string")
+        got = {r.doc_id: r.spans for r in S.find_secrets(d).collect()}
+        assert got[100] == f"learned_assign:5:{5 + len(formats[55])}"
+        assert {r.doc_id: r.text for r in S.redact(d).collect()}[100] == "bare [secret] here"
+
+
+def test_a_format_is_found_before_a_full_stop_and_after_a_name():
+    hexes = [hashlib.sha1(str(i).encode()).hexdigest()[:18] for i in range(60)]
+    g = S.Grammar({"assign": hexes}, ["ordinarywords"] * 50)
+    v = hexes[7]
+    for before, after in (("", "."), ("key=", ""), ("key=", "."), ("", "=words"), ("AKIA" + "B" * 16 + "=", "")):
+        assert (len(before), len(before + v), "learned_assign") in S.all_spans(before + v + after, g)[1]
