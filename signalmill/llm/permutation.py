@@ -8,7 +8,7 @@ products are reduced to angles by one extra coordinate sqrt(M^2 - |x|^2), M the
 
 Scale: vectors stay where they are read; a task indexes at most ``shard_rows`` of them at a time, every row is
 indexed. Queries are a stated set (ids divisible by ``every``), gathered and broadcast in blocks of about
-``block_rows``; each block gives a shard's ``k`` best per query, and the best of all shards are merged per query.
+``block_rows``; each block gives a shard's ``k`` best ids per query, and the best of all shards are merged per query.
 Identical vectors of a shard are one entry with a list of ids, so copies do not crowd out the candidates.
 
 Defined results: vectors that are null, empty, zero or hold a null or non-finite component take no part, nor do rows without
@@ -66,16 +66,27 @@ class Shard:
         """The query's ``k`` best (id, score) among the vectors with the least footrule distances."""
         n = len(self.x)
         keep = min(n, max(least, k + 1, int(np.ceil(share * n))))
-        some = np.arange(n)
-        if keep < n:
-            footrule = np.abs(self.files - where[:, None]).sum(0, dtype=np.int32)
-            some = np.argpartition(footrule, keep - 1)[:keep]
-        score = (self.x[some] * q).sum(1)
-        if len(some) > k + 1:
-            cut = np.partition(score, len(score) - k - 1)[len(score) - k - 1]
-            some, score = some[score >= cut], score[score >= cut]
-        found = [(-s, int(i)) for e, s in zip(some.tolist(), score.tolist()) for i in self.ids[e][: k + 1] if i != query_id]
-        return [(i, -s) for s, i in sorted(found)[:k]]
+        footrule = np.abs(self.files - where[:, None]).sum(0, dtype=np.int32) if keep < n else None
+        while True:
+            some = np.argpartition(footrule, keep - 1)[:keep] if keep < n else np.arange(n)
+            score = (self.x[some] * q).sum(1)
+            best: dict[int, float] = {}
+            last = float("inf")
+            # By falling score, so an id counts with its best vector; entries that tie with the k-th id's are taken too.
+            for x in np.argsort(-score, kind="stable").tolist():
+                s = float(score[x])
+                if len(best) >= k and s < last:
+                    break
+                new = 0
+                for i in self.ids[some[x]].tolist():
+                    if i != query_id and i not in best:
+                        best[i] = last = s
+                        new += 1
+                        if new == k:
+                            break
+            if len(best) >= k or keep == n:
+                return sorted(best.items(), key=lambda r: (-r[1], r[0]))[:k]
+            keep = min(n, 2 * keep)
 
 
 def positions(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:

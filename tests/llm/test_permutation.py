@@ -49,3 +49,10 @@ def test_longer_vectors_win_by_inner_product(spark):
     for r in N.nearest_neighbours(d, k=10, share=0.3, least=20, block_rows=10).collect():
         got.setdefault(r.query_id, set()).add(r.vec_id)
     assert np.mean([len(got[q] & set(want[q])) / 10 for q in want]) >= 0.9
+
+
+def test_an_id_with_many_near_vectors_takes_one_place(spark):
+    rows = [(0, [1.0, 0.0])] + [(1, [1.0, 0.001 * i]) for i in range(400)] + [(i, [0.5, 0.01 * i]) for i in range(2, 12)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    got = N.nearest_neighbours(d, k=5, share=0.05, least=10).orderBy("query_id", "rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(1, 1.0)] + [(i, 0.5) for i in range(2, 6)]
