@@ -7,7 +7,8 @@ each text is then a candidate, scored by its likelihood under the automata again
 runs; what an automaton accepts with enough bits to spare becomes a further span.
 
 Scale: two narrow passes over the texts. The sample is one value for each of ``sample`` hash buckets and kind, a plain
-aggregate with map-side combine, so it is bounded, uniform over distinct values and the same for any partitioning.
+aggregate with map-side combine, so it is bounded, uniform over distinct values and the same for any partitioning. The
+character model of ordinary runs counts all candidates, by at most one row a character and batch.
 
 Defined results: null or empty text has no spans; repeated rows each give a row; a kind with fewer than ``least``
 sampled values has no automaton; values over ``LONGEST`` characters are base spans but do not train; candidates of every
@@ -204,9 +205,9 @@ class Automaton:
 class Grammar:
     """The automata by kind and the character model of ordinary runs."""
 
-    def __init__(self, by_kind: dict[str, list[str]], ordinary: list[str], least: int = 20, spare_bits: float = 16.0):
+    def __init__(self, by_kind: dict[str, list[str]], ordinary: list[str] | Counter, least: int = 20, spare_bits: float = 16.0):
         self.automata = {k: Automaton(sorted(v)) for k, v in by_kind.items() if len(v) >= least}
-        count = Counter("".join(ordinary))
+        count = ordinary if isinstance(ordinary, Counter) else Counter("".join(ordinary))
         total = sum(count.values())
         self.char = {chr(c): math.log2((count.get(chr(c), 0) + 1) / (total + 128)) for c in range(128)}
         self.spare_bits = spare_bits
@@ -221,11 +222,11 @@ class Grammar:
 
 
 def learn(docs: DataFrame, sample: int = 500, least: int = 20) -> Grammar:
-    """The grammar of the whole corpus' base matches, from at most ``sample`` values a kind and as many ordinary runs."""
+    """The grammar of the whole corpus' base matches, from at most ``sample`` values a kind and the characters of all ordinary runs."""
 
     def run(batches):
         for batch in batches:
-            kinds, values = [], []
+            kinds, values, chars = [], [], Counter()
             for text in batch.column(0):
                 text = text.as_py() or ""
                 spans = base_spans(text)
@@ -234,17 +235,23 @@ def learn(docs: DataFrame, sample: int = 500, least: int = 20) -> Grammar:
                         kinds.append(KINDS[k])
                         values.append(value)
                 for a, b in candidates(text, [(s[0], s[2]) for s in spans]):
-                    kinds.append("ordinary")
-                    values.append(text[a:b])
-            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(values, pa.string())], names=["kind", "value"])
+                    chars.update(text[a:b])
+            counts = [0] * len(kinds) + list(chars.values())
+            kinds += ["ordinary"] * len(chars)
+            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array([*values, *chars], pa.string()), pa.array(counts, pa.int64())], names=["kind", "value", "n"])
         release_memory()
 
-    hashed = docs.select("text").mapInArrow(run, "kind string, value string").withColumn("h", F.xxhash64("value"))
-    drawn = hashed.groupBy("kind", F.pmod("h", F.lit(sample)).alias("bucket")).agg(F.min_by("value", "h").alias("value")).collect()
+    # An ordinary run's character has a row a batch and a bucket of its own.
+    hashed = docs.select("text").mapInArrow(run, "kind string, value string, n long").withColumn("h", F.xxhash64("value"))
+    bucket = F.when(F.col("kind") == "ordinary", F.ascii("value")).otherwise(F.pmod("h", F.lit(sample)).cast("int"))
+    drawn = hashed.groupBy("kind", bucket.alias("bucket")).agg(F.min_by("value", "h").alias("value"), F.sum("n").alias("n")).collect()
     by_kind: dict[str, list[str]] = {}
+    ordinary: Counter = Counter()
     for r in drawn:
-        by_kind.setdefault(r["kind"], []).append(r["value"])
-    ordinary = by_kind.pop("ordinary", [])
+        if r["kind"] == "ordinary":
+            ordinary[r["value"]] = r["n"]
+        else:
+            by_kind.setdefault(r["kind"], []).append(r["value"])
     return Grammar(by_kind, ordinary, least)
 
 

@@ -95,3 +95,11 @@ def test_a_format_is_found_before_a_full_stop_and_after_a_name():
     v = hexes[7]
     for before, after in (("", "."), ("key=", ""), ("key=", "."), ("", "=words"), ("AKIA" + "B" * 16 + "=", "")):
         assert (len(before), len(before + v), "learned_assign") in S.all_spans(before + v + after, g)[1]
+
+
+def test_the_character_model_counts_all_ordinary_runs(spark):
+    rows = [(i, f"ordinary{'qz'[i % 4 == 0] * 8}words{i:04d} ordinary") for i in range(2000)]
+    count = S.Counter(c for _, t in rows for c in t.replace(" ", ""))
+    g = S.learn(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), sample=5)
+    total = sum(count.values())
+    assert all(g.char[c] == S.math.log2((n + 1) / (total + 128)) for c, n in count.items())
