@@ -113,11 +113,7 @@ def enabled(sources: DataFrame) -> DataFrame:
     return sources.where("enabled").orderBy("name")
 
 
-# Required settings, and optional ones with their defaults.
-REQUIRED = ("SUPABASE_URL", "SUPABASE_SERVICE_KEY", "TELEGRAM_TOKEN", "TELEGRAM_CHAT_ID", "LLM_BASE_URL", "LLM_MODEL")
-
-
-def settings(environment: Mapping[str, str] | None = None, required: tuple[str, ...] = REQUIRED, defaults: Mapping[str, object] | None = None, file: str | None = None) -> dict:
+def settings(environment: Mapping[str, str] | None = None, required: tuple[str, ...] = (), defaults: Mapping[str, object] | None = None, file: str | None = None) -> dict:
     """Settings from a KEY=value file and the environment, which wins; blank counts as missing; all missing keys are named."""
     found: dict[str, str] = {}
     if file and os.path.exists(file):

@@ -116,11 +116,13 @@ def test_findings_are_judged_strictly(spark, raw, n, word):
 
 def test_briefings(spark):
     raw = 'Here: {"night_summary":" quiet ","papers":[{"headline":"h","body":"b","finding_ids":[1,2.7,"x",true,null]},{"headline":" "},3],"gaps":"no"} done'
-    summary, sections = jsons.read_briefing(raw)
-    assert summary == "quiet" and sections["papers"] == [{"headline": "h", "body": "b", "topic": "", "finding_ids": [1, 2]}] and sections["gaps"] == [] and set(sections) == set(jsons.SECTIONS)
-    assert jsons.read_briefing('{"a":')[0] == jsons.UNPARSEABLE and jsons.read_briefing("[1]")[0] == jsons.NON_OBJECT
-    parsed = spark.createDataFrame([(raw,), ("{}",)], "r string").select(jsons.parse_briefing("r").alias("b")).select("b.*")
-    assert [r.e for r in parsed.select(jsons.briefing_empty(F.col("sections")).alias("e")).collect()] == [False, True]
+    answers = [raw, "{}", '{"a":', "[1]", None, '[{"headline":"h"}]', "5", "no object", '{"papers":[{"headline":7,"finding_ids":"x"}]}']
+    parsed = spark.createDataFrame(list(enumerate(answers)), "k int, r string").select("k", jsons.parse_briefing("r").alias("b")).select("k", "b.*")
+    got = {r.k: r for r in parsed.withColumn("e", jsons.briefing_empty(F.col("sections"))).collect()}
+    assert got[0].night_summary == "quiet" and [r.asDict() for r in got[0].sections["papers"]] == [{"headline": "h", "body": "b", "topic": "", "finding_ids": [1, 2]}]
+    assert got[0].sections["gaps"] == [] and set(got[0].sections) == set(jsons.SECTIONS) and not got[0].e and got[1].e
+    assert [got[k].night_summary for k in (2, 3, 4, 5, 6, 7)] == [jsons.UNPARSEABLE, jsons.NON_OBJECT, jsons.UNPARSEABLE, jsons.NON_OBJECT, jsons.NON_OBJECT, jsons.UNPARSEABLE]
+    assert all(got[k].sections == {} and got[k].e for k in (2, 3, 4, 5, 6, 7)) and got[8].sections["papers"][0].headline == "7" and got[8].sections["papers"][0].finding_ids == []
 
 
 def test_json_columns(spark):
