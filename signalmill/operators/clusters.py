@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from signalmill.functions.vectors import decide, dot, normalize
+from signalmill.functions.vectors import decide, normalize
 
 
 def never_the_same(a: str, b: str) -> bool:
@@ -35,41 +36,58 @@ def greedy(findings: DataFrame, clusters: DataFrame, merge: float = 0.90, low: f
 
     A finding joins the most similar cluster of its kind (the earliest of equals) or founds one whose centroid it stays.
     Stored clusters (id, kind, canonical_statement, centroid) come first, by id, and keep their id as key; new ones get
-    minus the founding finding's id. The result depends on the order by definition, so a kind is one fold; its memory
-    is the kind's centroids, its rows stream in by batch order of the group.
+    minus the founding finding's id. The result depends on the order by definition, so a kind is one fold in one task;
+    rows stream through it in sorted batches and only the kind's centroids are held.
     """
-    schema = "id long, kind string, cluster_key long, similarity double, action string, merged boolean"
-
-    def fold(key, new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
-        new, old = new.sort_values("id"), old.sort_values("id")
-        if new.empty:
-            return pd.DataFrame([], columns=["id", "kind", "cluster_key", "similarity", "action", "merged"])
-        width = len(new["embedding"].iloc[0])
-        room = len(old) + len(new)
-        centroids, keys, texts = np.zeros((room, width)), list(old["id"]), list(old["canonical_statement"])
-        for i, v in enumerate(old["centroid"]):
-            centroids[i] = _unit(v)
-        n, out = len(old), []
-        for row in new.itertuples():
-            v = _unit(row.embedding)
-            sims = centroids[:n] @ v
-            best = int(np.argmax(sims)) if n else -1
-            sim = float(sims[best]) if n else None
-            action = "new" if sim is None or sim < low else "tiebreak" if sim < merge else "merge"
-            merged = action == "merge" or action == "tiebreak" and same(row.statement, texts[best])
-            if merged:
-                target = keys[best]
-            else:
-                target = -int(row.id)
-                centroids[n] = v
-                keys.append(target), texts.append(row.statement)
-                n += 1
-            out.append((int(row.id), key[0], target, sim, action, merged))
-        return pd.DataFrame(out, columns=["id", "kind", "cluster_key", "similarity", "action", "merged"])
-
-    left = findings.select("id", "kind", "statement", "embedding").groupBy("kind")
-    right = clusters.select("id", "kind", "canonical_statement", "centroid").groupBy("kind")
-    return left.cogroup(right).applyInPandas(fold, schema)
+    stored = clusters.select("kind", F.lit(False).alias("fresh"), "id", F.col("canonical_statement").alias("text"), F.col("centroid").alias("v"))
+    fresh = findings.select("kind", F.lit(True).alias("fresh"), "id", F.col("statement").alias("text"), F.col("embedding").alias("v"))
+    dealt = stored.unionByName(fresh).repartition("kind").sortWithinPartitions("kind", "fresh", "id")
+
+    def run(batches):
+        fold = None
+        for batch in batches:
+            out = []
+            for kind, is_fresh, id_, text, v in batch.itertuples(index=False):
+                if fold is None or fold.kind != kind:
+                    fold = Fold(kind, merge, low, same)
+                if is_fresh:
+                    out.append((int(id_), kind, *fold.place(int(id_), text, _unit(v))))
+                else:
+                    fold.add(int(id_), text, _unit(v))
+            yield pd.DataFrame(out, columns=["id", "kind", "cluster_key", "similarity", "action", "merged"])
+
+    return dealt.mapInPandas(run, "id long, kind string, cluster_key long, similarity double, action string, merged boolean")
+
+
+class Fold:
+    """The clusters of one kind: keys, texts and unit centroids, in the order they were founded."""
+
+    def __init__(self, kind: str, merge: float, low: float, same: Callable[[str, str], bool]):
+        self.kind, self.merge, self.low, self.same = kind, merge, low, same
+        self.keys: list[int] = []
+        self.texts: list[str] = []
+        self.centroids = np.zeros((0, 0))
+
+    def add(self, key: int, text: str, v: np.ndarray) -> None:
+        n = len(self.keys)
+        if n == len(self.centroids):
+            grown = np.zeros((max(16, 2 * n), len(v)))
+            if n:
+                grown[:n] = self.centroids
+            self.centroids = grown
+        self.centroids[n] = v
+        self.keys.append(key), self.texts.append(text)
+
+    def place(self, id_: int, text: str, v: np.ndarray) -> tuple[int, float | None, str, bool]:
+        """(cluster key, similarity, action, merged) of the next finding."""
+        sims = self.centroids[: len(self.keys)] @ v if self.keys else np.zeros(0)
+        best = int(np.argmax(sims)) if len(sims) else -1
+        sim = float(sims[best]) if len(sims) else None
+        action = "new" if sim is None or sim < self.low else "tiebreak" if sim < self.merge else "merge"
+        if action == "merge" or action == "tiebreak" and self.same(text, self.texts[best]):
+            return self.keys[best], sim, action, True
+        self.add(-id_, text, v)
+        return -id_, sim, action, False
 
 
 def _unit(v) -> np.ndarray:
@@ -88,18 +106,41 @@ def new_clusters(folded: DataFrame, findings: DataFrame, now: Column) -> DataFra
     )
 
 
-def nearest_same_kind(vectors: DataFrame, candidates: DataFrame, kind: str = "kind", merge: float = 0.90, low: float = 0.75) -> DataFrame:
-    """Each vector's most similar candidate of its kind, itself excluded, and the decision; equals go to the lower id.
+def nearest_same_kind(vectors: DataFrame, candidates: DataFrame, kind: str = "kind", merge: float = 0.90, low: float = 0.75, block: int = 2048) -> DataFrame:
+    """Each vector's most similar candidate of its kind, itself excluded, and the decision; equals (to twelve decimals) go
+    to the lower id.
 
-    The candidates' side is a bounded set of centroids; the best is kept by an aggregate per vector, never a sort of pairs.
+    Both sides are dealt into blocks of about ``block`` vectors of a kind; a pair of blocks is one matrix product in one
+    task, so a hot kind is many tasks, and what leaves a task is one row a vector, never a pair of vectors.
     """
-    a = vectors.select("id", kind, normalize(F.col("embedding")).alias("v"))
-    b = candidates.select(F.col("id").alias("other"), kind, normalize(F.col("embedding")).alias("w"))
-    pairs = a.join(b, kind).where("id != other").select("id", kind, "other", dot(F.col("v"), F.col("w")).alias("similarity"))
-    best = pairs.groupBy("id", kind).agg(F.max(F.struct("similarity", (-F.col("other")).alias("o"))).alias("b"))
+    left, right = _blocks(vectors, "id", kind, block), _blocks(candidates, "id", kind, block)
+    pairs = left.select(kind, F.col("ids").alias("a"), F.col("vs").alias("x")).join(right.select(kind, F.col("ids").alias("b"), F.col("vs").alias("y")), kind)
+
+    def run(batches):
+        for batch in batches:
+            for k, a, x, b, y in zip(*(batch.column(c) for c in (kind, "a", "x", "b", "y"))):
+                a, b = np.array(a.as_py()), np.array(b.as_py())
+                sims = np.array(x.as_py()) @ np.array(y.as_py()).T
+                sims[a[:, None] == b[None, :]] = -np.inf
+                best = sims.max(1)
+                other = np.where(sims >= best[:, None] - 5e-13, b[None, :], np.iinfo(np.int64).max).min(1)
+                ok = best > -np.inf
+                n = int(ok.sum())
+                yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array([k.as_py()] * n, batch.schema.field(kind).type), pa.array(other[ok]), pa.array(np.round(best[ok], 12))], names=["id", kind, "other", "similarity"])
+
+    kind_type = vectors.schema[kind].dataType.simpleString()
+    few = pairs.select(kind, "a", "x", "b", "y").mapInArrow(run, f"id long, {kind} {kind_type}, other long, similarity double")
+    best = few.groupBy("id", kind).agg(F.max(F.struct("similarity", (-F.col("other")).alias("o"))).alias("b"))
     return best.select("id", kind, (-F.col("b.o")).alias("nearest"), F.col("b.similarity").alias("similarity")).withColumn("action", decide(F.col("similarity"), merge, low))
 
 
+def _blocks(vectors: DataFrame, key: str, kind: str, block: int) -> DataFrame:
+    """(kind, ids, vs): the unit vectors of a kind in blocks, dealt by the hash of their id."""
+    sizes = vectors.groupBy(kind).agg(F.ceil(F.count(F.lit(1)) / block).alias("_n"))
+    dealt = vectors.select(key, kind, normalize(F.col("embedding")).alias("v")).join(sizes, kind).withColumn("_b", F.pmod(F.xxhash64(key), F.col("_n")))
+    return dealt.groupBy(kind, "_b").agg(F.collect_list(F.struct(key, "v")).alias("_m")).select(kind, F.transform("_m", lambda m: m[key]).alias("ids"), F.transform("_m", lambda m: m["v"]).alias("vs"))
+
+
 def with_source(findings: DataFrame, items: DataFrame) -> DataFrame:
     """Findings with their item's source, "unknown" without one."""
     of = items.select(F.col("id").alias("item_id"), F.col("source").alias("_s"))

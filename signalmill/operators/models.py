@@ -128,6 +128,49 @@ def deep_read(items: DataFrame, model: Callable[[str], str] = offline_reader, te
     return out.select(*items.columns, "_r.findings", "_r.error", "_r.attempts")
 
 
+#: What became of a claimed item: judged, failed (refused twice), capped (its thread is full, no call), error (the host did
+#: not answer), skipped (not tried, the host had not answered several times in a row).
+OUTCOME = "id long, outcome string, triaged_out boolean, deep_read boolean, findings array<struct<kind:string,statement:string,why_it_matters:string,domain:string,evidence_quote:string,confidence:double>>, error string"
+
+
+def judge_in_turn(claimed: DataFrame, triage_model: Callable[[str], str] = offline_triage, reader: Callable[[str], str] = offline_reader, cap: int = 2, max_errors: int = 3, max_chars: int = 2000) -> DataFrame:
+    """The outcome of each claimed item (id, thread_key, turn, before, raw_text, prompt).
+
+    A thread's items are judged in turn in one task: once ``before`` and what its items gave reach ``cap``, the rest are
+    retired without a call. An item is triaged on its text's beginning and, if worth it, read by its prompt; findings
+    beyond the cap are cut off. A task that meets ``max_errors`` errors in a row leaves the rest of its items alone.
+    Materialise the result: every action on it would ask the models again.
+    """
+    rows = claimed.select("id", "thread_key", "turn", "before", "raw_text", "prompt").repartition("thread_key").sortWithinPartitions("turn")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[str, int] = {}
+        streak = 0
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                room = cap - held.get(r.thread_key, int(r.before))
+                worth, findings, error = None, [], None
+                if room <= 0:
+                    outcome = "capped"
+                elif streak >= max_errors:
+                    outcome = "skipped"
+                else:
+                    try:
+                        text = r.raw_text or ""
+                        worth = read_triage(with_retry(lambda t=text: triage_model(t[:max_chars])))
+                        findings, error, _ = judge_one(r.prompt or "", reader) if worth else ([], None, 0)
+                        outcome, streak = "judged" if error is None else "failed", 0
+                    except (TransportError, ConnectionError, TimeoutError) as silent:
+                        outcome, error, streak = "error", f"{type(silent).__name__}: {silent}", streak + 1
+                findings = (findings or [])[: max(room, 0)]
+                held[r.thread_key] = cap - room + len(findings)
+                out.append((r.id, outcome, worth is False, bool(worth), findings, error))
+            yield pd.DataFrame(out, columns=["id", "outcome", "triaged_out", "deep_read", "findings", "error"])
+
+    return rows.mapInPandas(run, OUTCOME)
+
+
 def embed(findings: DataFrame, model: Callable[[list[str]], list[list[float]]] = offline_embedder, text: str = "statement", batch: int = EMBED_BATCH) -> DataFrame:
     """Findings with the embedding of their statement where they lack one; texts go to the model in batches."""
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from signalmill.functions.scoring import cap_for_thread
 from signalmill.functions.text import thread_key
 from signalmill.functions.times import ago
-from signalmill.operators.tables import rank_in_order, set_where
+from signalmill.operators.tables import rank_in_order, running_sum, set_where
 
 # An item is stuck after an hour, dies after three attempts; five per source and cycle; two findings a thread.
 STUCK_SECONDS, MAX_ATTEMPTS, PER_SOURCE, PER_THREAD, MAX_ERRORS = 3600, 3, 5, 2, 3
@@ -35,10 +35,26 @@ def claim_items(items: DataFrame, batch_size: int, now: Column, source: str | No
     """(next items, claimed items): dead ones fail, the oldest claimable ones start processing with one more attempt."""
     retired = set_where(items, to_retire(now, source, stuck_seconds, max_attempts), state="failed")
     oldest = retired.where(claimable(now, source, stuck_seconds, max_attempts)).orderBy("id").limit(batch_size).select(F.col("id").alias("_claimed"))
-    marked = retired.join(F.broadcast(oldest), F.col("id") == F.col("_claimed"), "left")
+    after, claimed = _claimed(retired, oldest, now)
+    return after.select(*items.columns), claimed.select(*items.columns)
+
+
+def claim_in_turns(items: DataFrame, batch_size: int, now: Column, per_source: int = PER_SOURCE, stuck_seconds: int = STUCK_SECONDS, max_attempts: int = MAX_ATTEMPTS) -> tuple[DataFrame, DataFrame]:
+    """``claim_items`` with turns: ``per_source`` of each source in each cycle, sources by name, items by id. The claimed
+    ones have their ``turn``, (cycle, source, number in the source)."""
+    retired = set_where(items, to_retire(now, None, stuck_seconds, max_attempts), state="failed")
+    open_ = in_turns(retired.where(claimable(now, None, stuck_seconds, max_attempts)), per_source)
+    turn = F.struct("cycle", "source", "rn")
+    first = open_.select(F.col("id").alias("_claimed"), turn.alias("turn")).orderBy("turn").limit(batch_size)
+    after, claimed = _claimed(retired, first, now)
+    return after.select(*items.columns), claimed.select(*items.columns, "turn")
+
+
+def _claimed(items: DataFrame, ids: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    marked = items.join(ids, F.col("id") == F.col("_claimed"), "left")
     hit = F.col("_claimed").isNotNull()
     after = set_where(marked, hit, state="processing", processing_at=now, attempts=F.col("attempts") + 1)
-    return after.select(*items.columns), after.where(hit).select(*items.columns)
+    return after, after.where(hit)
 
 
 def mark(items: DataFrame, ids: DataFrame, state: str) -> DataFrame:
@@ -57,13 +73,18 @@ def after_model_error(items: DataFrame, ids: DataFrame, max_attempts: int = MAX_
     return set_where(marked, F.col("_id").isNotNull(), state=state).select(*items.columns)
 
 
+def in_turns(items: DataFrame, per_source: int = PER_SOURCE) -> DataFrame:
+    """Items with their number in their source and the cycle that this is in. A source may hold most items, so its numbers
+    are counted in parts."""
+    return rank_in_order(items, ["source"], [F.col("id")], "rn").withColumn("cycle", F.floor((F.col("rn") - 1) / per_source))
+
+
 def fair_order(items: DataFrame, per_source: int = PER_SOURCE) -> DataFrame:
     """Ready items with their turn: cycles of ``per_source`` of each source, sources by name, items by id.
 
-    The order over all is the caller's sort by (cycle, source, rn). A source may hold most items, so its numbers are
-    counted in parts.
+    The order over all is the caller's sort by (cycle, source, rn).
     """
-    return rank_in_order(items.where("state = 'ready'"), ["source"], [F.col("id")], "rn").withColumn("cycle", F.floor((F.col("rn") - 1) / per_source))
+    return in_turns(items.where("state = 'ready'"), per_source)
 
 
 def capped_findings(findings: DataFrame, order: list[str], cap: int = PER_THREAD, qualify_source: bool = False) -> DataFrame:
@@ -89,10 +110,11 @@ def error_streaks(events: DataFrame, by: list[str], order: list[str], outcome: s
 
 
 def within_budget(judged: DataFrame, order: list[str], seconds: str | None = None, max_seconds: float | None = None, max_items: int | None = None) -> DataFrame:
-    """The items judged before the budgets are used up; items with ``capped`` true cost no place."""
-    w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    """The items judged before the budgets are used up; items with ``capped`` true cost no place. Sums run in parts."""
+    names, by_order = judged.columns, [F.col(c) for c in order]
+    every = judged.withColumn("_all", F.lit(0))
     if max_items is not None:
-        judged = judged.withColumn("_k", F.coalesce(F.sum(F.when(F.col("capped"), 0).otherwise(1)).over(w), F.lit(0))).where(F.col("_k") < max_items).drop("_k")
+        every = running_sum(every, ["_all"], by_order, F.when(F.col("capped"), 0).otherwise(1).cast("long"), "_k").where(F.col("_k") < max_items).drop("_k")
     if max_seconds is not None:
-        judged = judged.withColumn("_s", F.coalesce(F.sum(seconds).over(w), F.lit(0.0))).where(F.col("_s") < max_seconds).drop("_s")
-    return judged
+        every = running_sum(every, ["_all"], by_order, F.col(seconds).cast("double"), "_s").where(F.col("_s") < max_seconds).drop("_s")
+    return every.select(*names)

@@ -44,6 +44,21 @@ def caption(text: Column, n: int = CAPTION) -> Column:
     return F.left(text, F.lit(n))
 
 
+def why_text(clusters: DataFrame, findings: DataFrame, items: DataFrame, cluster_id: int, most: int = 20, n: int = REPLY) -> DataFrame:
+    """One row: what stands behind a cluster, its ``most`` most confident quotes with their links, cut to a reply's length."""
+    from signalmill.operators.ranking import top_findings
+
+    url = items.select(F.col("id").alias("item_id"), "url")
+    best = top_findings(findings.where(F.col("cluster_id") == cluster_id), most).join(url, "item_id", "left")
+    quote = F.concat(F.lit('• "'), F.coalesce(F.nullif("evidence_quote", F.lit("")), F.lit("(no quote)")), F.lit('"'), F.coalesce(F.concat(F.lit("\n  "), F.nullif("url", F.lit(""))), F.lit("")))
+    lines = best.groupBy("cluster_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", quote.alias("q")))), lambda x: x["q"]), "\n").alias("_quotes"))
+    one = clusters.where(F.col("id") == cluster_id).join(lines, F.col("id") == F.col("cluster_id"), "left")
+    head = F.concat(F.lit("*#"), F.col("id").cast("string"), F.lit(" — "), F.col("canonical_statement"), F.lit("*"))
+    sub = F.concat(F.lit("_"), F.col("kind"), F.lit(" · score "), F.format_string("%.1f", F.coalesce("score", F.lit(0.0))), F.lit(" · "), F.coalesce("mention_count", F.lit(0)).cast("string"), F.lit(" mentions_"))
+    said = one.agg(F.first(F.concat_ws("\n", head, sub, F.lit(""), "_quotes")).alias("text"))
+    return said.select(F.left(F.coalesce("text", F.lit(f"No cluster #{cluster_id}.")), F.lit(n)).alias("text"))
+
+
 def item_markdown() -> Column:
     """A numbered briefing item with links and via."""
     topic = F.nullif(F.trim(F.coalesce("topic", F.lit(""))), F.lit(""))

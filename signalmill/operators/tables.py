@@ -22,25 +22,34 @@ def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFra
     return existing.join(incoming.select(*keys), keys, "left_anti").unionByName(incoming, allowMissingColumns=True)
 
 
-def rank_in_order(df: DataFrame, by: list[str], order: list[Column], out: str, parts: int = 64) -> DataFrame:
-    """``df`` with the row's number from 1 inside its ``by`` group in ascending ``order``, also where a group is hot.
-
-    A sample of ``parts`` rows gives edges; rows are dealt by group and the number of edges below them, numbered there,
-    and shifted by what the parts before hold. The edges are literals, so every use of the plan deals alike.
-    """
+def _dealt(df: DataFrame, order: list[Column], parts: int) -> DataFrame:
+    """``df`` with ``_part``, the number of edges at or below the row in ``order``; a sample of ``parts`` rows gives the
+    edges, as literals, so every use of the plan deals alike."""
     key = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
     drawn = df.select(key.alias("k")).orderBy(F.xxhash64("k")).limit(parts - 1).collect()
     types = [f.dataType for f in df.select(key.alias("k")).schema["k"].dataType]
     edges = [F.struct(*[F.lit(v).cast(t).alias(f"o{i}") for i, (v, t) in enumerate(zip(r["k"], types))]) for r in drawn]
-    part = F.size(F.filter(F.array(*edges), lambda e: e <= key)) if edges else F.lit(0)
-    dealt = df.withColumn("_part", part)
-    inside = F.row_number().over(Window.partitionBy(*by, "_part").orderBy(*order))
-    sizes = dealt.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_size"))
+    return df.withColumn("_part", F.size(F.filter(F.array(*edges), lambda e: e <= key)) if edges else F.lit(0))
+
+
+def running_sum(df: DataFrame, by: list[str], order: list[Column], value: Column, out: str, parts: int = 64) -> DataFrame:
+    """``df`` with the sum of ``value`` over the rows before it in its ``by`` group, also where a group is hot.
+
+    Rows are dealt by group and range of ``order``, summed there, and shifted by what the ranges before hold.
+    """
+    dealt = _dealt(df, order, parts).withColumn("_v", value)
+    inside = F.coalesce(F.sum("_v").over(Window.partitionBy(*by, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = dealt.groupBy(*by, "_part").agg(F.sum("_v").alias("_size"))
     before = F.coalesce(F.sum("_size").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     shifts = sizes.withColumn("_before", before).select(*by, "_part", "_before")
     return dealt.withColumn("_n", inside).join(shifts, [*by, "_part"]).withColumn(out, F.col("_before") + F.col("_n")).select(*df.columns, out)
 
 
+def rank_in_order(df: DataFrame, by: list[str], order: list[Column], out: str, parts: int = 64) -> DataFrame:
+    """``df`` with the row's number from 1 inside its ``by`` group in ascending ``order``, also where a group is hot."""
+    return running_sum(df, by, order, F.lit(1).cast("long"), out, parts).withColumn(out, F.col(out) + 1)
+
+
 def with_ids(existing: DataFrame, incoming: DataFrame, order: list[Column], column: str = "id") -> DataFrame:
     """Incoming rows with ids that follow the largest existing one in ascending ``order``; ids order the queue, so they are dense."""
     numbered = rank_in_order(incoming.drop(column).withColumn("_all", F.lit(0)), ["_all"], order, "_id")

@@ -2,28 +2,75 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from signalmill.functions.text import clean_html_builtin
+from signalmill.operators.staging import staged
+
 # Comments of a thread and characters of its context.
 MAX_COMMENTS, MAX_CHARS = 40, 6000
 CUT_MARK = "\n…[thread truncated]"
 
 
-def walk(nodes: DataFrame, max_depth: int = 100) -> DataFrame:
+def walk(nodes: DataFrame) -> DataFrame:
     """Comments with depth and bfs_path, breadth first: (thread, node, parent, ord, author, text), parent null at the top.
 
-    A level is one join of the whole frontier, for all threads at once; trees are as deep as their deepest reply.
+    A level is one join of the whole frontier, for all threads at once, and is written before the next one is sought, so
+    no level is computed twice. Trees may be of any depth; nodes that no top comment leads to are left out.
     """
-    level = nodes.where("parent is null").withColumns({"depth": F.lit(0), "bfs_path": F.array(F.col("ord"))})
-    out = level
-    for depth in range(1, max_depth + 1):
+    replies = nodes.where("parent is not null")
+    level = staged(nodes.where("parent is null").withColumns({"depth": F.lit(0), "bfs_path": F.array(F.col("ord"))}), "threads")
+    out, depth = level, 0
+    while True:
+        depth += 1
         up = level.select("thread", F.col("node").alias("parent"), F.col("bfs_path").alias("_path"))
-        level = nodes.join(up, ["thread", "parent"]).withColumns({"depth": F.lit(depth), "bfs_path": F.concat("_path", F.array("ord"))}).drop("_path").select(*out.columns)
+        below = replies.join(up, ["thread", "parent"]).withColumns({"depth": F.lit(depth), "bfs_path": F.concat("_path", F.array("ord"))})
+        level = staged(below.select(*out.columns), "threads")
         if level.isEmpty():
-            break
+            return out
         out = out.unionByName(level)
-    return out
+
+
+def fetch_nodes(stories: DataFrame, get: Callable[[str], dict]) -> DataFrame:
+    """The discussion trees of ``stories`` (thread) as nodes (thread, node, parent, ord, author, text); the story itself is
+    the node without parent and ord -1, its title in ``author``. A story whose fetch fails in any way has no nodes."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for thread in batch["thread"]:
+                try:
+                    tree = get(thread)
+                    rows += flat_tree(thread, tree)
+                except Exception:  # noqa: BLE001  what goes wrong with one story must not cost the others
+                    continue
+            yield pd.DataFrame(rows, columns=["thread", "node", "parent", "ord", "author", "text"])
+
+    return stories.select("thread").distinct().mapInPandas(run, "thread string, node long, parent long, ord long, author string, text string")
+
+
+def flat_tree(thread: str, tree: dict) -> list[tuple]:
+    """A nested discussion (title, text, author, children) as node rows, numbered as met; the story is node 0."""
+    rows = [(thread, 0, None, -1, tree.get("title"), tree.get("text"))]
+    todo = [(child, None, k) for k, child in enumerate(tree.get("children") or [])]
+    for child, parent, k in todo:
+        if isinstance(child, dict):
+            number = len(rows)
+            rows.append((thread, number, parent, k, child.get("author"), child.get("text")))
+            todo += [(grandchild, number, j) for j, grandchild in enumerate(child.get("children") or [])]
+    return rows
+
+
+def live_contexts(stories: DataFrame, get: Callable[[str], dict]) -> DataFrame:
+    """(thread, context) of stories (thread) whose discussions are fetched."""
+    nodes = staged(fetch_nodes(stories, get), "threads")
+    plain = nodes.where("ord >= 0").withColumn("text", clean_html_builtin(F.col("text")))
+    heads = nodes.where("ord = -1").select("thread", F.col("author").alias("title"), clean_html_builtin(F.col("text")).alias("text"))
+    return contexts(heads, walk(plain))
 
 
 def contexts(stories: DataFrame, comments: DataFrame, max_comments: int = MAX_COMMENTS, max_chars: int = MAX_CHARS) -> DataFrame:

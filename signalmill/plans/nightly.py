@@ -2,56 +2,137 @@
 
 State is a folder of table versions. A run writes new versions beside the old ones and moves the pointer last, so a run
 that dies leaves the state as it was; ids and insert-ignore make a second run harmless.
+
+Models are asked once an item: each wave of claimed items is judged into a written table, from which findings, states,
+counts and the error streak all derive. A wave rewrites the items table, so waves should be large; they are bounded by
+``Parameters.wave`` rows.
 """
 
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from signalmill.functions import times
 from signalmill.functions.jsons import parse_briefing
-from signalmill.functions.text import strip_nul
-from signalmill.operators import briefing, clusters, counts, dedupe, models, queue, ranking, rendering, tables
-from signalmill.schema import TABLES, empty
+from signalmill.functions.text import strip_nul, thread_key
+from signalmill.operators import briefing, clusters, counts, dedupe, models, queue, ranking, rendering, tables, threads
+from signalmill.schema import FETCHED, TABLES, add_columns, empty
+from signalmill.sources import registry
 
 
 @dataclass
 class Models:
+    """The models, what the host must list (``required``, against ``listed()``), and how a discussion is fetched."""
+
     triage: Callable[[str], str] = models.offline_triage
     reader: Callable[[str], str] = models.offline_reader
     embedder: Callable[[list[str]], list[list[float]]] = models.offline_embedder
     same: Callable[[str, str], bool] = field(default_factory=clusters.shared_words)
+    required: frozenset[str] = frozenset()
+    listed: Callable[[], set[str]] | None = None
+    thread: Callable[[str], dict] | None = None
 
 
 @dataclass
 class Parameters:
-    batch: int = 1000
+    """``wave``: items claimed and judged together. ``max_items`` and ``max_seconds`` end judging, checked between waves."""
+
+    wave: int = 10_000
+    max_items: int | None = None
+    max_seconds: float | None = None
+    max_errors: int = queue.MAX_ERRORS
     merge: float = 0.90
     low: float = 0.75
     prompt_findings: int = 120
     source_share: float = 0.4
+    lookback_days: int = 30
+
+
+class PreflightError(RuntimeError):
+    """A run that must not start: required models are missing."""
+
+
+class Aborted(RuntimeError):
+    """A run that was given up because the model host stayed silent; ``state`` holds what was judged until then."""
+
+    def __init__(self, message: str, state: State):
+        super().__init__(message)
+        self.state = state
 
 
 class State:
-    """Versions of the tables under ``root``: ``<table>/v<n>``, the newest complete one counts."""
+    """Versions of the tables under ``root``: ``<table>/v<n>``; ``latest`` finds the newest that was completed."""
 
     def __init__(self, spark: SparkSession, root: str, version: int = 0):
         self.spark, self.root, self.version = spark, root.rstrip("/"), version
 
+    @classmethod
+    def latest(cls, spark: SparkSession, root: str) -> State:
+        """The newest complete version, 0 where there is none: the pointer is a folder's name, written last."""
+        path = spark._jvm.org.apache.hadoop.fs.Path(root.rstrip("/") + "/complete")
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        names = [s.getPath().getName() for s in files.listStatus(path)] if files.exists(path) else []
+        return cls(spark, root, max((int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit()), default=0))
+
+    def completed(self, version: int) -> State:
+        """Move the pointer to a version whose tables are written."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/complete/v{version}")
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).mkdirs(path)
+        return State(self.spark, self.root, version)
+
     def read(self, table: str, version: int | None = None) -> DataFrame:
         v = self.version if version is None else version
         return self.spark.read.schema(TABLES[table]).parquet(f"{self.root}/{table}/v{v}") if v else empty(self.spark, table)
 
     def write(self, table: str, df: DataFrame, version: int) -> DataFrame:
-        from signalmill.schema import add_columns
-
         add_columns(df, table).write.mode("overwrite").parquet(f"{self.root}/{table}/v{version}")
         return self.read(table, version)
 
+    def staged(self, name: str, df: DataFrame) -> DataFrame:
+        """A table of the run itself, written and read back."""
+        path = f"{self.root}/stages/{name}"
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
+def preflight(m: Models) -> None:
+    """Nothing is fetched unless the host lists every required model."""
+    missing = models.missing_models(set(m.required), m.listed() if m.listed else set()) if m.required else []
+    if missing:
+        raise PreflightError("models not listed: " + ", ".join(missing))
+
+
+def fetch(state: State, v: int, now: str, p: Parameters, reader_of: Callable = registry.reader_of) -> tuple[DataFrame, list[str], list[tuple[str, str]]]:
+    """(fetched items, names of the sources read, (source, error) of the others), every enabled source by itself.
+
+    A source's window begins at its watermark, or ``lookback_days`` before now.
+    """
+    spark = state.spark
+    since = F.unix_timestamp(times.lower_bound(F.col("last_successful_fetch_at"), F.lit(now).cast("timestamp"), p.lookback_days))
+    got, read, errors = spark.createDataFrame([], FETCHED), [], []
+    # The registry is configuration: a row a source.
+    for row in registry.enabled(state.read("sources")).withColumn("_since", since).collect():
+        source = row.asDict()
+        try:
+            found = reader_of(source)(spark, source, int(source.pop("_since")), None)
+            got = got.unionByName(state.staged(f"fetched/v{v}/{source['name']}", add_fetched(found)))
+            read.append(source["name"])
+        except Exception as error:  # noqa: BLE001  a bad source must cost only itself
+            errors.append((source["name"], f"{type(error).__name__}: {str(error).splitlines()[0][:300] if str(error) else ''}"))
+    return got, read, errors
+
+
+def add_fetched(found: DataFrame) -> DataFrame:
+    """A reader's items with exactly the columns that are kept."""
+    want = found.sparkSession.createDataFrame([], FETCHED).schema
+    return found.select(*[F.col(f.name).cast(f.dataType) if f.name in found.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in want])
+
 
 def ingest(state: State, fetched: DataFrame, now) -> DataFrame:
     """Items with the new fetched ones: unknown (source, source_id) only."""
@@ -60,57 +141,154 @@ def ingest(state: State, fetched: DataFrame, now) -> DataFrame:
     return items.unionByName(tables.with_ids(items, fresh, [F.col("source"), F.col("source_id")]).select(*items.columns))
 
 
-def judge(items: DataFrame, m: Models, now, batch: int) -> tuple[DataFrame, DataFrame]:
-    """(items, findings) after one claimed batch: triage first, deep reads of what is left, the cap per thread."""
-    after, claimed = queue.claim_items(items, batch, now)
-    read = models.deep_read(models.triage(claimed, m.triage).where("worth_reading"), m.reader)
-    good = read.where("error is null").select("id", "thread_id", "source", F.posexplode("findings").alias("pos", "f"))
-    rows = good.select(F.col("id").alias("item_id"), "thread_id", "source", "pos", *[(strip_nul(F.col(f"f.{c}")) if c != "confidence" else F.col("f.confidence")).alias(c) for c in ("kind", "statement", "why_it_matters", "domain", "evidence_quote", "confidence")])
-    kept = queue.capped_findings(rows, ["item_id", "pos"]).withColumn("created_at", now)
-    failed = read.where("error is not null").select("id")
-    done = claimed.select("id").join(failed, "id", "left_anti")
-    return queue.mark(queue.mark(after, done, "done"), failed, "failed"), kept
+def wave(items: DataFrame, found: DataFrame, m: Models, p: Parameters, now, size: int) -> tuple[DataFrame, DataFrame]:
+    """(next items, claimed items ready to be judged): turns, what their threads hold in this run, and the prompt."""
+    after, claimed = queue.claim_in_turns(items, size, now)
+    claimed = claimed.withColumn("thread_key", thread_key(F.col("thread_id"), F.col("id")))
+    taken = found.groupBy("thread_key").agg(F.count(F.lit(1)).alias("_taken"))
+    claimed = claimed.join(taken, "thread_key", "left").withColumn("before", F.coalesce("_taken", F.lit(0))).drop("_taken")
+    if m.thread is None:
+        claimed = claimed.withColumn("context", F.lit(None).cast("string"))
+    else:
+        of = F.coalesce(F.nullif("thread_id", F.lit("")), "source_id")
+        claimed = threads.attach(claimed, threads.live_contexts(claimed.where("source = 'hackernews'").select(of.alias("thread")), m.thread))
+    return after, claimed.withColumn("prompt", rendering.deep_read_input(F.col("raw_text"), F.col("context"), F.col("metadata")))
+
+
+def judge(state: State, v: int, items: DataFrame, m: Models, p: Parameters, now, clock: Callable[[], float]) -> tuple[DataFrame, DataFrame, DataFrame, bool]:
+    """(items, new findings with their order, log, aborted): waves until the queue is empty, a budget is used up, or the
+    host was silent ``max_errors`` times in a row."""
+    spark, began, n, streak, aborted = state.spark, clock(), 0, 0, False
+    names = [f.name for f in spark.createDataFrame([], TABLES["findings"]).schema if f.name not in ("id", "embedding", "cluster_id", "created_at")]
+    found = spark.createDataFrame([], "wave int, turn struct<cycle:bigint,source:string,rn:bigint>, pos int, thread_key string, item_id long, " + ", ".join(f"{c} {'double' if c == 'confidence' else 'string'}" for c in names if c != "item_id"))
+    log = spark.createDataFrame([], "wave int, " + models.OUTCOME)
+    left = p.max_items
+    while not aborted and (left is None or left > 0) and (p.max_seconds is None or clock() - began < p.max_seconds):
+        n += 1
+        after, ready = wave(items, found, m, p, now, p.wave if left is None else min(p.wave, left))
+        ready = state.staged(f"claimed/v{v}/{n}", ready)
+        if ready.isEmpty():
+            break
+        outcome = state.staged(f"judged/v{v}/{n}", models.judge_in_turn(ready, m.triage, m.reader, queue.PER_THREAD, p.max_errors))
+        log = log.unionByName(outcome.withColumn("wave", F.lit(n)))
+        good = outcome.where("outcome = 'judged'").join(ready.select("id", "thread_key", "turn"), "id").select("id", "thread_key", "turn", F.posexplode("findings").alias("pos", "f"))
+        clean = [strip_nul(F.col(f"f.{c}")).alias(c) if c != "confidence" else F.col("f.confidence") for c in names if c != "item_id"]
+        found = found.unionByName(good.select(F.lit(n).alias("wave"), "turn", "pos", "thread_key", F.col("id").alias("item_id"), *clean))
+        ids = lambda *o: outcome.where(F.col("outcome").isin(*o)).select("id")
+        after = queue.mark(queue.mark(queue.mark(after, ids("judged", "capped"), "done"), ids("failed"), "failed"), ids("skipped"), "ready")
+        # Items are read while their next version is written, so versions of a run lie side by side.
+        items = state.staged(f"items/v{v}/{n}", queue.after_model_error(after, ids("error")))
+        streak, aborted = error_state(outcome.join(ready.select("id", "turn"), "id"), streak, p.max_errors)
+        if left is not None:
+            left -= outcome.where("outcome in ('judged', 'failed')").count()
+    return items, found, log, aborted
+
+
+def error_state(outcome: DataFrame, carried: int, limit: int) -> tuple[int, bool]:
+    """(errors in a row at the end of a wave, whether the run is to be given up), in turn order and with those carried
+    from the wave before. Retired items neither count nor end a row; a skipped one says that a task gave up."""
+    events = outcome.select("turn", F.when(F.col("outcome") == "error", "error").when(F.col("outcome").isin("judged", "failed"), "success").otherwise("other").alias("outcome"))
+    before = outcome.sparkSession.range(carried).select(F.struct(F.lit(-1).cast("long").alias("cycle"), F.lit("").alias("source"), F.col("id").alias("rn")).alias("turn"), F.lit("error").alias("outcome"))
+    # A wave's rows are bounded by its size.
+    runs = queue.error_streaks(events.unionByName(before).withColumn("_all", F.lit(0)), ["_all"], ["turn"], limit=limit)
+    last = events.where("outcome = 'success'").count()
+    got = runs.agg(F.max("errors").alias("most"), F.max(F.when(F.col("island") == last, F.col("errors"))).alias("tail")).first()
+    given_up = not outcome.where("outcome = 'skipped'").isEmpty()
+    return got["tail"] or 0, given_up or (got["most"] or 0) >= limit
+
 
+def run(
+    state: State, fetched: DataFrame | None, now: str, m: Models | None = None, p: Parameters | None = None, synthesis: Callable[[str], str] | None = None,
+    digests: str | None = None, reader_of: Callable = registry.reader_of, clock: Callable[[], float] = time.monotonic,
+) -> State:
+    """One night; returns the state with the next version.
 
-def run(state: State, fetched: DataFrame, now: str, m: Models | None = None, p: Parameters | None = None, synthesis: Callable[[str], str] | None = None) -> State:
-    """One night over fetched items; returns the state with the next version."""
-    m, p, spark, v = m or Models(), p or Parameters(), state.spark, state.version + 1
+    ``fetched`` None reads the state's enabled sources, each by itself, and moves the watermarks of those read to the
+    night's start once judging went through. Embedding, clustering, ranking and the digest may fail without losing the
+    night: their errors go to the run's row, and the next night takes up what they left. With ``digests`` the digest is
+    written there. A silent model host ends the run with ``Aborted`` after what was judged is stored.
+    """
+    m, p, spark, v, began = m or Models(), p or Parameters(), state.spark, state.version + 1, clock()
     at = F.lit(now).cast("timestamp")
-    items = state.write("items", ingest(state, fetched, at), v)
-    decided = dedupe.decide(items)
-    # A version is read while the next one is written, so each stage has a folder of its own.
-    items = _staged(state, f"items-deduped/v{v}", tables.set_state(items, decided))
-    items, new = judge(items, m, at, p.batch)
-    old = state.read("findings")
-    new = _staged(state, f"findings-new/v{v}", models.embed(tables.with_ids(old, new.withColumns({"embedding": F.lit(None).cast("array<float>"), "cluster_id": F.lit(None).cast("long")}), [F.col("item_id"), F.col("pos")]), m.embedder))
+    preflight(m)
+    read, errors = [], []
+    if fetched is None:
+        fetched, read, errors = fetch(state, v, now, p, reader_of)
+    items = state.staged(f"ingested/v{v}", ingest(state, fetched, at))
+    inserted = items.join(state.read("items").select("id"), "id", "left_anti")
+    items = state.staged(f"deduped/v{v}", tables.set_state(items, dedupe.decide(items)))
+    items, found, log, aborted = judge(state, v, items, m, p, at, clock)
     items = state.write("items", items, v)
-    known = state.read("clusters")
-    folded = _staged(state, f"folded/v{v}", clusters.greedy(new, known, p.merge, p.low, m.same))
-    founded = tables.with_ids(known, clusters.new_clusters(folded, new, at), [-F.col("cluster_key")])
-    key = founded.select("cluster_key", F.col("id").alias("_new"))
-    named = folded.join(key, "cluster_key", "left").select("id", F.coalesce("_new", "cluster_key").alias("_cluster"))
-    new = new.join(named, "id").withColumn("cluster_id", F.col("_cluster")).drop("_cluster")
-    findings = state.write("findings", old.unionByName(new.select(*old.columns)), v)
-    seen = clusters.with_source(findings.join(new.select("id"), "id", "left_semi"), items).select("id", "cluster_id", "source", F.to_date(at).alias("seen_on"))
-    stored = state.read("mentions")
-    fresh = clusters.new_mentions(seen, stored, ["id"]).where("is_new")
-    mentions = state.write("mentions", stored.unionByName(tables.with_ids(stored, fresh.select("cluster_id", "source", "seen_on"), [F.col("cluster_id"), F.col("source")]).select(*stored.columns)), v)
-    all_clusters = known.unionByName(founded.drop("cluster_key"), allowMissingColumns=True).withColumns({"muted": F.coalesce("muted", F.lit(False)), "pinned": F.coalesce("pinned", F.lit(False))})
-    scored = ranking.score_clusters(clusters.record_mentions(all_clusters, mentions.join(stored.select("id"), "id", "left_anti"), at), at)
-    state.write("clusters", scored, v)
-    runs = state.read("runs")
-    row = tables.run_row(v, at, at, fetched, new, spark.createDataFrame([], "source string, error string"))
-    state.write("runs", runs.unionByName(row), v)
+    state.staged(f"log/v{v}", log)
+    old = state.read("findings")
+    bare = found.withColumns({"created_at": at, "embedding": F.lit(None).cast("array<float>"), "cluster_id": F.lit(None).cast("long")})
+    new = state.staged(f"findings-new/v{v}", tables.with_ids(old, bare, [F.col(c) for c in ("wave", "turn.cycle", "turn.source", "turn.rn", "pos")]).select(*old.columns))
+    findings = state.staged(f"findings/v{v}", old.unionByName(new))
+    sources, known = state.read("sources"), state.read("clusters")
+    made = {"findings": findings, "clusters": known, "mentions": state.read("mentions")}
+    if aborted:
+        errors.append(("judge", "the model host stayed silent"))
+    else:
+        started = spark.createDataFrame([(name,) for name in read], "name string").withColumn("started_at", at)
+        sources = tables.advance_watermarks(sources, started)
+        made, failed = grown(state, v, made, items, m, p, at)
+        errors += failed
+    state.write("sources", sources, v)
+    for table, df in made.items():
+        state.write(table, df, v)
     after = State(spark, state.root, v)
-    if synthesis is not None:
-        digest(after, at, p, synthesis)
+    if synthesis is not None and not aborted:
+        try:
+            text = digest(after, at, p, synthesis)
+            if digests is not None:
+                rendering.save_text(text, digests, f"{now[:10]}.md")
+        except Exception as error:  # noqa: BLE001  a digest must not lose an otherwise good night
+            errors.append(("synthesis", f"{type(error).__name__}: {error}"))
+    end = F.timestamp_seconds(F.unix_timestamp(at) + int(clock() - began))
+    problems = spark.createDataFrame(errors, "source string, error string")
+    state.write("runs", state.read("runs").unionByName(tables.run_row(v, at, None if aborted else end, inserted, new, problems)), v)
+    state.completed(v)
+    if aborted:
+        raise Aborted("the model host stayed silent", after)
     return after
 
 
-def _staged(state: State, name: str, df: DataFrame) -> DataFrame:
-    path = f"{state.root}/{name}"
-    df.write.mode("overwrite").parquet(path)
-    return state.spark.read.schema(df.schema).parquet(path)
+def grown(state: State, v: int, made: dict[str, DataFrame], items: DataFrame, m: Models, p: Parameters, at) -> tuple[dict[str, DataFrame], list[tuple[str, str]]]:
+    """Findings, clusters and mentions after embedding, clustering and ranking, and the stages that failed.
+
+    Each stage takes whatever lacks it, from earlier nights too; a stage that fails leaves its tables as they were.
+    """
+    errors: list[tuple[str, str]] = []
+
+    def attempt(name: str, stage: Callable[[], dict[str, DataFrame]]) -> None:
+        try:
+            made.update(stage())
+        except Exception as error:  # noqa: BLE001  see above
+            errors.append((name, f"{type(error).__name__}: {str(error).splitlines()[0][:300] if str(error) else ''}"))
+
+    def embedded():
+        return {"findings": state.staged(f"findings-embedded/v{v}", models.embed(made["findings"], m.embedder))}
+
+    def clustered():
+        findings, known, stored = made["findings"], made["clusters"], made["mentions"]
+        open_ = clusters.unclustered(findings)
+        folded = state.staged(f"folded/v{v}", clusters.greedy(open_, known, p.merge, p.low, m.same))
+        founded = tables.with_ids(known, clusters.new_clusters(folded, findings, at), [-F.col("cluster_key")])
+        key = founded.select("cluster_key", F.col("id").alias("_new"))
+        named = state.staged(f"named/v{v}", folded.join(key, "cluster_key", "left").select("id", F.coalesce("_new", "cluster_key").alias("_cluster")))
+        findings = findings.join(named, "id", "left").withColumn("cluster_id", F.coalesce("cluster_id", "_cluster")).select(*findings.columns)
+        findings = state.staged(f"findings-clustered/v{v}", findings)
+        seen = clusters.with_source(findings.join(named.select("id"), "id", "left_semi"), items).select("id", "cluster_id", "source", F.to_date(at).alias("seen_on"))
+        fresh = clusters.new_mentions(seen, stored, ["id"]).where("is_new").select("cluster_id", "source", "seen_on")
+        fresh = state.staged(f"mentions-new/v{v}", tables.with_ids(stored, fresh, [F.col("cluster_id"), F.col("source")]).select(*stored.columns))
+        every = known.unionByName(founded.drop("cluster_key"), allowMissingColumns=True).withColumns({"muted": F.coalesce("muted", F.lit(False)), "pinned": F.coalesce("pinned", F.lit(False))})
+        counted = state.staged(f"clusters/v{v}", clusters.record_mentions(every, fresh, at))
+        return {"findings": findings, "mentions": stored.unionByName(fresh), "clusters": counted}
+
+    attempt("embed", embedded)
+    attempt("cluster", clustered)
+    attempt("rank", lambda: {"clusters": state.staged(f"ranked/v{v}", ranking.score_clusters(made["clusters"], at))})
+    return made, errors
 
 
 def digest(state: State, now, p: Parameters, synthesis: Callable[[str], str]) -> str:

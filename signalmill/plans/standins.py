@@ -51,9 +51,9 @@ ITEMS = r"""items AS (
 def findings(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("doc_id")
     return load(spark, d, "documents").select(
-        i.alias("id"), F.when(i % 11 != 0, i).alias("item_id"), kind_of(i).alias("kind"), F.substring("text", 1, 60).alias("statement"),
+        i.alias("id"), F.when(i % 11 != 0, i).alias("item_id"), kind_of(i).alias("kind"), F.col("text").alias("statement"),
         F.when(i % 2 == 0, F.concat(F.lit("because "), "lang")).otherwise("").alias("why_it_matters"), "lang",
-        F.when(i % 3 == 0, F.replace(F.substring("text", 5, 40), F.lit("e"), F.lit("E"))).otherwise(F.concat(F.lit("not "), F.substring("text", 1, 30))).alias("evidence_quote"),
+        F.when(i % 3 == 0, F.replace("text", F.lit("e"), F.lit("E"))).otherwise(F.concat(F.lit("not "), "text")).alias("evidence_quote"),
         F.when(i % 13 != 0, F.col("n_chars") % 101 / 100.0).cast("double").alias("confidence"), F.when(i % 19 != 0, i % 150).alias("cluster_id"),
         (now() - F.make_dt_interval(hours=(i % 48).cast("int"))).alias("created_at"),
     ).withColumnRenamed("lang", "domain")
@@ -61,9 +61,9 @@ def findings(spark: SparkSession, d: str) -> DataFrame:
 
 FINDINGS = """findings AS (
   SELECT doc_id AS id, CASE WHEN doc_id % 11 <> 0 THEN doc_id END AS item_id,
-         ['pain', 'build', 'signal', 'research', 'read', 'pattern', 'oddity'][doc_id % 7 + 1] AS kind, substring(text, 1, 60) AS statement,
+         ['pain', 'build', 'signal', 'research', 'read', 'pattern', 'oddity'][doc_id % 7 + 1] AS kind, text AS statement,
          CASE WHEN doc_id % 2 = 0 THEN 'because ' || lang ELSE '' END AS why_it_matters, lang AS domain,
-         CASE WHEN doc_id % 3 = 0 THEN replace(substring(text, 5, 40), 'e', 'E') ELSE 'not ' || substring(text, 1, 30) END AS evidence_quote,
+         CASE WHEN doc_id % 3 = 0 THEN replace(text, 'e', 'E') ELSE 'not ' || text END AS evidence_quote,
          CASE WHEN doc_id % 13 <> 0 THEN (n_chars % 101) / 100.0::DOUBLE END AS confidence, CASE WHEN doc_id % 19 <> 0 THEN doc_id % 150 END AS cluster_id,
          TIMESTAMP '2024-01-31 00:00:00' - to_hours(CAST(doc_id % 48 AS INTEGER)) AS created_at
   FROM documents)"""
