@@ -2,17 +2,21 @@
 
 Base spans are the fixed patterns' matches. Their values, a bounded sample labelled by kind, train one probabilistic
 automaton a kind: a prefix tree of the values, whose statistically compatible states are merged (Hoeffding bound on the
-frequencies of each symbol and of ending, recursively), most frequent states first. Every other credential-like run of
-each text is then a candidate, scored by its likelihood under the automata against a character model of ordinary
-runs; what an automaton accepts with enough bits to spare becomes a further span.
+frequencies of each symbol and of ending, recursively; states in one of which every value ends and in the other none do not
+merge, however few their visits), most frequent states first. Every other credential-like run of
+each text is then a candidate, scored by its likelihood under the automata against a model of ordinary runs: how the run is
+cased, and which characters follow each other, case aside. What an automaton accepts with ``spare_bits`` bits to spare
+becomes a further span; by the model of ordinary runs, at most one in 2^spare_bits of them would. A run that is one
+word or number to that model's eye (its letters all of one case, or capitalised, without digits) is scored like any other.
 
 Scale: two narrow passes over the texts. The sample is one value for each of ``sample`` hash buckets and kind, a plain
 aggregate with map-side combine, so it is bounded, uniform over distinct values and the same for any partitioning. The
-character model of ordinary runs counts all candidates, by at most one row a character and batch.
+model of ordinary runs counts all candidates: a row for each case pattern and pair of characters, some 2,000 in all.
 
-Defined results: null or empty text has no spans; repeated rows each give a row; a kind with fewer than ``least``
-sampled values has no automaton; values over ``LONGEST`` characters are base spans but do not train; candidates of every
-length are scored; other columns are ignored.
+Defined results: null or empty text has no spans; repeated rows each give a row; of texts of any length all candidates are
+scored, in time linear in their length; spans are ordered by start, then kind; a kind with fewer than ``least`` sampled
+values has no automaton; values over ``LONGEST`` characters are base spans but do not train; an empty table gives no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,8 +24,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +45,7 @@ _RUN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
 #: Candidates have the alphabet and least length of assigned values and any length; a part holds no separator.
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{8,}")
 _PART = re.compile(r"[A-Za-z0-9+/_-]{8,}")
+_KNOWN = 100_000
 #: Longest value in the labelled sample that trains an automaton, so that the driver's prefix tree is bounded.
 LONGEST = 256
 
@@ -57,9 +64,20 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 
 
 def candidates(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Maximal credential-like runs that overlap no base span, and the parts without separators of the others that do not."""
+    """Maximal credential-like runs that overlap no base span, and the parts without separators of the others that do not.
+
+    ``taken`` are the base spans by start; they are merged into disjoint ones, among which each run is looked up.
+    """
+    if not taken:
+        return [m.span() for m in _CANDIDATE.finditer(text)]
+    starts, ends = [], []
+    for x, y in taken:
+        if ends and x <= ends[-1]:
+            ends[-1] = max(ends[-1], y)
+        else:
+            starts.append(x), ends.append(y)
+    free = lambda a, b: (i := bisect_left(starts, b)) == 0 or ends[i - 1] <= a
     out = []
-    free = lambda a, b: not any(a < y and x < b for x, y in taken)
     for m in _CANDIDATE.finditer(text):
         a, b = m.span()
         if free(a, b):
@@ -69,33 +87,46 @@ def candidates(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]
     return out
 
 
-def learned_spans(text: str, a: int, b: int, grammar: Grammar) -> list[tuple[int, int, str]]:
+def learned_spans(run: str, grammar: Grammar) -> list[tuple[int, int, str]]:
     """(start, end, kind) within a candidate: the whole run, without separators around it, what follows its last inner
     "=", or each of its parts without separators, whichever first has a learned format."""
+    known = grammar.known
+    if run in known:
+        return known[run]
+    x, y = len(run) - len(run.lstrip(".=")), len(run.rstrip(".="))
+    inner = run.rfind("=", 0, y) + 1
+    out: list[tuple[int, int, str]] = []
     tried = set()
-    run = text[a:b]
-    x, y = b - len(run.lstrip(".=")), a + len(run.rstrip(".="))
-    for span in ((a, b), (x, b), (a, y), (x, y), (text.rfind("=", a, y) + 1 or a, b), (text.rfind("=", a, y) + 1 or a, y)):
-        if span not in tried and span[1] - span[0] >= LEAST_VALUE and (kind := grammar.kind(text[slice(*span)])):
-            return [(*span, kind)]
-        tried.add(span)
-    parts = [m.span() for m in _PART.finditer(text, a, b)]
-    return [(*p, kind) for p in parts if p not in tried and (kind := grammar.kind(text[slice(*p)]))]
+    for a, b in ((0, len(run)), (x, len(run)), (0, y), (x, y), (inner, len(run)), (inner, y)):
+        if (a, b) not in tried and b - a >= LEAST_VALUE and (kind := grammar.kind(run[a:b])):
+            out = [(a, b, kind)]
+            break
+        tried.add((a, b))
+    else:
+        parts = [m.span() for m in _PART.finditer(run)]
+        out = [(a, b, kind) for a, b in parts if (a, b) not in tried and (kind := grammar.kind(run[a:b]))]
+    if len(run) <= LONGEST:
+        if len(known) >= _KNOWN:
+            known.clear()
+        known[run] = out
+    return out
 
 
 _HEXES, _UPPER, _LOWER = set("0123456789abcdef"), set("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"), set("0123456789abcdefghijklmnopqrstuvwxyz")
 
 
 def symbols(value: str, prefix: str) -> list[tuple[str, int]]:
-    """(symbol, number of characters it stands for): a learned literal prefix, then the narrowest alphabet or classes."""
+    """(symbol, number of characters it stands for): a learned literal prefix, then the narrowest alphabet of digits and
+    letters of one case if the value has both (or the prefix), else a class a character."""
     n = len(prefix) if value.startswith(prefix) else 0
     rest = value[n:]
     chars = set(rest)
-    if chars <= _HEXES:
+    both = n > 0 or any(c.isdigit() for c in chars) and any(c.isalpha() for c in chars)
+    if both and chars <= _HEXES:
         body = [("x", 16)] * len(rest)
-    elif chars <= _UPPER:
+    elif both and chars <= _UPPER:
         body = [("U", 36)] * len(rest)
-    elif chars <= _LOWER:
+    elif both and chars <= _LOWER:
         body = [("l", 36)] * len(rest)
     else:
         body = [("d", 10) if c.isdigit() else ("a", 26) if c.islower() else ("A", 26) if c.isupper() else (c, 1) for c in rest]
@@ -140,7 +171,9 @@ class Automaton:
         while stack:
             p, q = stack.pop()
             n, m = self.n[p], self.n[q]
-            if self._differ(self.end[p], n, self.end[q], m):
+            ends, stops = self.end[p], self.end[q]
+            # States of few visits differ too if all values end in one and none in the other, so that lengths are kept.
+            if self._differ(ends, n, stops, m) or abs(ends / n - stops / m) == 1:
                 return False
             for sym in self.via[p].keys() | self.via[q].keys():
                 if self._differ(self.via[p].get(sym, 0), n, self.via[q].get(sym, 0), m):
@@ -202,31 +235,96 @@ class Automaton:
         return out + math.log2(self.end[s] / self.n[s]) if self.end[s] else None
 
 
+_FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+_ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
+_CODE = {c: i + 1 for i, c in enumerate(_ALPHABET)}
+#: Case patterns of a run's letters.
+CASES = ("none", "lower", "upper", "capital", "mixed")
+
+
+def case_of(run: str) -> str:
+    """How a run is cased."""
+    if run.islower():
+        return "lower"
+    if run.isupper():
+        return "upper"
+    if not any(map(str.isalpha, run)):
+        return "none"
+    rest = run[1:]
+    return "capital" if run[0].isupper() and rest.islower() else "mixed"
+
+
+class Ordinary:
+    """The model of ordinary runs: counts of case patterns, and of pairs of neighbouring characters, case aside; the ends
+    of a run count as a character."""
+
+    def __init__(self, cases: dict[str, int], pairs: np.ndarray):
+        total = sum(cases.values()) + len(CASES)
+        self.case = {c: math.log2((cases.get(c, 0) + 1) / total) for c in CASES}
+        # One occurrence of each pair is left out, so that a run does not vouch for itself.
+        smooth = np.maximum(pairs - 1, 0) + 0.5
+        self.pair = np.log2(smooth / smooth.sum(1, keepdims=True)).tolist()
+
+    @staticmethod
+    def count(runs: dict[str, int]) -> tuple[Counter, np.ndarray]:
+        """(case patterns, pairs) of runs with their numbers."""
+        cases: Counter = Counter()
+        for run, n in runs.items():
+            cases[case_of(run)] += n
+        size = len(_ALPHABET) + 1
+        raw = np.frombuffer(("\n" + "\n".join(runs) + "\n").translate(_FOLD).encode("ascii"), np.uint8) if runs else np.zeros(0, np.uint8)
+        code = np.zeros(256, np.int64)
+        for c, i in _CODE.items():
+            code[ord(c)] = i
+        at = code[raw]
+        if not len(at):
+            return cases, np.zeros((size, size))
+        # A pair belongs to the run that its first character ends or its second one begins.
+        of_run = np.minimum(np.cumsum(raw == 10) - 1, len(runs) - 1)
+        weight = np.fromiter(runs.values(), np.float64, len(runs))[of_run]
+        return cases, np.bincount(at[:-1] * size + at[1:], weight[:-1], minlength=size * size).reshape(size, size)
+
+    def bits(self, run: str) -> float:
+        """log2 of the probability of an ordinary run."""
+        case = case_of(run)
+        out, last = self.case[case], 0
+        for c in run.translate(_FOLD):
+            code = _CODE[c]
+            out += self.pair[last][code]
+            last = code
+        return out + self.pair[last][0] - (sum(map(str.isalpha, run)) if case == "mixed" else 0)
+
+
 class Grammar:
-    """The automata by kind and the character model of ordinary runs."""
+    """The automata by kind and the model of ordinary runs."""
 
-    def __init__(self, by_kind: dict[str, list[str]], ordinary: list[str] | Counter, least: int = 20, spare_bits: float = 16.0):
+    def __init__(self, by_kind: dict[str, list[str]], ordinary: Ordinary, least: int = 10, spare_bits: float = 20.0):
         self.automata = {k: Automaton(sorted(v)) for k, v in by_kind.items() if len(v) >= least}
-        count = ordinary if isinstance(ordinary, Counter) else Counter("".join(ordinary))
-        total = sum(count.values())
-        self.char = {chr(c): math.log2((count.get(chr(c), 0) + 1) / (total + 128)) for c in range(128)}
-        self.spare_bits = spare_bits
+        self.ordinary, self.spare_bits = ordinary, spare_bits
+        self.known: dict[str, list[tuple[int, int, str]]] = {}
 
-    def kind(self, value: str) -> str | None:
-        """The kind whose format the value has, if its likelihood exceeds that of an ordinary run by ``spare_bits``."""
+    def spare(self, value: str) -> tuple[float, str] | None:
+        """(bits by which the likeliest format exceeds an ordinary run, its kind), none if no automaton accepts the value."""
         got = [(b, k) for k, a in self.automata.items() if (b := a.bits(value)) is not None]
         if not got:
             return None
         best, kind = max(got)
-        return kind if best - sum(self.char[c] for c in value) >= self.spare_bits else None
+        return best - self.ordinary.bits(value), kind
+
+    def kind(self, value: str) -> str | None:
+        """The kind whose format the value has, if its likelihood exceeds that of an ordinary run by ``spare_bits``."""
+        got = self.spare(value)
+        return got[1] if got and got[0] >= self.spare_bits else None
 
 
-def learn(docs: DataFrame, sample: int = 500, least: int = 20) -> Grammar:
-    """The grammar of the whole corpus' base matches, from at most ``sample`` values a kind and the characters of all ordinary runs."""
+def learn(docs: DataFrame, sample: int = 500, least: int = 10) -> Grammar:
+    """The grammar of the whole corpus' base matches, from at most ``sample`` values a kind and the counts of all other runs."""
 
     def run(batches):
+        size = len(_ALPHABET) + 1
         for batch in batches:
-            kinds, values, chars = [], [], Counter()
+            kinds, values = [], []
+            runs: Counter = Counter()
             for text in batch.column(0):
                 text = text.as_py() or ""
                 spans = base_spans(text)
@@ -234,25 +332,30 @@ def learn(docs: DataFrame, sample: int = 500, least: int = 20) -> Grammar:
                     if len(value) <= LONGEST:
                         kinds.append(KINDS[k])
                         values.append(value)
-                for a, b in candidates(text, [(s[0], s[2]) for s in spans]):
-                    chars.update(text[a:b])
-            counts = [0] * len(kinds) + list(chars.values())
-            kinds += ["ordinary"] * len(chars)
-            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array([*values, *chars], pa.string()), pa.array(counts, pa.int64())], names=["kind", "value", "n"])
+                runs.update([text[a:b] for a, b in candidates(text, [(s[0], s[2]) for s in spans])])
+            cases, pairs = Ordinary.count(runs)
+            at = np.flatnonzero(pairs.ravel())
+            counts = [0] * len(kinds) + list(cases.values()) + pairs.ravel()[at].astype(np.int64).tolist()
+            kinds += ["case"] * len(cases) + ["pair"] * len(at)
+            values += [*cases, *(f"{i // size},{i % size}" for i in at.tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(values, pa.string()), pa.array(counts, pa.int64())], names=["kind", "value", "n"])
         release_memory()
 
-    # An ordinary run's character has a row a batch and a bucket of its own.
+    # A count's row has a bucket of its own.
     hashed = docs.select("text").mapInArrow(run, "kind string, value string, n long").withColumn("h", F.xxhash64("value"))
-    bucket = F.when(F.col("kind") == "ordinary", F.ascii("value")).otherwise(F.pmod("h", F.lit(sample)).cast("int"))
+    bucket = F.when(F.col("kind").isin("case", "pair"), F.col("value")).otherwise(F.pmod("h", F.lit(sample)).cast("string"))
     drawn = hashed.groupBy("kind", bucket.alias("bucket")).agg(F.min_by("value", "h").alias("value"), F.sum("n").alias("n")).collect()
     by_kind: dict[str, list[str]] = {}
-    ordinary: Counter = Counter()
+    cases, pairs = {}, np.zeros((len(_ALPHABET) + 1, len(_ALPHABET) + 1))
     for r in drawn:
-        if r["kind"] == "ordinary":
-            ordinary[r["value"]] = r["n"]
+        if r["kind"] == "case":
+            cases[r["value"]] = r["n"]
+        elif r["kind"] == "pair":
+            i, j = map(int, r["value"].split(","))
+            pairs[i, j] = r["n"]
         else:
             by_kind.setdefault(r["kind"], []).append(r["value"])
-    return Grammar(by_kind, ordinary, least)
+    return Grammar(by_kind, Ordinary(cases, pairs), least)
 
 
 def all_spans(text: str, grammar: Grammar) -> tuple[list[tuple[int, int, int, str]], list[tuple[int, int, str]]]:
@@ -260,8 +363,8 @@ def all_spans(text: str, grammar: Grammar) -> tuple[list[tuple[int, int, int, st
     base = base_spans(text)
     out = [(s, k, e, KINDS[k]) for s, k, e, _ in base]
     for a, b in candidates(text, [(s, e) for s, _, e, _ in base]):
-        for x, y, kind in learned_spans(text, a, b, grammar):
-            out.append((x, len(KINDS) + KINDS.index(kind), y, "learned_" + kind))
+        for x, y, kind in learned_spans(text[a:b], grammar):
+            out.append((a + x, len(KINDS) + KINDS.index(kind), a + y, "learned_" + kind))
     return base, [(s, e, name) for s, _, e, name in sorted(out)]
 
 
