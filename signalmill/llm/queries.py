@@ -72,23 +72,32 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_substrings, op2_revisits, op3_secrets, op4_pack, op5_token_counts, op6_simhash, op7_permutation, op8_quality, op9_toxicity, op10_decontaminate)}
 
 
+# The canonical URL is taken apart by places here, not by the operator's expressions.
 OP2_SQL = r"""
 WITH p AS (
-  SELECT page_id, url, md5(coalesce(html, '')) AS digest, page_id % 5 AS k,
-         'day ' || CAST(page_id // 1440 AS VARCHAR) AS date FROM pages WHERE page_id IS NOT NULL),
+  SELECT page_id, md5(coalesce(html, '')) AS digest, page_id % 5 AS k, DATE '2024-01-01' + CAST(page_id // 1440 AS INTEGER) AS day, substr(url, instr(url, '://') + 3) AS rest,
+         CASE page_id % 16 WHEN 10 THEN substr(url, instr(url, '://') + 3) WHEN 11 THEN 'mailto:p' || (page_id % 5) WHEN 12 THEN '//H.example:80/' || (page_id % 7) || '/'
+              WHEN 13 THEN ' ' WHEN 14 THEN 'other.org/b?utm_x=1' WHEN 15 THEN 'FTP://' || substr(url, instr(url, '://') + 3) ELSE url END AS url
+  FROM pages WHERE page_id IS NOT NULL),
 c AS (
-  SELECT page_id * 2 AS record_id, url, page_id AS ts, 200 AS status, '"' || left(digest, 16) || '"' AS etag, date AS lm, digest, page_id FROM p
+  SELECT page_id * 2 AS record_id, url, page_id AS ts, 200 AS status, '"' || left(digest, 16) || '"' AS etag, day AS lm, digest, page_id FROM p
   UNION ALL
-  SELECT page_id * 2 + 1, regexp_replace(url, '#.*$', '') || '#again', page_id + CASE WHEN k = 4 THEN -1 ELSE 7 END, 304,
+  SELECT page_id * 2 + 1, split_part(url, '#', 1) || '#again', page_id + CASE WHEN k = 4 THEN -1 ELSE 7 END, 304,
          CASE WHEN page_id % 10 = 1 THEN '"other"' WHEN k = 0 THEN '"' || left(digest, 16) || '"' WHEN k = 1 THEN 'W/"' || left(digest, 16) || '"' END,
-         CASE WHEN k = 2 THEN date END, NULL, page_id FROM p),
-b AS (SELECT *, regexp_replace(trim(url), '#.*$', '') AS bare FROM c),
-u AS (
-  SELECT *, regexp_replace(lower(regexp_extract(bare, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)', 1)), ':(80|443)$', '')
-         || regexp_replace(regexp_extract(bare, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*([^?]*)', 1), '/+$', '') AS hp,
-         array_to_string(list_sort(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'),
-           lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|gclid|fbclid|ref)(=|$)'))), '&') AS q FROM b),
-n AS (SELECT *, hp || CASE WHEN q <> '' THEN '?' || q ELSE '' END AS canonical_url FROM u),
+         CASE WHEN k = 2 THEN day END, NULL, page_id FROM p),
+a AS (SELECT *, split_part(trim(url, ' '), '#', 1) AS bare FROM c),
+b AS (SELECT *, CASE WHEN starts_with(bare, '//') THEN '' WHEN instr(bare, '://') > 1 AND length(translate(lower(split_part(bare, '://', 1)), 'abcdefghijklmnopqrstuvwxyz0123456789+.-', '')) = 0 THEN lower(split_part(bare, '://', 1)) END AS scheme FROM a),
+e AS (SELECT *, substr(bare, instr(bare, '//') + 2) AS tail FROM b),
+h AS (SELECT *, split_part(split_part(tail, '?', 1), '/', 1) AS authority, CASE WHEN instr(tail, '?') > 0 THEN substr(tail, instr(tail, '?') + 1) ELSE '' END AS query FROM e),
+g AS (
+  SELECT *, lower(authority) AS low, rtrim(substr(split_part(tail, '?', 1), length(authority) + 1), '/') AS path,
+         array_to_string(list_sort(list_filter(string_split(query, '&'), lambda x: x <> '' AND split_part(x, '=', 1) NOT IN ('gclid', 'fbclid', 'ref')
+           AND NOT (starts_with(x, 'utm_') AND length(split_part(x, '=', 1)) > 4 AND length(translate(substr(split_part(x, '=', 1), 5), 'abcdefghijklmnopqrstuvwxyz', '')) = 0))), '&') AS params FROM h),
+n AS (
+  SELECT *, CASE WHEN scheme IS NULL OR authority = '' THEN nullif(bare, '') ELSE
+         CASE WHEN scheme IN ('', 'http', 'https') THEN '//' ELSE scheme || '://' END
+         || CASE WHEN ends_with(low, ':80') AND scheme IN ('', 'http') THEN left(low, length(low) - 3) WHEN ends_with(low, ':443') AND scheme IN ('', 'https') THEN left(low, length(low) - 4) ELSE low END
+         || path || CASE WHEN params <> '' THEN '?' || params ELSE '' END END AS canonical_url FROM g),
 j AS (
   SELECT r.record_id, r.canonical_url, r.etag, r.lm, r.page_id AS rp, f.record_id AS fid, f.ts AS fts, f.etag AS fetag, f.lm AS flm, f.digest AS fd
   FROM n r LEFT JOIN n f ON f.status = 200 AND f.canonical_url = r.canonical_url AND f.ts < r.ts
@@ -96,7 +105,7 @@ j AS (
   QUALIFY row_number() OVER (PARTITION BY r.record_id ORDER BY f.ts DESC NULLS LAST, f.record_id DESC) = 1),
 s AS (
   SELECT *, CASE WHEN fid IS NULL THEN 'no_earlier'
-    WHEN etag IS NOT NULL THEN CASE WHEN regexp_replace(etag, '^[Ww]/', '') = fetag THEN 'resolved_etag' ELSE 'mismatch' END
+    WHEN etag IS NOT NULL THEN CASE WHEN replace(etag, 'W/', '') = fetag THEN 'resolved_etag' ELSE 'mismatch' END
     WHEN lm IS NOT NULL THEN CASE WHEN lm = flm THEN 'resolved_date' ELSE 'mismatch' END
     ELSE 'resolved_url' END AS state FROM j)
 SELECT record_id, canonical_url, state,

@@ -48,5 +48,42 @@ def test_headers_and_urls(spark):
         (2, "https://ex.org/a?a=1&b=2", 2, 304, 'W/"e"', None, None, {"cache-control": "no-store", "content-length": "0", "etag": 'W/"e"'}, 0),
     ]
     r = R.resolve_revisits(spark.createDataFrame(rows, SCHEMA)).first()
-    assert r.canonical_url == "ex.org/a?a=1&b=2" and r.target_id == 1 and r.digest == "dg"
+    assert r.canonical_url == "//ex.org/a?a=1&b=2" and r.target_id == 1 and r.digest == "dg"
     assert r.headers == {"etag": 'W/"e"', "content-length": "9", "set-cookie": "s", "cache-control": "no-store"}
+
+
+def test_urls_are_told_apart(spark):
+    same = [["http://h/p", "HTTPS://H:443/p/", "//h:80/p", " http://h/p#x"], ["ftp://h:80/p"], ["h/p"], ["other.org/b"], ["mailto:x"], ["mailto:y"], ["/p"], ["http://h:8080/p"], ["http://h:443/p"], ["x?u=http://h/p"], [None, "", "  ", "#x"], ["http://h/p?b=1&a=2", "http://h/p?a=2&gclid=7&b=1"], ["///p"], ["//h2/p\nq"]]
+    rows = [(k, u) for k, urls in enumerate(same) for u in urls]
+    got = spark.createDataFrame(rows, "k int, u string").select("k", R.canonical_url(R.F.col("u")).alias("c")).collect()
+    of: dict = {}
+    for r in got:
+        of.setdefault(r.k, set()).add(r.c)
+    assert all(len(v) == 1 for v in of.values()) and len({next(iter(v)) for v in of.values()}) == len(same) and of[10] == {None}
+    records = [(1, "example.com/a", 1, 200, None, None, "d1", None, 0), (2, "other.org/b", 2, 304, None, None, None, None, 0), (3, "", 1, 200, None, None, "d3", None, 0), (4, "", 2, 304, None, None, None, None, 0), (5, "example.com/a", 3, 304, None, None, None, None, 0)]
+    found = {r.record_id: (r.state, r.target_id) for r in R.resolve_revisits(spark.createDataFrame(records, SCHEMA)).collect()}
+    assert found == {2: ("no_earlier", None), 4: ("no_earlier", None), 5: ("resolved_url", 1)}
+
+
+def test_http_dates_repeated_rows_and_long_values(spark):
+    d = lambda x: (x, "http://h/p", 2, 304, None, x, None, None, 0)
+    long = "http://h/" + "p" * 200_000
+    rows = [(1, "http://h/p", 1, 200, None, "Sun, 06 Nov 1994 08:49:37 GMT", "d", None, 0), (10, "http://h/p", 2, 304, None, "6 Nov 1994 08:49:37 GMT", None, None, 0), (11, "http://h/p", 2, 304, None, "Sun, 06 Nov 1994 08:49:38 GMT", None, None, 0), (12, "http://h/p", 2, 304, None, "junk", None, None, 0)]
+    rows += [rows[1], (20, long, 1, 200, '"e"', None, "d", {"x": "y" * 100_000}, 0), (21, long, 2, 304, '"e"', None, None, None, 0)]
+    got = [(r.record_id, r.state, len(r.headers["x"]) if r.record_id == 21 else 0) for r in R.resolve_revisits(spark.createDataFrame(rows, SCHEMA)).collect()]
+    assert sorted(got) == [(10, "resolved_date", 0), (10, "resolved_date", 0), (11, "mismatch", 0), (12, "mismatch", 0), (21, "resolved_etag", 100_000)]
+
+
+def test_warc_records(spark):
+    head = "WARC/1.1\r\nWARC-Type: {}\r\nWARC-Record-ID: <urn:{}>\r\nWARC-Target-URI: <{}>\r\nWARC-Date: {}\r\n{}\r\n"
+    response = head.format("response", "a", "http://h/p", "2024-01-01T00:00:00Z", "WARC-Payload-Digest: sha1:X\r\n") + 'HTTP/1.1 200 OK\r\nETag: "e"\r\nContent-Type: text/html\r\nX-A: 1\r\nx-a: 2\r\n\r\nbody: text\r\n\r\nmore'
+    profile = "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/{}\r\n"
+    revisit = head.format("revisit", "b", "https://h/p/", "2024-01-02T00:00:00Z", profile.format("server-not-modified")) + 'HTTP/1.1 304 Not Modified\r\nETag: W/"e"\r\n\r\n'
+    other = head.format("revisit", "c", "http://elsewhere/", "2024-01-03T00:00:00Z", profile.format("server-not-modified") + "WARC-Refers-To-Target-URI: http://h/p\r\n")
+    rest = [head.format("revisit", "d", "http://h/p", "2024-01-02T00:00:00Z", profile.format("identical-payload-digest")), head.format("request", "e", "http://h/p", "2024-01-02T00:00:00Z", ""), "junk", "", None, response.replace("200 OK", "500 No").replace("urn:a", "urn:f")]
+    raw = spark.createDataFrame([(r,) for r in [response, revisit, other, *rest]], "record string")
+    records = R.warc_records(raw)
+    assert sorted(r.record_id for r in records.collect()) == ["<urn:a>", "<urn:b>", "<urn:c>"]
+    got = {r.record_id: r for r in R.resolve_revisits(records).collect()}
+    assert (got["<urn:b>"].state, got["<urn:b>"].target_id, got["<urn:b>"].digest) == ("resolved_etag", "<urn:a>", "sha1:X")
+    assert got["<urn:b>"].headers == {"etag": 'W/"e"', "content-type": "text/html", "x-a": "1"} and got["<urn:c>"].state == "resolved_url"
