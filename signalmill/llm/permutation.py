@@ -1,20 +1,25 @@
 """Nearest neighbours by largest inner product through a permutation index.
 
-A vector is represented by the order of the pivots by nearness to it. Each pivot's inverted file posts, for every vector
-of a shard, the pivot's position in that vector's order. A query walks the inverted files of its pivots, sums the
-footrule distance |own position - posted position|, keeps the share of the shard with the least sums and reranks it by
-the exact inner product in double precision. Pivots are spread by farthest-first choice from a bounded sample. Inner
-products are reduced to angles by one extra coordinate sqrt(M^2 - |x|^2), M the largest norm.
-
-Scale: vectors stay where they are read; a task indexes at most ``shard_rows`` of them at a time, every row is
-indexed. Queries are a stated set (ids divisible by ``every``), gathered and broadcast in blocks of about
-``block_rows``; each block gives a shard's ``k`` best ids per query, and the best of all shards are merged per query.
-Identical vectors of a shard are one entry with a list of ids, so copies do not crowd out the candidates.
+A vector is represented by its ``posted`` nearest pivots in order. It is posted, with the pivot's position in that order,
+in the inverted file of each of them; files are sorted by position. A query walks the files of its own ``posted`` nearest
+pivots and sums the footrule distance |own position - posted position|, where a pivot that only one of both has counts
+``posted``. The ``share`` of the vectors with the least distances (``least`` at least) is reranked by the exact inner
+product in double precision. Pivots are spread by farthest-first choice from a bounded sample. Inner products are reduced
+to angles by one extra coordinate sqrt(M^2 - |x|^2), M the largest norm.
+
+Scale: the files are kept by document, not by pivot, so that sums stay where the files are and only results are shuffled:
+distinct vectors are dealt by their hash into parts of about ``part_rows``, and each part's files are built once and
+written, one row a part, to the shared folder. The parts, and so the results, depend on the set of vectors alone, not on
+how it is read. Queries are a stated set (ids divisible by ``every``) and run in blocks of about ``block_rows``; a block is
+broadcast, scans the written files once and is written before the next begins, so driver and executors hold one block. A
+part gives a query its ``k`` best ids, and the best of all parts are merged. Identical vectors are one entry with their
+smallest ids, of which no more than k + 1 can be among a query's neighbours; they are cut on the map side.
 
 Defined results: vectors that are null, empty, zero or hold a null or non-finite component take no part, nor do rows without
 id or with another dimension than most (the smaller of equally frequent); rows that repeat an id and vector count
 once; rows that repeat an id with other vectors are candidates each, and the id's query is the least of them by
-components; other columns are ignored; with no query or no candidate there are no rows.
+components; equal scores go to the smaller id, equal footrule distances to the vector with the smaller first id; other
+columns are ignored; with no query or no candidate, or an empty table, there are no rows.
 """
 
 from __future__ import annotations
@@ -24,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialize, release_memory
+
 
 def usable(rows: DataFrame) -> DataFrame:
     """vec_id and v (array of double) of the rows that take part, before the dimension is known."""
@@ -49,26 +56,52 @@ def augmented(x: np.ndarray, largest: float | None) -> np.ndarray:
     return np.hstack([x, extra[:, None]])
 
 
-class Shard:
-    """Inverted files of the pivots over some vectors."""
+def nearest_pivots(x: np.ndarray, pivots: np.ndarray, m: int) -> np.ndarray:
+    """Per vector its ``m`` nearest pivots, nearest first (ties to the earlier pivot)."""
+    return np.argsort(-(x @ pivots.T), axis=1, kind="stable")[:, :m].astype(np.int32)
+
+
+class Files:
+    """The pivots' inverted files over a part's vectors: nodes and positions, by pivot and position."""
+
+    def __init__(self, x: np.ndarray, ids: np.ndarray, counts: np.ndarray, files: np.ndarray, places: np.ndarray, starts: np.ndarray):
+        self.x, self.ids, self.files, self.places, self.starts = x, ids, files, places, starts
+        self.at = np.concatenate([[0], np.cumsum(counts)])
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, pivots: np.ndarray, largest: float):
-        order = np.argsort(ids, kind="stable")
-        ids, x = ids[order], np.ascontiguousarray(x[order])
-        _, first, group = np.unique(x.view(np.dtype((np.void, x.shape[1] * 8))).ravel(), return_index=True, return_inverse=True)
-        self.x = x[first]
-        by = np.argsort(group, kind="stable")
-        self.ids = np.split(ids[by], np.cumsum(np.bincount(group))[:-1])
-        self.ids = [np.unique(i) for i in self.ids]
-        self.files = np.ascontiguousarray(positions(augmented(self.x, largest), pivots).T)
+    @classmethod
+    def build(cls, x: np.ndarray, ids: list[list[int]], pivots: np.ndarray, largest: float, posted: int) -> Files:
+        order = np.argsort([i[0] for i in ids], kind="stable")
+        x, ids = np.ascontiguousarray(x[order]), [ids[k] for k in order.tolist()]
+        near = nearest_pivots(augmented(x, largest), pivots, posted)
+        width = near.shape[1]
+        by = np.argsort((near.astype(np.int64) * width + np.arange(width)).ravel(), kind="stable")
+        starts = np.concatenate([[0], np.cumsum(np.bincount(near.ravel(), minlength=len(pivots)))])
+        return cls(x, np.concatenate(ids), np.array([len(i) for i in ids]), (by // width).astype(np.int32), (by % width).astype(np.int32), starts)
 
-    def nearest(self, query_id: int, q: np.ndarray, where: np.ndarray, k: int, share: float, least: int) -> list[tuple[int, float]]:
+    def pack(self) -> list[bytes]:
+        """The arrays as bytes; ``unpack`` reads them."""
+        return [a.astype(t).tobytes() for a, t in zip((self.x, self.ids, np.diff(self.at), self.files, self.places, self.starts), ("<f8", "<i8", "<i8", "<i4", "<i4", "<i8"))]
+
+    @classmethod
+    def unpack(cls, raw: list[bytes], width: int) -> Files:
+        x, ids, counts, files, places, starts = (np.frombuffer(b, t) for b, t in zip(raw, ("<f8", "<i8", "<i8", "<i4", "<i4", "<i8")))
+        return cls(x.reshape(-1, width), ids, counts, files, places, starts)
+
+    def agreement(self, near: np.ndarray) -> np.ndarray:
+        """Per vector what its footrule distance to a query of these nearest pivots lacks to that of no common pivot."""
+        out, m = np.zeros(len(self.x), np.int32), len(near)
+        for j, p in enumerate(near.tolist()):
+            a, b = self.starts[p], self.starts[p + 1]
+            out[self.files[a:b]] += m - np.abs(self.places[a:b] - j)
+        return out
+
+    def nearest(self, query_id: int, q: np.ndarray, near: np.ndarray, k: int, share: float, least: int) -> list[tuple[int, float]]:
         """The query's ``k`` best (id, score) among the vectors with the least footrule distances."""
         n = len(self.x)
         keep = min(n, max(least, k + 1, int(np.ceil(share * n))))
-        footrule = np.abs(self.files - where[:, None]).sum(0, dtype=np.int32) if keep < n else None
+        order = np.argsort(-self.agreement(near), kind="stable") if keep < n else np.arange(n)
         while True:
-            some = np.argpartition(footrule, keep - 1)[:keep] if keep < n else np.arange(n)
+            some = order[:keep]
             score = (self.x[some] * q).sum(1)
             best: dict[int, float] = {}
             last = float("inf")
@@ -77,31 +110,19 @@ class Shard:
                 s = float(score[x])
                 if len(best) >= k and s < last:
                     break
-                new = 0
-                for i in self.ids[some[x]].tolist():
+                node = some[x]
+                for i in self.ids[self.at[node] : self.at[node + 1]].tolist():
                     if i != query_id and i not in best:
                         best[i] = last = s
-                        new += 1
-                        if new == k:
-                            break
             if len(best) >= k or keep == n:
                 return sorted(best.items(), key=lambda r: (-r[1], r[0]))[:k]
             keep = min(n, 2 * keep)
 
 
-def positions(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    """Per vector the position of each pivot in its order by nearness (ties to the earlier pivot)."""
-    order = np.argsort(-(x @ pivots.T), axis=1, kind="stable")
-    kind = np.int8 if len(pivots) <= 128 else np.int16
-    out = np.empty(order.shape, kind)
-    np.put_along_axis(out, order, np.arange(len(pivots), dtype=kind)[None, :].repeat(len(x), 0), 1)
-    return out
-
-
 def nearest_neighbours(
-    rows: DataFrame, k: int = 20, every: int = 20, n_pivots: int = 128, share: float = 0.15, least: int = 256, sample: int = 4096, shard_rows: int = 65_536, block_rows: int = 8_192
+    rows: DataFrame, k: int = 20, every: int = 20, n_pivots: int = 256, posted: int = 64, share: float = 0.2, least: int = 512, sample: int = 4096, part_rows: int = 8_192, block_rows: int = 8_192
 ) -> DataFrame:
-    """query_id, rank, vec_id, score. ``sample`` bounds the pivots' source, ``least`` a shard's candidates from below."""
+    """query_id, rank, vec_id, score. ``sample`` bounds the pivots' source, ``least`` a part's candidates from below."""
     spark = rows.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
     every_row = usable(rows)
@@ -109,56 +130,78 @@ def nearest_neighbours(
     main = sizes.orderBy(F.desc("n"), "d").first()
     if main is None:
         return spark.createDataFrame([], schema)
-    vectors = every_row.where(F.size("v") == main["d"])
-    h = F.xxhash64("vec_id")
+    width, largest = main["d"], float(main["m"])
+    vectors = every_row.where(F.size("v") == width)
+    h = F.xxhash64("v")
     drawn = vectors.groupBy(F.pmod(h, F.lit(sample)).alias("b")).agg(F.min_by("v", F.struct(h, "v")).alias("v")).orderBy("b").collect()
-    largest = float(main["m"])
     pivots = spread_pivots(augmented(np.array([r["v"] for r in drawn]), largest), n_pivots)
-
-    asked = vectors.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
+    asked = materialize(vectors.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v")), "op7-asked")
     n_asked = asked.count()
+    if n_asked == 0:
+        return spark.createDataFrame([], schema)
+    files = index(vectors, pivots, largest, k, posted, part_rows)
     blocks = max(1, -(-n_asked // block_rows))
-    parts = []
+    found = []
     for b in range(blocks):
         some = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).orderBy("vec_id").collect()
         if some:
-            q = np.array([r["v"] for r in some])
-            parts.append(_searched(vectors, np.array([r["vec_id"] for r in some]), q, pivots, largest, k, share, least, shard_rows))
-    if not parts:
-        return spark.createDataFrame([], schema)
-    best = parts[0]
-    for p in parts[1:]:
-        best = best.union(p)
+            found.append(materialize(_searched(files, np.array([r["vec_id"] for r in some]), np.array([r["v"] for r in some]), pivots, k, posted, share, least), "op7-found"))
+    best = found[0]
+    for f in found[1:]:
+        best = best.union(f)
     best = best.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _searched(vectors: DataFrame, ids: np.ndarray, q: np.ndarray, pivots: np.ndarray, largest: float, k: int, share: float, least: int, shard_rows: int) -> DataFrame:
-    """Each shard's ``k`` best for each query of a block."""
-    shared = vectors.sparkSession.sparkContext.broadcast((ids, q, positions(augmented(q, None), pivots), pivots))
+def index(vectors: DataFrame, pivots: np.ndarray, largest: float, k: int, posted: int, part_rows: int) -> DataFrame:
+    """The written inverted files, one row a part: x, ids, counts, files, places, starts as bytes."""
+    # Row numbers up to a limit are cut before the shuffle too, so a vector with a third of all ids is no hot group.
+    copy = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
+    few = vectors.distinct().withColumn("_n", copy).where(F.col("_n") <= k + 1)
+    nodes = materialize(few.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")), "op7-nodes")
+    parts = max(1, -(-nodes.count() // part_rows))
+    dealt = nodes.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(parts)).cast("int")).repartition(parts, "part").sortWithinPartitions("part")
+    shared = vectors.sparkSession.sparkContext.broadcast(pivots)
+    names = ("x", "ids", "counts", "files", "places", "starts")
+
+    def made(held):
+        x = np.concatenate([b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) for b in held])
+        raw = Files.build(x, [i for b in held for i in b.column(1).to_pylist()], shared.value, largest, posted).pack()
+        return pa.RecordBatch.from_arrays([pa.array([r], pa.binary()) for r in raw], names=list(names))
+
+    def run(batches):
+        # A part's rows follow each other; a batch is cut where the part changes.
+        held, part = [], None
+        for batch in batches:
+            number = batch.column(2).to_numpy(zero_copy_only=False)
+            at = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), len(number)] if len(number) else []
+            for a, b in zip(at, at[1:]):
+                if held and number[a] != part:
+                    yield made(held)
+                    held = []
+                part = number[a]
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield made(held)
+        release_memory()
+
+    return materialize(dealt.select("v", "ids", "part").mapInArrow(run, ", ".join(f"{n} binary" for n in names)), "op7-files")
+
 
-    def search(held_ids, held):
-        ids, q, where, pivots = shared.value
-        shard = Shard(np.concatenate(held_ids), np.concatenate(held), pivots, largest)
-        out = [(i, v, s) for i, x, w in zip(ids.tolist(), q, where) for v, s in shard.nearest(i, x, w, k, share, least)]
-        cols = list(zip(*out)) or [(), (), ()]
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], names=["query_id", "vec_id", "score"])
+def _searched(files: DataFrame, ids: np.ndarray, q: np.ndarray, pivots: np.ndarray, k: int, posted: int, share: float, least: int) -> DataFrame:
+    """Each part's ``k`` best for each query of a block."""
+    shared = files.sparkSession.sparkContext.broadcast((ids, q, nearest_pivots(augmented(q, None), pivots, posted)))
 
     def run(batches):
-        held_ids, held, n = [], [], 0
+        ids, q, near = shared.value
         for batch in batches:
-            for a in range(0, batch.num_rows, shard_rows):
-                part = batch.slice(a, shard_rows)
-                if part.num_rows == 0:
-                    continue
-                if n and n + part.num_rows > shard_rows:
-                    yield search(held_ids, held)
-                    held_ids, held, n = [], [], 0
-                held_ids.append(part.column(0).to_numpy(zero_copy_only=False))
-                held.append(part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1))
-                n += part.num_rows
-        if n:
-            yield search(held_ids, held)
-
-    return vectors.mapInArrow(run, "query_id long, vec_id long, score double")
+            for raw in zip(*(c.to_pylist() for c in batch.columns)):
+                part = Files.unpack(raw, q.shape[1])
+                out = [(i, v, s) for i, x, m in zip(ids.tolist(), q, near) for v, s in part.nearest(i, x, m, k, share, least)]
+                cols = list(zip(*out)) or [(), (), ()]
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], names=["query_id", "vec_id", "score"])
+        release_memory()
+
+    # A row is a whole part, so each is a task's work.
+    return files.repartition(files.count()).mapInArrow(run, "query_id long, vec_id long, score double")
