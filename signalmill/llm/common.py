@@ -76,17 +76,23 @@ def utf8(text: str | None) -> bytes:
     return text.encode("utf-8", "surrogatepass") if text else b""
 
 
-def components(edges: DataFrame, tag: str, max_rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame, tag: str) -> DataFrame:
     """Connected components of ``edges`` (a, b longs) as (node, root), root the smallest node of its component.
 
     Alternating large-star and small-star rounds; each is two shuffles of at most as many rows as there are edges, so
     a star with a hot centre stays a plain aggregate. Every round is written to the shared folder. Nulls and self
-    loops are dropped; a node without a proper edge has no row.
+    loops are dropped; a node without a proper edge has no row. Rounds go on until the edges stay the same, which is told by
+    their number and the sum of their hashes.
     """
+
+    def state(df: DataFrame):
+        return df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)"))).first()
+
     now = materialize(
         edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), f"{tag}-cc"
     )
-    for _ in range(max_rounds):
+    before = state(now)
+    while True:
         # Large star: each node's larger neighbours are hung on its smallest neighbour (or itself).
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
@@ -95,12 +101,11 @@ def components(edges: DataFrame, tag: str, max_rounds: int = 64) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
         nxt = materialize(small.where("a > b").distinct(), f"{tag}-cc")
-        same = nxt.exceptAll(now).isEmpty() and now.exceptAll(nxt).isEmpty()
-        now = nxt
-        if same:
+        now, after = nxt, state(nxt)
+        if after == before:
             roots = now.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
             return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
-    raise RuntimeError("components did not settle")
+        before = after
 
 
 def release_memory() -> None:

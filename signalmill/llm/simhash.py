@@ -7,14 +7,16 @@ pairs that meet, the shared positional bytes are tallied, pairs below the minimu
 
 Scale: texts are hashed in one narrow pass; equal fingerprints are one node from then on, so groups of exact copies
 cost one row. A list key has 24 bits and its position triple, and each node has 20 postings: about 20 n^2 / 2^25 pairs
-for n nodes, below 10 per node at 10^7. A list of at most ``list_limit`` nodes is compared inside one task, which
-emits a spanning forest, not pairs. Longer lists (dense neighbourhoods) take an exact linear way instead: fingerprints
-link exactly if a third word lies within 2 bits of both, so each member emits its 2,081 neighbours and all that meet
-at one are linked through the smallest. Components are found by distributed star rounds.
+for n nodes, below 10 per node at 10^7. Lists of any length are read in the same way; one of more than ``list_limit``
+nodes is only dealt differently, without loss: its members are posted again by each further byte (a pair that counts
+shares four, so one beside the triple), and a list that is still longer is dealt in pairs of blocks, so that no task
+holds more than ``list_limit`` nodes of a list. A task emits a spanning forest, not pairs. Components are found by
+distributed star rounds.
 
 Defined results: null, empty or wordless text has fingerprint 0, linked like any other; fewer words than a shingle are
-one shingle; a null ``doc_id`` takes part in links and its component_id is the smallest non-null id reachable, null if
-there is none; repeated rows each give a row; other columns are ignored.
+one shingle; a text of any length is hashed whole, in bounded steps; a null ``doc_id`` takes part in links and its
+component_id is the smallest non-null id reachable, null if there is none; repeated rows each give a row; an empty table
+gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -115,19 +117,41 @@ def forest(fps: np.ndarray, bits: int = BITS, minimum: int = 4) -> list[tuple[in
     return out
 
 
-def _around(fp: np.ndarray) -> np.ndarray:
-    """All words within 2 bits, a row of 2,081 for each fingerprint."""
-    one = np.uint64(1) << np.arange(64, dtype=np.uint64)
-    a, b = np.triu_indices(64, 1)
-    flips = np.concatenate([np.zeros(1, np.uint64), one, one[a] ^ one[b]])
-    return (fp.view(np.uint64)[:, None] ^ flips[None, :]).view(np.int64)
+def _closer(nodes: DataFrame) -> DataFrame:
+    """(key, fp) of postings (key, fp) of long lists, posted again by each byte beside the key's triple.
+
+    The new key names the triple, the further position, and all four bytes.
+    """
+    further = []
+    for k, triple in enumerate(covering_triples()):
+        number = F.shiftrightunsigned("key", 24)
+        for p in range(8):
+            if p not in triple:
+                further.append(F.when(number == k, F.lit((k * 8 + p) << 32).cast("long") + F.shiftleft(F.col("key").bitwiseAND(F.lit(0xFFFFFF)), 8) + _byte(p)))
+    return nodes.select("fp", F.explode(F.filter(F.array(*further), lambda x: x.isNotNull())).alias("key"))
+
+
+def _dealt(lists: DataFrame, limit: int) -> DataFrame:
+    """fps of each pair of blocks of each list (key, n, fp), blocks of about half the limit; a short list is one block."""
+    blocks = F.when(F.col("n") <= limit, 1).otherwise(F.ceil(F.col("n") / (limit // 2))).cast("int")
+    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.least(b, "own").alias("x"), F.greatest(b, "own").alias("y")))
+    spread = lists.withColumn("blocks", blocks).withColumn("own", own).select("key", "fp", F.explode(pairs).alias("pair"))
+    return spread.groupBy("key", "pair").agg(F.collect_list("fp").alias("fps")).select("fps")
 
 
-def fingerprint_links(nodes: DataFrame, list_limit: int = 256) -> DataFrame:
+def fingerprint_links(nodes: DataFrame, list_limit: int = 4096) -> DataFrame:
     """Links (a, b) between distinct fingerprints (fp) that connect exactly what lies within 4 bits of each other."""
-    lists = materialize(_postings(nodes).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "op6-lists")
+
+    def counted(postings: DataFrame, tag: str) -> DataFrame:
+        return materialize(postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), tag)
+
+    lists = counted(_postings(nodes), "op6-lists")
     met = _postings(nodes).join(lists, "key")
-    short = met.where(F.col("n") <= list_limit).groupBy("key").agg(F.collect_list("fp").alias("fps"))
+    read = met.where(F.col("n") <= list_limit).select("key", "n", "fp")
+    if not lists.where(F.col("n") > list_limit).isEmpty():
+        closer = materialize(_closer(met.where(F.col("n") > list_limit).select("key", "fp")), "op6-closer")
+        read = read.union(closer.join(counted(closer, "op6-closer-lists"), "key").select("key", "n", "fp"))
 
     def compare():
         def step(batch: pa.RecordBatch):
@@ -136,26 +160,10 @@ def fingerprint_links(nodes: DataFrame, list_limit: int = 256) -> DataFrame:
 
         return step
 
-    links = arrow_map(short.select("fps"), compare, "a long, b long")
-    if lists.where(F.col("n") > list_limit).isEmpty():
-        return links
-    dense = materialize(met.where(F.col("n") > list_limit).select("fp").distinct(), "op6-dense")
-
-    def neighbours(batches):
-        for batch in batches:
-            fps = batch.column(0).to_numpy(zero_copy_only=False)
-            for k in range(0, len(fps), 256):
-                part = fps[k : k + 256]
-                around = _around(part)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part, around.shape[1])), pa.array(around.ravel())], names=["fp", "mid"])
-
-    mids = dense.mapInArrow(neighbours, "fp long, mid long")
-    least = mids.groupBy("mid").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high").select("mid", "low")
-    far = mids.join(least, "mid").where("fp != low").select(F.col("fp").alias("a"), F.col("low").alias("b")).distinct()
-    return links.union(far)
+    return arrow_map(_dealt(read, list_limit), compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, list_limit: int = 256) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 4, list_limit: int = 4096) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id, fp (the same bits as a signed long), per document row."""
     rows = materialize(fingerprints(docs, shingle), "op6-fp")
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("low"))
@@ -179,12 +187,16 @@ def keep_representatives(docs: DataFrame, shingle: int = 4) -> DataFrame:
     rows = materialize(near_duplicates(docs, shingle).select("doc_id", "component_id", "fp"), "op6-groups").where("doc_id is not null")
     each = rows.groupBy("doc_id").agg(F.min("component_id").alias("low"), F.count(F.lit(1)).alias("n"))
     named = materialize(each.select("doc_id", (F.col("low") != F.col("doc_id")).alias("drop"), (F.col("n") > 1).alias("again")).where("drop or again"), "op6-named")
-    gone = materialize(named.where("drop").select(F.col("doc_id").alias("_gone")), "op6-gone")
-    left = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    # Helper columns take a name that the documents do not have, in whatever case.
+    key = "k"
+    while key in {c.lower() for c in docs.columns}:
+        key += "k"
+    gone = materialize(named.where("drop").select(F.col("doc_id").alias(key)), "op6-gone")
+    left = docs.join(gone, F.col("doc_id") == F.col(key), "left_anti")
     if named.where("again and not drop").isEmpty():
         return left
-    again = materialize(named.where("again and not drop").select(F.col("doc_id").alias("_again")), "op6-again")
-    twice = left.join(again, F.col("doc_id") == F.col("_again"), "left_semi")
+    again = materialize(named.where("again and not drop").select(F.col("doc_id").alias(key)), "op6-again")
+    twice = left.join(again, F.col("doc_id") == F.col(key), "left_semi")
     names = docs.columns
-    least = twice.groupBy("doc_id").agg(F.min_by(F.struct(*names), F.struct(F.xxhash64("text"), F.to_json(F.struct(*names)))).alias("r"))
-    return left.join(again, F.col("doc_id") == F.col("_again"), "left_anti").unionByName(least.select("r.*"))
+    least = twice.groupBy("doc_id").agg(F.min_by(F.struct(*names), F.struct(F.xxhash64("text"), F.to_json(F.struct(*names)))).alias(key))
+    return left.join(again, F.col("doc_id") == F.col(key), "left_anti").unionByName(least.select(f"{key}.*"))

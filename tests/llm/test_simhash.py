@@ -53,7 +53,7 @@ def test_covering_triples_cover_every_four_positions():
     assert all(any(set(t) <= set(q) for t in triples) for q in combinations(range(8), 4))
 
 
-@pytest.mark.parametrize("limit", [256, 2])
+@pytest.mark.parametrize("limit", [4096, 16, 2])
 def test_links_equal_brute_force(spark, limit):
     rng = random.Random(limit)
     centres = [rng.getrandbits(64) for _ in range(6)]
@@ -84,3 +84,23 @@ def test_whole_table_equals_brute_force(spark):
     got = S.near_duplicates(docs).collect()
     assert sorted(((r.doc_id, r.component_id) for r in got), key=str) == want
     assert {r.doc_id: r.fingerprint for r in got} == {r.doc_id: f"{brute_fingerprint(r.text):016x}" for r in docs.collect()}
+
+
+def test_dense_neighbourhoods_equal_brute_force(spark):
+    """A list of far more nodes than the limit, in which four and five bytes are shared by most."""
+    from signalmill.llm.common import components
+
+    rng = random.Random(3)
+    fps = {0x0123456789ABCDEF ^ sum(1 << b for b in rng.sample(range(24), rng.randint(0, 9))) for _ in range(400)}
+    signed = sorted(int(np.uint64(f).view(np.int64)) for f in fps)
+    nodes = spark.createDataFrame([(f,) for f in signed], "fp long")
+    roots = {r.node: r.root for r in components(S.fingerprint_links(nodes, 20), "test").collect()}
+    assert sorted((f, roots.get(f, f)) for f in signed) == sorted(brute_components([(f, f) for f in signed]))
+
+
+def test_representatives_with_clashing_columns(spark):
+    base = " ".join(f"w{i}" for i in range(300))
+    rows = [(5, base, 1), (3, base, 2), (3, base, 1), (None, base, 3), (9, "other words here", 4)]
+    docs = spark.createDataFrame([(*r, "a", "b") for r in rows], "doc_id long, text string, K int, _gone string, kk string")
+    got = S.keep_representatives(docs)
+    assert got.columns == docs.columns and sorted((r.doc_id or -1, r.K) for r in got.collect()) == [(-1, 3), (3, 1), (9, 4)]
