@@ -1,22 +1,30 @@
-"""Benchmark decontamination: one Aho-Corasick automaton over normalised benchmark windows scans each text once.
+"""Benchmark decontamination: one Aho-Corasick automaton over normalised benchmark items scans each text once.
 
 Words are maximal runs of ``[0-9a-z]`` and non-ASCII characters after lower-casing A-Z. A window is ``window``
 consecutive words of a benchmark item, or the whole item if it has fewer words (an item without words has none). A
 document word inside any occurrence of a window is hit.
 
-Scale: the documents are mapped once, without a shuffle. The automaton holds the benchmark only; its texts are gathered
-in blocks of at most ``block_bytes`` normalised bytes, and each block is one more narrow pass over the same rows, so
-the driver and a worker hold one block whatever the benchmark's size. A single item may exceed a block and then has one
-of its own.
+The automaton reads words, numbered by the benchmark's vocabulary. Its patterns are the items' blocks of half a window,
+end to end (a window holds one of them wherever it begins), and the whole of items shorter than a window. A block that is
+met is followed in its item to both sides as far as words agree; what reaches a window's length is hit. So each word of an
+item is in one pattern, not in ``window`` of them, and the automaton is about as long as the benchmark.
 
-Defined results: null or empty text has no words and no hits; null ``item_id`` items are ignored, a null item text has
-no windows; repeated rows each give a row; equal windows of several items count for each item; other columns of either
-input are ignored; with no items every document is clean.
+Scale: the documents are mapped once, without a shuffle. The automaton holds the benchmark only; its texts are gathered
+in blocks of at most ``block_bytes`` bytes, and each block is one more narrow pass over the same rows, so the driver and a
+worker hold one block whatever the benchmark's size (some 50 bytes a byte of text). A worker builds a block's automaton
+once and keeps it for its next tasks. A single item may exceed a block and then has one of its own.
+
+Defined results: null or empty text has no words and no hits; texts of any length are scanned whole; null ``item_id``
+items are ignored, a null item text has no windows; repeated rows each give a row; equal windows of several items count for
+each item, items are listed by their ids as texts; other columns of either input are ignored; with no items every document
+is clean; without documents there are no rows.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
-from .common import release_memory, utf8
+from .common import release_memory, utf8, worker_cache
 
 #: A-Z to a-z, other ASCII that is no digit or lower-case letter to a space, the bytes of other characters kept.
 _WORDS = bytes(
@@ -38,41 +46,70 @@ def words(text: str | None) -> list[bytes]:
     return utf8(text).translate(_WORDS).split()
 
 
-def item_windows(text: str | None, window: int) -> set[tuple[int, str]]:
-    """(number of words, pattern) of an item; patterns have a space on either side, one character per byte."""
-    w = words(text)
-    n = min(window, len(w))
-    return {(n, (b" " + b" ".join(w[i : i + n]) + b" ").decode("latin-1")) for i in range(len(w) - n + 1)} if n else set()
-
-
-def _automaton(items: list[tuple[str, str]], window: int):
-    import ahocorasick
-
-    of: dict[tuple[int, str], set[str]] = {}
-    for item_id, text in items:
-        for key in item_windows(text, window):
-            of.setdefault(key, set()).add(item_id)
-    auto = ahocorasick.Automaton()
-    for (n, pattern), ids in of.items():
-        auto.add_word(pattern, (n, tuple(sorted(ids))))
-    if of:
-        auto.make_automaton()
-    return auto if of else None
-
-
-def _scan(auto, normal: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
-    """Merged [from, to) word intervals that are hit, and the items that occur."""
-    line = b" " + b" ".join(normal) + b" "
-    found = list(auto.iter(line.decode("latin-1")))
-    if not found:
-        return [], set()
-    ordinal = {int(p): k for k, p in enumerate(np.flatnonzero(np.frombuffer(line, np.uint8) == 32))}
-    items: set[str] = set()
-    spans: list[tuple[int, int]] = []
-    for end, (n, ids) in found:
-        items.update(ids)
-        spans.append((ordinal[end] - n, ordinal[end]))
-    return _merge(spans), items
+class Matcher:
+    """The automaton of some items and what is needed to follow its matches."""
+
+    def __init__(self, items: list[tuple[str, str]], window: int):
+        import ahocorasick
+
+        self.window = window
+        self.number: dict[bytes, int] = {}
+        ids: dict[tuple[int, ...], set[str]] = {}
+        for item_id, text in items:
+            words_ = tuple([self.number.setdefault(w, len(self.number) + 1) for w in words(text)])
+            if words_:
+                ids.setdefault(words_, set()).add(item_id)
+        self.items = [array("i", w) for w in ids]
+        self.ids = list(ids.values())
+        half = max(1, window // 2)
+        blocks: dict[tuple[int, ...], list[tuple[int, int]]] = {}
+        for k, w in enumerate(ids):
+            starts = range(0, len(w) - half + 1, half) if len(w) >= window else [0]
+            for a in starts:
+                blocks.setdefault(w[a : a + half] if len(w) >= window else w, []).append((k, a))
+        self.auto = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE) if blocks else None
+        for pattern, places in blocks.items():
+            self.auto.add_word(pattern, (len(pattern), tuple(places)))
+        if blocks:
+            self.auto.make_automaton()
+
+    def scan(self, normal: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
+        """Merged [from, to) word intervals that are hit, and the items that occur."""
+        get = self.number.get
+        text = tuple([get(w, 0) for w in normal])
+        items: set[str] = set()
+        spans: list[tuple[int, int]] = []
+        seen: dict[tuple[int, int], int] = {}
+        for last, (size, places) in self.auto.iter(text) if self.auto is not None and any(text) else ():
+            for k, a in places:
+                item, i = self.items[k], last + 1 - size
+                if len(item) < self.window:
+                    if size == len(item):
+                        spans.append((i, last + 1))
+                        items |= self.ids[k]
+                    continue
+                # One stretch of equal words is followed once, whichever of its blocks is met.
+                if seen.get((k, i - a), -1) > i:
+                    continue
+                s, e, x, y = i, last + 1, a, a + size
+                while s and x and text[s - 1] == item[x - 1]:
+                    s, x = s - 1, x - 1
+                while e < len(text) and y < len(item) and text[e] == item[y]:
+                    e, y = e + 1, y + 1
+                seen[k, i - a] = e
+                if e - s >= self.window:
+                    spans.append((s, e))
+                    items |= self.ids[k]
+        return _merge(spans), items
+
+
+def matcher(key: str, items: list[tuple[str, str]], window: int) -> Matcher:
+    """The process' matcher of a block; one is kept."""
+    cache = worker_cache("matchers")
+    if key not in cache:
+        cache.clear()
+        cache[key] = Matcher(items, window)
+    return cache[key]
 
 
 def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -93,7 +130,7 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> list[DataFrame]:
     return [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n)] if n > 1 else [items] * n
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 32_000_000, keep: list[str] | None = None) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 8_000_000, keep: list[str] | None = None) -> DataFrame:
     """Per document row: the columns ``keep`` (default doc_id), n_words, n_hit, items (sorted), spans.
 
     ``spans`` are the hit runs of words as "start:end" code-point offsets into the original text, comma-joined.
@@ -108,14 +145,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
 
 def _pass(df: DataFrame, block: DataFrame | None, window: int, keep: list[str] | None) -> DataFrame:
     """Add one block's hit intervals (pairs of int32) and items to each row; with ``keep``, finish the rows."""
-    shared = df.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in block.collect()] if block is not None else [])
+    shared, key = df.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in block.collect()] if block is not None else []), uuid.uuid4().hex
     schema = df.schema
     if keep is not None:
         schema = StructType([df.schema[c] for c in keep])
         schema = schema.add("n_words", LongType()).add("n_hit", LongType()).add("items", ArrayType(StringType())).add("spans", StringType())
 
     def run(batches):
-        auto = _automaton(shared.value, window)
+        auto = matcher(key, shared.value, window)
         for batch in batches:
             at = {name: k for k, name in enumerate(batch.schema.names)}
             hits, found = batch.column(at["_hit"]).to_pylist(), batch.column(at["_items"]).to_pylist()
@@ -123,8 +160,8 @@ def _pass(df: DataFrame, block: DataFrame | None, window: int, keep: list[str] |
             for i, text in enumerate(batch.column(at["text"])):
                 text = text.as_py()
                 normal = words(text)
-                if auto is not None and normal:
-                    spans, ids = _scan(auto, normal)
+                if normal:
+                    spans, ids = auto.scan(normal)
                     if spans:
                         hits[i] += np.array(spans, "<i4").tobytes()
                         found[i] = sorted({*found[i], *ids})
@@ -145,16 +182,16 @@ def _pass(df: DataFrame, block: DataFrame | None, window: int, keep: list[str] |
     return df.mapInArrow(run, schema)
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 32_000_000) -> DataFrame:
+def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 8_000_000) -> DataFrame:
     """The document rows, with all their columns, in which no window of any item occurs: a narrow filter per block."""
     at = docs.columns.index("text")
     for block in _blocks(benchmark, block_bytes):
-        shared = docs.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in block.collect()])
+        shared, key = docs.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in block.collect()]), uuid.uuid4().hex
 
-        def run(batches, shared=shared):
-            auto = _automaton(shared.value, window)
+        def run(batches, shared=shared, key=key):
+            auto = matcher(key, shared.value, window)
             for batch in batches:
-                clean = [auto is None or not _scan(auto, words(x.as_py()))[0] for x in batch.column(at)]
+                clean = [not auto.scan(words(x.as_py()))[0] for x in batch.column(at)]
                 yield batch.filter(pa.array(clean, pa.bool_()))
             release_memory()
 

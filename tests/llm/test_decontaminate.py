@@ -43,6 +43,23 @@ def test_equals_brute_force_in_one_and_in_many_blocks(spark):
     assert spans[1] == "4:21" and spans[2] == ""
 
 
+@given(st.lists(st.lists(st.sampled_from("abc"), max_size=14), max_size=4), st.lists(st.sampled_from("abcd"), max_size=40), st.integers(1, 7))
+def test_scan_equals_brute_force(items, text, window):
+    items = [(str(k), " ".join(w)) for k, w in enumerate(items)]
+    spans, ids = D.Matcher(items, window).scan(D.words(" ".join(text)))
+    (want,) = brute([(0, " ".join(text))], items, window)
+    assert (sum(b - a for a, b in spans), sorted(ids)) == want[2:]
+
+
+def test_the_automaton_is_about_as_long_as_the_benchmark():
+    import random
+
+    rng = random.Random(1)
+    items = [(str(i), " ".join(f"w{rng.randint(0, 20_000)}" for _ in range(200))) for i in range(500)]
+    m = D.Matcher(items, 10)
+    assert m.auto.get_stats()["nodes_count"] <= 1.01 * 500 * 200 + 1, "a node a word at most"
+
+
 def test_empty_tables(spark):
     d = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")
