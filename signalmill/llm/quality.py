@@ -1,5 +1,7 @@
 """Quality classifier: ridge regression on random Fourier features of document statistics, isotonically calibrated.
 
+The features are the random ones and a constant, nothing else.
+
 Each text gives 32 statistics (shares of character classes and punctuation, word and line lengths, repetition).
 Random Fourier features z approximate a Gaussian kernel on the standardised statistics. The normal equations
 sum(z z') and sum(z y) are summed inside each partition and then over partitions; ridge weights follow on the driver
@@ -10,7 +12,8 @@ Scale: the model is fitted on a bounded sample: at most ``sample`` labelled docu
 each of as many buckets, broadcast as (doc_id, label) pairs, so one narrow pass over the texts computes their
 statistics. Scoring is one more narrow pass; no text is shuffled.
 
-Defined results: null or empty text has statistics 0 and is scored as such; null labels or ids teach nothing; a doc_id
+Defined results: null or empty text has statistics 0 and is scored as such; texts of any length are read whole; equal
+scores are one step of the calibration; an empty table gives no rows; null labels or ids teach nothing; a doc_id
 with several labels teaches their mean, and repeated document rows each count; with fewer than 2 classes in the sample
 every score is the sample's mean label (0.5 without labels); other columns are ignored.
 """
@@ -26,15 +29,12 @@ from pyspark.sql import functions as F
 from .common import materialize, release_memory, utf8
 
 _CLASS = np.zeros((256, 16), np.float64)
-#: Byte classes in order: lower, upper, digit, space, line feed, other control, UTF-8 lead, then the marks below, other marks.
-_MARKS = b".,|!#$%&"
-for _b in range(256):
-    _k = (
-        0 if 97 <= _b <= 122 else 1 if 65 <= _b <= 90 else 2 if 48 <= _b <= 57 else 3 if _b == 32 else 4 if _b == 10
-        else 5 if _b < 32 else 6 if _b >= 192 else 7 + _MARKS.index(_b) if _b in _MARKS else 15 if _b < 128 else -1
-    )
-    if _k >= 0:
-        _CLASS[_b, _k] = 1
+#: Byte classes in order: lower, upper, digit, space, line feed, other control, UTF-8 lead, then these groups of marks.
+_MARKS = (b".", b",", b"!?", b";:", b"'\"`", b"()[]{}<>", b"-_/\\", b"+*=|~^", b"#$%&@")
+for _b in range(128):
+    _k = next((7 + i for i, group in enumerate(_MARKS) if _b in group), 5)
+    _CLASS[_b, 0 if 97 <= _b <= 122 else 1 if 65 <= _b <= 90 else 2 if 48 <= _b <= 57 else 3 if _b == 32 else 4 if _b == 10 else _k] = 1
+_CLASS[192:, 6] = 1
 N_STATS = 32
 _STEP = 1 << 16
 
@@ -57,7 +57,7 @@ def statistics(text: str | None) -> np.ndarray:
     out[20] = len(set(words)) / m
     out[21] = sum(map(bytes.isupper, words)) / m
     out[22] = sum(map(bytes.istitle, words)) / m
-    out[23] = raw.count(b"!!") / m
+    out[23] = sum(not any(map(str.isalnum, w)) for w in raw.decode("utf-8", "replace").split()) / m
     lines = raw.split(b"\n")
     out[24] = np.log1p(len(lines)) / 10
     out[25] = 1 - len(set(lines)) / len(lines)
@@ -81,7 +81,7 @@ class Model:
     def features(self, stats: np.ndarray) -> np.ndarray:
         x = np.clip((stats - self.mean) / self.scale, -8, 8)
         z = np.sqrt(2 / self.freq.shape[1]) * np.cos(x @ self.freq + self.phase)
-        return np.hstack([z, x / 10, np.ones((len(x), 1))])
+        return np.hstack([z, np.ones((len(x), 1))])
 
     def raw(self, stats: np.ndarray) -> np.ndarray:
         return self.features(stats) @ self.weights
@@ -160,7 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     model = Model(mean, scale, freq, rng.uniform(0, 2 * np.pi, n_features), None, None, None)
     classes = {r.fold < 4: (r.n, r.k) for r in rows.groupBy((F.col("fold") < 4).alias("fold")).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("k")).collect()}
     both = all(t in classes and 5 <= classes[t][1] <= classes[t][0] - 5 for t in (True, False))
-    width = n_features + N_STATS + 2
+    width = n_features + 2
     normal = summed(rows.where("fold < 4") if both else rows, model, width)
     gram, right = normal[:-1, :-1], normal[:-1, -1]
     model.weights = np.linalg.solve(gram + ridge * np.trace(gram) / len(gram) * np.eye(len(gram)), right)
