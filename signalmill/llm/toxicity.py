@@ -2,19 +2,21 @@
 
 Tokens are whitespace-separated. Their features are the lower-cased words in them and word prefixes of 3 to 9 letters,
 of which those are kept that mark toxic documents in the labelled sample (number of toxic documents,
-and log odds of token frequencies). In training, a token with kept features is labelled offending in toxic documents; every other token is
-not. A text is cut into segments: tokens with kept features and the two on either side, overlaps joined; tokens
-elsewhere carry no evidence and are not tagged. Forward-backward gives each token's marginal; a logistic curve over
-the largest marginal and the expected number and share of offending tokens, fitted on documents that the field did not see, is
-the document's score.
+and log odds of token frequencies). In training, a token with kept features is labelled offending in toxic documents;
+every other token is not. The field is one chain over all tokens of a text. Tokens without kept features all have one
+emission, so a stretch of k of them is the k-th power of one 2 x 2 matrix, taken by its eigenvalues: forward-backward is
+exact over every token and costs a step a token with features and one a stretch. A logistic curve over the largest
+marginal and the expected number and share of offending tokens, fitted on documents that the field did not see, is the
+document's score.
 
 Scale: the model is fitted on a bounded sample, at most ``sample`` labelled documents (the least by hash of their id in
-as many buckets, ids broadcast). Scoring is one narrow pass over whole texts.
+as many buckets, ids broadcast), of each of which at most ``longest`` tokens with features, and the stretches between
+them, train the field on the driver. Scoring is one narrow pass over whole texts.
 
-Defined results: null or empty text has no tokens and the score of a text without evidence; null labels or ids teach
-nothing; several labels of an id teach their mean (1 from 0.5 on); repeated document rows each count and each give a
-row; without both classes in the sample the score is the sample's mean label (0 without labels); other columns are
-ignored.
+Defined results: null or empty text has no tokens and the score of a text without evidence; texts of any length are one
+chain; of equal features the first by name is kept; null labels or ids teach nothing; several labels of an id teach their
+mean (1 from 0.5 on); repeated document rows each count and each give a row; without both classes in the sample the score
+is the sample's mean label (0 without labels); an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,15 +35,13 @@ from .quality import fold, labelled_sample
 
 _WORD = re.compile(r"[^\W\d_]+")
 _TOKEN = re.compile(r"\S+")
-AROUND = 2
 
 
 def token_features(token: str) -> set[str]:
     """The words of a token as ``w:`` and their prefixes as ``p:`` features."""
     out = set()
     for w in _WORD.findall(token.lower()):
-        if len(w) <= 40:
-            out.add("w:" + w)
+        out.add("w:" + w)
         out.update("p:" + w[:n] for n in range(3, 10) if len(w) > n)
     return out
 
@@ -61,21 +61,14 @@ class _Known(dict):
         return got
 
 
-def segments(tokens: list[tuple[int, ...]]) -> list[tuple[int, int]]:
-    """[from, to) of the parts around tokens with features."""
-    out: list[tuple[int, int]] = []
-    for i, f in enumerate(tokens):
-        if f:
-            a, b = max(0, i - AROUND), min(len(tokens), i + AROUND + 1)
-            if out and a <= out[-1][1]:
-                out[-1] = (out[-1][0], b)
-            else:
-                out.append((a, b))
-    return out
+Chain = tuple[list[tuple[int, ...]], list[int]]
 
 
-def _add(a: float, b: float) -> float:
-    return max(a, b) + math.log1p(math.exp(-abs(a - b)))
+def compressed(tokens: list[tuple[int, ...]]) -> Chain:
+    """(features of the tokens that have any, numbers of tokens without before, between and after them)."""
+    at = [i for i, f in enumerate(tokens) if f]
+    ends = [-1, *at, len(tokens)]
+    return [tokens[i] for i in at], [b - a - 1 for a, b in zip(ends, ends[1:])]
 
 
 class Field:
@@ -86,86 +79,227 @@ class Field:
         self.t = np.zeros((2, 2))
         self.start = np.zeros(2)
 
-    def marginals(self, segment: list[tuple[int, ...]]) -> list[float]:
-        """P(state 1) of each token of a segment."""
-        w, bias, t = self.w, float(self.w[-1]), self.t.tolist()
-        e = [bias + sum(float(w[f]) for f in fs) for fs in segment]
-        n = len(e)
-        fwd = [(float(self.start[0]), float(self.start[1]) + e[0])]
-        for i in range(1, n):
-            a, b = fwd[-1]
-            fwd.append((_add(a + t[0][0], b + t[1][0]), _add(a + t[0][1], b + t[1][1]) + e[i]))
-        back = (0.0, 0.0)
-        out = [0.0] * n
-        for i in range(n - 1, -1, -1):
-            x = fwd[i][0] + back[0] - fwd[i][1] - back[1]
-            out[i] = 1 / (1 + math.exp(min(700, x)))
-            back = (_add(t[0][0] + back[0], t[0][1] + e[i] + back[1]), _add(t[1][0] + back[0], t[1][1] + e[i] + back[1]))
-        return out
+    def theta(self) -> np.ndarray:
+        return np.concatenate([self.w, self.t.ravel(), self.start])
 
-    def train(self, data: list[tuple[list[tuple[int, ...]], list[int]]], rounds: int = 150, l2: float = 1e-4) -> None:
-        """Adam on the mean log likelihood, all segments at once, padded to the longest of their length class."""
-        groups: dict[int, list[int]] = {}
-        for k, (seg, _) in enumerate(data):
-            groups.setdefault(1 << (len(seg) - 1).bit_length(), []).append(k)
-        packs = []
-        for width, ks in groups.items():
-            y, mask = np.zeros((len(ks), width), int), np.zeros((len(ks), width), bool)
-            rows, cols, feats = [], [], []
-            for r, k in enumerate(ks):
-                seg, labels = data[k]
-                y[r, : len(seg)], mask[r, : len(seg)] = labels, True
-                for c, fs in enumerate(seg):
-                    rows += [r] * len(fs)
-                    cols += [c] * len(fs)
-                    feats += fs
-            packs.append((y, mask, np.array(rows, int), np.array(cols, int), np.array(feats, int)))
-        theta = np.concatenate([self.w, self.t.ravel(), self.start])
+    def set(self, theta: np.ndarray) -> None:
+        n = len(self.w)
+        self.w, self.t, self.start = theta[:n], theta[n : n + 4].reshape(2, 2), theta[n + 4 :]
+        self.__dict__.pop("_steps", None)
+
+    def steps(self) -> _Steps:
+        """The chain's matrices under the weights."""
+        if "_steps" not in self.__dict__:
+            self._steps = _Steps(self.w[-1:], self.t[None], self.start[None])
+        return self._steps
+
+    def marginals(self, tokens: list[tuple[int, ...]]) -> np.ndarray:
+        """P(state 1) of each token of a text."""
+        return self.chain(*compressed(tokens))
+
+    def chain(self, seen: list[tuple[int, ...]], gaps: list[int]) -> np.ndarray:
+        """P(state 1) of each token of a compressed text."""
+        m, s = len(seen), self.steps()
+        if m == 0:
+            return s.stretch(s.first[0], s.one, gaps[0])
+        w, bias = self.w, float(self.w[-1])
+        emit = [math.exp(min(60.0, bias + sum(float(w[f]) for f in fs))) for fs in seen]
+        across = [s.across(k) for k in gaps[1:m]]
+        x, y = s.leading(gaps[0])
+        fwd = []
+        for i in range(m):
+            if i:
+                (a, b), (c, d) = across[i - 1]
+                x, y = x * a + y * c, x * b + y * d
+            y *= emit[i]
+            x, y = x / (x + y), y / (x + y)
+            fwd.append((x, y))
+        back = [(0.0, 0.0)] * m
+        u, v = s.trailing(gaps[m])
+        for i in range(m - 1, -1, -1):
+            back[i] = (u, v)
+            if i:
+                (a, b), (c, d) = across[i - 1]
+                e = emit[i] * v
+                u, v = a * u + b * e, c * u + d * e
+                u, v = u / (u + v), v / (u + v)
+        parts = []
+        for i in range(m + 1):
+            k = gaps[i]
+            if k:
+                left = s.first[0] if i == 0 else np.array(fwd[i - 1]) @ s.step[0]
+                right = s.one if i == m else s.turn[0] @ np.array([back[i][0], emit[i] * back[i][1]])
+                parts.append(s.stretch(left, right, k))
+            if i < m:
+                p = fwd[i][1] * back[i][1]
+                parts.append(np.array([p / (p + fwd[i][0] * back[i][0])]))
+        return np.concatenate(parts)
+
+    def train(self, data: list[tuple[Chain, list[int]]], rounds: int = 150, l2: float = 1e-4) -> None:
+        """Adam on the mean log likelihood of (compressed text, labels of its tokens with features)."""
+        packs = _packed(data)
+        theta = self.theta()
         m, v = np.zeros_like(theta), np.zeros_like(theta)
         for step in range(1, rounds + 1):
-            g = -l2 * theta
-            self._set(theta)
-            for pack in packs:
-                g += self._gradient(pack) / len(data)
+            self.set(theta)
+            g = self.gradient(packs) / len(data) - l2 * theta
             m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
             theta = theta + 0.2 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-        self._set(theta)
+        self.set(theta)
 
-    def _set(self, theta: np.ndarray) -> None:
+    def gradient(self, packs: list[_Pack]) -> np.ndarray:
+        """Of the sum of log likelihoods: labelled less expected counts. Those of features come from the marginals; the
+        few shared weights' are central differences of the log partition function."""
         n = len(self.w)
-        self.w, self.t, self.start = theta[:n], theta[n : n + 4].reshape(2, 2), theta[n + 4 :]
+        eps = 1e-4
+        shared = np.concatenate([self.w[-1:], self.t.ravel(), self.start])
+        moved = shared + np.concatenate([np.zeros((1, 7)), eps * np.eye(7), -eps * np.eye(7)])
+        s = _Steps(moved[:, 0], moved[:, 1:5].reshape(-1, 2, 2), moved[:, 5:])
+        out = np.zeros(n + 6)
+        for pack in packs:
+            log_z, p = pack.forward_backward(s, self.w)
+            out[:n] += np.bincount(pack.feats, ((pack.y - p) * pack.mask)[pack.rows, pack.cols], minlength=n)
+            slope = (log_z[1:8].sum(1) - log_z[8:].sum(1)) / (2 * eps)
+            out[n - 1] += pack.counts[0] - slope[0]
+            out[n:] += pack.counts[1:] - slope[1:]
+        return out
 
-    def _gradient(self, pack) -> np.ndarray:
-        y, mask, rows, cols, feats = pack
-        s, width = y.shape
-        e = np.zeros((s, width, 2))
-        np.add.at(e[:, :, 1], (rows, cols), self.w[feats])
-        e[:, :, 1] += self.w[-1]
-        fwd = np.zeros((s, width, 2))
-        back = np.zeros((s, width, 2))
-        fwd[:, 0] = self.start + e[:, 0]
-        for i in range(1, width):
-            step = np.logaddexp(fwd[:, i - 1, 0, None] + self.t[0], fwd[:, i - 1, 1, None] + self.t[1]) + e[:, i]
-            fwd[:, i] = np.where(mask[:, i, None], step, fwd[:, i - 1])
-        for i in range(width - 2, -1, -1):
-            nxt = e[:, i + 1] + back[:, i + 1]
-            step = np.logaddexp(nxt[:, 0, None] + self.t[:, 0], nxt[:, 1, None] + self.t[:, 1])
-            back[:, i] = np.where(mask[:, i + 1, None], step, 0)
-        z = np.logaddexp(fwd[:, -1, 0], fwd[:, -1, 1])
-        p1 = np.exp(fwd[:, :, 1] + back[:, :, 1] - z[:, None]) * mask
-        diff = (y - p1) * mask
-        gw = np.zeros_like(self.w)
-        np.add.at(gw, feats, diff[rows, cols])
-        gw[-1] = diff.sum()
-        gt = np.zeros((2, 2))
-        both = mask[:, 1:]
-        for a in range(2):
-            for b in range(2):
-                pair = np.exp(fwd[:, :-1, a] + self.t[a, b] + e[:, 1:, b] + back[:, 1:, b] - z[:, None])
-                gt[a, b] = (((y[:, :-1] == a) & (y[:, 1:] == b)) * both).sum() - (pair * both).sum()
-        one = (y[:, 0] - p1[:, 0]).sum()
-        first = np.array([-one, one])
-        return np.concatenate([gw, gt.ravel(), first])
+
+class _Steps:
+    """Matrices of the chain for several settings of the shared weights at once (first axis)."""
+
+    def __init__(self, bias: np.ndarray, t: np.ndarray, start: np.ndarray):
+        own = np.stack([np.ones_like(bias), np.exp(bias)], -1)
+        self.turn = np.exp(t)
+        self.begin = np.exp(start)
+        #: Into a token without features, and the first token if it has none.
+        self.step, self.first = self.turn * own[:, None, :], self.begin * own
+        self.one = np.ones(2)
+        a, b, c, d = (self.step[:, i, j] for i in (0, 1) for j in (0, 1))
+        root = np.sqrt((a - d) ** 2 + 4 * b * c)
+        self.large, self.small = (a + d + root) / 2, (a + d - root) / 2
+        #: step = large * P + small * Q for complementary projections P and Q.
+        eye = np.eye(2)[None]
+        self.p = (self.step - self.small[:, None, None] * eye) / root[:, None, None]
+        self.q = eye - self.p
+        self.ratio = self.small / self.large
+        self._ratio_powers = np.ones(1)
+        self._known: dict = {}
+
+    def power(self, k: np.ndarray) -> np.ndarray:
+        """step^k / large^k for an array of exponents; axes: setting, exponent, 2, 2."""
+        return self.p[:, None] + (self.ratio[:, None] ** k[None, :])[:, :, None, None] * self.q[:, None]
+
+    def _powers(self, k: int) -> np.ndarray:
+        if len(self._ratio_powers) < k:
+            self._ratio_powers = float(self.ratio[0]) ** np.arange(max(k, 2 * len(self._ratio_powers)))
+        return self._ratio_powers[:k]
+
+    def _remember(self, key, make):
+        got = self._known.get(key)
+        if got is None:
+            if len(self._known) > 100_000:
+                self._known.clear()
+            got = self._known[key] = make()
+        return got
+
+    def across(self, k: int) -> list[list[float]]:
+        """From a token with features over ``k`` without to the next, up to scale."""
+        return self._remember(("x", k), lambda: (self.power(np.array([k]))[0, 0] @ self.turn[0]).tolist())
+
+    def leading(self, k: int) -> list[float]:
+        """Into the first token with features after ``k`` without, up to scale."""
+        return self._remember(("l", k), lambda: (self.begin[0] if k == 0 else self.first[0] @ self.power(np.array([k - 1]))[0, 0] @ self.turn[0]).tolist())
+
+    def trailing(self, k: int) -> list[float]:
+        """From the last token with features over ``k`` without to the end, up to scale."""
+        return self._remember(("t", k), lambda: (self.power(np.array([k]))[0, 0] @ self.one).tolist())
+
+    def stretch(self, left: np.ndarray, right: np.ndarray, k: int) -> np.ndarray:
+        """P(state 1) of ``k`` tokens without features: ``left`` leads into the first of them, ``right`` follows the last."""
+        up = self._powers(k)
+        l1, l2, r1, r2 = left @ self.p[0], left @ self.q[0], self.p[0] @ right, self.q[0] @ right
+        on = (l1[1] + l2[1] * up) * (r1[1] + r2[1] * up[::-1])
+        return on / (on + (l1[0] + l2[0] * up) * (r1[0] + r2[0] * up[::-1]))
+
+
+class _Pack:
+    """Compressed texts of about equally many tokens with features, padded to one width, and their labelled counts of
+    (bias on tokens without features, transitions, starts)."""
+
+    def __init__(self, data: list[tuple[Chain, list[int]]], width: int):
+        n = len(data)
+        self.y, self.mask = np.zeros((n, width)), np.zeros((n, width), bool)
+        self.gaps, self.size = np.zeros((n, width), np.int64), np.array([len(labels) for _, labels in data])
+        self.tail = np.array([gaps[-1] for (_, gaps), _ in data], np.int64)
+        rows, cols, feats = [], [], []
+        self.counts = np.zeros(7)
+        for r, ((seen, gaps), labels) in enumerate(data):
+            self.y[r, : len(labels)], self.mask[r, : len(labels)] = labels, True
+            self.gaps[r, : len(labels)] = gaps[:-1]
+            for c, fs in enumerate(seen):
+                rows += [r] * len(fs)
+                cols += [c] * len(fs)
+                feats += fs
+            path = None
+            for label, gap in zip([*labels, None], gaps):
+                # States of a stretch are 0; the text begins with the first of these, each follows the one before.
+                for state, times in ((0, min(gap, 1)), (0, max(gap - 1, 0)), (label, 1)):
+                    if state is not None and times:
+                        self.counts[5 + state if path is None else 1 + 2 * path + state] += times
+                        path = state
+            self.counts[0] += sum(labels)
+        self.rows, self.cols, self.feats = np.array(rows, np.int64), np.array(cols, np.int64), np.array(feats, np.int64)
+
+    def forward_backward(self, s: _Steps, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(log partition function per setting and text, P(state 1) of the tokens with features under the first setting)."""
+        n, width = self.y.shape
+        own = np.bincount(self.rows * max(width, 1) + self.cols, w[self.feats], minlength=n * max(width, 1)).reshape(n, max(width, 1))
+        log = np.log(s.large)
+        # The bias is one of the shared weights, so emissions differ by setting.
+        bias = np.log(s.first[:, 1] / s.begin[:, 1])
+        unique, where = np.unique(self.gaps, return_inverse=True)
+        where = where.reshape(self.gaps.shape)
+        power = s.power(unique)
+        across = power @ s.turn[:, None]
+        lead = np.where((unique == 0)[None, :, None], s.begin[:, None], np.einsum("vi,vuij,vjk->vuk", s.first, s.power(np.maximum(unique - 1, 0)), s.turn))
+        log_z = (self.gaps * self.mask).sum(1)[None] * log[:, None]
+        log_z = log_z - ((self.gaps[:, 0] > 0) if width else 0) * log[:, None]
+        if width == 0:
+            whole = np.einsum("vi,vnij->vn", s.first, s.power(np.maximum(self.tail - 1, 0)))
+            return np.where(self.tail[None] > 0, np.log(whole) + np.maximum(self.tail - 1, 0)[None] * log[:, None], 0.0), np.zeros((n, 0))
+        fwd = np.zeros((width, n, 2))
+        for i in range(width):
+            emit = np.exp(np.clip(bias[:, None] + own[None, :, i], -60, 60))
+            if i == 0:
+                now = lead[:, where[:, 0]]
+            else:
+                now = (state[:, :, None, :] @ across[:, where[:, i]])[:, :, 0]
+            now = np.stack([now[..., 0], now[..., 1] * emit], -1)
+            total = now.sum(-1)
+            on = self.mask[:, i]
+            log_z = log_z + np.where(on[None], np.log(total), 0)
+            state = now / total[..., None] if i == 0 else np.where(on[None, :, None], now / total[..., None], state)
+            fwd[i] = state[0]
+        end = s.power(self.tail).sum(-1)
+        log_z = log_z + np.log((state * end).sum(-1)) + self.tail[None] * log[:, None]
+        p = np.zeros((n, width))
+        back = end[0]
+        for i in range(width - 1, -1, -1):
+            both = fwd[i] * back
+            p[:, i] = both[:, 1] / both.sum(1)
+            if i:
+                emit = np.exp(np.clip(bias[0] + own[:, i], -60, 60))
+                before = (across[0, where[:, i]] @ np.stack([back[:, 0], back[:, 1] * emit], -1)[..., None])[..., 0]
+                back = np.where(self.mask[:, i, None], before / before.sum(1, keepdims=True), back)
+        return log_z, p
+
+
+def _packed(data: list[tuple[Chain, list[int]]]) -> list[_Pack]:
+    groups: dict[int, list[int]] = {}
+    for k, (_, labels) in enumerate(data):
+        groups.setdefault(1 << (len(labels) - 1).bit_length() if labels else 0, []).append(k)
+    return [_Pack([data[k] for k in ks], max(len(data[k][1]) for k in ks)) for ks in groups.values()]
 
 
 class Model:
@@ -174,16 +308,24 @@ class Model:
     def __init__(self, ids: dict[str, int], field: Field, curve: np.ndarray, prior: float | None = None):
         self.ids, self.field, self.curve, self.prior = ids, field, curve, prior
 
-    def evidence(self, text: str | None, known: _Known) -> tuple[float, float, int, list[int]]:
-        """Largest marginal, expected number of offending tokens, number of tokens, and the tagged tokens' numbers."""
+    def evidence(self, text: str | None, known: _Known, bare: dict[int, tuple[float, float]]) -> tuple[float, float, int, list[int]]:
+        """Largest marginal, expected number of offending tokens, number of tokens, and the tagged tokens' numbers.
+
+        ``bare`` remembers what texts of so many tokens without features give.
+        """
         tokens = list(map(known.__getitem__, (text or "").split()))
-        best, total, tagged = 0.0, 0.0, []
-        for a, b in segments(tokens):
-            for i, p in enumerate(self.field.marginals(tokens[a:b]), a):
-                best, total = max(best, p), total + p
-                if p >= 0.5:
-                    tagged.append(i)
-        return best, total, len(tokens), tagged
+        n = len(tokens)
+        if n == 0:
+            return 0.0, 0.0, 0, []
+        plain = not any(tokens)
+        if plain and n in bare:
+            return *bare[n], n, []
+        p = self.field.marginals(tokens)
+        best, total = float(p.max()), float(p.sum())
+        tagged = np.flatnonzero(p >= 0.5).tolist()
+        if plain and not tagged:
+            bare[n] = best, total
+        return best, total, n, tagged
 
     def score(self, best: float, total: float, n: int) -> float:
         if self.prior is not None:
@@ -210,7 +352,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-2) -> np.ndarray:
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = 8_000, n_features: int = 2_000, least_odds: float = 2.0) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = 8_000, n_features: int = 2_000, least_odds: float = 2.0, longest: int = 512) -> Model:
     """Features and field from folds 1 to 3 of the sample, the curve from fold 4 (all from all if one lacks a class)."""
     drawn = labelled_sample(labels, label, sample)
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
@@ -253,28 +395,32 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     kept = strong.orderBy(F.desc(F.col("odds") * F.sqrt("n1")), "f").limit(n_features).collect()
     ids = {r["f"]: k for k, r in enumerate(kept)}
 
-    def evidence(batches):
+    def chains(batches):
         known = _Known(ids)
         for batch in batches:
-            found, sizes = [], []
+            seen, gaps, sizes = [], [], []
             for text in batch.column(0):
-                tokens = list(map(known.__getitem__, text.as_py().split()))
-                found.append([[list(t) for t in tokens[a:b]] for a, b in segments(tokens)])
-                sizes.append(len(tokens))
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.list_(pa.list_(pa.int64())))), pa.array(sizes, pa.int64()), batch.column(1), batch.column(2)], names=["s", "n", "y", "last"])
-
-    seen = rows.mapInArrow(evidence, "s array<array<array<long>>>, n long, y boolean, last boolean").collect()
-    data = [([tuple(t) for t in seg], [int(r["y"] and bool(t)) for t in seg]) for r in seen if not (split and r["last"]) for seg in r["s"]]
+                found, between = compressed(list(map(known.__getitem__, text.as_py().split())))
+                seen.append([list(f) for f in found[:longest]])
+                gaps.append(between if len(found) <= longest else [*between[:longest], 0])
+                sizes.append(sum(between) + len(found))
+            lists = pa.list_(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(seen, lists), pa.array(gaps, pa.list_(pa.int64())), pa.array(sizes, pa.int64()), batch.column(1), batch.column(2)], names=["s", "g", "n", "y", "last"])
+
+    # At most ``sample`` rows of at most ``longest`` tokens each.
+    drawn = rows.mapInArrow(chains, "s array<array<long>>, g array<long>, n long, y boolean, last boolean").where("n > 0").collect()
+    as_chain = lambda r: ([tuple(f) for f in r["s"]], list(r["g"]))
     field = Field(len(ids))
+    data = [(as_chain(r), [int(r["y"])] * len(r["s"])) for r in drawn if not (split and r["last"])]
     if data:
         field.train(data)
     x, y = [], []
-    for r in seen:
+    for r in drawn:
         if r["last"] or not split:
-            p = [m for seg in r["s"] for m in field.marginals([tuple(t) for t in seg])]
-            x.append(summary(max(p, default=0.0), sum(p), r["n"]))
+            p = field.chain(*as_chain(r))
+            x.append(summary(float(p.max()), float(p.sum()), len(p)))
             y.append(float(r["y"]))
-    return Model(ids, field, _logistic(np.array(x), np.array(y)))
+    return Model(ids, field, _logistic(np.array(x).reshape(-1, 4), np.array(y)))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **fitting) -> DataFrame:
@@ -282,12 +428,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, *
     model = fit(docs, labels, **fitting)
 
     def run(batches):
-        known = _Known(model.ids)
+        known, bare = _Known(model.ids), {}
         for batch in batches:
             scores, spans = [], []
             for text in batch.column(1):
                 text = text.as_py()
-                best, total, n, tagged = model.evidence(text, known)
+                best, total, n, tagged = model.evidence(text, known, bare)
                 scores.append(model.score(best, total, n))
                 where = [m.span() for m in _TOKEN.finditer(text)] if tagged else []
                 spans.append(",".join(f"{where[i][0]}:{where[i][1]}" for i in tagged))
