@@ -3,19 +3,24 @@
 Documents become token ids plus an end id; longer ones than a sequence are cut. Which pieces share a sequence depends
 on lengths alone, so the plan is made from the histogram of lengths (at most ``size`` counts, whatever the corpus):
 
-1. Exact complements: for each length, longest first, what would fill its gap exactly is looked up under the counts
-   still available - one length, then a pair, then a triple, by hash of their sums - and consumed as often as the
-   counts allow.
+1. Exact complements: single lengths, pairs and triples of the lengths that occur are indexed by their sum. For each
+   length, longest first, what fills its gap exactly is looked up by the gap - a length, then a pair, then a triple -
+   and consumed as often as the counts still available allow.
 2. Best fit, longest first, of the rest, again by counts: a length goes to the open sequences with the least room that
    holds it.
 
+   Three orders are tried and the plan with the fewest sequences is taken: all three complements length by length;
+   singles for all lengths, then pairs, then triples; and singles for all lengths, best fit down to an eighth of a
+   sequence, then complements of the open sequences' rooms from the short lengths that are left, and best fit to the end.
+
 A plan is a list of slots: pieces of a length with ranks from a to b lie at an offset in consecutive sequences.
 
 Scale: texts are tokenised once, in one narrow pass that keeps lengths and checksums, written to the shared folder. Ranks
 inside a length are counted per (length, salt), so that a length which a third of the pieces have is dealt over many
 tasks; the slots (bounded by the plan, not the data) are broadcast.
 
-Defined results: null text is empty and gives the end id alone; null doc_ids are packed like others; repeated rows are
+Defined results: null text is empty and gives the end id alone; texts of any length are tokenised whole and cut into pieces;
+equal lengths are placed by doc_id, piece and checksum; null doc_ids are packed like others; repeated rows are
 packed each; other columns are ignored; an empty table gives no rows.
 """
 
@@ -198,12 +203,44 @@ def tokenised(docs: DataFrame, path: str, size: int = SIZE) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, salt int")
 
 
+class Sums:
+    """The single lengths, pairs and triples of some lengths, by their sum up to ``size``."""
+
+    def __init__(self, lengths: np.ndarray, size: int):
+        self.lengths, self.size = np.sort(lengths), size
+        self.single = np.zeros(size + 1, bool)
+        self.single[self.lengths] = True
+        # Of a pair the larger length is kept; those of one sum follow each other, largest first.
+        of = [(x, self.lengths[: np.searchsorted(self.lengths, min(x, size - x), "right")]) for x in self.lengths[::-1].tolist()]
+        large = np.concatenate([np.full(len(small), x, np.int32) for x, small in of] or [np.zeros(0, np.int32)])
+        sums = large + np.concatenate([small.astype(np.int32) for _, small in of] or [np.zeros(0, np.int32)])
+        self.large = large[np.argsort(sums, kind="stable")]
+        self.at = np.concatenate([[0], np.cumsum(np.bincount(sums, minlength=size + 1))])
+        self._triples: dict[int, np.ndarray] = {}
+
+    def pairs(self, total: int) -> np.ndarray:
+        """The larger lengths of the pairs with this sum, largest first."""
+        return self.large[self.at[total] : self.at[total + 1]]
+
+    def triples(self, total: int) -> np.ndarray:
+        """The largest lengths of the triples with this sum, largest first; the other two are a pair."""
+        if total not in self._triples:
+            y = self.lengths[(self.lengths < total) & (3 * self.lengths >= total)][::-1]
+            rest = total - y
+            has = self.at[rest + 1] > self.at[rest]
+            # Pairs are largest first, so the last one's larger length is the least there is.
+            fits = has & (self.large[np.maximum(self.at[rest + 1] - 1, 0)] <= y) if len(self.large) else has
+            self._triples[total] = y[fits]
+        return self._triples[total]
+
+
 class Plan:
     """Sequences for a histogram of lengths: ``slots`` rows (length, from, to, sequence, offset, per)."""
 
-    def __init__(self, counts: dict[int, int], size: int = SIZE, most: int = 3):
-        """``most``: complements of so many lengths are looked up."""
-        self.size, self.most = size, most
+    def __init__(self, counts: dict[int, int], size: int = SIZE, passes: tuple[tuple[int, ...], ...] = ((1, 2, 3),), late: int = 0):
+        """``passes`` over the lengths, each seeking complements of so many lengths in turn. From ``late`` down, lengths
+        are first sought as complements of what best fit left open."""
+        self.size, self.late = size, late
         self.left = np.zeros(size + 1, np.int64)
         for length, n in counts.items():
             if not 1 <= length <= size:
@@ -213,7 +250,12 @@ class Plan:
         self.next = np.zeros(size + 1, np.int64)
         self.slots: list[tuple[int, int, int, int, int, int]] = []
         self.sequences = 0
-        self._exact()
+        self.sums = Sums(np.flatnonzero(self.left), size)
+        for sought in passes:
+            for x in range(size, 0, -1):
+                for n in sought:
+                    if self.left[x]:
+                        self._complement(x, n)
         self._best_fit()
 
     def _emit(self, pattern: list[tuple[int, int]], times: int) -> None:
@@ -226,47 +268,82 @@ class Plan:
             offset += per * length
         self.sequences += times
 
-    def _take(self, lengths: tuple[int, ...]) -> int:
-        """Consume the lengths together as often as the counts allow."""
+    def _consume(self, lengths: tuple[int, ...], most: int | None = None) -> tuple[list[tuple[int, int]], int]:
+        """The lengths as a pattern, and how often the counts (and ``most``) allow to consume them together."""
         need: dict[int, int] = {}
         for x in lengths:
             need[x] = need.get(x, 0) + 1
         times = min(int(self.left[x]) // k for x, k in need.items())
+        times = times if most is None else min(times, most)
+        for x, k in need.items():
+            self.left[x] -= k * times
+        return sorted(need.items(), reverse=True), times
+
+    def _take(self, lengths: tuple[int, ...]) -> None:
+        """Consume the lengths together as often as the counts allow, each time as one sequence."""
+        pattern, times = self._consume(lengths)
         if times:
-            for x, k in need.items():
-                self.left[x] -= k * times
-            self._emit(sorted(need.items(), reverse=True), times)
-        return times
-
-    def _exact(self) -> None:
-        size, left = self.size, self.left
-        for x in range(size, 0, -1):
-            if not left[x]:
-                continue
-            gap = size - x
-            if gap == 0:
-                self._take((x,))
-                continue
-            if gap <= x and left[gap]:
+            self._emit(pattern, times)
+
+    def _complement(self, x: int, n: int) -> None:
+        """Consume ``x`` with what fills its gap by ``n`` lengths, none of them longer than it."""
+        gap, left = self.size - x, self.left
+        if gap == 0:
+            self._take((x,))
+        elif n == 1:
+            if gap <= x and self.sums.single[gap]:
                 self._take((x, gap))
-            # Pairs a + b = gap with a >= b, neither longer than x, largest a first.
-            if left[x] and self.most > 1:
-                a = np.arange((gap + 1) // 2, min(gap - 1, x) + 1)
-                for y in a[(left[a] > 0) & (left[gap - a] > 0)][::-1].tolist():
-                    if not left[x]:
-                        break
-                    self._take((x, y, gap - y))
-            # Triples: the largest, then a pair for what it leaves, found by sum.
-            y = min(gap - 2, x) if self.most > 2 else 0
-            while left[x] and y >= max(1, (gap + 2) // 3):
+        elif n == 2:
+            self._pairs((x,), gap, x)
+        else:
+            y = self.sums.triples(gap)
+            for y in y[(y <= x) & (left[y] > 0)].tolist():
+                if not left[x]:
+                    break
                 if left[y]:
-                    rest = gap - y
-                    a = np.arange((rest + 1) // 2, min(rest - 1, y) + 1)
-                    for z in a[(left[a] > 0) & (left[rest - a] > 0)][::-1].tolist():
-                        if not (left[x] and left[y]):
-                            break
-                        self._take((x, y, z, rest - z))
-                y -= 1
+                    self._pairs((x, y), gap - y, y)
+
+    def _pairs(self, held: tuple[int, ...], gap: int, most: int) -> None:
+        """Consume ``held`` with the pairs that fill ``gap``, their larger length at most ``most``."""
+        for y in self._open_pairs(gap, most):
+            if not all(self.left[x] for x in held):
+                break
+            self._take((*held, y, gap - y))
+
+    def _close(self, rooms: dict[int, list[list]], has: np.ndarray) -> None:
+        """Fill open sequences exactly by single lengths, pairs and triples of at most ``late``."""
+        for room in np.flatnonzero(has)[::-1].tolist():
+            groups = rooms[room]
+            for lengths in self._fillings(room):
+                while groups:
+                    pattern, times = self._consume(lengths, groups[-1][1])
+                    if not times:
+                        break
+                    rooms.setdefault(0, []).append([[*groups[-1][0], *pattern], times])
+                    groups[-1][1] -= times
+                    if not groups[-1][1]:
+                        groups.pop()
+                if not groups:
+                    break
+            has[room] = bool(groups)
+
+    def _fillings(self, room: int):
+        """The available single length, pairs and triples of at most ``late`` that fill a room, as they are asked for."""
+        most, left = min(room, self.late), self.left
+        if room <= self.late and left[room]:
+            yield (room,)
+        for y in self._open_pairs(room, most):
+            yield (y, room - y)
+        triples = self.sums.triples(room)
+        for y in triples[(triples <= most) & (left[triples] > 0)].tolist():
+            if left[y]:
+                for z in self._open_pairs(room - y, y):
+                    yield (y, z, room - y - z)
+
+    def _open_pairs(self, total: int, most: int) -> list[int]:
+        """The larger lengths of the pairs of this sum that are available, none longer than ``most``."""
+        a, left = self.sums.pairs(total), self.left
+        return a[(a <= most) & (left[a] > 0) & (left[total - a] > 0)].tolist()
 
     def _best_fit(self) -> None:
         """Open sequences by room: room -> list of [pattern, times]."""
@@ -274,6 +351,8 @@ class Plan:
         rooms: dict[int, list[list]] = {}
         has = np.zeros(size + 1, bool)
         for x in range(size, 0, -1):
+            if x == self.late:
+                self._close(rooms, has)
             n = int(left[x])
             while n:
                 fit = np.flatnonzero(has[x:])
@@ -310,16 +389,14 @@ class Plan:
 
 
 def best_plan(counts: dict[int, int], size: int = SIZE) -> Plan:
-    """The plan with the fewest sequences among complements of up to three, two and one lengths."""
+    """Of the three orders the plan with the fewest sequences, the first of equals."""
     least = -(-sum(k * n for k, n in counts.items()) // size)
-    best = None
-    for most in (3, 2, 1):
-        plan = Plan(counts, size, most)
-        if best is None or plan.sequences < best.sequences:
-            best = plan
-        if best.sequences == least:
+    plans = []
+    for passes, late in ((((1, 2, 3),), 0), (((1,), (2,), (3,)), 0), (((1,),), size // 8)):
+        plans.append(Plan(counts, size, passes, late))
+        if plans[-1].sequences == least:
             break
-    return best
+    return min(plans, key=lambda p: p.sequences)
 
 
 def _placed(ranked: DataFrame, plan: Plan) -> DataFrame:

@@ -54,9 +54,71 @@ def check_plan(plan, counts, size):
     assert len(at) == plan.sequences
 
 
-@given(st.dictionaries(st.integers(1, 30), st.integers(1, 40), max_size=12), st.sampled_from([1, 2, 3]))
-def test_plans_place_every_piece_once_without_gaps(counts, most):
-    check_plan(P.Plan(counts, 30, most), counts, 30)
+@given(st.dictionaries(st.integers(1, 30), st.integers(1, 40), max_size=12), st.sampled_from([((1, 2, 3),), ((1,), (2,), (3,)), ((3,),), ()]), st.sampled_from([0, 4, 8, 15, 30]))
+def test_plans_place_every_piece_once_without_gaps(counts, passes, late):
+    check_plan(P.Plan(counts, 30, passes, late), counts, 30)
+
+
+@given(st.sets(st.integers(1, 40), max_size=12))
+def test_sums_of_pairs_and_triples_equal_enumeration(lengths):
+    from itertools import combinations_with_replacement as chosen
+
+    sums = P.Sums(np.array(sorted(lengths), np.int64), 40)
+    for total in range(1, 41):
+        assert sums.single[total] == (total in lengths)
+        assert sums.pairs(total).tolist() == sorted((max(c) for c in chosen(lengths, 2) if sum(c) == total), reverse=True)
+        assert sums.triples(total).tolist() == sorted({max(c) for c in chosen(lengths, 3) if sum(c) == total}, reverse=True)
+
+
+def best_fit_decreasing(lengths, size):
+    rooms = []
+    for x in sorted(lengths, reverse=True):
+        fits = [r for r in rooms if r >= x]
+        if fits:
+            rooms.remove(min(fits))
+            rooms.append(min(fits) - x)
+        else:
+            rooms.append(size - x)
+    return len(rooms)
+
+
+def fewest(lengths, size):
+    """The least number of sequences, by trying all."""
+    best = [len(lengths)]
+
+    def place(i, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if i == len(lengths):
+            best[0] = len(rooms)
+            return
+        for r in set(rooms):
+            if r >= lengths[i]:
+                rest = list(rooms)
+                rest.remove(r)
+                place(i + 1, [*rest, r - lengths[i]])
+        place(i + 1, [*rooms, size - lengths[i]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_sequences_against_reference_packers():
+    rng = random.Random(9)
+    plan = wanted = fitted = 0
+    for _ in range(60):
+        lengths = sorted((rng.randint(1, 25) for _ in range(9)), reverse=True)
+        got = P.best_plan(Counter(lengths), 25).sequences
+        least = fewest(lengths, 25)
+        assert least <= got <= least + 1
+        plan, wanted = plan + got, wanted + least
+    assert plan <= 1.03 * wanted
+    plan = 0
+    for _ in range(20):
+        lengths = [min(4096, max(1, int(rng.lognormvariate(5.5, 1.2)))) for _ in range(1500)]
+        plan += P.best_plan(Counter(lengths)).sequences
+        fitted += best_fit_decreasing(lengths, 4096)
+    assert plan <= fitted
 
 
 def test_exact_complements_fill_sequences():
