@@ -10,13 +10,18 @@ back pointers. Rules of the public unigram tokenizer, exactly:
 - a run of unknown characters is one unknown piece, replaced by its UTF-8 bytes where the vocabulary has them all.
 
 Scale: one narrow pass. Where no piece crosses, the best path splits: before a run of word marks and around line feeds,
-which are in no piece. Parts recur, so each worker remembers theirs; the cache is bounded and texts are read whole.
+which are in no piece. Parts recur, so each worker remembers theirs in a bounded cache. Parts are met one after another
+and the programme holds as many positions as the longest piece has characters, so a text of any length takes no memory
+beside itself.
 
-Defined results: null or empty text has 0 pieces and score 0; repeated rows each give a row; other columns are ignored.
+Defined results: null or empty text has 0 pieces and score 0; texts of any length are read whole; ties go by the rules
+above; repeated rows each give a row; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -62,10 +67,15 @@ class Counter:
             self.auto.add_word(p, (len(p), s))
         self.auto.make_automaton()
         self.unknown = min(best.values()) - UNKNOWN_PENALTY
+        self.longest = max(map(len, best))
         self.of_bytes = of_bytes
         # A part may start at a mark only if no piece has a mark after another character.
         self.splits = not any(MARK in p.lstrip(MARK) for p in best) and MARK in best
-        self.line_feeds = not any("\n" in p for p in best)
+        line_feeds = not any("\n" in p for p in best)
+        # Marks and what follows them up to the next one; line feeds by themselves.
+        whole = "[^\n]+|\n" if line_feeds else "(?s:.)+"
+        word = f"[^{MARK}\n]" if line_feeds else f"[^{MARK}]"
+        self.cut = re.compile(f"{MARK}+{word}*|{word}+" + ("|\n" if line_feeds else "") if self.splits else whole)
         self.known: dict[str, tuple[float, int]] = {}
 
     def _unknown_pieces(self, run: str) -> int:
@@ -74,48 +84,34 @@ class Counter:
 
     def segment(self, text: str) -> tuple[float, int]:
         """Best score and its number of pieces, by the whole dynamic programme."""
-        n = len(text)
+        size = self.longest + 1
         none = float("-inf")
-        ends: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-        single = [False] * n
-        for end, (length, score) in self.auto.iter(text):
-            ends[end].append((end + 1 - length, score))
-            if length == 1:
-                single[end] = True
-        score, count, run = [0.0] + [none] * n, [0] * (n + 1), [0] * (n + 1)
-        # run[i]: length of the unknown run that the best path to i ends with; its pieces are counted when it ends.
-        for end in range(1, n + 1):
-            best, kept, length = none, 0, 0
-            for a, s in ends[end - 1]:  # longest first, so the earliest start wins a tie
+        # Position i is kept at i modulo size. run: length of the unknown run that the best path there ends with; its pieces
+        # are counted when it ends.
+        score, count, run = [0.0] + [none] * self.longest, [0] * size, [0] * size
+        matches = self.auto.iter(text)
+        match = next(matches, None)
+        for end in range(1, len(text) + 1):
+            best, kept, length, single = none, 0, 0, False
+            while match is not None and match[0] == end - 1:  # longest first, so the earliest start wins a tie
+                n, s = match[1]
+                single = n == 1
+                a = (end - n) % size
                 if score[a] + s > best:
                     best, length = score[a] + s, 0
-                    kept = count[a] + 1 + (self._unknown_pieces(text[a - run[a] : a]) if run[a] else 0)
-            if not single[end - 1] and score[end - 1] + self.unknown > best:
-                best, kept, length = score[end - 1] + self.unknown, count[end - 1], run[end - 1] + 1
-            score[end], count[end], run[end] = best, kept, length
-        return score[n], count[n] + (self._unknown_pieces(text[n - run[n] :]) if run[n] else 0)
-
-    def _parts(self, text: str) -> list[str]:
-        """The text cut where no piece crosses."""
-        out = []
-        for k, line in enumerate(text.split("\n")) if self.line_feeds else [(0, text)]:
-            if k:
-                out.append("\n")
-            if self.splits:
-                words = line.split(MARK)
-                marks = ""
-                if words[0]:
-                    out.append(words[0])
-                for w in words[1:]:
-                    marks += MARK
-                    if w:
-                        out.append(marks + w)
-                        marks = ""
-                if marks:
-                    out.append(marks)
-            elif line:
-                out.append(line)
-        return out
+                    kept = count[a] + 1 + (self._unknown_pieces(text[end - n - run[a] : end - n]) if run[a] else 0)
+                match = next(matches, None)
+            last = (end - 1) % size
+            if not single and score[last] + self.unknown > best:
+                best, kept, length = score[last] + self.unknown, count[last], run[last] + 1
+            i = end % size
+            score[i], count[i], run[i] = best, kept, length
+        i = len(text) % size
+        return score[i], count[i] + (self._unknown_pieces(text[len(text) - run[i] :]) if run[i] else 0)
+
+    def _parts(self, text: str):
+        """The text cut where no piece crosses, part by part."""
+        return (m[0] for m in self.cut.finditer(text))
 
     def count(self, text: str | None) -> tuple[float, int]:
         """Best score and number of pieces of a text."""

@@ -54,3 +54,22 @@ def test_rows(spark):
     got = sorted(((r.doc_id or 0, r.n_tokens) for r in V.count_tokens(d).collect()))
     assert got[1:3] == [(1, 0), (2, 0)] and got[3] == got[4] and got[3][1] > 0 and got[0][1] > 0
     assert V.count_tokens(d.limit(0)).collect() == []
+
+
+@given(st.text(alphabet="ab\n▁ x", max_size=30), st.sampled_from([{"▁a": -1.0, "▁": -2.0}, {"a\nb": -1.0, "▁": -2.0}, {"a": -1.0}, {"a▁b": -1.0, "▁": -1.0}]))
+def test_parts_are_the_text(text, vocab):
+    counter = V.Counter(list(vocab.items()), set())
+    assert "".join(counter._parts(text)) == text
+
+
+def test_a_long_unbroken_text_takes_a_window_of_the_longest_piece():
+    import tracemalloc
+
+    counter = V.counter(V.default_model())
+    text = "abcde" * 60_000
+    counter.segment("warm")
+    tracemalloc.start()
+    score, n = counter.segment(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n > 0 and peak < 200_000
