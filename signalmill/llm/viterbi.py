@@ -12,7 +12,7 @@ back pointers. Rules of the public unigram tokenizer, exactly:
 Scale: one narrow pass. Where no piece crosses, the best path splits: before a run of word marks and around line feeds,
 which are in no piece. Parts recur, so each worker remembers theirs in a bounded cache. Parts are met one after another
 and the programme holds as many positions as the longest piece has characters, so a text of any length takes no memory
-beside itself.
+beside itself and a copy.
 
 Defined results: null or empty text has 0 pieces and score 0; texts of any length are read whole; ties go by the rules
 above; repeated rows each give a row; an empty table gives no rows; other columns are ignored.

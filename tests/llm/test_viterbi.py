@@ -72,4 +72,4 @@ def test_a_long_unbroken_text_takes_a_window_of_the_longest_piece():
     score, n = counter.segment(text)
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
-    assert n > 0 and peak < 200_000
+    assert n > 0 and peak < 5 * len(text), "no more than the automaton's copy of the text"
