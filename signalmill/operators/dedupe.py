@@ -34,11 +34,6 @@ def summary(decided: DataFrame) -> DataFrame:
     return decided.groupBy("state", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-def page_minimum(items: DataFrame, page: str, ts: str) -> DataFrame:
-    """The earliest timestamp of each page, which moves a capped search's upper bound."""
-    return items.groupBy(page).agg(F.min(ts).alias("earliest"))
-
-
 def first_of(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The first row of each key by ``order``."""
     n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))

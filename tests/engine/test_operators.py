@@ -276,3 +276,53 @@ def test_ranks_of_a_hot_group_equal_a_sort(spark):
         for n, r in enumerate(sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is not None, r[1] or "", r[2])), 1):
             want[r[2]] = n
     assert got == want
+
+
+def test_turns_of_a_claim(spark):
+    rows = [(i, "a", "ready") for i in range(1, 13)] + [(i, "b", "ready") for i in (20, 21)] + [(30, "c", "done")]
+    d = spark.createDataFrame(rows, "id long, source string, state string").withColumns({"attempts": F.lit(0), "processing_at": F.lit(None).cast("timestamp")})
+    after, claimed = queue.claim_in_turns(d, 9, NOW)
+    assert [r.id for r in claimed.orderBy("turn").collect()] == [1, 2, 3, 4, 5, 20, 21, 6, 7]
+    assert after.where("state = 'processing' and attempts = 1").count() == 9 and after.count() == len(rows)
+
+
+def test_running_sums_in_parts(spark):
+    rows = [(i % 2, i * 7 % 101, i % 5) for i in range(400)]
+    d = spark.createDataFrame(rows, "g int, o int, v int").withColumn("i", F.monotonically_increasing_id())
+    from signalmill.operators.tables import rank_in_order, running_sum
+
+    for parts in (1, 3, 64):
+        got = sorted((r.g, r.o, r.i, r.v, r.s) for r in running_sum(d, ["g"], [F.col("o"), F.col("i")], F.col("v"), "s", parts).collect())
+        total = {0: 0, 1: 0}
+        for g, _, _, v, s in got:
+            assert s == total[g]
+            total[g] += v
+    ranks = sorted((r.g, r.o, r.i, r.n) for r in rank_in_order(d, ["g"], [F.col("o"), F.col("i")], "n", 5).collect())
+    assert [n for g, _, _, n in ranks if g == 0] == list(range(1, 201))
+
+
+def test_a_saved_report_and_captions(spark, tmp_path):
+    f = spark.createDataFrame([(1, 1, "pain", "s1", "w", "d", "q", 0.5), (2, None, "", "s2", "", "", "", None)], "id long, item_id long, kind string, statement string, why_it_matters string, domain string, evidence_quote string, confidence double")
+    rows = rendering.report_rows(f, spark.createDataFrame([(1, "http://u")], "id long, url string"))
+    rendering.save_report(rendering.report_lines(rows), str(tmp_path / "report"))
+    text = "\n".join(p.read_text() for p in sorted((tmp_path / "report").glob("part-*")))
+    assert text.startswith("# findings\n\n_2 findings across 2 kinds_") and text.index("## pain") < text.index("### s1") < text.index("## unknown") < text.index("### s2") and "[source]((no url))" in text
+    cut = spark.range(1).select(rendering.caption(F.lit("é" * 1200)).alias("c")).first().c
+    assert len(cut) == rendering.CAPTION
+
+
+def test_nearest_of_a_hot_kind_in_blocks(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 4))
+    x[10] = x[3]
+    rows = [(i, "k" if i < 55 else "j", v.tolist()) for i, v in enumerate(x)] + [(99, "lone", [1.0, 0.0, 0.0, 0.0])]
+    d = spark.createDataFrame(rows, "id long, kind string, embedding array<double>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for block in (7, 1000):
+        got = {r.id: (r.nearest, round(r.similarity, 9)) for r in clusters.nearest_same_kind(d, d, block=block).collect()}
+        assert set(got) == set(range(60))
+        for i in range(60):
+            others = [(-round(float(unit[i] @ unit[j]), 12), j) for j in range(60) if j != i and (j < 55) == (i < 55)]
+            assert got[i] == (min(others)[1], round(-min(others)[0], 9))

@@ -59,3 +59,17 @@ def test_decisions_per_batch(spark, tmp_path):
     got = []
     I.decide_stream(spark.readStream.schema(schema).json(src), known, lambda d, i: got.extend(d.collect()), str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
     assert {r.id: r.reason for r in got} == {1: "content_hash", 2: "ready", 3: "content_hash"}
+
+
+def test_repeated_items_pass_a_stream_once(spark, tmp_path):
+    src, out, check = (str(tmp_path / x) for x in ("in", "out", "check"))
+    schema = "source string, source_id string, event_time timestamp"
+
+    def run(rows):
+        spark.createDataFrame(rows, "source string, source_id string, event_time string").coalesce(1).write.mode("append").json(src)
+        s = I.deduped_stream(spark.readStream.schema(schema).json(src))
+        s.writeStream.format("parquet").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
+
+    run([("a", "1", "2024-01-01T00:00:00Z"), ("a", "1", "2024-01-02T00:00:00Z"), ("a", "2", "2024-01-01T00:00:00Z")])
+    run([("a", "1", "2024-01-03T00:00:00Z"), ("b", "1", "2024-01-03T00:00:00Z")])
+    assert sorted((r.source, r.source_id) for r in spark.read.schema(schema).parquet(out).collect()) == [("a", "1"), ("a", "2"), ("b", "1")]
