@@ -43,3 +43,16 @@ def test_stages_with_odd_rows(spark):
             got = out.collect()
             assert sorted(r.doc_id or 0 for r in got) == [0, 0, 1, 2] or sorted(r.doc_id or 0 for r in got) == [0, 0, 1]
         assert out.count() <= len(rows)
+
+
+def test_very_long_texts_and_clashing_columns(spark):
+    long = " ".join(f"word{i % 977} and so on." for i in range(60_000))
+    rows = [(1, long, "en", "s", len(long), "x", 1.0, 7), (2, "Some plain words stand here for the pipeline to keep.", "en", "s", 52, "y", 2.0, 8), (3, None, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, spans string, score double, k int")
+    for _, stage in P.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "spans", "score", "k"]
+    kept = {r.doc_id: r.text for r in docs.collect()}
+    assert all(kept[i] == t for i, t, *_ in rows if i in kept)
+    packed = P.STAGES[-1][1](spark, docs, SF).collect()
+    assert {r.doc_id for r in packed} == set(kept)
