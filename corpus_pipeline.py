@@ -9,6 +9,11 @@ return the columns of ``documents``.
    are one document; the row with the smallest text hash stays. Rows without doc_id cannot be named by a group and stay.
 3. decontaminate: documents with any benchmark window go. 4. secrets: every secret span is replaced by a mark.
 5. pack: the pieces of what is left, placed in sequences.
+
+Defined results: a null text is an empty one to every stage and stays null until it is packed as the end id alone; texts
+of any length are read whole; of equal rows under one doc_id one stays; rows of any extra columns keep them up to the last
+stage, whatever they are called; an empty table gives no rows; without labels nothing is rejected, without a benchmark
+nothing is contaminated.
 """
 
 from __future__ import annotations
