@@ -39,8 +39,7 @@ def bound_batches(spark: SparkSession) -> None:
     depend on it.
     """
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = int(spark.conf.get(name, "0").rstrip("b") or 0)
-    if not 0 < now <= BATCH_BYTES:
+    if int(spark.conf.get(name).rstrip("b")) > BATCH_BYTES:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
