@@ -89,19 +89,19 @@ class Files:
 
     def agreement(self, near: np.ndarray) -> np.ndarray:
         """Per vector what its footrule distance to a query of these nearest pivots lacks to that of no common pivot."""
-        out, m = np.zeros(len(self.x), np.int32), len(near)
-        for j, p in enumerate(near.tolist()):
-            a, b = self.starts[p], self.starts[p + 1]
-            out[self.files[a:b]] += m - np.abs(self.places[a:b] - j)
-        return out
+        m, spans = len(near), [(self.starts[p], self.starts[p + 1]) for p in near.tolist()]
+        nodes = np.concatenate([self.files[a:b] for a, b in spans])
+        gains = np.concatenate([m - np.abs(self.places[a:b] - j) for j, (a, b) in enumerate(spans)])
+        return np.bincount(nodes, gains, minlength=len(self.x)).astype(np.int64)
 
     def nearest(self, query_id: int, q: np.ndarray, near: np.ndarray, k: int, share: float, least: int) -> list[tuple[int, float]]:
         """The query's ``k`` best (id, score) among the vectors with the least footrule distances."""
         n = len(self.x)
         keep = min(n, max(least, k + 1, int(np.ceil(share * n))))
-        order = np.argsort(-self.agreement(near), kind="stable") if keep < n else np.arange(n)
+        # Of equal distances the earlier vector counts as nearer, so what is kept does not depend on the order of selection.
+        far = np.arange(n) - self.agreement(near) * n if keep < n else None
         while True:
-            some = order[:keep]
+            some = np.argpartition(far, keep - 1)[:keep] if keep < n else np.arange(n)
             score = (self.x[some] * q).sum(1)
             best: dict[int, float] = {}
             last = float("inf")
