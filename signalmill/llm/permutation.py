@@ -33,8 +33,9 @@ from .common import materialize, release_memory
 
 
 def usable(rows: DataFrame) -> DataFrame:
-    """vec_id and v (array of double) of the rows that take part, before the dimension is known."""
-    v = F.col("embedding").cast("array<double>")
+    """vec_id and v of the rows that take part, before the dimension is known; floats stay floats while they are moved."""
+    held = rows.schema["embedding"].dataType.simpleString()
+    v = F.col("embedding") if held in ("array<float>", "array<double>") else F.col("embedding").cast("array<double>")
     out = rows.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where("vec_id is not null and v is not null")
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return out.where(finite & F.exists("v", lambda x: x != 0))
@@ -61,6 +62,9 @@ def nearest_pivots(x: np.ndarray, pivots: np.ndarray, m: int) -> np.ndarray:
     return np.argsort(-(x @ pivots.T), axis=1, kind="stable")[:, :m].astype(np.int32)
 
 
+_TYPES = (("<f4", "<f8"), ("<i8",), ("u1", "<i8"), ("<u2", "<i4"), ("u1", "<i4"), ("<i8",))
+
+
 class Files:
     """The pivots' inverted files over a part's vectors: nodes and positions, by pivot and position."""
 
@@ -79,13 +83,17 @@ class Files:
         return cls(x, np.concatenate(ids), np.array([len(i) for i in ids]), (by // width).astype(np.int32), (by % width).astype(np.int32), starts)
 
     def pack(self) -> list[bytes]:
-        """The arrays as bytes; ``unpack`` reads them."""
-        return [a.astype(t).tobytes() for a, t in zip((self.x, self.ids, np.diff(self.at), self.files, self.places, self.starts), ("<f8", "<i8", "<i8", "<i4", "<i4", "<i8"))]
+        """The arrays as bytes, each in the first of its types that holds it without loss; ``unpack`` reads them."""
+        out = []
+        for a, types in zip((self.x, self.ids, np.diff(self.at), self.files, self.places, self.starts), _TYPES):
+            k = next(k for k, t in enumerate(types) if (a.astype(t) == a).all())
+            out.append(bytes([k]) + a.astype(types[k]).tobytes())
+        return out
 
     @classmethod
     def unpack(cls, raw: list[bytes], width: int) -> Files:
-        x, ids, counts, files, places, starts = (np.frombuffer(b, t) for b, t in zip(raw, ("<f8", "<i8", "<i8", "<i4", "<i4", "<i8")))
-        return cls(x.reshape(-1, width), ids, counts, files, places, starts)
+        x, ids, counts, files, places, starts = (np.frombuffer(b, types[b[0]], offset=1) for b, types in zip(raw, _TYPES))
+        return cls(x.astype(np.float64).reshape(-1, width), ids, counts.astype(np.int64), files, places.astype(np.int32), starts)
 
     def agreement(self, near: np.ndarray) -> np.ndarray:
         """Per vector what its footrule distance to a query of these nearest pivots lacks to that of no common pivot."""
@@ -126,7 +134,7 @@ def nearest_neighbours(
     spark = rows.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
     every_row = usable(rows)
-    sizes = every_row.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).alias("m"))
+    sizes = every_row.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))).alias("m"))
     main = sizes.orderBy(F.desc("n"), "d").first()
     if main is None:
         return spark.createDataFrame([], schema)
@@ -166,7 +174,7 @@ def index(vectors: DataFrame, pivots: np.ndarray, largest: float, k: int, posted
     names = ("x", "ids", "counts", "files", "places", "starts")
 
     def made(held):
-        x = np.concatenate([b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) for b in held])
+        x = np.concatenate([b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) for b in held]).astype(np.float64)
         raw = Files.build(x, [i for b in held for i in b.column(1).to_pylist()], shared.value, largest, posted).pack()
         return pa.RecordBatch.from_arrays([pa.array([r], pa.binary()) for r in raw], names=list(names))
 
