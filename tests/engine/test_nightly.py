@@ -33,7 +33,7 @@ def test_two_nights(spark, tmp_path):
     assert counted == {c: sum(m.cluster_id == c for m in mentions) for c in counted}
     two = nightly.run(one, fetched(spark, 30, 20), "2024-01-31 03:00:00", clock=lambda: 0.0)
     assert two.read("items").count() == 50 and two.read("runs").count() == 2 and one.read("items").count() == 30
-    again = nightly.run(one, fetched(spark, 30, 20), "2024-01-31 03:00:00")
+    again = nightly.run(one, fetched(spark, 30, 20), "2024-01-31 03:00:00", clock=lambda: 0.0)
     for table in ("items", "findings", "clusters", "mentions"):
         assert sorted(map(str, again.read(table).collect())) == sorted(map(str, two.read(table).collect())), "a run repeated after a crash changes nothing"
     md = nightly.digest(two, F.lit("2024-01-31 04:00:00").cast("timestamp"), nightly.Parameters(), nightly.offline_synthesis)
