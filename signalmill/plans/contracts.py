@@ -134,7 +134,7 @@ def reset_registry(spark, d):
 
 @query("""SELECT vec_id AS id, coalesce(source, 'unknown') AS source, len(embedding) AS n, CAST(round(CAST(printf('%.6f', embedding[1]::DOUBLE) AS DOUBLE) * 1000000) AS BIGINT) AS first
 FROM embeddings LEFT JOIN documents ON doc_id = vec_id AND vec_id % 11 <> 0 WHERE vec_id % 3 <> 0""")
-def open_findings(spark, d):
+def unclustered_findings(spark, d):
     """Embeddings stored from text; findings that have one and no cluster, with their item's source."""
     e = S.load(spark, d, "embeddings")
     i = F.col("vec_id")
