@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import decontaminate
+from .mixing import mix
 from .packing import pack
 from .permutation import nearest_neighbours
 from .quality import classify
@@ -68,8 +69,12 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substrings, op2_revisits, op3_secrets, op4_pack, op5_token_counts, op6_simhash, op7_permutation, op8_quality, op9_toxicity, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_substrings, op2_revisits, op3_secrets, op4_pack, op5_token_counts, op6_simhash, op7_permutation, op8_quality, op9_toxicity, op10_decontaminate, op13_mixing)}
 
 
 # The canonical URL is taken apart by places here, not by the operator's expressions.
@@ -145,6 +150,31 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN pos USING (r) LEFT JOIN its USING (r)
 """
 
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+k AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '-') || ':' || md5(t)) AS name,
+         length(regexp_replace(t, '[\x00-\x40\x5B-\x60\x7B-\x7F]+', '', 'g')) AS letters, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS solid FROM d),
+e AS (
+  SELECT doc_id, source, size, name,
+         -ln((CAST('0x' || left(name, 13) AS BIGINT) + 0.5) / CAST(4503599627370496 AS DOUBLE)) / greatest(CAST(letters AS DOUBLE) / greatest(solid, 1), CAST(0.05 AS DOUBLE)) AS key FROM k),
+s AS (
+  SELECT source, CAST(sum(size) AS DOUBLE) AS held, row_number() OVER (ORDER BY source NULLS LAST) AS rn FROM e GROUP BY source),
+w AS (SELECT *, CAST(CASE rn % 3 WHEN 1 THEN 5 WHEN 2 THEN 2 ELSE 1 END AS DOUBLE) AS w FROM s),
+o AS (
+  SELECT *, coalesce(sum(2 * held) OVER b, 0) AS gone, coalesce(sum(w) OVER b, 0) AS given, 1.5 * sum(held) OVER () AS budget, sum(w) OVER () AS weights
+  FROM w WINDOW b AS (ORDER BY 2 * held / w, rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+c AS (SELECT *, (budget - gone) * w >= 2 * held * (weights - given) AS stops FROM o),
+l AS (SELECT max(budget) - sum(CASE WHEN stops THEN 2 * held ELSE 0 END) AS rest, sum(CASE WHEN stops THEN 0 ELSE w END) AS open FROM c),
+t AS (
+  SELECT source, held, CAST(CASE WHEN stops THEN 2 * held ELSE w * rest / open END AS DOUBLE) AS target FROM c, l),
+g AS (SELECT *, CASE WHEN held > 0 THEN floor(target / held) ELSE 0 END AS epochs FROM t),
+r AS (SELECT e.*, g.held, g.target, g.epochs, floor(g.target - g.epochs * g.held + 0.5) AS words,
+             coalesce(sum(size) OVER (PARTITION BY e.source ORDER BY key, name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+      FROM e JOIN g ON e.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, r.source, size, CAST(held AS BIGINT) AS source_size, target, CAST(epochs * size + least(size, greatest(0, words - before)) AS BIGINT) AS taken FROM r
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_revisits": OP2_SQL, "op10_decontaminate": OP10_SQL}
+    return {"op2_revisits": OP2_SQL, "op10_decontaminate": OP10_SQL, "op13_mixing": OP13_SQL}
