@@ -11,7 +11,9 @@ from .common import table
 from .decontaminate import decontaminate
 from .mixing import mix
 from .packing import pack
+from .partial_distance import compress
 from .permutation import nearest_neighbours
+from .prefix_trie import prefix_trie
 from .quality import classify
 from .revisits import captures, resolve_revisits
 from .secrets import find_secrets
@@ -69,12 +71,20 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_partial_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress(table(spark, sf_dir, "embeddings")).drop("label")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substrings, op2_revisits, op3_secrets, op4_pack, op5_token_counts, op6_simhash, op7_permutation, op8_quality, op9_toxicity, op10_decontaminate, op13_mixing)}
+    return {f.__name__: f for f in (op1_substrings, op2_revisits, op3_secrets, op4_pack, op5_token_counts, op6_simhash, op7_permutation, op8_quality, op9_toxicity, op10_decontaminate, op11_partial_distance, op12_prefix_trie, op13_mixing)}
 
 
 # The canonical URL is taken apart by places here, not by the operator's expressions.
@@ -150,6 +160,58 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN pos USING (r) LEFT JOIN its USING (r)
 """
 
+def _op11_sql(rounds: int = 4) -> str:
+    """Full searches: all distances between parts and entries, round by round."""
+    steps = ["""k AS (
+  SELECT vec_id, label, embedding AS e, len(embedding) // 4 AS d FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v AS (SELECT vec_id, (i - 1) // d AS part, (i - 1) % d AS pos, CAST(floor(1024 * CAST(e[i] AS DOUBLE)) AS BIGINT) AS c FROM (SELECT *, unnest(range(1, len(e) + 1)) AS i FROM k)),
+b0 AS (
+  SELECT part, rn - 1 AS entry, pos, c FROM v JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS rn FROM (SELECT DISTINCT vec_id FROM k)) USING (vec_id) WHERE rn <= 256)"""]
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS (
+  SELECT vec_id, part, min(dist * 256 + entry) AS m FROM (
+    SELECT v.vec_id, v.part, b.entry, sum((v.c - b.c) * (v.c - b.c)) AS dist FROM v JOIN b{r} b ON v.part = b.part AND v.pos = b.pos GROUP BY v.vec_id, v.part, b.entry)
+  GROUP BY vec_id, part)""")
+        if r < rounds:
+            steps.append(f"""n{r} AS (
+  SELECT a.part, CAST(a.m % 256 AS BIGINT) AS entry, v.pos, CAST(floor(CAST(sum(v.c) AS DOUBLE) / count(*)) AS BIGINT) AS c
+  FROM a{r} a JOIN v ON a.vec_id = v.vec_id AND a.part = v.part GROUP BY 1, 2, 3),
+b{r + 1} AS (SELECT b.part, b.entry, b.pos, coalesce(n.c, b.c) AS c FROM b{r} b LEFT JOIN n{r} n ON b.part = n.part AND b.entry = n.entry AND b.pos = n.pos)""")
+    return "WITH " + ",\n".join(steps) + f""",
+f AS (SELECT vec_id, string_agg(printf('%02x', CAST(m % 256 AS BIGINT)), '' ORDER BY part) AS code, CAST(sum(m // 256) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id),
+l AS (SELECT label, CAST(sum(error) AS BIGINT) AS label_error FROM f JOIN k USING (vec_id) GROUP BY label),
+h AS (SELECT sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY part, entry, pos)) AS codebooks_sha256 FROM b{rounds})
+SELECT f.vec_id, f.code, f.error, l.label_error, h.codebooks_sha256 FROM f JOIN k USING (vec_id) JOIN l ON k.label IS NOT DISTINCT FROM l.label, h"""
+
+
+# The checksum is folded over the bits of the decimal number.
+OP12_SQL = """
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS p
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, CAST(conv_id AS VARCHAR) AS s, max(p) AS n FROM t GROUP BY conv_id),
+b AS (SELECT conv_id, n, list_concat(CAST([4294967295] AS BIGINT[]), list_transform(range(0, 8 * length(s)), lambda k: CAST((ascii(substr(s, CAST(k // 8 + 1 AS BIGINT), 1)) >> CAST(k % 8 AS INTEGER)) & 1 AS BIGINT))) AS bits FROM c),
+h AS (SELECT conv_id, n, xor(list_reduce(bits, lambda x, y: xor(x >> 1, 3988292384 * (xor(x, y) & 1))), 4294967295) % 6 AS h FROM b),
+m AS (SELECT a.conv_id, a.h, a.conv_id - a.conv_id % 100 AS leader, least(a.h, coalesce(l.n, 0)) AS m FROM h a LEFT JOIN h l ON l.conv_id = a.conv_id - a.conv_id % 100),
+r AS (
+  SELECT t.conv_id, t.p - m.h + m.m AS p, role, text FROM t JOIN m ON t.conv_id = m.conv_id WHERE t.p > m.h
+  UNION ALL SELECT m.conv_id, t.p, role, text FROM m JOIN t ON t.conv_id = m.leader WHERE t.p <= m.m),
+x AS (SELECT conv_id, p AS d, length(text) AS points, list(md5(length(role) || ':' || role || text)) OVER (PARTITION BY conv_id ORDER BY p) AS ks FROM r),
+y AS (
+  SELECT conv_id, d, points, array_to_string(ks[1:d], ',') AS k, CASE WHEN d > 0 THEN array_to_string(ks[1:d - 1], ',') END AS pk, ks FROM x
+  UNION ALL SELECT conv_id, 0, 0, '', NULL, NULL FROM m),
+e AS (SELECT conv_id, max(d) AS d FROM y GROUP BY conv_id),
+z AS (SELECT d, k, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids FROM y JOIN e USING (conv_id, d) GROUP BY d, k),
+n AS (SELECT d, k, any_value(pk) AS pk, any_value(ks) AS ks, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(points) AS own FROM y GROUP BY d, k),
+g AS (SELECT n.d, n.k, n.pk, n.ks, n.conv_id, n.n_convs, n.own, count(ch.k) AS n_children FROM n LEFT JOIN n ch ON ch.d = n.d + 1 AND ch.pk = n.k GROUP BY ALL),
+u AS (SELECT CASE WHEN a = 0 THEN '' ELSE array_to_string(ks[1:a], ',') END AS k, a AS d, own, n_children FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM g)),
+f AS (SELECT d, k, sum(own) AS saved, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS leaves FROM u GROUP BY d, k)
+SELECT g.conv_id, CAST(g.d AS BIGINT) AS depth, pa.conv_id AS parent_conv_id, CAST(g.n_convs AS BIGINT) AS n_convs, CAST(g.n_children AS BIGINT) AS n_children,
+       CAST(f.leaves AS BIGINT) AS n_leaves, CAST(f.saved AS BIGINT) AS saved_tokens, sha256(coalesce(z.ids, '')) AS ends_sha256
+FROM g JOIN f ON f.d = g.d AND f.k = g.k LEFT JOIN n pa ON pa.d = g.d - 1 AND pa.k = g.pk LEFT JOIN z ON z.d = g.d AND z.k = g.k
+"""
+
 OP13_SQL = r"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
 k AS (
@@ -177,4 +239,4 @@ SELECT doc_id, r.source, size, CAST(held AS BIGINT) AS source_size, target, CAST
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_revisits": OP2_SQL, "op10_decontaminate": OP10_SQL, "op13_mixing": OP13_SQL}
+    return {"op2_revisits": OP2_SQL, "op10_decontaminate": OP10_SQL, "op11_partial_distance": _op11_sql(), "op12_prefix_trie": OP12_SQL, "op13_mixing": OP13_SQL}
