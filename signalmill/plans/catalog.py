@@ -386,6 +386,28 @@ def claim_batch(spark, d):
     return after.select("id", "state", "attempts").join(claimed.select("id", F.lit(True).alias("claimed")), "id", "left").select("id", "state", "attempts", F.coalesce("claimed", F.lit(False)).alias("claimed"))
 
 
+@query(f"""WITH {ITEMS}, t AS (SELECT *, state = 'processing' AND processing_at < TIMESTAMP '2024-01-30 23:00:00' AS old FROM items),
+r AS (SELECT id, source, row_number() OVER (PARTITION BY source ORDER BY id) AS rn FROM t WHERE state = 'ready' OR (old AND attempts < 3)),
+c AS (SELECT id FROM r ORDER BY (rn - 1) // 5, source, rn LIMIT 200),
+n AS (SELECT t.id, raw_text, CASE WHEN c.id IS NOT NULL THEN 'processing' WHEN old AND attempts >= 3 THEN 'failed' ELSE state END AS state, attempts + CASE WHEN c.id IS NOT NULL THEN 1 ELSE 0 END AS attempts FROM t LEFT JOIN c ON c.id = t.id)
+SELECT id, CASE WHEN state = 'processing' AND id % 2 = 0 THEN 'done' ELSE state END AS state, CAST(attempts AS INTEGER) AS attempts, CASE WHEN state = 'processing' AND id % 2 = 0 THEN '' ELSE coalesce(md5(raw_text), '') END AS text_md5 FROM n""")
+def merged_queue(spark, d):
+    """A claim in turns of two hundred and the end of every other item in work, written as changes, merged on read and
+    folded in. The batch size is the feature."""
+    from signalmill.operators.merged import MergedTable
+    from signalmill.operators.staging import shared_folder
+    from signalmill.plans.nightly import CHANGING, FINAL
+    from signalmill.schema import TABLES
+
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = MergedTable(spark, f"{shared_folder(spark)}/merged-{uuid.uuid4().hex}", TABLES["items"], mutable=CHANGING, clears=("raw_text",), buckets=buckets).insert(S.items(spark, d))
+    retired, claimed = queue.changes_of_claim(table.read(open_only=True), 200, S.now())
+    table = table.change(claimed.select("id", *CHANGING).unionByName(retired.select("id", *CHANGING)))
+    even = table.read(open_only=True).where("state = 'processing' and id % 2 = 0")
+    table = table.change(even.withColumns({"state": F.lit("done"), "clear": F.lit(True)})).compact(F.col("state").isin(*FINAL))
+    return table.read().select("id", "state", "attempts", F.coalesce(F.md5("raw_text"), F.lit("")).alias("text_md5"))
+
+
 @query(f"""WITH {ITEMS} SELECT id, CASE WHEN state = 'processing' THEN CASE WHEN attempts >= 3 THEN 'failed' ELSE 'ready' END ELSE state END AS state, attempts FROM items""")
 def after_model_error(spark, d):
     i = S.items(spark, d)

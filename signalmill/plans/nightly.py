@@ -3,15 +3,18 @@
 State is a folder of table versions. A run writes new versions beside the old ones and moves the pointer last, so a run
 that dies leaves the state as it was; ids and insert-ignore make a second run harmless.
 
-Models are asked once an item: each wave of claimed items is judged into a written table, from which findings, states,
-counts and the error streak all derive. A wave rewrites the items table, so waves should be large; they are bounded by
-``Parameters.wave`` rows.
+Items are a merged table (``operators.merged``): a night inserts its new items, each wave writes the changed states of
+the items it claimed, and at the end the changes are folded into the open rows, so what is written follows the new items.
+
+Models are asked once an item: each wave of claimed items, at most ``Parameters.wave``, is judged into a written table,
+from which findings, states, counts and the error streak all derive.
 """
 
 from __future__ import annotations
 
 import json
 import time
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -22,10 +25,15 @@ from signalmill.functions import times
 from signalmill.functions.jsons import parse_briefing
 from signalmill.functions.text import strip_nul, thread_key
 from signalmill.operators import briefing, clusters, counts, dedupe, models, queue, ranking, rendering, tables, threads
+from signalmill.operators.merged import MergedTable
 from signalmill.schema import FETCHED, TABLES, add_columns, empty
 from signalmill.sources import registry
 
 
+#: What an item's changes hold, and the states that it does not leave.
+CHANGING, FINAL = ("state", "attempts", "processing_at"), ("done", "failed", "duplicate")
+
+
 @dataclass
 class Models:
     """The models, what the host must list (``required``, against ``listed()``), and how a discussion is fetched."""
@@ -67,7 +75,8 @@ class Aborted(RuntimeError):
 
 
 class State:
-    """Versions of the tables under ``root``: ``<table>/v<n>``; ``latest`` finds the newest that was completed."""
+    """Versions of the tables under ``root``: ``<table>/v<n>``, items as segments; ``latest`` finds the newest that was
+    completed."""
 
     def __init__(self, spark: SparkSession, root: str, version: int = 0):
         self.spark, self.root, self.version = spark, root.rstrip("/"), version
@@ -86,11 +95,20 @@ class State:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).mkdirs(path)
         return State(self.spark, self.root, version)
 
+    def items(self) -> MergedTable:
+        """The items of this version."""
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        return MergedTable(self.spark, f"{self.root}/items", TABLES["items"], mutable=CHANGING, clears=("raw_text",), buckets=buckets).at(self.version)
+
     def read(self, table: str, version: int | None = None) -> DataFrame:
         v = self.version if version is None else version
+        if table == "items":
+            return State(self.spark, self.root, v).items().read()
         return self.spark.read.schema(TABLES[table]).parquet(f"{self.root}/{table}/v{v}") if v else empty(self.spark, table)
 
     def write(self, table: str, df: DataFrame, version: int) -> DataFrame:
+        if table == "items":
+            return State(self.spark, self.root).items().insert(add_columns(df, table)).save(version).read()
         add_columns(df, table).write.mode("overwrite").parquet(f"{self.root}/{table}/v{version}")
         return self.read(table, version)
 
@@ -134,16 +152,23 @@ def add_fetched(found: DataFrame) -> DataFrame:
     return found.select(*[F.col(f.name).cast(f.dataType) if f.name in found.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in want])
 
 
-def ingest(state: State, fetched: DataFrame, now) -> DataFrame:
-    """Items with the new fetched ones: unknown (source, source_id) only."""
-    items = state.read("items")
+def ingest(state: State, v: int, fetched: DataFrame, now) -> tuple[MergedTable, DataFrame]:
+    """(items with the new ones, the new ones): unknown (source, source_id) only, and what structure decides of all that are
+    just fetched."""
+    table = state.items()
+    items = table.read()
     fresh = tables.insert_ignore(items, fetched.withColumns({"state": F.lit("fetched"), "attempts": F.lit(0), "fetched_at": now, "processing_at": F.lit(None).cast("timestamp")}), ["source", "source_id"], [F.col("created_at_i"), F.col("url")])
-    return items.unionByName(tables.with_ids(items, fresh, [F.col("source"), F.col("source_id")]).select(*items.columns))
+    fresh = state.staged(f"ingested/v{v}", tables.with_ids(items, fresh, [F.col("source"), F.col("source_id")]).select(*items.columns))
+    table = table.insert(fresh)
+    items = table.read()
+    decided = dedupe.decide(items).select("id", F.col("state").alias("_state"))
+    open_ = items.where("state = 'fetched'").select("id", "attempts", "processing_at").join(decided, "id")
+    return table.change(open_.withColumnRenamed("_state", "state")), fresh
 
 
 def wave(items: DataFrame, found: DataFrame, m: Models, p: Parameters, now, size: int) -> tuple[DataFrame, DataFrame]:
-    """(next items, claimed items ready to be judged): turns, what their threads hold in this run, and the prompt."""
-    after, claimed = queue.claim_in_turns(items, size, now)
+    """(retired items, claimed items ready to be judged): turns, what their threads hold in this run, and the prompt."""
+    retired, claimed = queue.changes_of_claim(items, size, now)
     claimed = claimed.withColumn("thread_key", thread_key(F.col("thread_id"), F.col("id")))
     taken = found.groupBy("thread_key").agg(F.count(F.lit(1)).alias("_taken"))
     claimed = claimed.join(taken, "thread_key", "left").withColumn("before", F.coalesce("_taken", F.lit(0))).drop("_taken")
@@ -152,36 +177,49 @@ def wave(items: DataFrame, found: DataFrame, m: Models, p: Parameters, now, size
     else:
         of = F.coalesce(F.nullif("thread_id", F.lit("")), "source_id")
         claimed = threads.attach(claimed, threads.live_contexts(claimed.where("source = 'hackernews'").select(of.alias("thread")), m.thread))
-    return after, claimed.withColumn("prompt", rendering.deep_read_input(F.col("raw_text"), F.col("context"), F.col("metadata")))
+    return retired, claimed.withColumn("prompt", rendering.deep_read_input(F.col("raw_text"), F.col("context"), F.col("metadata")))
 
 
-def judge(state: State, v: int, items: DataFrame, m: Models, p: Parameters, now, clock: Callable[[], float]) -> tuple[DataFrame, DataFrame, DataFrame, bool]:
+def judge(state: State, v: int, table: MergedTable, m: Models, p: Parameters, now, clock: Callable[[], float]) -> tuple[MergedTable, DataFrame, DataFrame, bool]:
     """(items, new findings with their order, log, aborted): waves until the queue is empty, a budget is used up, or the
-    host was silent ``max_errors`` times in a row."""
+    host was silent ``max_errors`` times in a row.
+
+    A wave reads the open items and writes changes of those it claimed or retired. Findings and log are a folder each with
+    a partition a wave, so they are one scan however many waves there were.
+    """
     spark, began, n, streak, aborted = state.spark, clock(), 0, 0, False
-    names = [f.name for f in spark.createDataFrame([], TABLES["findings"]).schema if f.name not in ("id", "embedding", "cluster_id", "created_at")]
-    found = spark.createDataFrame([], "wave int, turn struct<cycle:bigint,source:string,rn:bigint>, pos int, thread_key string, item_id long, " + ", ".join(f"{c} {'double' if c == 'confidence' else 'string'}" for c in names if c != "item_id"))
-    log = spark.createDataFrame([], "wave int, " + models.OUTCOME)
+    names = [f.name for f in spark.createDataFrame([], TABLES["findings"]).schema if f.name not in ("id", "embedding", "cluster_id", "created_at", "item_id")]
+    shape = "turn struct<cycle:bigint,source:string,rn:bigint>, pos int, thread_key string, item_id long, " + ", ".join(f"{c} {'double' if c == 'confidence' else 'string'}" for c in names)
+    # A new folder for each attempt at a night: waves of one that died are not met.
+    folder = f"{state.root}/stages/waves/v{v}-{uuid.uuid4().hex}"
+
+    def written(name: str, columns: str, df: DataFrame | None = None) -> DataFrame:
+        if df is not None:
+            df.write.parquet(f"{folder}/{name}/wave={n}")
+        return spark.read.schema(f"{columns}, wave int").option("basePath", f"{folder}/{name}").parquet(f"{folder}/{name}") if n else spark.createDataFrame([], f"{columns}, wave int")
+
+    found, log = written("found", shape), written("log", models.OUTCOME)
     left = p.max_items
     while not aborted and (left is None or left > 0) and (p.max_seconds is None or clock() - began < p.max_seconds):
-        n += 1
-        after, ready = wave(items, found, m, p, now, p.wave if left is None else min(p.wave, left))
-        ready = state.staged(f"claimed/v{v}/{n}", ready)
+        retired, ready = wave(table.read(open_only=True), found, m, p, now, p.wave if left is None else min(p.wave, left))
+        ready = state.staged(f"claimed/v{v}/{n + 1}", ready)
         if ready.isEmpty():
             break
-        outcome = state.staged(f"judged/v{v}/{n}", models.judge_in_turn(ready, m.triage, m.reader, queue.PER_THREAD, p.max_errors))
-        log = log.unionByName(outcome.withColumn("wave", F.lit(n)))
+        n += 1
+        log = written("log", models.OUTCOME, models.judge_in_turn(ready, m.triage, m.reader, queue.PER_THREAD, p.max_errors))
+        outcome = log.where(F.col("wave") == n).drop("wave")
         good = outcome.where("outcome = 'judged'").join(ready.select("id", "thread_key", "turn"), "id").select("id", "thread_key", "turn", F.posexplode("findings").alias("pos", "f"))
-        clean = [strip_nul(F.col(f"f.{c}")).alias(c) if c != "confidence" else F.col("f.confidence") for c in names if c != "item_id"]
-        found = found.unionByName(good.select(F.lit(n).alias("wave"), "turn", "pos", "thread_key", F.col("id").alias("item_id"), *clean))
+        clean = [strip_nul(F.col(f"f.{c}")).alias(c) if c != "confidence" else F.col("f.confidence") for c in names]
+        found = written("found", shape, good.select("turn", "pos", "thread_key", F.col("id").alias("item_id"), *clean))
         ids = lambda *o: outcome.where(F.col("outcome").isin(*o)).select("id")
+        after = ready.select("id", "raw_text", *CHANGING)
         after = queue.mark(queue.mark(queue.mark(after, ids("judged", "capped"), "done"), ids("failed"), "failed"), ids("skipped"), "ready")
-        # Items are read while their next version is written, so versions of a run lie side by side.
-        items = state.staged(f"items/v{v}/{n}", queue.after_model_error(after, ids("error")))
+        after = queue.after_model_error(after, ids("error"))
+        table = table.change(after.unionByName(retired.select(*after.columns)).withColumn("clear", F.col("state") == "done"))
         streak, aborted = error_state(outcome.join(ready.select("id", "turn"), "id"), streak, p.max_errors)
         if left is not None:
             left -= outcome.where("outcome in ('judged', 'failed')").count()
-    return items, found, log, aborted
+    return table, found, log, aborted
 
 
 def error_state(outcome: DataFrame, carried: int, limit: int) -> tuple[int, bool]:
@@ -189,8 +227,10 @@ def error_state(outcome: DataFrame, carried: int, limit: int) -> tuple[int, bool
     from the wave before. Retired items neither count nor end a row; a skipped one says that a task gave up."""
     events = outcome.select("turn", F.when(F.col("outcome") == "error", "error").when(F.col("outcome").isin("judged", "failed"), "success").otherwise("other").alias("outcome"))
     before = outcome.sparkSession.range(carried).select(F.struct(F.lit(-1).cast("long").alias("cycle"), F.lit("").alias("source"), F.col("id").alias("rn")).alias("turn"), F.lit("error").alias("outcome"))
-    # A wave's rows are bounded by its size.
-    runs = queue.error_streaks(events.unionByName(before).withColumn("_all", F.lit(0)), ["_all"], ["turn"], limit=limit)
+    every = events.unionByName(before).withColumn("_all", F.lit(0))
+    order = [F.col("turn.cycle"), F.col("turn.source"), F.col("turn.rn")]
+    islands = tables.running_sum(every, ["_all"], order, (F.col("outcome") == "success").cast("long"), "island", parts=8)
+    runs = islands.where("outcome = 'error'").groupBy("island").agg(F.count(F.lit(1)).alias("errors"))
     last = events.where("outcome = 'success'").count()
     got = runs.agg(F.max("errors").alias("most"), F.max(F.when(F.col("island") == last, F.col("errors"))).alias("tail")).first()
     given_up = not outcome.where("outcome = 'skipped'").isEmpty()
@@ -214,11 +254,10 @@ def run(
     read, errors = [], []
     if fetched is None:
         fetched, read, errors = fetch(state, v, now, p, reader_of)
-    items = state.staged(f"ingested/v{v}", ingest(state, fetched, at))
-    inserted = items.join(state.read("items").select("id"), "id", "left_anti")
-    items = state.staged(f"deduped/v{v}", tables.set_state(items, dedupe.decide(items)))
-    items, found, log, aborted = judge(state, v, items, m, p, at, clock)
-    items = state.write("items", items, v)
+    table, inserted = ingest(state, v, fetched, at)
+    table, found, log, aborted = judge(state, v, table, m, p, at, clock)
+    table = table.compact(F.col("state").isin(*FINAL)).save(v)
+    items = table.read()
     state.staged(f"log/v{v}", log)
     old = state.read("findings")
     bare = found.withColumns({"created_at": at, "embedding": F.lit(None).cast("array<float>"), "cluster_id": F.lit(None).cast("long")})
