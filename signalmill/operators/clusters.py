@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from signalmill.functions.vectors import decide, normalize
+from signalmill.operators.staging import staged
+from signalmill.operators.tables import rank_in_order
 
 
 def never_the_same(a: str, b: str) -> bool:
@@ -31,38 +33,203 @@ def unclustered(findings: DataFrame) -> DataFrame:
     return findings.where("embedding is not null and cluster_id is null").orderBy("id")
 
 
-def greedy(findings: DataFrame, clusters: DataFrame, merge: float = 0.90, low: float = 0.75, same: Callable[[str, str], bool] = never_the_same) -> DataFrame:
+def greedy(
+    findings: DataFrame, clusters: DataFrame, merge: float = 0.90, low: float = 0.75, same: Callable[[str, str], bool] = never_the_same, block: int = 1024, fold: int = 4096,
+) -> DataFrame:
     """id, kind, cluster_key, similarity, action, merged of each finding, folded in id order inside its kind.
 
-    A finding joins the most similar cluster of its kind (the earliest of equals) or founds one whose centroid it stays.
-    Stored clusters (id, kind, canonical_statement, centroid) come first, by id, and keep their id as key; new ones get
-    minus the founding finding's id. The result depends on the order by definition, so a kind is one fold in one task;
-    rows stream through it in sorted batches and only the kind's centroids are held.
+    A finding joins the most similar cluster of its kind (the earliest of equals, to twelve decimals) or founds one whose
+    centroid it stays. Stored clusters (id, kind, canonical_statement, centroid) come first, by id, and keep their id as key;
+    new ones get minus the founding finding's id.
+
+    The result is that of one pass in order, found in rounds. A kind lies in blocks of ``block`` findings in order. Each knows
+    its best founder so far, and one that is at or above ``merge`` cannot found a cluster, so it is closed whatever comes.
+    A round takes a kind's first blocks with at most ``fold`` open findings and folds these in order in one task. As everything
+    before them is known, this is exact. The round's founders, at most ``fold`` vectors a kind, then meet all later blocks, and
+    the closed findings of its own blocks, as one matrix product a block. So the work of a kind is spread over its blocks, no
+    task holds more than ``fold`` findings, and there are about as many rounds as founders over ``fold``.
     """
-    stored = clusters.select("kind", F.lit(False).alias("fresh"), "id", F.col("canonical_statement").alias("text"), F.col("centroid").alias("v"))
-    fresh = findings.select("kind", F.lit(True).alias("fresh"), "id", F.col("statement").alias("text"), F.col("embedding").alias("v"))
-    dealt = stored.unionByName(fresh).repartition("kind").sortWithinPartitions("kind", "fresh", "id")
+    fresh = findings.select("kind", F.col("id").cast("long").alias("ord"), F.coalesce("statement", F.lit("")).alias("text"), F.col("embedding").cast("array<double>").alias("v"))
+    fold = max(fold, block)
+    ranked = _ranked(staged(fresh, "fold-findings"))
+    dealt = ranked.withColumn("block", F.floor((F.col("_rank") - 1) / block)).groupBy("kind", "block").agg(F.array_sort(F.collect_list(F.struct("ord", "text", "v"))).alias("m"))
+    now = staged(dealt.select("kind", "block", "m.ord", "m.text", "m.v").mapInArrow(_packed, _BLOCK), "fold-blocks")
+    # Stored clusters are before every finding.
+    stored = clusters.select("kind", (F.col("id").cast("long") - 2**62).alias("ord"), F.col("id").cast("long").alias("key"), F.coalesce("canonical_statement", F.lit("")).alias("text"), F.col("centroid").cast("array<double>").alias("v"))
+    stored = staged(_ranked(staged(stored, "fold-stored")).withColumn("part", F.floor((F.col("_rank") - 1) / fold)), "fold-founders")
+    for part in range((stored.agg(F.max("part")).first()[0] or 0) + 1 if not stored.isEmpty() else 0):
+        now = staged(_met(now, stored.where(F.col("part") == part)).mapInArrow(_updated(merge), _BLOCK), "fold-blocks")
+    out = []
+    while not now.isEmpty():
+        # Block counts only: one row a block.
+        upto = F.sum("n_open").over(Window.partitionBy("kind").orderBy("block").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        ends = staged(now.select("kind", "block", "n_open").withColumn("upto", upto).where(F.col("upto") <= fold).groupBy(F.col("kind").alias("_kind")).agg(F.max("block").alias("last")), "fold-ends")
+        told = now.join(ends, F.col("kind").eqNullSafe(F.col("_kind"))).drop("_kind")
+        taken, later = told.where("block <= last").drop("last"), told.where("block > last").drop("last")
+        open_ = taken.where("n_open > 0").mapInArrow(_open(merge), _ITEM).repartition("kind").sortWithinPartitions("kind", "ord")
+        decided = staged(open_.mapInArrow(_folded(merge, low, same), f"{_RESULT}, text string, v array<double>"), "fold-decided")
+        founders = decided.where("not merged").select("kind", F.col("id").alias("ord"), F.col("cluster_key").alias("key"), "text", "v")
+        out += [decided.select("id", "kind", "cluster_key", "similarity", "action", "merged"), staged(_met(taken, founders).mapInArrow(_closed(merge), _RESULT), "fold-closed")]
+        now = staged(_met(later, founders).mapInArrow(_updated(merge), _BLOCK), "fold-blocks")
+    every = findings.sparkSession.createDataFrame([], _RESULT)
+    for part in out:
+        every = every.unionByName(part)
+    return every
+
+
+# A block: its findings in order, their unit vectors, and of each the best founder so far (key null: none).
+_BLOCK = "kind string, block long, n_open long, ord array<long>, text array<string>, x binary, sim array<double>, key array<long>, near array<string>"
+_ITEM = "kind string, ord long, text string, v array<double>, sim double, key long, near string"
+_RESULT = "id long, kind string, cluster_key long, similarity double, action string, merged boolean"
+_SLOTS = 64
+
+
+def _ranked(rows: DataFrame) -> DataFrame:
+    """Rows with their number in their kind, which may be null."""
+    named = rows.withColumn("_k", F.coalesce(F.concat(F.lit("="), "kind"), F.lit("")))
+    return rank_in_order(named, ["_k"], [F.col("ord")], "_rank", parts=16).drop("_k")
+
+
+class Block(NamedTuple):
+    kind: str | None
+    block: int
+    ord: np.ndarray
+    text: list[str]
+    x: np.ndarray
+    sim: np.ndarray
+    key: list[int | None]
+    near: list[str | None]
+
+    @classmethod
+    def rows(cls, batch: pa.RecordBatch):
+        """The blocks of a batch, and each one's founders (ord, key, text, x) where it has any."""
+        for r in range(batch.num_rows):
+            at = lambda c: batch.column(c)[r]  # noqa: B023,E731
+            ords = at("ord").values.to_numpy()
+            x = np.frombuffer(at("x").as_py(), np.float64).reshape(len(ords), -1)
+            block = cls(at("kind").as_py(), at("block").as_py(), ords, at("text").as_py(), x, at("sim").values.to_numpy(zero_copy_only=False).copy(), at("key").as_py(), at("near").as_py())
+            founders = at("founders") if "founders" in batch.schema.names else None
+            if founders is None or not founders.is_valid:
+                yield block, None
+            else:
+                f = founders.values
+                yield block, (f.field("ord").to_numpy(), f.field("key").to_pylist(), f.field("text").to_pylist(), _units(f.field("v")))
+
+    def met(self, founders, merge: float) -> Block:
+        """The block after founders that came later than those it knows; each finding meets those before it."""
+        if founders is None:
+            return self
+        ords, keys, texts, x = founders
+        sims = np.round(self.x @ x.T, 12)
+        sims[ords[None, :] >= self.ord[:, None]] = -np.inf
+        best = sims.argmax(1)
+        top = sims[np.arange(len(best)), best]
+        for i in np.flatnonzero(top > np.where(np.isnan(self.sim), -np.inf, self.sim)).tolist():
+            self.sim[i], self.key[i], self.near[i] = top[i], keys[best[i]], texts[best[i]]
+        return self
+
+    def closed(self, merge: float) -> np.ndarray:
+        return self.sim >= merge
+
+    @staticmethod
+    def batch(blocks: list[Block], merge: float) -> pa.RecordBatch:
+        cols = [
+            pa.array([b.kind for b in blocks], pa.string()), pa.array([b.block for b in blocks], pa.int64()), pa.array([int((~b.closed(merge)).sum()) for b in blocks], pa.int64()),
+            pa.array([b.ord for b in blocks], pa.list_(pa.int64())), pa.array([b.text for b in blocks], pa.list_(pa.string())), pa.array([b.x.tobytes() for b in blocks], pa.binary()),
+            pa.array([b.sim for b in blocks], pa.list_(pa.float64())), pa.array([b.key for b in blocks], pa.list_(pa.int64())), pa.array([b.near for b in blocks], pa.list_(pa.string())),
+        ]
+        return pa.RecordBatch.from_arrays(cols, names=["kind", "block", "n_open", "ord", "text", "x", "sim", "key", "near"])
+
+
+def _units(vectors: pa.Array) -> np.ndarray:
+    """Unit vectors of a list column, straight from its buffer."""
+    x = vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
+    n = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.where(n == 0, 1, n)
+
+
+def _packed(batches):
+    for batch in batches:
+        for r in range(batch.num_rows):
+            kind, block, ords, text, v = (batch.column(c)[r] for c in ("kind", "block", "ord", "text", "v"))
+            n = len(ords)
+            yield Block.batch([Block(kind.as_py(), block.as_py(), ords.values.to_numpy(), text.as_py(), _units(v.values), np.full(n, np.nan), [None] * n, [None] * n)], np.inf)
+
+
+def _met(blocks: DataFrame, founders: DataFrame) -> DataFrame:
+    """Blocks with the founders of their kind (at most a fold's) as one array, dealt so that a large kind is many tasks."""
+    of = founders.groupBy("kind").agg(F.array_sort(F.collect_list(F.struct("ord", "key", "text", "v"))).alias("founders"))
+    slot = F.pmod(F.col("block"), F.lit(_SLOTS))
+    slots = blocks.select(F.col("kind").alias("_kind"), slot.alias("_slot")).distinct()
+    dealt = staged(of.join(slots, F.col("kind").eqNullSafe(F.col("_kind"))).select("_kind", "_slot", "founders"), "fold-dealt")
+    return blocks.withColumn("slot", slot).join(dealt, F.col("kind").eqNullSafe(F.col("_kind")) & (F.col("slot") == F.col("_slot")), "left").drop("slot", "_kind", "_slot")
+
+
+def _updated(merge: float):
+    def run(batches):
+        for batch in batches:
+            for block, founders in Block.rows(batch):
+                yield Block.batch([block.met(founders, merge)], merge)
+
+    return run
+
+
+def _open(merge: float):
+    """The open findings of blocks, one a row."""
+
+    def run(batches):
+        for batch in batches:
+            for b, _ in Block.rows(batch):
+                i = np.flatnonzero(~b.closed(merge)).tolist()
+                sims = [None if np.isnan(b.sim[k]) else float(b.sim[k]) for k in i]
+                cols = [[b.kind] * len(i), b.ord[i], [b.text[k] for k in i], list(b.x[i]), sims, [b.key[k] for k in i], [b.near[k] for k in i]]
+                types = (pa.string(), pa.int64(), pa.string(), pa.list_(pa.float64()), pa.float64(), pa.int64(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["kind", "ord", "text", "v", "sim", "key", "near"])
+
+    return run
+
+
+def _folded(merge: float, low: float, same: Callable[[str, str], bool]):
+    """Open findings, sorted by kind and order, with what becomes of them."""
 
     def run(batches):
-        fold = None
+        fold: Fold | None = None
         for batch in batches:
-            out = []
-            for kind, is_fresh, id_, text, v in batch.itertuples(index=False):
+            x = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            rows = zip(*(batch.column(c).to_pylist() for c in ("kind", "ord", "text", "sim", "key", "near")))
+            got = []
+            for v, (kind, ord_, text, sim, key, near) in zip(x, rows):
                 if fold is None or fold.kind != kind:
                     fold = Fold(kind, merge, low, same)
-                if is_fresh:
-                    out.append((int(id_), kind, *fold.place(int(id_), text, _unit(v))))
-                else:
-                    fold.add(int(id_), text, _unit(v))
-            yield pd.DataFrame(out, columns=["id", "kind", "cluster_key", "similarity", "action", "merged"])
+                got.append((ord_, kind, *fold.place(ord_, text, v, sim, key, near)))
+            cols = list(zip(*got)) if got else [[]] * 6
+            types = (pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.string(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, types)), batch.column("text"), batch.column("v")], names=["id", "kind", "cluster_key", "similarity", "action", "merged", "text", "v"])
+
+    return run
+
+
+def _closed(merge: float):
+    """The closed findings of blocks whose founders are all known."""
 
-    return dealt.mapInPandas(run, "id long, kind string, cluster_key long, similarity double, action string, merged boolean")
+    def run(batches):
+        for batch in batches:
+            for b, founders in Block.rows(batch):
+                closed = np.flatnonzero(b.closed(merge))
+                b = b.met(founders, merge)
+                n = len(closed)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(b.ord[closed], pa.int64()), pa.array([b.kind] * n, pa.string()), pa.array([b.key[i] for i in closed], pa.int64()), pa.array(b.sim[closed], pa.float64()),
+                    pa.array(["merge"] * n, pa.string()), pa.array([True] * n, pa.bool_()),
+                ], names=["id", "kind", "cluster_key", "similarity", "action", "merged"])
+
+    return run
 
 
 class Fold:
-    """The clusters of one kind: keys, texts and unit centroids, in the order they were founded."""
+    """The clusters that a run of findings of one kind founded: keys, texts and unit centroids, in order."""
 
-    def __init__(self, kind: str, merge: float, low: float, same: Callable[[str, str], bool]):
+    def __init__(self, kind: str | None, merge: float, low: float, same: Callable[[str, str], bool]):
         self.kind, self.merge, self.low, self.same = kind, merge, low, same
         self.keys: list[int] = []
         self.texts: list[str] = []
@@ -78,24 +245,19 @@ class Fold:
         self.centroids[n] = v
         self.keys.append(key), self.texts.append(text)
 
-    def place(self, id_: int, text: str, v: np.ndarray) -> tuple[int, float | None, str, bool]:
-        """(cluster key, similarity, action, merged) of the next finding."""
-        sims = self.centroids[: len(self.keys)] @ v if self.keys else np.zeros(0)
+    def place(self, id_: int, text: str, v: np.ndarray, sim: float | None = None, key: int | None = None, near: str | None = None) -> tuple[int, float | None, str, bool]:
+        """(cluster key, similarity, action, merged) of the next finding, whose best earlier founder is given."""
+        sims = np.round(self.centroids[: len(self.keys)] @ v, 12) if self.keys else np.zeros(0)
         best = int(np.argmax(sims)) if len(sims) else -1
-        sim = float(sims[best]) if len(sims) else None
+        if best >= 0 and (sim is None or sims[best] > sim):
+            sim, key, near = float(sims[best]), self.keys[best], self.texts[best]
         action = "new" if sim is None or sim < self.low else "tiebreak" if sim < self.merge else "merge"
-        if action == "merge" or action == "tiebreak" and self.same(text, self.texts[best]):
-            return self.keys[best], sim, action, True
+        if action == "merge" or action == "tiebreak" and self.same(text, near):
+            return key, sim, action, True
         self.add(-id_, text, v)
         return -id_, sim, action, False
 
 
-def _unit(v) -> np.ndarray:
-    x = np.asarray(v, dtype=np.float64)
-    n = np.linalg.norm(x)
-    return x / n if n else x
-
-
 def new_clusters(folded: DataFrame, findings: DataFrame, now: Column) -> DataFrame:
     """The rows of clusters that the fold founded, without ids; mention counts start at 0."""
     founded = folded.where("cluster_key = -id").select("id")
@@ -119,8 +281,8 @@ def nearest_same_kind(vectors: DataFrame, candidates: DataFrame, kind: str = "ki
     def run(batches):
         for batch in batches:
             for k, a, x, b, y in zip(*(batch.column(c) for c in (kind, "a", "x", "b", "y"))):
-                a, b = np.array(a.as_py()), np.array(b.as_py())
-                sims = np.array(x.as_py()) @ np.array(y.as_py()).T
+                a, b = a.values.to_numpy(), b.values.to_numpy()
+                sims = x.values.flatten().to_numpy(zero_copy_only=False).reshape(len(a), -1) @ y.values.flatten().to_numpy(zero_copy_only=False).reshape(len(b), -1).T
                 sims[a[:, None] == b[None, :]] = -np.inf
                 best = sims.max(1)
                 other = np.where(sims >= best[:, None] - 5e-13, b[None, :], np.iinfo(np.int64).max).min(1)

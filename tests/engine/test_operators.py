@@ -99,6 +99,38 @@ def test_greedy_fold_equals_the_loop(spark):
     assert got == want
 
 
+def test_greedy_rounds_over_many_small_blocks(spark):
+    """Blocks of five and folds of nine: rounds, stored clusters in parts, tie-breaks and equal vectors, against one pass."""
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(14, 4))
+    words = ["slow data", "slow data loading", "cats", ""]
+    rows, stored = [], []
+    for i in range(1, 301):
+        v = centres[int(rng.integers(0, 14))] + rng.normal(size=4) * (0.0 if i % 5 == 0 else 0.35)
+        rows.append((i, None if i % 9 == 0 else "hot" if i % 9 < 7 else f"k{i % 3}", words[int(rng.integers(0, 4))], v.tolist()))
+    for j in range(23):
+        stored.append((j + 1, "hot" if j % 4 else "k1", words[j % 4], (centres[j % 14] + rng.normal(size=4) * 0.5).tolist()))
+    unit = lambda v: np.asarray(v) / np.linalg.norm(v)
+    same, want = clusters.shared_words(), {}
+    for kind in {r[1] for r in rows}:
+        known = [(i, text, unit(v)) for i, k, text, v in stored if k == kind]
+        for i, k, text, v in sorted(rows, key=lambda r: r[0]):
+            if k != kind:
+                continue
+            sims = [round(float(np.dot(c, unit(v))), 12) for _, _, c in known]
+            best = max(range(len(sims)), key=lambda n: (sims[n], -n)) if sims else None
+            action = "new" if best is None or sims[best] < 0.75 else "tiebreak" if sims[best] < 0.9 else "merge"
+            merged = action == "merge" or action == "tiebreak" and same(text, known[best][1])
+            if not merged:
+                known.append((-i, text, unit(v)))
+            want[i] = (kind, known[best][0] if merged else -i, None if best is None else round(sims[best], 9), action, merged)
+    f = spark.createDataFrame(rows, "id long, kind string, statement string, embedding array<double>").repartition(5)
+    c = spark.createDataFrame(stored, "id long, kind string, canonical_statement string, centroid array<double>")
+    for size in ({"block": 5, "fold": 9}, {"block": 64, "fold": 64}, {}):
+        got = clusters.greedy(f, c, 0.9, 0.75, same, **size).collect()
+        assert len(got) == 300 and {r.id: (r.kind, r.cluster_key, None if r.similarity is None else round(r.similarity, 9), r.action, r.merged) for r in got} == want
+
+
 def test_paraphrases_share_a_cluster_with_a_tiebreak(spark):
     f = spark.createDataFrame([(1, "pain", "slow data loading in training", [1.0, 0.0]), (2, "pain", "slow data loading in big training", [0.8, 0.6]), (3, "pain", "cats", [0.0, 1.0])], "id long, kind string, statement string, embedding array<double>")
     stored = spark.createDataFrame([(77, "pain", "dogs", [0.0, -1.0]), (78, "read", "x", [1.0, 0.0])], "id long, kind string, canonical_statement string, centroid array<double>")
