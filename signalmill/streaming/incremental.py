@@ -1,7 +1,7 @@
 """The incremental side: fetched items and mentions as streams.
 
 A source's "watermark" is its high-water mark, kept by the stream's checkpoint; late data come by re-reading an overlap,
-and keys make that harmless. Clusters grow with the stream in a stateful operator keyed by kind.
+and keys make that harmless. Clusters grow with the stream in a stateful operator keyed by kind, one entry a founder.
 """
 
 from __future__ import annotations
@@ -10,22 +10,28 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
 from signalmill.operators import dedupe, tables
-from signalmill.operators.clusters import never_the_same
+from signalmill.operators.clusters import Fold, never_the_same
 
 
-def insert_stream(fetched: DataFrame, root: str, checkpoint: str) -> DataStreamWriter:
-    """Append each micro-batch's new (source, source_id) to ``root``; one folder a batch, so a replayed batch replaces itself."""
+def insert_stream(fetched: DataFrame, root: str, checkpoint: str, then: Callable[[DataFrame, int], None] | None = None) -> DataStreamWriter:
+    """Append each micro-batch's new (source, source_id) to ``root``; one folder a batch, so a replayed batch replaces itself.
+
+    ``then`` gets a batch's new rows as they were written. The source's offset is committed after it returns; a batch whose
+    ``then`` fails is fetched and handed over again, so it should write what it makes of a batch under the batch's number.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         done = _earlier(spark, root, batch_id, batch.schema)
         fresh = tables.insert_ignore(done, batch, ["source", "source_id"], [F.col("created_at_i"), F.col("url")])
         fresh.write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
+        if then is not None:
+            then(spark.read.schema(batch.schema).parquet(f"{root}/batch={batch_id}"), batch_id)
 
     return fetched.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
@@ -60,31 +66,49 @@ def mention_stream(mentions: DataFrame, delay: str = "2 days", time: str = "even
     return mentions.withWatermark(time, delay).dropDuplicatesWithinWatermark(["cluster_id", "source", "seen_on"])
 
 
-def cluster_stream(findings: DataFrame, merge: float = 0.90, low: float = 0.75, same: Callable[[str, str], bool] = never_the_same) -> DataFrame:
-    """id, kind, cluster_key, action of findings (id, kind, statement, embedding); centroids are the state of their kind.
+class Clusters(StatefulProcessor):
+    """The clusters of a kind: a list with one entry a founder, in the order they were founded.
 
-    A micro-batch's findings of a kind are folded in id order, as the batch operator does.
+    A batch reads the list once and appends what it founds, so what is written follows the batch, not the state.
     """
-    out = "id long, kind string, cluster_key long, action string"
-    state = "keys array<long>, texts array<string>, centroids array<array<double>>"
 
-    def fold(key: tuple, frames: Iterator[pd.DataFrame], group) -> Iterator[pd.DataFrame]:
-        keys, texts, centroids = ([list(x) for x in group.get] if group.exists else ([], [], []))
-        rows = pd.concat(list(frames)).sort_values("id")
-        got = []
-        for r in rows.itertuples():
+    def __init__(self, merge: float, low: float, same: Callable[[str, str], bool]):
+        self.merge, self.low, self.same = merge, low, same
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.founders = handle.getListState("founders", "key long, text string, centroid array<double>")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        fold = Fold(key[0], self.merge, self.low, self.same)
+        for founder, text, centroid in self.founders.get():
+            fold.add(founder, text, np.asarray(centroid))
+        known, got = len(fold.keys), []
+        for r in pd.concat(list(rows)).sort_values("id").itertuples():
             v = np.asarray(r.embedding, dtype=np.float64)
-            v = v / (np.linalg.norm(v) or 1)
-            sims = np.array(centroids) @ v if centroids else np.zeros(0)
-            best = int(np.argmax(sims)) if len(sims) else -1
-            action = "new" if best < 0 or sims[best] < low else "tiebreak" if sims[best] < merge else "merge"
-            if action == "merge" or action == "tiebreak" and same(r.statement, texts[best]):
-                target = keys[best]
-            else:
-                target = int(r.id)
-                keys.append(target), texts.append(r.statement), centroids.append(v.tolist())
+            target, _, action, merged = fold.place(int(r.id), r.statement or "", v / (np.linalg.norm(v) or 1))
+            if not merged:
+                # Streams name a cluster by the finding that founded it.
+                fold.keys[-1] = target = int(r.id)
             got.append((int(r.id), key[0], target, action))
-        group.update((keys, texts, centroids))
+        if len(fold.keys) > known:
+            self.founders.appendList([(fold.keys[i], fold.texts[i], fold.centroids[i].tolist()) for i in range(known, len(fold.keys))])
         yield pd.DataFrame(got, columns=["id", "kind", "cluster_key", "action"])
 
-    return findings.groupBy("kind").applyInPandasWithState(fold, out, state, "append", "NoTimeout")
+    def close(self) -> None:
+        return
+
+
+def cluster_stream(findings: DataFrame, merge: float = 0.90, low: float = 0.75, same: Callable[[str, str], bool] = never_the_same) -> DataFrame:
+    """id, kind, cluster_key, action of findings (id, kind, statement, embedding); founders are the state of their kind.
+
+    A micro-batch's findings of a kind are folded in id order, as the batch operator does. The session needs the RocksDB
+    state store, whose change log and files hold single entries (``use_entries``).
+    """
+    out = "id long, kind string, cluster_key long, action string"
+    return findings.groupBy("kind").transformWithStateInPandas(Clusters(merge, low, same), out, "Append", "None")
+
+
+def use_entries(spark: SparkSession) -> None:
+    """Keep stream state in RocksDB with a change log, for streams that start from now on."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
