@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from signalmill.functions.jsons import SECTIONS
 from signalmill.functions.scoring import per_source_quota, set_size
+from signalmill.operators.staging import staged
+from signalmill.operators.tables import rank_in_order
 
 # The digest's size.
 SOMEONE_BUILT_CAP, TOTAL_CAP, HEADLINES = 5, 20, 5
@@ -80,7 +83,9 @@ def apply_caps(items: DataFrame, built_cap: int = SOMEONE_BUILT_CAP, total_cap:
     """The last section's cap first, then the total cap in section order; caps below 0 count as 0."""
     by = by or []
     pos = F.row_number().over(Window.partitionBy(*by, "section").orderBy("pos"))
-    kept = items.withColumn("_k", pos).where((F.col("section") != "someone_built") | (F.col("_k") <= max(0, built_cap)))
+    # No section can place more than the total, so the last window sees that many of each at most.
+    few = items.withColumn("_k", pos).where(F.col("_k") <= max(0, total_cap))
+    kept = few.where((F.col("section") != "someone_built") | (F.col("_k") <= max(0, built_cap)))
     n = F.row_number().over(Window.partitionBy(*by).orderBy(section_rank(F.col("section")), "pos"))
     return kept.withColumn("_k", n).where(F.col("_k") <= max(0, total_cap)).drop("_k")
 
@@ -88,33 +93,65 @@ def apply_caps(items: DataFrame, built_cap: int = SOMEONE_BUILT_CAP, total_cap:
 def numbered(items: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Items with their number ``n`` across sections in document order."""
     order = [section_rank(F.col("section")), F.col("pos")]
-    return items.withColumn("n", F.row_number().over(Window.partitionBy(*(by or [])).orderBy(*order)))
+    numbered = rank_in_order(items.withColumn("_all", F.lit(0)), by or ["_all"], order, "n", parts=16)
+    return numbered.drop("_all").withColumn("n", F.col("n").cast("int"))
 
 
-def one_per_story(items: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Items (section, pos, finding_ids, urls) that share no id and no url with an earlier item that was kept.
+def one_per_story(items: DataFrame, by: list[str] | None = None, fold: int = 5_000) -> DataFrame:
+    """Items (section, pos, finding_ids, urls) that share no id and no url with an earlier item of their briefing that was
+    kept; dropped items add nothing to what is seen. Items of equal section and pos are ordered by their ids and urls.
 
-    Dropped items add nothing to what is seen, so this is a fold, here over the few items of one briefing.
+    An id or url is a list of the items that cite it. In rounds an item that is the first in all its lists is kept and the
+    others in these lists fall; lists are aggregates with map-side combine, so one that most items are in is no hot group.
+    What is open of a briefing after that, once it is at most ``fold`` items, is folded in order in one task.
     """
-    by = by or []
-    keep = [c for c in items.columns if c not in by]
-    one = F.struct(section_rank(F.col("section")).alias("_r"), F.col("pos").alias("_p"), F.struct(*keep).alias("_i"))
-    order = F.array_sort(F.collect_list(one), lambda a, b: F.when(a["_r"] < b["_r"], -1).when(a["_r"] > b["_r"], 1).when(a["_p"] < b["_p"], -1).when(a["_p"] > b["_p"], 1).otherwise(0))
-    grouped = items.groupBy(*by).agg(order.alias("_all")) if by else items.agg(order.alias("_all"))
-    item_type = grouped.schema["_all"].dataType.elementType.simpleString()
-    start = F.struct(F.array().cast("array<bigint>").alias("ids"), F.array().cast("array<string>").alias("urls"), F.array().cast(f"array<{item_type}>").alias("kept"))
-
-    def step(acc: Column, x: Column) -> Column:
-        ids = F.coalesce(x["_i"]["finding_ids"], F.array().cast("array<bigint>"))
-        urls = F.coalesce(x["_i"]["urls"], F.array().cast("array<string>"))
-        seen = F.coalesce(F.arrays_overlap(acc["ids"], ids), F.lit(False)) | F.coalesce(F.arrays_overlap(acc["urls"], urls), F.lit(False))
-        return F.struct(
-            F.when(seen, acc["ids"]).otherwise(F.array_union(acc["ids"], ids)).alias("ids"), F.when(seen, acc["urls"]).otherwise(F.array_union(acc["urls"], urls)).alias("urls"),
-            F.when(seen, acc["kept"]).otherwise(F.concat(acc["kept"], F.array(x))).alias("kept"),
-        )
-
-    folded = grouped.select(*by, F.explode(F.aggregate("_all", start, step, lambda a: a["kept"])).alias("x"))
-    return folded.select(*by, "x._i.*")
+    given = items.withColumns({"_b": F.to_json(F.struct(*by)) if by else F.lit(""), "_cites": _cites()})
+    order = [section_rank(F.col("section")), F.col("pos"), F.array_join("_cites", "\x00")]
+    ranked = staged(rank_in_order(given, ["_b"], order, "_n", parts=16), "stories")
+    links = staged(ranked.select("_b", "_n", F.explode("_cites").alias("_k")), "story-lists")
+    kept = []
+    while True:
+        most = links.groupBy("_b").agg(F.count_distinct("_n").alias("m")).agg(F.max("m")).first()[0] or 0
+        if most <= fold:
+            kept.append(_folded(links))
+            break
+        first = staged(links.groupBy("_b", "_k").agg(F.min("_n").alias("_first")), "story-first")
+        heads = links.join(first, ["_b", "_k"]).groupBy("_b", "_n").agg(F.bool_and(F.col("_first") == F.col("_n")).alias("_head"))
+        heads = staged(heads.where("_head").select("_b", "_n"), "story-heads")
+        taken = staged(links.join(heads, ["_b", "_n"]).select("_b", "_k"), "story-taken")
+        gone = staged(links.join(taken, ["_b", "_k"]).select("_b", "_n").distinct(), "story-gone")
+        kept.append(heads)
+        links = staged(links.join(gone, ["_b", "_n"], "left_anti"), "story-lists")
+    found = kept[0]
+    for more in kept[1:]:
+        found = found.unionByName(more)
+    return ranked.where(F.size("_cites") == 0).unionByName(ranked.join(found, ["_b", "_n"], "left_semi")).select(*items.columns)
+
+
+def _cites() -> Column:
+    """The distinct ids and urls of an item as texts."""
+    ids = F.transform(F.coalesce("finding_ids", F.array().cast("array<bigint>")), lambda x: F.concat(F.lit("i"), x.cast("string")))
+    urls = F.transform(F.coalesce("urls", F.array().cast("array<string>")), lambda x: F.concat(F.lit("u"), x))
+    return F.array_sort(F.array_distinct(F.filter(F.concat(ids, urls), lambda x: x.isNotNull())))
+
+
+def _folded(links: DataFrame) -> DataFrame:
+    """(_b, _n) of the items kept, of briefings whose items one task may hold."""
+    dealt = links.groupBy("_b", "_n").agg(F.collect_list("_k").alias("_ks")).repartition("_b").sortWithinPartitions("_b", "_n")
+
+    def run(batches):
+        briefing, seen = None, set()
+        for batch in batches:
+            kept = []
+            for b, n, ks in zip(*(batch.column(c).to_pylist() for c in ("_b", "_n", "_ks"))):
+                if b != briefing:
+                    briefing, seen = b, set()
+                if seen.isdisjoint(ks):
+                    seen.update(ks)
+                    kept.append((b, n))
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], names=["_b", "_n"])
+
+    return dealt.mapInArrow(run, "_b string, _n long")
 
 
 def with_links(items: DataFrame, index: DataFrame, key: list[str]) -> DataFrame:

@@ -69,7 +69,11 @@ def greedy(
         open_ = taken.where("n_open > 0").mapInArrow(_open(merge), _ITEM).repartition("kind").sortWithinPartitions("kind", "ord")
         decided = staged(open_.mapInArrow(_folded(merge, low, same), f"{_RESULT}, text string, v array<double>"), "fold-decided")
         founders = decided.where("not merged").select("kind", F.col("id").alias("ord"), F.col("cluster_key").alias("key"), "text", "v")
-        out += [decided.select("id", "kind", "cluster_key", "similarity", "action", "merged"), staged(_met(taken, founders).mapInArrow(_closed(merge), _RESULT), "fold-closed")]
+        out.append(decided.select("id", "kind", "cluster_key", "similarity", "action", "merged"))
+        if not taken.where(F.col("n_open") < F.size("ord")).isEmpty():
+            out.append(staged(_met(taken, founders).mapInArrow(_closed(merge), _RESULT), "fold-closed"))
+        if later.isEmpty():
+            break
         now = staged(_met(later, founders).mapInArrow(_updated(merge), _BLOCK), "fold-blocks")
     every = findings.sparkSession.createDataFrame([], _RESULT)
     for part in out:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from signalmill.functions.text import link_only, too_short
@@ -15,7 +15,7 @@ def decide(items: DataFrame) -> DataFrame:
     """id, state, reason of the fetched items: too_short, link_only, content_hash or ready, in that order.
 
     The first eligible item of a hash by id is ready, unless an accepted item holds the hash. Items without a hash never
-    match one. The window is partitioned by hash only among eligible items with one, so junk forms no hot group.
+    match one.
     """
     text = F.col("raw_text")
     fetched = items.where("state = 'fetched'").select("id", "content_hash", F.when(too_short(text), "too_short").when(link_only(text), "link_only").alias("junk"))
@@ -32,9 +32,3 @@ def decide(items: DataFrame) -> DataFrame:
 def summary(decided: DataFrame) -> DataFrame:
     """Totals of a run by reason and state."""
     return decided.groupBy("state", "reason").agg(F.count(F.lit(1)).alias("n"))
-
-
-def first_of(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """The first row of each key by ``order``."""
-    n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("_n", n).where("_n = 1").drop("_n")

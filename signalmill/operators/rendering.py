@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from signalmill.functions.jsons import SECTIONS
 from signalmill.functions.times import long_date
 from signalmill.operators.briefing import section_rank
+from signalmill.operators.tables import rank_in_order
 
 # Marks of the kinds and titles of the sections.
 KIND_MARKS = {"pain": "🔴", "build": "🛠️", "signal": "📡", "research": "🔬", "read": "📄", "pattern": "🧩", "open_problem": "🧭"}
@@ -80,10 +81,6 @@ def digest_markdown(items: DataFrame, day: Column, night_summary: Column) -> Dat
     return body.select(F.concat(F.concat_ws("\n\n", F.concat(F.lit("# "), long_date(day)), summary, filled, nothing), F.lit("\n")).alias("markdown"))
 
 
-def digest_name(day: Column) -> Column:
-    return F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit(".md"))
-
-
 def save_text(text: str, folder: str, name: str) -> str:
     """Write one text file of the driver's; returns its path."""
     import os
@@ -99,11 +96,13 @@ def report_rows(findings: DataFrame, items: DataFrame) -> DataFrame:
     """Findings in report order: kind ("unknown" without one), its size and rank, place in it, url and entry text."""
     url = items.select(F.col("id").alias("item_id"), "url")
     kind = F.coalesce(F.nullif("kind", F.lit("")), F.lit("unknown"))
-    rows = findings.join(url, "item_id", "left").withColumns({"kind": kind, "url": F.coalesce(F.nullif("url", F.lit("")), F.lit("(no url)"))})
-    sizes = rows.groupBy("kind").agg(F.count(F.lit(1)).alias("kind_size"), F.min("id").alias("_first"))
+    named = findings.withColumn("kind", kind)
+    sizes = named.groupBy("kind").agg(F.count(F.lit(1)).alias("kind_size"), F.min("id").alias("_first"))
+    # One row a kind; findings are ranked in parts, as a kind may hold most of them.
     sizes = sizes.withColumn("kind_rank", F.row_number().over(Window.orderBy(F.desc("kind_size"), "_first"))).drop("_first")
-    place = F.row_number().over(Window.partitionBy("kind").orderBy(F.coalesce("confidence", F.lit(0.0)).desc(), "id"))
-    return rows.join(F.broadcast(sizes), "kind").withColumn("place", place)
+    placed = rank_in_order(named, ["kind"], [-F.coalesce("confidence", F.lit(0.0)), F.col("id")], "place", parts=16)
+    rows = placed.join(url, "item_id", "left").withColumn("url", F.coalesce(F.nullif("url", F.lit("")), F.lit("(no url)")))
+    return rows.join(sizes, "kind").withColumn("place", F.col("place").cast("int"))
 
 
 def report_entry() -> Column:
@@ -153,7 +152,3 @@ def deep_read_input(text: Column, context: Column, metadata: Column, error: Colu
 
 def triage_input(text: Column, max_chars: int = 2000) -> Column:
     return F.substring(text, 1, max_chars)
-
-
-def ordered_sections() -> Column:
-    return section_rank(F.col("section"))

@@ -16,23 +16,35 @@ MAX_COMMENTS, MAX_CHARS = 40, 6000
 CUT_MARK = "\n…[thread truncated]"
 
 
-def walk(nodes: DataFrame) -> DataFrame:
+def walk(nodes: DataFrame, hops: int = 2) -> DataFrame:
     """Comments with depth and bfs_path, breadth first: (thread, node, parent, ord, author, text), parent null at the top.
 
-    A level is one join of the whole frontier, for all threads at once, and is written before the next one is sought, so
-    no level is computed twice. Trees may be of any depth; nodes that no top comment leads to are left out.
+    Every comment holds an ancestor and the path below it. A round takes the ancestor's own ancestor and puts its path in
+    front, so what is known doubles; ``hops`` doublings are one written table, and a chain of n comments takes log n of
+    them. When a doubling completes no path, what is left leads round in a circle (a path that is longer by one would
+    have been completed before). Nodes in or below a circle, or below a node that is not there, are left out. Texts are not
+    moved until the paths are known.
     """
-    replies = nodes.where("parent is not null")
-    level = staged(nodes.where("parent is null").withColumns({"depth": F.lit(0), "bfs_path": F.array(F.col("ord"))}), "threads")
-    out, depth = level, 0
+    links = staged(nodes.select("thread", "node", F.col("parent").alias("above"), F.array("ord").alias("bfs_path")), "threads")
+    complete = -1
     while True:
-        depth += 1
-        up = level.select("thread", F.col("node").alias("parent"), F.col("bfs_path").alias("_path"))
-        below = replies.join(up, ["thread", "parent"]).withColumns({"depth": F.lit(depth), "bfs_path": F.concat("_path", F.array("ord"))})
-        level = staged(below.select(*out.columns), "threads")
-        if level.isEmpty():
-            return out
-        out = out.unionByName(level)
+        told = links.agg(F.count(F.when(F.col("above").isNull(), 1)).alias("complete"), F.count("above").alias("left")).first()
+        if not told["left"] or told["complete"] == complete:
+            break
+        complete = told["complete"]
+        for _ in range(hops):
+            links = _doubled(links)
+        links = staged(links, "threads")
+    tops = nodes.where("parent is null").withColumns({"depth": F.lit(0), "bfs_path": F.array("ord")})
+    paths = links.where("above is null and size(bfs_path) > 1").select("thread", "node", (F.size("bfs_path") - 1).alias("depth"), "bfs_path")
+    return tops.unionByName(nodes.where("parent is not null").join(paths, ["thread", "node"]).select(*tops.columns))
+
+
+def _doubled(links: DataFrame) -> DataFrame:
+    """(thread, node, above, bfs_path) with the ancestor of each ancestor; those at the top stay."""
+    known = links.select("thread", F.col("node").alias("above"), F.col("above").alias("_above"), F.col("bfs_path").alias("_path"))
+    further = links.where("above is not null").join(known, ["thread", "above"])
+    return links.where("above is null").unionByName(further.select("thread", "node", F.col("_above").alias("above"), F.concat("_path", "bfs_path").alias("bfs_path")))
 
 
 def fetch_nodes(stories: DataFrame, get: Callable[[str], dict]) -> DataFrame:

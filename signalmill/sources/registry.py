@@ -42,7 +42,7 @@ def reader_of(source: Mapping) -> Callable:
 
 # The seeded sources. JSON APIs first, then feeds, then the mail vault.
 _HN_TEXTS = ("I built", "frustrated with", "wish there was", "workaround", "manually", "there's no good")
-_ARXIV = "https://export.arxiv.org/api/query?search_query=cat:{}&sortBy=submittedDate&sortOrder=descending&max_results=50"
+_ARXIV = "https://export.arxiv.org/api/query?search_query=cat:{}&sortBy=submittedDate&sortOrder=descending&max_results={}"
 _FEED = {"adapter_impl": "atom", "id_field": "id", "url_field": "link", "clean_html": True, "text_fields": ["title", "summary"], "overlap_hours": 6, "timeout_seconds": 20}
 _ARRAY = {"adapter_impl": "json_api", "hits_path": "", "hits_per_page_param": "", "page_param": "", "timestamp_is_iso": True, "timeout_seconds": 20}
 _HUB = {**_ARRAY, "base_url": "https://huggingface.co/api", "date_sorted": True, "params": {"sort": "createdAt", "direction": "-1", "limit": 50}, "id_field": "id", "timestamp_field": "createdAt", "metadata_fields": ["likes", "downloads"]}
@@ -65,7 +65,7 @@ SEEDS = [
         "adapter_impl": "json_api", "base_url": "https://api.stackexchange.com/2.3", "endpoint": "questions", "params": {"site": "stackoverflow", "order": "desc", "sort": "creation", "filter": "withbody"},
         "hits_path": "items", "more_path": "has_more", "date_sorted": True, "page_start": 1, "hits_per_page": 100, "hits_per_page_param": "pagesize", "page_param": "page", "id_field": "question_id",
         "timestamp_field": "creation_date", "text_fields": ["body"], "url_template": "{link}", "clean_html": True, "max_pages": 3, "timeout_seconds": 20}),
-    ("arxiv", "rss", "published", True, {**_FEED, "feed_urls": [_ARXIV.format(c) for c in ("cs.LG", "cs.CL", "cs.AI")], "metadata_fields": ["authors", "categories"]}),
+    ("arxiv", "rss", "published", True, {**_FEED, "feed_urls": [_ARXIV.format(c, 50) for c in ("cs.LG", "cs.CL", "cs.AI")], "metadata_fields": ["authors", "categories"]}),
     ("producthunt", "rss", "published", True, {**_FEED, "feed_url": "https://www.producthunt.com/feed"}),
     ("hf_papers", "json_api", "publishedAt", True, {**_ARRAY, "base_url": "https://huggingface.co/api", "endpoint": "daily_papers", "params": {"limit": 50}, "date_sorted": False, "id_field": "title",
         "timestamp_field": "publishedAt", "text_fields": ["summary", "title"], "url_template": "https://huggingface.co/papers/{paper[id]}"}),
@@ -77,6 +77,8 @@ SEEDS = [
         "url_template": "{search_path}", "timeout_seconds": 20}),
     ("newsletters", "bulk", "date", True, {"adapter_impl": "newsletters", "vault_dir_env": "VAULT_NEWSLETTERS_DIR", "exclude_senders": [], "lookback_days": 2, "chunk_max_chars": 4000, "chunk_min_chars": 400}),
 ]
+# arXiv's categories after the later migration, with how many papers each is asked for.
+ARXIV_LATER = (("cs.LG", 50), ("cs.CL", 50), ("cs.AI", 50), ("cs.DC", 30), ("cs.CR", 30), ("cs.SE", 30), ("cs.CV", 25))
 LATER_SEEDS = [
     ("lab_blogs", "rss", "published", True, {**_FEED, "feed_urls": [
         "https://openai.com/news/rss.xml", "https://deepmind.google/blog/rss.xml", "https://engineering.fb.com/feed/", "https://huggingface.co/blog/feed.xml", "https://www.databricks.com/feed",
@@ -109,6 +111,13 @@ def set_config(sources: DataFrame, name: str, key: str, value) -> DataFrame:
     return sources.withColumn("config_json", F.when(F.col("name") == name, new).otherwise(F.col("config_json")))
 
 
+def widened(sources: DataFrame) -> DataFrame:
+    """The registry after the later migration: arXiv in seven categories and the later seeds; running it again changes
+    nothing. A paper that several categories list is one item, as items are told apart by source and id."""
+    arxiv = set_config(sources, "arxiv", "feed_urls", [_ARXIV.format(*c) for c in ARXIV_LATER])
+    return add_missing(arxiv, seed_frame(sources.sparkSession, LATER_SEEDS))
+
+
 def enabled(sources: DataFrame) -> DataFrame:
     return sources.where("enabled").orderBy("name")
 

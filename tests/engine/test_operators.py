@@ -170,6 +170,9 @@ def test_story_fold_caps_and_links_equal_the_loop(spark):
             kept.append((s, p))
     got = briefing.one_per_story(d)
     assert sorted((r.section, r.pos) for r in got.collect()) == sorted(kept)
+    # The same in rounds, with what two and more items leave open.
+    for fold in (0, 7):
+        assert sorted((r.section, r.pos) for r in briefing.one_per_story(d, fold=fold).collect()) == sorted(kept)
     sizes = {"patterns": 4, "papers": 4, "market": 4, "someone_built": 10}
     d = spark.createDataFrame([(s, p) for s, n in sizes.items() for p in range(n)], "section string, pos int")
     count = lambda b, t: {r.section: r["count"] for r in briefing.apply_caps(d, b, t).groupBy("section").count().collect()}
@@ -219,6 +222,48 @@ def test_mentions(spark):
     assert {r.id: r.is_new for r in clusters.new_mentions(m, stored, ["id"]).collect()} == {1: True, 2: False, 3: False}
 
 
+def test_a_large_briefing_is_decided_in_rounds(spark):
+    """Twenty thousand items of one briefing, one id in a third of them, no task with more than five hundred."""
+    rng = random.Random(2)
+    rows = [(i, [0] if rng.random() < 0.33 else [rng.randint(1, 9000)], [f"u{rng.randint(0, 9000)}", None] if i % 4 else None) for i in range(20_000)]
+    d = spark.createDataFrame(rows, "pos int, finding_ids array<long>, urls array<string>").withColumn("section", F.lit("papers")).repartition(4)
+    seen, kept = set(), []
+    for i, ids, urls in rows:
+        cites = set(ids) | {u for u in urls or [] if u}
+        if not cites & seen:
+            seen |= cites
+            kept.append(i)
+    assert sorted(r.pos for r in briefing.one_per_story(d, fold=500).select("pos").collect()) == kept
+
+
+def test_a_chain_of_five_thousand_replies_is_a_few_tables(spark):
+    n = spark.range(5000).select(F.lit("t").alias("thread"), F.col("id").alias("node"), F.when(F.col("id") > 0, F.col("id") - 1).alias("parent"), F.lit(0).cast("long").alias("ord"), F.lit("a").alias("author"), F.col("id").cast("string").alias("text"))
+    written = []
+    real, threads.staged = threads.staged, lambda df, tag: written.append(tag) or real(df, tag)
+    try:
+        got = threads.walk(n)
+        assert got.agg(F.max("depth"), F.count(F.lit(1)), F.sum((F.size("bfs_path") == F.col("depth") + 1).cast("int"))).first()[:] == (4999, 5000, 5000)
+    finally:
+        threads.staged = real
+    assert len(written) <= 8
+
+
+def test_paths_of_random_trees_and_what_leads_nowhere(spark):
+    rng = random.Random(3)
+    rows, paths = [], {}
+    for t in ("t", "u"):
+        for i in range(120):
+            parent = None if i < 3 else rng.randrange(i) if i < 100 else {100: 101, 101: 100, 102: 101, 103: 999}[i] if i < 104 else rng.randrange(100, i)
+            rows.append((t, i, parent, rng.randint(0, 3), "a", f"c{i}"))
+            above = paths.get((t, parent)) if parent is not None else []
+            if above is not None:
+                paths[t, i] = [*above, rows[-1][3]]
+    d = spark.createDataFrame(rows, "thread string, node long, parent long, ord long, author string, text string").repartition(3)
+    for hops in (1, 2):
+        got = {(r.thread, r.node): r.bfs_path for r in threads.walk(d, hops).collect()}
+        assert got == paths and min(n for _, n in got) == 0 and max(n for _, n in got) == 99
+
+
 def test_threads_walk_breadth_first_and_cut(spark):
     nodes = [("t", 1, None, 0, "a", "first"), ("t", 2, None, 1, None, "second"), ("t", 3, 1, 0, "c", "reply"), ("t", 4, 3, 0, "d", " "), ("t", 5, 3, 1, "e", "deep")]
     n = spark.createDataFrame(nodes, "thread string, node long, parent long, ord long, author string, text string")
