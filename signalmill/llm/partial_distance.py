@@ -3,10 +3,11 @@
 Components become floor(``scale`` * x). A vector is cut into ``parts`` equal consecutive parts, each with a codebook of
 ``entries`` integer vectors: first those of the smallest vec_ids, then ``rounds`` times the floored means of what is nearest
 to them. The search of an entry goes through the dimensions by falling variance of the codebook. Squared differences are
-summed dimension by dimension for all vectors of a batch at once; an entry is dropped from a vector's mask once its sum is
-strictly above the vector's least complete distance so far. The entry whose sum is least after the first dimensions gives
-the first complete distance, later leaders better ones. As sums only grow and ties are never dropped, the nearest entry, the
-lowest of equals, always stays, so the result is that of the full search.
+summed for all vectors of a batch at once, the first half of the dimensions for all entries and then ``step`` dimensions at
+a time; an entry is dropped from a vector's mask once its sum is strictly above the vector's least complete distance so
+far. The entry whose sum is least after the first half gives the first complete distance, later leaders better ones. As
+sums only grow and ties are never dropped, the nearest entry, the lowest of equals, always stays, so the result is that of
+the full search.
 
 Scale: a round reads the integer vectors once, tasks keep sums and counts by entry (``parts`` * ``entries`` short vectors
 whatever they read), these are added by Spark, and the codebooks, bounded by the same number, go back with the next round's
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import materialize, release_memory
 
 LARGEST = 2**24
-ROWS = 4096
+ROWS = 1024
 
 
 def kept(rows: DataFrame, scale: int, parts: int) -> tuple[DataFrame, int]:
@@ -62,33 +63,40 @@ def first_entries(vectors: DataFrame, parts: int, entries: int) -> list[np.ndarr
     return [np.ascontiguousarray(b) for b in np.split(np.array([r["v"] for r in least], np.int64), parts, axis=1)]
 
 
-def search(x: np.ndarray, book: np.ndarray, lead: int = 3) -> tuple[np.ndarray, np.ndarray]:
+def search(x: np.ndarray, book: np.ndarray, step: int = 4) -> tuple[np.ndarray, np.ndarray]:
     """(index, squared distance) of the nearest entry of each vector, the lowest of equals, by partial distances."""
     order = np.argsort(-book.var(axis=0), kind="stable")
-    x, book = x[:, order], book[:, order]
+    span = int(np.abs(x).max(initial=0)) + int(np.abs(book).max(initial=0))
+    whole = np.int32 if span * span * x.shape[1] < 2**31 else np.int64
+    x, book = np.ascontiguousarray(x[:, order], whole), np.ascontiguousarray(book[:, order], whole)
     n, d = x.shape
-    lead = min(lead, d)
-    sums = np.zeros((n, len(book)), np.int64)
+    # Few entries can be dropped before half of the variance is summed, so masks begin there.
+    lead = min(d, max(step, d // 2))
+    sums, gap = np.zeros((n, len(book)), whole), np.empty((n, len(book)), whole)
     for j in range(lead):
-        gap = x[:, j, None] - book[None, :, j]
-        sums += gap * gap
-    best = ((x - book[sums.argmin(1)]) ** 2).sum(1)
-    at, entry = np.nonzero(sums <= best[:, None])
-    sums = sums[at, entry]
-    for j in range(lead, d):
-        gap = x[at, j] - book[entry, j]
-        sums = sums + gap * gap
-        starts = np.flatnonzero(np.diff(at, prepend=-1))
-        if (j - lead) % 4 == 3 and j + 1 < d:
+        np.subtract(x[:, j, None], book[None, :, j], out=gap)
+        np.multiply(gap, gap, out=gap)
+        np.add(sums, gap, out=sums)
+    best = ((x - book[sums.argmin(1)]) ** 2).sum(1, dtype=whole)
+    at = np.flatnonzero(sums <= best[:, None])
+    sums = sums.ravel()[at]
+    at, entry = np.divmod(at, len(book))
+    for j in range(lead, d, step):
+        stop = min(d, j + step)
+        gap = x[at, j:stop] - book[entry, j:stop]
+        sums = sums + np.einsum("ij,ij->i", gap, gap)
+        if stop < d:
             # The leader of what is left is completed; with it the bound may come down.
-            leader = np.minimum.reduceat(sums * len(book) + entry, starts) % len(book)
-            np.minimum.at(best, at[starts], ((x[at[starts]] - book[leader]) ** 2).sum(1))
+            starts = np.flatnonzero(np.diff(at, prepend=-1))
+            leader = np.minimum.reduceat(sums.astype(np.int64) * len(book) + entry, starts) % len(book)
+            rows = at[starts]
+            best[rows] = np.minimum(best[rows], ((x[rows] - book[leader]) ** 2).sum(1, dtype=whole))
         stay = sums <= best[at]
         at, entry, sums = at[stay], entry[stay], sums[stay]
     starts = np.flatnonzero(np.diff(at, prepend=-1))
     low = np.minimum.reduceat(sums, starts)
     tied = sums == np.repeat(low, np.diff(np.append(starts, len(at))))
-    return np.minimum.reduceat(np.where(tied, entry, len(book)), starts), low
+    return np.minimum.reduceat(np.where(tied, entry, len(book)), starts), low.astype(np.int64)
 
 
 def _matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
