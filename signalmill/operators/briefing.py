@@ -107,10 +107,15 @@ def one_per_story(items: DataFrame, by: list[str] | None = None, fold: int = 5_0
     """
     given = items.withColumns({"_b": F.to_json(F.struct(*by)) if by else F.lit(""), "_cites": _cites()})
     order = [section_rank(F.col("section")), F.col("pos"), F.array_join("_cites", "\x00")]
-    ranked = staged(rank_in_order(given, ["_b"], order, "_n", parts=16), "stories")
-    links = staged(ranked.select("_b", "_n", F.explode("_cites").alias("_k")), "story-lists")
-    kept = []
-    while True:
+    given = staged(given, "stories")
+    if (given.groupBy("_b").count().agg(F.max("count")).first()[0] or 0) <= fold:
+        ranked = given.withColumn("_n", F.row_number().over(Window.partitionBy("_b").orderBy(*order)).cast("long"))
+        kept = [_folded(ranked.select("_b", "_n", F.explode("_cites").alias("_k")))]
+        links = None
+    else:
+        ranked, kept = staged(rank_in_order(given, ["_b"], order, "_n", parts=16), "stories"), []
+        links = staged(ranked.select("_b", "_n", F.explode("_cites").alias("_k")), "story-lists")
+    while links is not None:
         most = links.groupBy("_b").agg(F.count_distinct("_n").alias("m")).agg(F.max("m")).first()[0] or 0
         if most <= fold:
             kept.append(_folded(links))

@@ -51,11 +51,19 @@ def greedy(
     """
     fresh = findings.select("kind", F.col("id").cast("long").alias("ord"), F.coalesce("statement", F.lit("")).alias("text"), F.col("embedding").cast("array<double>").alias("v"))
     fold = max(fold, block)
+    old = clusters.select("kind", F.col("id").cast("long").alias("key"), F.coalesce("canonical_statement", F.lit("")).alias("text"), F.col("centroid").cast("array<double>").alias("v"))
+    sizes = fresh.select("kind").unionByName(old.select("kind")).groupBy("kind").count()
+    if (sizes.agg(F.max("count")).first()[0] or 0) <= fold:
+        # Every kind is what one task may hold, stored clusters and all: one pass.
+        none = {"sim": F.lit(None).cast("double"), "near": F.lit(None).cast("string")}
+        rows = old.withColumns({"ord": F.col("key") - 2**62, **none}).unionByName(fresh.withColumns({"key": F.lit(None).cast("long"), **none}))
+        once = rows.repartition("kind").sortWithinPartitions("kind", "ord").select("kind", "ord", "text", "v", "sim", "key", "near")
+        return once.mapInArrow(_folded(merge, low, same), f"{_RESULT}, text string, v array<double>").select("id", "kind", "cluster_key", "similarity", "action", "merged")
     ranked = _ranked(staged(fresh, "fold-findings"))
     dealt = ranked.withColumn("block", F.floor((F.col("_rank") - 1) / block)).groupBy("kind", "block").agg(F.array_sort(F.collect_list(F.struct("ord", "text", "v"))).alias("m"))
     now = staged(dealt.select("kind", "block", "m.ord", "m.text", "m.v").mapInArrow(_packed, _BLOCK), "fold-blocks")
     # Stored clusters are before every finding.
-    stored = clusters.select("kind", (F.col("id").cast("long") - 2**62).alias("ord"), F.col("id").cast("long").alias("key"), F.coalesce("canonical_statement", F.lit("")).alias("text"), F.col("centroid").cast("array<double>").alias("v"))
+    stored = old.withColumn("ord", F.col("key") - 2**62)
     stored = staged(_ranked(staged(stored, "fold-stored")).withColumn("part", F.floor((F.col("_rank") - 1) / fold)), "fold-founders")
     for part in range((stored.agg(F.max("part")).first()[0] or 0) + 1 if not stored.isEmpty() else 0):
         now = staged(_met(now, stored.where(F.col("part") == part)).mapInArrow(_updated(merge), _BLOCK), "fold-blocks")
@@ -194,21 +202,27 @@ def _open(merge: float):
 
 
 def _folded(merge: float, low: float, same: Callable[[str, str], bool]):
-    """Open findings, sorted by kind and order, with what becomes of them."""
+    """Open findings, sorted by kind and order, with what becomes of them; rows with a key and no similarity are stored
+    clusters, which are known before."""
 
     def run(batches):
         fold: Fold | None = None
         for batch in batches:
-            x = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            if not batch.num_rows:
+                continue
             rows = zip(*(batch.column(c).to_pylist() for c in ("kind", "ord", "text", "sim", "key", "near")))
-            got = []
-            for v, (kind, ord_, text, sim, key, near) in zip(x, rows):
+            got, at, x = [], [], _units(batch.column("v"))
+            for r, (kind, ord_, text, sim, key, near) in enumerate(rows):
                 if fold is None or fold.kind != kind:
                     fold = Fold(kind, merge, low, same)
-                got.append((ord_, kind, *fold.place(ord_, text, v, sim, key, near)))
-            cols = list(zip(*got)) if got else [[]] * 6
+                if key is not None and sim is None:
+                    fold.add(key, text, x[r])
+                else:
+                    got.append((ord_, kind, *fold.place(ord_, text, x[r], sim, key, near)))
+                    at.append(r)
+            cols, kept = list(zip(*got)) if got else [[]] * 6, pa.array(at, pa.int64())
             types = (pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.string(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, types)), batch.column("text"), batch.column("v")], names=["id", "kind", "cluster_key", "similarity", "action", "merged", "text", "v"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, types)), batch.column("text").take(kept), batch.column("v").take(kept)], names=["id", "kind", "cluster_key", "similarity", "action", "merged", "text", "v"])
 
     return run
 
@@ -274,37 +288,162 @@ def new_clusters(folded: DataFrame, findings: DataFrame, now: Column) -> DataFra
 
 def nearest_same_kind(vectors: DataFrame, candidates: DataFrame, kind: str = "kind", merge: float = 0.90, low: float = 0.75, block: int = 2048) -> DataFrame:
     """Each vector's most similar candidate of its kind, itself excluded, and the decision; equals (to twelve decimals) go
-    to the lower id.
+    to the lower id. Rows without kind or embedding take no part. ``nearest_found`` tells how."""
+    best, _ = nearest_found(vectors, candidates, kind, block, report=False)
+    return best.select("id", kind, "nearest", "similarity").withColumn("action", decide(F.col("similarity"), merge, low))
 
-    Both sides are dealt into blocks of about ``block`` vectors of a kind; a pair of blocks is one matrix product in one
-    task, so a hot kind is many tasks, and what leaves a task is one row a vector, never a pair of vectors.
+
+MOST_PIVOTS, CLOSE_CELLS, MARGIN = 4096, 4, 2e-6
+
+
+def nearest_found(vectors: DataFrame, candidates: DataFrame, kind: str = "kind", block: int = 2048, report: bool = True) -> tuple[DataFrame, dict[str, int]]:
+    """((id, kind, nearest, similarity), {"pairs", "multiplied"}): the nearest candidates and, with ``report``, how many pairs
+    there are and how many were met.
+
+    Vectors lie in cells around pivots, a bounded sample of the candidates (``MOST_PIVOTS``, so about four to a block), and
+    cells in blocks. Angles obey the triangle inequality: nothing in a cell is nearer to a vector than the vector's angle to
+    the pivot less the cell's radius. So every vector first meets its own cell, then the ``CLOSE_CELLS`` cells next to it,
+    and then only those whose bound is not beyond the best it has found, cell by cell and inside a product row by row.
+    ``MARGIN`` covers the rounding of angles. A product of two blocks is one task's row, so a large kind is many tasks, and
+    what leaves a task is one row a vector. Vectors of length zero and kinds without pivots are in cells that nothing bounds.
     """
-    left, right = _blocks(vectors, "id", kind, block), _blocks(candidates, "id", kind, block)
-    pairs = left.select(kind, F.col("ids").alias("a"), F.col("vs").alias("x")).join(right.select(kind, F.col("ids").alias("b"), F.col("vs").alias("y")), kind)
+    rows = lambda d: d.where(F.col(kind).isNotNull() & F.col("embedding").isNotNull()).select("id", kind, normalize(F.col("embedding")).alias("v"))
+    left = rows(vectors)
+    right = left if candidates is vectors else rows(candidates)
+    wanted = min(MOST_PIVOTS, 4 * (candidates.count() // block))
+    pivots: dict = {}
+    if wanted > 1:
+        drawn = right.where(F.exists("v", lambda x: x != 0)).select(kind, "v", F.xxhash64("id", "v").alias("h")).distinct().orderBy("h").limit(wanted).collect()
+        for r in drawn:
+            pivots.setdefault(r[kind], []).append(r["v"])
+    pivots = {k: np.array(v) for k, v in pivots.items() if len(v) > 1}
+    asked = _cells(left, kind, pivots, block)
+    held = asked if right is left else _cells(right, kind, pivots, block)
+    radii = held.groupBy(kind, F.col("cell").alias("other_cell")).agg(F.max("radius").alias("radius"))
+    cells = asked.select(kind, "cell").distinct().join(radii, kind)
+    turns = 3 if pivots else 1
+    if pivots:
+        cells = staged(cells.mapInArrow(_between(kind, pivots), f"{kind} {_kind_of(left, kind)}, cell long, other_cell long, radius double, apart double"), "near-cells")
+        own = F.col("cell") == F.col("other_cell")
+        close = F.row_number().over(Window.partitionBy(kind, "cell").orderBy(own.desc(), "apart", "other_cell"))
+        planned = staged(cells.withColumn("turn", F.when(own, 0).when(close <= CLOSE_CELLS + 1, 1).otherwise(2)), "near-pairs")
+    else:
+        planned = cells.withColumn("turn", F.lit(0))
+    best, met = None, 0
+    for turn in range(turns):
+        pairs = planned.where(F.col("turn") == turn).select(kind, "cell", "other_cell")
+        if turn == 2:
+            # The worst that any vector of a cell has found; none, where one has found nothing.
+            worst = asked.select(kind, "cell", F.explode("ids").alias("id")).join(best, ["id", kind], "left").groupBy(kind, "cell").agg(F.min(F.coalesce("similarity", F.lit(-2.0))).alias("worst"))
+            told = planned.where("turn = 2").join(worst, [kind, "cell"])
+            reach = F.when(F.col("worst") < -1, F.lit(float(np.pi))).otherwise(F.acos(F.least("worst", F.lit(1.0))))
+            pairs = told.join(staged(asked.groupBy(kind, "cell").agg(F.max("radius").alias("own_radius")), "near-own"), [kind, "cell"])
+            pairs = staged(pairs.where(F.col("apart") - F.col("radius") - F.col("own_radius") <= reach + MARGIN).select(kind, "cell", "other_cell"), "near-pairs")
+        known = asked.withColumn("known", F.transform("ids", lambda _: F.lit(None).cast("double"))) if best is None else _with_known(asked, best, kind)
+        one = known.select(kind, "cell", F.col("ids").alias("a"), F.col("vs").alias("x"), "known").join(pairs, [kind, "cell"])
+        two = held.select(kind, F.col("cell").alias("other_cell"), F.col("ids").alias("b"), F.col("vs").alias("y"), "radius")
+        found = one.join(two, [kind, "other_cell"]).select(kind, "other_cell", "a", "x", "known", "b", "y", "radius")
+        few = staged(found.mapInArrow(_products(kind, pivots), f"id long, {kind} {_kind_of(left, kind)}, other long, similarity double, met long"), "near-found")
+        met += (few.agg(F.sum("met")).first()[0] or 0) if report else 0
+        every = few.where("id is not null").select("id", kind, "other", "similarity")
+        if best is not None:
+            every = every.unionByName(best.select("id", kind, F.col("nearest").alias("other"), "similarity"))
+        top = every.groupBy("id", kind).agg(F.max(F.struct("similarity", (-F.col("other")).alias("o"))).alias("b"))
+        best = top.select("id", kind, (-F.col("b.o")).alias("nearest"), F.col("b.similarity").alias("similarity"))
+        best = best if turn == turns - 1 else staged(best, "near-best")
+    if not report:
+        return best, {}
+    sizes = left.groupBy(kind).count().join(right.groupBy(kind).agg(F.count(F.lit(1)).alias("_n")), kind)
+    return best, {"pairs": sizes.agg(F.sum(F.col("count") * F.col("_n"))).first()[0] or 0, "multiplied": met}
+
+
+def _kind_of(df: DataFrame, kind: str) -> str:
+    return df.schema[kind].dataType.simpleString()
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """The vectors of a list column, straight from its buffer."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _angles(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(x @ y.T, -1, 1))
+
+
+def _cells(rows: DataFrame, kind: str, pivots: dict, block: int) -> DataFrame:
+    """(kind, cell, radius, ids, vs): vectors of a cell in blocks, by id; -1 is the cell of zero vectors."""
 
     def run(batches):
         for batch in batches:
-            for k, a, x, b, y in zip(*(batch.column(c) for c in (kind, "a", "x", "b", "y"))):
-                a, b = a.values.to_numpy(), b.values.to_numpy()
-                sims = x.values.flatten().to_numpy(zero_copy_only=False).reshape(len(a), -1) @ y.values.flatten().to_numpy(zero_copy_only=False).reshape(len(b), -1).T
-                sims[a[:, None] == b[None, :]] = -np.inf
-                best = sims.max(1)
-                other = np.where(sims >= best[:, None] - 5e-13, b[None, :], np.iinfo(np.int64).max).min(1)
-                ok = best > -np.inf
-                n = int(ok.sum())
-                yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array([k.as_py()] * n, batch.schema.field(kind).type), pa.array(other[ok]), pa.array(np.round(best[ok], 12))], names=["id", kind, "other", "similarity"])
+            if not batch.num_rows:
+                continue
+            x, kinds = _matrix(batch.column("v")), batch.column(kind).to_pylist()
+            cell, angle = np.zeros(len(x), np.int64), np.full(len(x), np.pi)
+            for k in set(kinds) & set(pivots):
+                at = np.flatnonzero(np.array([y == k for y in kinds]))
+                apart = _angles(x[at], pivots[k])
+                cell[at], angle[at] = apart.argmin(1), apart.min(1)
+            zero = ~x.any(axis=1)
+            cell[zero], angle[zero] = -1, np.pi
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", kind, "v")), pa.array(cell), pa.array(angle)], names=["id", kind, "v", "cell", "angle"])
+
+    dealt = staged(rows.mapInArrow(run, f"id long, {kind} {_kind_of(rows, kind)}, v array<double>, cell long, angle double"), "near-dealt")
+    sizes = dealt.groupBy(kind, "cell").agg(F.ceil(F.count(F.lit(1)) / block).alias("_n"))
+    parts = dealt.join(sizes, [kind, "cell"]).withColumn("_b", F.pmod(F.xxhash64("id"), F.col("_n")))
+    packed = parts.groupBy(kind, "cell", "_b").agg(F.max("angle").alias("radius"), F.array_sort(F.collect_list(F.struct("id", "v"))).alias("_m"))
+    return staged(packed.select(kind, "cell", "_b", "radius", F.transform("_m", lambda m: m["id"]).alias("ids"), F.transform("_m", lambda m: m["v"]).alias("vs")), "near-blocks")
+
+
+def _between(kind: str, pivots: dict):
+    """Pairs of cells of a kind with the angle between their pivots, 0 where one has none."""
 
-    kind_type = vectors.schema[kind].dataType.simpleString()
-    few = pairs.select(kind, "a", "x", "b", "y").mapInArrow(run, f"id long, {kind} {kind_type}, other long, similarity double")
-    best = few.groupBy("id", kind).agg(F.max(F.struct("similarity", (-F.col("other")).alias("o"))).alias("b"))
-    return best.select("id", kind, (-F.col("b.o")).alias("nearest"), F.col("b.similarity").alias("similarity")).withColumn("action", decide(F.col("similarity"), merge, low))
+    def run(batches):
+        for batch in batches:
+            a, b, kinds = batch.column("cell").to_numpy(), batch.column("other_cell").to_numpy(), batch.column(kind).to_pylist()
+            apart = np.zeros(len(a))
+            for k in set(kinds) & set(pivots):
+                at = np.flatnonzero(np.array([y == k for y in kinds]) & (a >= 0) & (b >= 0))
+                apart[at] = np.arccos(np.clip((pivots[k][a[at]] * pivots[k][b[at]]).sum(1), -1, 1))
+            yield pa.RecordBatch.from_arrays([batch.column(kind), batch.column("cell"), batch.column("other_cell"), batch.column("radius"), pa.array(apart)], names=[kind, "cell", "other_cell", "radius", "apart"])
+
+    return run
 
 
-def _blocks(vectors: DataFrame, key: str, kind: str, block: int) -> DataFrame:
-    """(kind, ids, vs): the unit vectors of a kind in blocks, dealt by the hash of their id."""
-    sizes = vectors.groupBy(kind).agg(F.ceil(F.count(F.lit(1)) / block).alias("_n"))
-    dealt = vectors.select(key, kind, normalize(F.col("embedding")).alias("v")).join(sizes, kind).withColumn("_b", F.pmod(F.xxhash64(key), F.col("_n")))
-    return dealt.groupBy(kind, "_b").agg(F.collect_list(F.struct(key, "v")).alias("_m")).select(kind, F.transform("_m", lambda m: m[key]).alias("ids"), F.transform("_m", lambda m: m["v"]).alias("vs"))
+def _with_known(blocks: DataFrame, best: DataFrame, kind: str) -> DataFrame:
+    """Blocks with the best similarity of each vector so far, in the order of their ids."""
+    each = blocks.select(kind, "cell", "_b", F.posexplode("ids").alias("_at", "id")).join(best.select("id", kind, "similarity"), ["id", kind], "left")
+    known = each.groupBy(kind, "cell", "_b").agg(F.array_sort(F.collect_list(F.struct("_at", "similarity"))).alias("_k"))
+    return blocks.join(staged(known.select(kind, "cell", "_b", F.transform("_k", lambda k: k["similarity"]).alias("known")), "near-known"), [kind, "cell", "_b"])
+
+
+def _products(kind: str, pivots: dict):
+    """The best of a block of candidates for each vector of another block that they may still be nearest to, and in a row
+    without id how many pairs were met."""
+
+    def run(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                k, a, x, known, b, y = (batch.column(c)[r] for c in (kind, "a", "x", "known", "b", "y"))
+                k, a, b = k.as_py(), a.values.to_numpy(), b.values.to_numpy()
+                x, y = _matrix(x.values), _matrix(y.values)
+                cell, radius = batch.column("other_cell")[r].as_py(), batch.column("radius")[r].as_py()
+                if k in pivots and cell >= 0:
+                    found = known.values.to_numpy(zero_copy_only=False).astype(float)
+                    reach = np.where(np.isnan(found), np.pi, np.arccos(np.clip(found, -1, 1)))
+                    stay = (_angles(x, pivots[k][cell : cell + 1])[:, 0] - radius <= reach + MARGIN) | ~x.any(axis=1)
+                    a, x = a[stay], x[stay]
+                sims = x @ y.T
+                sims[a[:, None] == b[None, :]] = -np.inf
+                best = sims.max(1, initial=-np.inf)
+                other = np.where(sims >= best[:, None] - 5e-13, b[None, :], np.iinfo(np.int64).max).min(1, initial=np.iinfo(np.int64).max)
+                ok = best > -np.inf
+                m = int(ok.sum())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([*a[ok].tolist(), None], pa.int64()), pa.array([k] * (m + 1), batch.schema.field(kind).type), pa.array([*other[ok].tolist(), None], pa.int64()), pa.array([*np.round(best[ok], 12).tolist(), None], pa.float64()), pa.array([None] * m + [sims.size], pa.int64())],
+                    names=["id", kind, "other", "similarity", "met"],
+                )
+
+    return run
 
 
 def with_source(findings: DataFrame, items: DataFrame) -> DataFrame:

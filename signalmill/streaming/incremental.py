@@ -16,6 +16,7 @@ from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulP
 
 from signalmill.operators import dedupe, tables
 from signalmill.operators.clusters import Fold, never_the_same
+from signalmill.operators.queue import MAX_ATTEMPTS, STUCK_SECONDS
 
 
 def insert_stream(fetched: DataFrame, root: str, checkpoint: str, then: Callable[[DataFrame, int], None] | None = None) -> DataStreamWriter:
@@ -108,6 +109,53 @@ def cluster_stream(findings: DataFrame, merge: float = 0.90, low: float = 0.75,
     return findings.groupBy("kind").transformWithStateInPandas(Clusters(merge, low, same), out, "Append", "None")
 
 
+class Claims(StatefulProcessor):
+    """An item in work and the timer that ends its hour: a value with its attempts and when it is due."""
+
+    def __init__(self, stuck_seconds: int, max_attempts: int):
+        self.stuck_ms, self.max_attempts = stuck_seconds * 1000, max_attempts
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.claim = handle.getValueState("claim", "attempts int, due long")
+
+    def _forget(self) -> None:
+        if self.claim.exists():
+            self.handle.deleteTimer(self.claim.get()[1])
+            self.claim.clear()
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        # Of one instant the end of a claim comes before the next claim.
+        for r in pd.concat(list(rows)).assign(_c=lambda d: d.event == "claimed").sort_values(["at", "_c"]).itertuples():
+            self._forget()
+            if r.event == "claimed":
+                # An item is stuck when more than its time has passed.
+                due = int(r.at.value // 1_000_000) + self.stuck_ms + 1
+                self.claim.update((int(r.attempts), due))
+                self.handle.registerTimer(due)
+        yield pd.DataFrame(columns=["id", "state", "attempts", "due"])
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        attempts, due = self.claim.get()
+        self.claim.clear()
+        yield pd.DataFrame([(key[0], "failed" if attempts >= self.max_attempts else "ready", attempts, due)], columns=["id", "state", "attempts", "due"])
+
+    def close(self) -> None:
+        return
+
+
+def release_stream(claims: DataFrame, stuck_seconds: int = STUCK_SECONDS, max_attempts: int = MAX_ATTEMPTS, clock: str = "ProcessingTime") -> DataFrame:
+    """(id, state, attempts, due in ms) of items whose claim was not ended in time: ready again, or failed once their
+    attempts are used up, when their hour ends and not at the next claim.
+
+    ``claims`` has (id, event, attempts, at): "claimed" starts or renews an item's hour, any other event ends it. ``clock``
+    "EventTime" takes the watermark of ``at`` as the time, for replays; rows with ids of no item may move it. The session needs
+    the RocksDB state store (``use_entries``).
+    """
+    out = "id long, state string, attempts int, due long"
+    return claims.groupBy("id").transformWithStateInPandas(Claims(stuck_seconds, max_attempts), out, "Append", clock)
+
+
 def use_entries(spark: SparkSession) -> None:
     """Keep stream state in RocksDB with a change log, for streams that start from now on."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")

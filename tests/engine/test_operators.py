@@ -403,3 +403,28 @@ def test_nearest_of_a_hot_kind_in_blocks(spark):
         for i in range(60):
             others = [(-round(float(unit[i] @ unit[j]), 12), j) for j in range(60) if j != i and (j < 55) == (i < 55)]
             assert got[i] == (min(others)[1], round(-min(others)[0], 9))
+
+
+def test_nearest_in_cells_skips_pairs_and_stays_exact(spark):
+    """Clustered vectors of a hot and a small kind, with equal vectors, zero vectors and other candidates than vectors."""
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(30, 8))
+    x = centres[rng.integers(0, 30, 1500)] + rng.normal(size=(1500, 8)) * 0.15
+    x[40], x[41], x[900], x[7] = x[3], x[3], 0.0, 0.0
+    rows = [(i, "hot" if i % 8 else "small" if i % 16 else None, v.tolist()) for i, v in enumerate(x)]
+    d = spark.createDataFrame(rows, "id long, kind string, embedding array<double>").repartition(3)
+    unit = x / np.where((n := np.linalg.norm(x, axis=1, keepdims=True)) == 0, 1, n)
+    sims = np.round(unit @ unit.T, 12)
+    for asked, held in ((d, d), (d.where("id < 200"), d.where("id >= 150"))):
+        best, told = clusters.nearest_found(asked, held, block=64)
+        got = {r.id: (r.kind, r.nearest, round(r.similarity, 9)) for r in best.collect()}
+        kind = {r.id: r.kind for r in asked.collect() if r.kind}
+        others = {r.id: r.kind for r in held.collect() if r.kind}
+        assert set(got) == set(kind)
+        for i, k in kind.items():
+            near = min((-sims[i, j], j) for j, o in others.items() if o == k and j != i)
+            assert got[i][:2] == (k, near[1]) and abs(got[i][2] + near[0]) < 1e-8, i
+        share = 1 - told["multiplied"] / told["pairs"]
+        print("share of pairs skipped", round(share, 3))
+        assert share > 0.5
+    assert clusters.nearest_same_kind(d.limit(0), d).collect() == [] and clusters.nearest_same_kind(d, d.limit(0)).collect() == []

@@ -76,6 +76,29 @@ def test_the_stream_is_the_batch_fold_and_writes_what_a_batch_founds(spark, tmp_
     assert wrote[1] > 0 and wrote[2] < wrote[1] / 4 and wrote[3] < wrote[1] / 10
 
 
+def test_claims_are_released_when_their_hour_ends(spark, tmp_path, entries):
+    """The watermark is the clock; runs are restarts that go on from the checkpoint."""
+    src, check, got = str(tmp_path / "in"), str(tmp_path / "check"), []
+
+    def run(*rows):
+        spark.createDataFrame(rows, "id long, event string, attempts int, at string").coalesce(1).write.mode("append").json(src)
+        claims = spark.readStream.schema("id long, event string, attempts int, at timestamp").json(src).withWatermark("at", "0 seconds")
+        q = I.release_stream(claims, clock="EventTime").writeStream.outputMode("append").foreachBatch(lambda b, i: got.extend(b.collect())).option("checkpointLocation", check).trigger(availableNow=True).start()
+        q.awaitTermination()
+        out = sorted((r.id, r.state, r.attempts) for r in got)
+        got.clear()
+        return out
+
+    claimed = lambda i, n, at: (i, "claimed", n, f"2024-01-01T{at}Z")
+    tick = lambda at: (-1, "tick", None, f"2024-01-01T{at}Z")
+    assert run(claimed(1, 1, "10:00:00"), claimed(2, 3, "10:00:00"), claimed(3, 1, "10:00:00"), claimed(4, 2, "10:00:01")) == []
+    assert run((3, "done", None, "2024-01-01T10:30:00Z"), claimed(4, 3, "10:40:00"), tick("11:00:00")) == []
+    # More than an hour: the first two, not the third that was done, nor the fourth that was claimed again.
+    assert run(tick("11:00:01")) == [(1, "ready", 1), (2, "failed", 3)]
+    assert run(claimed(1, 2, "11:10:00"), tick("11:39:59")) == []
+    assert run(tick("13:00:00")) == [(1, "ready", 2), (4, "failed", 3)] and run(tick("15:00:00")) == []
+
+
 def test_mentions_and_items_are_new_once(spark, tmp_path):
     src = str(tmp_path / "in")
     rows = [(1, "a", "2024-01-01", "2024-01-01 10:00:00"), (1, "a", "2024-01-01", "2024-01-01 11:00:00"), (1, "b", "2024-01-01", "2024-01-01 10:00:00")]
