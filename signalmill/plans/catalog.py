@@ -368,6 +368,23 @@ def mark_done(spark, d):
     return out.select("id", "source", "url", "state", F.coalesce(F.md5("raw_text"), F.lit("")).alias("text_md5"), "attempts")
 
 
+@query(f"""WITH {ITEMS} SELECT id, CASE WHEN state = 'processing' THEN 'done' ELSE 'failed' END AS state, attempts, CAST(CASE WHEN state = 'processing' THEN id % 3 ELSE 0 END AS BIGINT) AS n,
+  CASE WHEN state = 'processing' THEN id * (id % 3) ELSE 0 END AS told FROM items""")
+def judgement_commit(spark, d):
+    """Every item's judgement, items and findings written as one commit and read by its list."""
+    from signalmill.operators import judgements
+    from signalmill.operators.staging import shared_folder
+
+    i, busy = S.items(spark, d), F.col("state") == "processing"
+    said = F.struct(F.lit("pain").alias("kind"), F.col("id").cast("string").alias("statement"), *[F.lit("").alias(c) for c in ("why_it_matters", "domain", "evidence_quote")], F.lit(0.5).alias("confidence"))
+    judged = i.withColumn("findings", F.when(busy, F.array_repeat(said, (F.col("id") % 3).cast("int")))).withColumn("state", F.when(busy, "done").otherwise("failed"))
+    root = f"{shared_folder(spark)}/judged-{uuid.uuid4().hex}"
+    judgements.save(judged, root, "night")
+    items, findings = judgements.read(spark, root, "night")
+    n = findings.groupBy(F.col("item_id").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("statement").cast("long")).alias("told"))
+    return items.join(n, "id", "left").select("id", "state", "attempts", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("told", F.lit(0)).alias("told"))
+
+
 # --- queue -------------------------------------------------------------------------------------------------------
 
 
