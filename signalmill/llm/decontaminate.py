@@ -10,9 +10,11 @@ met is followed in its item to both sides as far as words agree; what reaches a
 item is in one pattern, not in ``window`` of them, and the automaton is about as long as the benchmark.
 
 Scale: the documents are mapped once, without a shuffle. The automaton holds the benchmark only; its texts are gathered
-in blocks of at most ``block_bytes`` bytes, and each block is one more narrow pass over the same rows, so the driver and a
-worker hold one block whatever the benchmark's size (some 50 bytes a byte of text). A worker builds a block's automaton
-once and keeps it for its next tasks. A single item may exceed a block and then has one of its own.
+in blocks of at most ``block_bytes`` bytes, and each block is one more narrow pass over the same rows. The driver and a
+process hold one block (some 50 bytes a byte of text), but the passes of a task run side by side, a process each, so a core's
+memory grows with the number of blocks; benchmarks of more than a few blocks want a larger memory for Python or several
+calls. A process keeps the block it built and builds again when it is given another. A single item may exceed a block
+and then has one of its own.
 
 Defined results: null or empty text has no words and no hits; texts of any length are scanned whole; null ``item_id``
 items are ignored, a null item text has no windows; repeated rows each give a row; equal windows of several items count for

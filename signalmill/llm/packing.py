@@ -20,7 +20,8 @@ inside a length are counted per (length, salt), so that a length which a third o
 tasks; the slots (bounded by the plan, not the data) are broadcast.
 
 Defined results: null text is empty and gives the end id alone; texts of any length are tokenised whole and cut into pieces;
-equal lengths are placed by doc_id, piece and checksum; null doc_ids are packed like others; repeated rows are
+pieces of equal length take each other's places as their task deals them, so sequence_id and offset may differ between
+runs over other partitions, while the plan, the number of sequences and all other columns do not; null doc_ids are packed like others; repeated rows are
 packed each; other columns are ignored; an empty table gives no rows.
 """
 

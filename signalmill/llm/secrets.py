@@ -14,7 +14,7 @@ aggregate with map-side combine, so it is bounded, uniform over distinct values
 model of ordinary runs counts all candidates: a row for each case pattern and pair of characters, some 2,000 in all.
 
 Defined results: null or empty text has no spans; repeated rows each give a row; of texts of any length all candidates are
-scored, in time linear in their length; spans are ordered by start, then kind; a kind with fewer than ``least`` sampled
+scored, in time linear in their length; spans are ordered by start, then kind; of formats that are equally likely the alphabetically last kind is taken; a kind with fewer than ``least`` sampled
 values has no automaton; values over ``LONGEST`` characters are base spans but do not train; an empty table gives no
 rows; other columns are ignored.
 """
