@@ -27,9 +27,12 @@ def _dealt(df: DataFrame, order: list[Column], parts: int) -> DataFrame:
     edges, as literals, so every use of the plan deals alike."""
     key = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
     drawn = df.select(key.alias("k")).orderBy(F.xxhash64("k")).limit(parts - 1).collect()
+    if len(drawn) < max(1, parts - 1):
+        # The sample is all there is: too few rows to deal.
+        return df.withColumn("_part", F.lit(0))
     types = [f.dataType for f in df.select(key.alias("k")).schema["k"].dataType]
     edges = [F.struct(*[F.lit(v).cast(t).alias(f"o{i}") for i, (v, t) in enumerate(zip(r["k"], types))]) for r in drawn]
-    return df.withColumn("_part", F.size(F.filter(F.array(*edges), lambda e: e <= key)) if edges else F.lit(0))
+    return df.withColumn("_part", F.size(F.filter(F.array(*edges), lambda e: e <= key)))
 
 
 def running_sum(df: DataFrame, by: list[str], order: list[Column], value: Column, out: str, parts: int = 64) -> DataFrame:

@@ -16,7 +16,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, IsNotNull, LessThan, LessThanOrEqual
 
-from signalmill.sources import apis
+from signalmill.sources.apis import SEARCH_CAP, Ask, PagedReader, Sequence, hit_list, map_hits, map_issues, stamp_of
 
 SCHEMA = "seq int, hit string, created_at_i long, points long, low long, high long"
 
@@ -54,23 +54,23 @@ class Service:
     def __init__(self, config: dict):
         self.config, self.searched = config, config.get("adapter_impl") == "hackernews"
 
-    def pages(self, low: int, high: int | None, points: int | None = None, **config) -> apis.PagedReader:
+    def pages(self, low: int, high: int | None, points: int | None = None, **config) -> PagedReader:
         """The paging of [low, high); the overlap is the caller's."""
-        reader = apis.PagedReader(self.config | {"overlap_hours": 0} | config, low, high)
+        reader = PagedReader(self.config | {"overlap_hours": 0} | config, low, high)
         reader.least_points = points
         return reader
 
     def count(self, search: dict, low: int, high: int, points: int | None = None) -> int:
         """The service's count of a range's hits, by a page of one."""
         reader = self.pages(low, high, points, hits_per_page=1)
-        return int(json.loads(reader.ask_for(search, apis.Ask(0, high=high))).get("nbHits") or 0)
+        return int(json.loads(reader.ask_for(search, Ask(0, high=high))).get("nbHits") or 0)
 
     def ranges(self, low: int, high: int | None, points: int | None = None) -> list[TimeRange]:
         """One partition a search and range. Listings and issues have no upper bound to ask for, so they are one each."""
         out = []
         for part in self.pages(low, high).partitions():
             if self.searched and high is not None and low < high:
-                cap = int(self.config.get("result_cap", apis.SEARCH_CAP))
+                cap = int(self.config.get("result_cap", SEARCH_CAP))
                 cuts = halved(lambda a, b, s=part.search: self.count(s, a, b, points), low, high, cap)
             else:
                 cuts = [(low, high)]
@@ -79,9 +79,9 @@ class Service:
 
     def hits(self, part: TimeRange) -> Iterable[tuple]:
         reader = self.pages(part.low, part.high, part.points)
-        for _, _, body in reader.read(apis.Sequence(part.number, part.search)):
-            for hit in apis._hits(json.loads(body), reader.path):
-                stamp, points = (apis._stamp(hit.get(reader.field), reader.iso), _number(hit.get("points"))) if isinstance(hit, dict) else (None, None)
+        for _, _, body in reader.read(Sequence(part.number, part.search)):
+            for hit in hit_list(json.loads(body), reader.path):
+                stamp, points = (stamp_of(hit.get(reader.field), reader.iso), _number(hit.get("points"))) if isinstance(hit, dict) else (None, None)
                 if stamp is None or stamp < part.low or part.high is not None and stamp >= part.high:
                     continue
                 if part.points is None or points is not None and points >= part.points:
@@ -174,8 +174,8 @@ def items_of(hits: DataFrame, source: dict) -> DataFrame:
     """Items of hits, as the batch readers give them."""
     config = _config(source)
     if config.get("adapter_impl") == "github":
-        return apis.map_issues(hits, source["name"])
-    return apis.map_hits(hits, source["name"], config)
+        return map_issues(hits, source["name"])
+    return map_hits(hits, source["name"], config)
 
 
 def stream_of(spark: SparkSession, source: dict, since: int, now: int | None = None) -> DataFrame:
