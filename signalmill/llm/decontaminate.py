@@ -5,16 +5,16 @@ consecutive words of a benchmark item, or the whole item if it has fewer words (
 document word inside any occurrence of a window is hit.
 
 The automaton reads words, numbered by the benchmark's vocabulary. Its patterns are the items' blocks of half a window,
-end to end (a window holds one of them wherever it begins), and the whole of items shorter than a window. A block that is
-met is followed in its item to both sides as far as words agree; what reaches a window's length is hit. So each word of an
-item is in one pattern, not in ``window`` of them, and the automaton is about as long as the benchmark.
+end to end, and the whole of items shorter than a window. Every window holds one whole block first; around a block that is
+met, the words of a window to either side are compared, and what reaches a window's length is hit. So each word of an item
+is in one pattern, not in ``window`` of them, and the automaton is about as long as the benchmark. Blocks with the same
+words around them are one place with several items, so a run of one repeated word costs no more than other text.
 
-Scale: the documents are mapped once, without a shuffle. The automaton holds the benchmark only; its texts are gathered
-in blocks of at most ``block_bytes`` bytes, and each block is one more narrow pass over the same rows. The driver and a
-process hold one block (some 50 bytes a byte of text), but the passes of a task run side by side, a process each, so a core's
-memory grows with the number of blocks; benchmarks of more than a few blocks want a larger memory for Python or several
-calls. A process keeps the block it built and builds again when it is given another. A single item may exceed a block
-and then has one of its own.
+Scale: the automaton holds the benchmark only; its texts are gathered in blocks of at most ``block_bytes`` bytes. The driver
+and a process hold one block (some 50 bytes a byte of text), whatever the benchmark's size: one block is one narrow pass over
+the documents; of several each has tasks of its own, which write the hit texts' digests and runs of words, and a join by
+digest brings them to the rows. A process keeps the block it built, named by its content, so it builds once a block. A single
+item may exceed a block and then has one of its own.
 
 Defined results: null or empty text has no words and no hits; texts of any length are scanned whole; null ``item_id``
 items are ignored, a null item text has no windows; repeated rows each give a row; equal windows of several items count for
@@ -24,17 +24,18 @@ is clean; without documents there are no rows.
 
 from __future__ import annotations
 
+import hashlib
 import re
-import uuid
 from array import array
+from functools import reduce
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
-from .common import release_memory, utf8, worker_cache
+from .common import materialize, release_memory, utf8, worker_cache
 
 #: A-Z to a-z, other ASCII that is no digit or lower-case letter to a space, the bytes of other characters kept.
 _WORDS = bytes(
@@ -62,17 +63,28 @@ class Matcher:
             if words_:
                 ids.setdefault(words_, set()).add(item_id)
         self.items = [array("i", w) for w in ids]
-        self.ids = list(ids.values())
-        half = max(1, window // 2)
-        blocks: dict[tuple[int, ...], list[tuple[int, int]]] = {}
-        for k, w in enumerate(ids):
-            starts = range(0, len(w) - half + 1, half) if len(w) >= window else [0]
-            for a in starts:
-                blocks.setdefault(w[a : a + half] if len(w) >= window else w, []).append((k, a))
-        self.auto = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE) if blocks else None
-        for pattern, places in blocks.items():
-            self.auto.add_word(pattern, (len(pattern), tuple(places)))
-        if blocks:
+        self.half = max(1, window // 2)
+        #: Words of a window before its first whole block, and behind it.
+        self.before, self.behind = self.half - 1, window - self.half
+        short: dict[tuple[int, ...], set[str]] = {}
+        places: dict[tuple[int, ...], dict[tuple, list]] = {}
+        for k, (w, names) in enumerate(ids.items()):
+            if len(w) < window:
+                short[w] = names
+                continue
+            for a in range(0, len(w) - self.half + 1, self.half):
+                around = (w[max(0, a - self.before) : a], w[a + self.half : a + self.half + self.behind])
+                same = places.setdefault(w[a : a + self.half], {}).setdefault(around, [k, a, names])
+                same[2] = same[2] if names <= same[2] else same[2] | names
+        self.auto = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE) if ids else None
+        for pattern in short.keys() | places.keys():
+            # Places are looked up by the word behind the block, which each of their windows holds.
+            follow: dict[int, list] = {}
+            for (_, right), place in places.get(pattern, {}).items():
+                if len(right) or not self.behind:
+                    follow.setdefault(right[0] if right else -1, []).append(tuple(place))
+            self.auto.add_word(pattern, (len(pattern), short.get(pattern, ()), follow))
+        if ids:
             self.auto.make_automaton()
 
     def scan(self, normal: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
@@ -81,27 +93,22 @@ class Matcher:
         text = tuple([get(w, 0) for w in normal])
         items: set[str] = set()
         spans: list[tuple[int, int]] = []
-        seen: dict[tuple[int, int], int] = {}
-        for last, (size, places) in self.auto.iter(text) if self.auto is not None and any(text) else ():
-            for k, a in places:
-                item, i = self.items[k], last + 1 - size
-                if len(item) < self.window:
-                    if size == len(item):
-                        spans.append((i, last + 1))
-                        items |= self.ids[k]
-                    continue
-                # One stretch of equal words is followed once, whichever of its blocks is met.
-                if seen.get((k, i - a), -1) > i:
-                    continue
-                s, e, x, y = i, last + 1, a, a + size
-                while s and x and text[s - 1] == item[x - 1]:
-                    s, x = s - 1, x - 1
-                while e < len(text) and y < len(item) and text[e] == item[y]:
-                    e, y = e + 1, y + 1
-                seen[k, i - a] = e
-                if e - s >= self.window:
-                    spans.append((s, e))
-                    items |= self.ids[k]
+        for last, (size, short, follow) in self.auto.iter(text) if self.auto is not None and any(text) else ():
+            i, j = last + 1 - size, last + 1
+            if short:
+                spans.append((i, j))
+                items |= short
+            if not follow:
+                continue
+            for k, a, names in follow.get(text[j] if self.behind and j < len(text) else -1, ()):
+                item, b = self.items[k], a + size
+                x = min(self.before, a, i)
+                left = next((n for n in range(x) if text[i - 1 - n] != item[a - 1 - n]), x)
+                y = min(self.behind, len(item) - b, len(text) - j)
+                right = next((n for n in range(y) if text[j + n] != item[b + n]), y)
+                if left + size + right >= self.window:
+                    spans.append((i - left, j + right))
+                    items |= names
         return _merge(spans), items
 
 
@@ -132,70 +139,131 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> list[DataFrame]:
     return [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n)] if n > 1 else [items] * n
 
 
+def _shared(spark: SparkSession, block: DataFrame | None, window: int) -> tuple[str, Broadcast]:
+    """A block's items for the tasks, and a name that equal blocks share."""
+    items = sorted((r[0], r[1]) for r in block.collect()) if block is not None else []
+    digest = hashlib.sha256(repr((window, items)).encode("utf-8", "surrogatepass"))
+    return digest.hexdigest(), spark.sparkContext.broadcast(items)
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 8_000_000, keep: list[str] | None = None) -> DataFrame:
     """Per document row: the columns ``keep`` (default doc_id), n_words, n_hit, items (sorted), spans.
 
     ``spans`` are the hit runs of words as "start:end" code-point offsets into the original text, comma-joined.
     """
     keep = keep or ["doc_id"]
-    out = docs.select(*dict.fromkeys([*keep, "text"])).withColumns({"_hit": F.lit(b""), "_items": F.array().cast("array<string>")})
-    blocks = _blocks(benchmark, block_bytes)
-    for block in blocks[:-1]:
-        out = _pass(out, block, window, None)
-    return _pass(out, blocks[-1] if blocks else None, window, keep)
-
-
-def _pass(df: DataFrame, block: DataFrame | None, window: int, keep: list[str] | None) -> DataFrame:
-    """Add one block's hit intervals (pairs of int32) and items to each row; with ``keep``, finish the rows."""
-    shared, key = df.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in block.collect()] if block is not None else []), uuid.uuid4().hex
-    schema = df.schema
-    if keep is not None:
-        schema = StructType([df.schema[c] for c in keep])
-        schema = schema.add("n_words", LongType()).add("n_hit", LongType()).add("items", ArrayType(StringType())).add("spans", StringType())
+    rows, blocks = docs.select(*dict.fromkeys([*keep, "text"])), _blocks(benchmark, block_bytes)
+    if len(blocks) > 1:
+        return _joined(rows, _hits(rows, blocks, window), keep)
+    key, shared = _shared(docs.sparkSession, blocks[0] if blocks else None, window)
+    schema = StructType([rows.schema[c] for c in keep])
+    schema = schema.add("n_words", LongType()).add("n_hit", LongType()).add("items", ArrayType(StringType())).add("spans", StringType())
+    at, where = [rows.columns.index(c) for c in keep], rows.columns.index("text")
 
     def run(batches):
         auto = matcher(key, shared.value, window)
         for batch in batches:
-            at = {name: k for k, name in enumerate(batch.schema.names)}
-            hits, found = batch.column(at["_hit"]).to_pylist(), batch.column(at["_items"]).to_pylist()
-            n_words, n_hit, where = [], [], []
-            for i, text in enumerate(batch.column(at["text"])):
+            n_words, n_hit, found, places = [], [], [], []
+            for text in batch.column(where):
                 text = text.as_py()
                 normal = words(text)
-                if normal:
-                    spans, ids = auto.scan(normal)
-                    if spans:
-                        hits[i] += np.array(spans, "<i4").tobytes()
-                        found[i] = sorted({*found[i], *ids})
-                if keep is not None:
-                    merged = _merge([tuple(x) for x in np.frombuffer(hits[i], "<i4").reshape(-1, 2).tolist()]) if hits[i] else []
-                    places = [m.span() for m in _ORIGINAL.finditer(text)] if merged else []
-                    n_words.append(len(normal))
-                    n_hit.append(sum(b - a for a, b in merged))
-                    where.append(",".join(f"{places[a][0]}:{places[b - 1][1]}" for a, b in merged))
-            if keep is None:
-                got = {"_hit": pa.array(hits, pa.binary()), "_items": pa.array(found, pa.list_(pa.string()))}
-                yield pa.RecordBatch.from_arrays([got.get(c, batch.column(k)) for c, k in at.items()], names=list(at))
-            else:
-                own = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(found, pa.list_(pa.string())), pa.array(where, pa.string())]
-                yield pa.RecordBatch.from_arrays([batch.column(at[c]) for c in keep] + own, names=schema.names)
+                runs, ids = auto.scan(normal)
+                n_words.append(len(normal))
+                n_hit.append(sum(b - a for a, b in runs))
+                found.append(sorted(ids))
+                places.append(",".join(f"{s}:{e}" for s, e in _offsets(text, runs)))
+            own = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(found, pa.list_(pa.string())), pa.array(places, pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column(k) for k in at] + own, names=schema.names)
         release_memory()
 
-    return df.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 8_000_000) -> DataFrame:
-    """The document rows, with all their columns, in which no window of any item occurs: a narrow filter per block."""
-    at = docs.columns.index("text")
-    for block in _blocks(benchmark, block_bytes):
-        shared, key = docs.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in block.collect()]), uuid.uuid4().hex
+def _offsets(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Runs of words as code points of the original text."""
+    places = [m.span() for m in _ORIGINAL.finditer(text)] if runs else []
+    return [(places[a][0], places[b - 1][1]) for a, b in runs]
+
+
+_RUN = "struct<from:int,to:int,start:int,end:int>"
+
+
+def _hits(docs: DataFrame, blocks: list[DataFrame], window: int) -> DataFrame:
+    """The digest of each text that a block hits, once a block: the hit runs in words and code points, the items.
+
+    Every block's pass is a branch of a union, so its tasks are its own; branches run one after the other.
+    """
+    schema = f"digest string, runs array<{_RUN}>, items array<string>"
+    texts, branches = docs.where("text is not null").select(F.sha2("text", 256).alias("digest"), "text"), []
+    for number, block in enumerate(blocks):
+        key, shared = _shared(docs.sparkSession, block, window)
 
-        def run(batches, shared=shared, key=key):
+        def run(batches, key=key, shared=shared):
             auto = matcher(key, shared.value, window)
             for batch in batches:
-                clean = [not auto.scan(words(x.as_py()))[0] for x in batch.column(at)]
-                yield batch.filter(pa.array(clean, pa.bool_()))
+                digests, hit, found = [], [], []
+                for digest, text in zip(batch.column(0), batch.column(1)):
+                    text = text.as_py()
+                    runs, ids = auto.scan(words(text))
+                    if runs:
+                        digests.append(digest.as_py())
+                        hit.append([{"from": a, "to": b, "start": s, "end": e} for (a, b), (s, e) in zip(runs, _offsets(text, runs))])
+                        found.append(sorted(ids))
+                run_type = pa.struct([(c, pa.int32()) for c in ("from", "to", "start", "end")])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(digests, pa.string()), pa.array(hit, pa.list_(run_type)), pa.array(found, pa.list_(pa.string()))], names=["digest", "runs", "items"]
+                )
             release_memory()
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+        branches.append(texts.mapInArrow(run, schema).withColumn("block", F.lit(number)))
+    # Copies of a text have equal runs: one a block is kept, before anything is exchanged.
+    once = reduce(DataFrame.union, branches).groupBy("digest", "block").agg(F.min("runs").alias("runs"), F.min("items").alias("items"))
+    # A list has one entry a block at most.
+    by_text = once.groupBy("digest").agg(F.flatten(F.collect_list("runs")).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    return materialize(by_text, "op10-hits")
+
+
+def _joined(docs: DataFrame, hits: DataFrame, keep: list[str]) -> DataFrame:
+    """The rows with what all blocks found: runs that meet or overlap are one."""
+
+    def grow(done, x):
+        last = F.element_at(done, -1)
+        wider = F.struct(last["from"].alias("from"), F.greatest(last["to"], x["to"]).alias("to"), last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
+        apart = (F.size(done) == 0) | (F.try_element_at(done, F.lit(-1))["to"] < x["from"])
+        return F.when(apart, F.concat(done, F.array(x))).otherwise(F.concat(F.slice(done, 1, F.size(done) - 1), F.array(wider)))
+
+    merged = F.aggregate(F.array_sort("runs"), F.array().cast(f"array<{_RUN}>"), grow)
+    found = hits.select("digest", merged.alias("_runs"), F.col("items").alias("_items"))
+    n_words = F.size(F.filter(F.split(F.coalesce(F.col("text"), F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), lambda w: w != ""))
+    # Only the digest moves with a row, not its text.
+    rows = docs.select(F.struct(*keep).alias("_row"), n_words.cast("long").alias("n_words"), F.sha2("text", 256).alias("digest")).join(found, "digest", "left")
+    none = F.array().cast(f"array<{_RUN}>")
+    runs = F.coalesce("_runs", none)
+    return rows.select(
+        *[F.col("_row")[c].alias(c) for c in keep], "n_words",
+        F.aggregate(runs, F.lit(0).cast("long"), lambda n, x: n + x["to"] - x["from"]).alias("n_hit"),
+        F.coalesce("_items", F.array().cast("array<string>")).alias("items"),
+        F.array_join(F.transform(runs, lambda x: F.concat_ws(":", x["start"], x["end"])), ",").alias("spans"),
+    )
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 8_000_000) -> DataFrame:
+    """The document rows, with all their columns, in which no window of any item occurs.
+
+    One block is a narrow filter; the texts that several blocks hit are joined out by digest."""
+    at, blocks = docs.columns.index("text"), _blocks(benchmark, block_bytes)
+    if not blocks:
+        return docs
+    if len(blocks) > 1:
+        hit = _hits(docs, blocks, window).select(F.col("digest").alias("_hit_digest"))
+        return docs.join(hit, F.sha2(docs["text"], 256) == hit["_hit_digest"], "left_anti")
+    key, shared = _shared(docs.sparkSession, blocks[0], window)
+
+    def run(batches):
+        auto = matcher(key, shared.value, window)
+        for batch in batches:
+            clean = [not auto.scan(words(x.as_py()))[0] for x in batch.column(at)]
+            yield batch.filter(pa.array(clean, pa.bool_()))
+        release_memory()
+
+    return docs.mapInArrow(run, docs.schema)

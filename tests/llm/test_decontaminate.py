@@ -39,8 +39,10 @@ def test_equals_brute_force_in_one_and_in_many_blocks(spark):
     for block in (10**9, 8):
         got = D.decontaminate(d, b, window=3, block_bytes=block).collect()
         assert sorted(((r.doc_id, r.n_words, r.n_hit, list(r["items"])) for r in got), key=str) == brute(docs, items, 3)
-    spans = {r.doc_id: r.spans for r in D.decontaminate(d, b, window=3).collect()}
-    assert spans[1] == "4:21" and spans[2] == ""
+        spans = {r.doc_id: r.spans for r in D.decontaminate(d, b, window=3, block_bytes=block).collect()}
+        assert spans[1] == "4:21" and spans[2] == ""
+        clean = D.keep_clean(d, b, window=3, block_bytes=block)
+        assert clean.columns == d.columns and sorted((r.doc_id for r in clean.collect()), key=str) == [2, 3, 7]
 
 
 @given(st.lists(st.lists(st.sampled_from("abc"), max_size=14), max_size=4), st.lists(st.sampled_from("abcd"), max_size=40), st.integers(1, 7))
@@ -71,3 +73,36 @@ def test_windows_overlapping_a_word_match_at_word_bounds_only(spark):
     d = spark.createDataFrame([(1, "xcat sat on"), (2, "cat sat onx"), (3, "a cat sat on")], "doc_id long, text string")
     b = spark.createDataFrame([(1, "cat sat on")], "item_id long, text string")
     assert {r.doc_id: r.n_hit for r in D.decontaminate(d, b, window=3).collect()} == {1: 0, 2: 0, 3: 3}
+
+
+def test_blocks_have_one_process_a_core_and_one_build_a_process(spark, tmp_path, monkeypatch):
+    import os
+
+    build = D.Matcher
+    log = str(tmp_path)
+
+    def logged(items, window):
+        with open(f"{log}/{os.getpid()}", "a") as f:
+            f.write("x")
+        return build(items, window)
+
+    monkeypatch.setattr(D, "Matcher", logged)
+    d = spark.createDataFrame([(i, f"text w{i % 60} of a kind") for i in range(600)], "doc_id long, text string").repartition(16)
+    b = spark.createDataFrame([(i, f"w{i} of a kind") for i in range(60)], "item_id long, text string")
+    blocks = len(D._blocks(b, 150))
+    assert blocks > 3 and D.decontaminate(d, b, window=4, block_bytes=150).where("n_hit = 4").count() == 600
+    cores = spark.sparkContext.defaultParallelism
+    builds = [os.path.getsize(f"{log}/{p}") for p in os.listdir(log)]
+    assert len(builds) <= cores and max(builds) <= blocks
+
+
+def test_repeated_words_cost_no_more_than_others():
+    import time
+
+    def took(n):
+        m, text = D.Matcher([("a", "x " * n)], 10), D.words("x " * 4 * n)
+        at = time.perf_counter()
+        assert m.scan(text) == ([(0, 4 * n)], {"a"})
+        return time.perf_counter() - at
+
+    assert min(took(16_000) for _ in range(3)) < 12 * min(took(4_000) for _ in range(3)), "quadratic would be 16 times"
