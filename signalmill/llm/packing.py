@@ -20,13 +20,15 @@ inside a length are counted per (length, salt), so that a length which a third o
 tasks; the slots (bounded by the plan, not the data) are broadcast.
 
 Defined results: null text is empty and gives the end id alone; texts of any length are tokenised whole and cut into pieces;
-pieces of equal length take each other's places as their task deals them, so sequence_id and offset may differ between
-runs over other partitions, while the plan, the number of sequences and all other columns do not; null doc_ids are packed like others; repeated rows are
-packed each; other columns are ignored; an empty table gives no rows.
+pieces of equal length take their places in the order of a hash of (doc_id, piece, checksum), then of these themselves, so
+every column is the same for any partitioning of the input; rows without doc_id are packed too, but are dealt by their
+tasks so that many of them are no hot group: which of their places is whose may differ between runs; repeated rows are
+packed each and share their places; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import struct
 import unicodedata
 import zlib
 
@@ -179,7 +181,7 @@ def _encoded(enc: Encoder, texts: pa.Array):
 
 
 def tokenised(docs: DataFrame, path: str, size: int = SIZE) -> DataFrame:
-    """Per piece: doc_id, piece, start, length, ids_crc32 and salt, a number that deals equal lengths evenly."""
+    """Per piece: doc_id, piece, start, length, ids_crc32 and salt, a number that deals equal lengths evenly: a hash of the row, or counted where doc_id is null."""
 
     def run(batches):
         enc, n = encoder(path), None
@@ -191,9 +193,13 @@ def tokenised(docs: DataFrame, path: str, size: int = SIZE) -> DataFrame:
                 for k, a in enumerate(range(0, len(raw), 4 * size)):
                     part = raw[a : a + 4 * size]
                     crc = zlib.crc32(part)
-                    n = crc if n is None else n + 1
+                    if doc_id is None:
+                        n = crc if n is None else n + 1
+                        salt = n
+                    else:
+                        salt = zlib.crc32(struct.pack("<qqI", doc_id, k, crc))
                     ids.append(doc_id), pieces.append(k), starts.append(a // 4)
-                    lengths.append(len(part) // 4), crcs.append(crc), salts.append(n & 0xFFFF)
+                    lengths.append(len(part) // 4), crcs.append(crc), salts.append(salt & 0xFFFF)
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(x, t) for x, t in zip((ids, pieces, starts, lengths, crcs, salts), kinds)],

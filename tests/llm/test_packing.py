@@ -150,3 +150,10 @@ def test_documents_with_nulls_ties_and_long_texts(spark):
         assert [o for o, _ in sorted(places)] == list(np.cumsum([0] + [n for _, n in sorted(places)])[:-1]) and sum(n for _, n in places) <= 4096
     assert len(by) == -(-sum(r.length for r in out) // 4096)
     assert P.pack(d.limit(0)).collect() == []
+
+
+def test_places_are_the_same_for_any_partitions(spark):
+    rows = [(i, "same text" if i % 3 else "other text here") for i in range(3000)] + [(7, "same text")] * 3
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [sorted(map(tuple, P.pack(d.repartition(n)).collect())) for n in (1, 3, 16)]
+    assert got[0] == got[1] == got[2]
