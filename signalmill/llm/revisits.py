@@ -9,7 +9,8 @@ the names that a 304 may update.
 [native] DataFrame functions only. Scale: bodies are not moved, only digests. A URL's captures are split into time
 buckets at the same quantiles for all URLs, so one URL with a third of all captures is dealt over as many windows as
 there are buckets; the last full capture of each (URL, bucket) is carried forward by a window over at most
-``buckets`` rows a URL.
+``buckets`` rows a URL. Captures without URL, time or record id go past the windows. Captures of one URL at one instant
+are one task's rows.
 
 Defined results: captures with a null or blank URL, a null time or record id resolve to nothing ("no_earlier"); null headers
 are empty; other statuses than 200 and 304 are ignored; repeated rows each give a row; URLs and headers of any length are
@@ -83,22 +84,24 @@ def resolve_revisits(records: DataFrame, buckets: int = 64) -> DataFrame:
         "record_id", canonical_url(F.col("url")).alias("canonical_url"), F.col("ts").cast("long").alias("ts"), "status", "etag", "last_modified", "digest",
         F.coalesce("headers", none).alias("headers"),
     )
+    # What can have no earlier response takes no part in the windows, where all blank URLs would be one.
+    usable = F.col("ts").isNotNull() & F.col("record_id").isNotNull() & F.col("canonical_url").isNotNull()
+    lone, rows = rows.where(~usable & (F.col("status") == 304)), rows.where(usable)
     cuts = [k / buckets for k in range(1, buckets)]
     edges = rows.agg(F.percentile_approx("ts", cuts, 10_000)).first()[0]
     edges = sorted(set(edges or []))
     bucket = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col("ts"))) if edges else F.lit(0)
     rows = rows.withColumn("bucket", bucket)
-    order = F.when((F.col("status") == 200) & F.col("record_id").isNotNull() & F.col("ts").isNotNull(), F.struct("ts", "record_id"))
+    order = F.when(F.col("status") == 200, F.struct("ts", "record_id"))
     held = F.struct(F.col("record_id").alias("id"), "ts", "etag", "last_modified", "digest", "headers")
 
     before = Window.partitionBy("canonical_url").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     # Buckets that hold 304 records only have to be there too, to receive what is carried.
-    slots = rows.where("canonical_url is not null").groupBy("canonical_url", "bucket").agg(F.max(order).alias("at"), F.max_by(held, order).alias("own"))
+    slots = rows.groupBy("canonical_url", "bucket").agg(F.max(order).alias("at"), F.max_by(held, order).alias("own"))
     carried = slots.withColumn("carried", F.max_by("own", "at").over(before)).select("canonical_url", "bucket", "carried").where("carried is not null")
     earlier = Window.partitionBy("canonical_url", "bucket").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
     seen = rows.withColumn("inside", F.max_by(held, order).over(earlier)).where("status = 304").join(carried, ["canonical_url", "bucket"], "left")
-    usable = F.col("ts").isNotNull() & F.col("record_id").isNotNull() & F.col("canonical_url").isNotNull()
-    found = seen.withColumn("r", F.when(usable, F.coalesce("inside", "carried")))
+    found = seen.withColumn("r", F.coalesce("inside", "carried"))
     state = (
         F.when(F.col("r").isNull(), "no_earlier")
         .when(F.col("etag").isNotNull(), F.when(weak_tag(F.col("etag")) == weak_tag(F.col("r.etag")), "resolved_etag").otherwise("mismatch"))
@@ -106,10 +109,13 @@ def resolve_revisits(records: DataFrame, buckets: int = 64) -> DataFrame:
         .otherwise("resolved_url")
     )
     done = F.col("state").startswith("resolved")
-    return found.withColumn("state", state).select(
+    out = found.withColumn("state", state).select(
         "record_id", "canonical_url", F.when(done, F.col("r.id")).alias("target_id"), F.when(done, F.col("r.ts")).alias("target_ts"),
         F.when(done, F.col("r.digest")).alias("digest"), "state", F.when(done, merged_headers(F.col("r.headers"), F.col("headers"))).alias("headers"),
     )
+    nothing = {"target_id": "record_id", "target_ts": "ts", "digest": "digest", "headers": "headers"}
+    alone = lone.withColumns({k: F.when(F.lit(False), F.col(c)) for k, c in nothing.items()}).withColumn("state", F.lit("no_earlier"))
+    return out.union(alone.select(*out.columns))
 
 
 def _fields(block: Column) -> Column:

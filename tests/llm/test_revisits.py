@@ -87,3 +87,13 @@ def test_warc_records(spark):
     got = {r.record_id: r for r in R.resolve_revisits(records).collect()}
     assert (got["<urn:b>"].state, got["<urn:b>"].target_id, got["<urn:b>"].digest) == ("resolved_etag", "<urn:a>", "sha1:X")
     assert got["<urn:b>"].headers == {"etag": 'W/"e"', "content-type": "text/html", "x-a": "1"} and got["<urn:c>"].state == "resolved_url"
+
+
+def test_blank_urls_meet_no_window(spark):
+    from signalmill.llm.revisits import resolve_revisits
+
+    schema = "record_id long, url string, ts long, status int, etag string, last_modified string, digest string, headers map<string,string>"
+    rows = [(1, "http://a/", 1, 200, "e", None, "d", {}), (2, "http://a", 2, 304, "e", None, None, None), (3, None, 3, 304, "e", None, "x", {"date": "d"}), (4, " ", 3, 304, None, None, None, None), (None, "http://a", 3, 304, "e", None, None, None), (6, "http://a", None, 304, "e", None, None, None), (7, None, 1, 200, "e", None, "d", {})]
+    out = resolve_revisits(spark.createDataFrame(rows, schema))
+    got = {r.record_id: (r.state, r.target_id, r.target_ts, r.digest, r["headers"]) for r in out.collect()}
+    assert got == {2: ("resolved_etag", 1, 1, "d", {}), **{k: ("no_earlier", None, None, None, None) for k in (3, 4, None, 6)}}
