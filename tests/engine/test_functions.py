@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,3 +133,37 @@ def test_json_columns(spark):
     assert one(spark, jsons.url_template("https://x/{missing}", payload)) is None
     assert one(spark, jsons.picked(payload, ["likes", "none"])) == '{"likes":"3"}' and one(spark, jsons.picked(payload, ["none"])) is None
     assert one(spark, jsons.config_value(payload, "nope", 20)) == "20"
+
+
+HOSTILE = [
+    None, "", "  ", "[]", "[] x", "[] []", "[]]", "[],", "[]}", '[],"a":1', "[]\x0b", "{}", "null", "1", '"[]"', "[1]", "[null]", "[[]]", "[{}]", "['a']", "[1,]", "[01]", "﻿[]", " \n[]\t ", "[] // c", "]", "}", '1}, {"v":[]',
+]
+
+
+def answers():
+    good = {"kind": "k", "statement": "s é \n", "why_it_matters": None, "domain": "d", "evidence_quote": 'q"', "confidence": 0.25}
+    change = lambda **c: json.dumps([good, {**good, **c}])
+    yield from HOSTILE
+    yield from (json.dumps([good] * n) for n in (1, 3))
+    yield from (json.dumps([{k: v for k, v in good.items() if k not in gone}]) for gone in (["kind"], ["why_it_matters", "confidence"], ["domain", "kind", "statement"]))
+    yield from (change(confidence=c) for c in (0, 1, 1.0, -0.1, 1.5, True, False, None, "0.5", [0.5], 10**30, 1e-300))
+    yield from (change(kind=x) for x in ("", " \t\n", "  ", "\x1c", None, 5, True, [], {}))
+    yield from (change(statement=x) for x in ("", "\x85", "x" * 100_000, 0, False))
+    yield from (change(**{k: x}) for k in ("confidence", "domain") for x in (float("nan"), float("-inf")))
+    yield from ("NaN", "[NaN]", "[-Infinity, {}]", '[{NaN: 1}]', "[-NaN]", "[1NaN]", change(domain='"NaN" \\" \\\\', kind=float("inf")), change(domain="\x01 NaN"), change(domain="a").replace('"a"', '"\x01", "b": NaN'))
+    yield change(extra={"a": [1]}, confidence=1)
+    yield json.dumps([good]) + " trailing"
+    yield json.dumps([good])[:-1]
+
+
+def test_findings_by_expressions_equal_the_python_contract(spark):
+    raws = list(answers())
+    got = spark.createDataFrame([(i, r) for i, r in enumerate(raws)], "i int, raw string").select("i", jsons.validate_findings("raw").alias("v")).collect()
+    assert len(got) == len(raws)
+    for r in got:
+        findings, error = jsons.check_findings(raws[r.i])
+        assert (r.v.error or "").split(":")[0] == (error or "").split(":")[0] and (error or "").startswith(r.v.error or ""), raws[r.i]
+        assert (None if r.v.findings is None else [f.asDict() for f in r.v.findings]) == findings, raws[r.i]
+    df = spark.createDataFrame([('[{"kind": 1, "kind": 2}]',), ("[" * 1200 + "]" * 1200,)], "raw string")
+    assert {r.e for r in df.select(jsons.validate_findings("raw")["error"].alias("e")).collect()} == {"not valid JSON"}, "no JSON here, unlike for Python"
+    assert "Python" not in df.select(jsons.validate_findings("raw"))._jdf.queryExecution().executedPlan().toString()
