@@ -10,8 +10,9 @@ marginal and the expected number and share of offending tokens, fitted on docume
 document's score.
 
 Scale: the model is fitted on a bounded sample, at most ``sample`` labelled documents (the least by hash of their id in
-as many buckets, ids broadcast), of each of which at most ``longest`` tokens with features, and the stretches between
-them, train the field on the driver. Scoring is one narrow pass over whole texts.
+as many buckets, ids broadcast), of which the driver holds the tokens with features and the lengths of the stretches between
+them. The field is trained on whole texts, cut into chains of ``longest`` tokens with features so that its steps stay matrix
+operations; the curve is fitted on uncut chains, as scoring sees them. Scoring is one narrow pass over whole texts.
 
 Defined results: null or empty text has no tokens and the score of a text without evidence; texts of any length are one
 chain; of equal features the first by name is kept; null labels or ids teach nothing; several labels of an id teach their
@@ -295,6 +296,13 @@ class _Pack:
         return log_z, p
 
 
+def cut(chain: Chain, longest: int) -> list[Chain]:
+    """A compressed text as consecutive chains of at most ``longest`` tokens with features; nothing is left out."""
+    seen, gaps = chain
+    at = range(0, max(1, len(seen)), longest)
+    return [(seen[a : a + longest], [*gaps[a : a + longest], 0] if a + longest < len(seen) else list(gaps[a:])) for a in at]
+
+
 def _packed(data: list[tuple[Chain, list[int]]]) -> list[_Pack]:
     groups: dict[int, list[int]] = {}
     for k, (_, labels) in enumerate(data):
@@ -401,17 +409,17 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
             seen, gaps, sizes = [], [], []
             for text in batch.column(0):
                 found, between = compressed(list(map(known.__getitem__, text.as_py().split())))
-                seen.append([list(f) for f in found[:longest]])
-                gaps.append(between if len(found) <= longest else [*between[:longest], 0])
+                seen.append([list(f) for f in found])
+                gaps.append(between)
                 sizes.append(sum(between) + len(found))
             lists = pa.list_(pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(seen, lists), pa.array(gaps, pa.list_(pa.int64())), pa.array(sizes, pa.int64()), batch.column(1), batch.column(2)], names=["s", "g", "n", "y", "last"])
 
-    # At most ``sample`` rows of at most ``longest`` tokens each.
+    # At most ``sample`` rows.
     drawn = rows.mapInArrow(chains, "s array<array<long>>, g array<long>, n long, y boolean, last boolean").where("n > 0").collect()
     as_chain = lambda r: ([tuple(f) for f in r["s"]], list(r["g"]))
     field = Field(len(ids))
-    data = [(as_chain(r), [int(r["y"])] * len(r["s"])) for r in drawn if not (split and r["last"])]
+    data = [(c, [int(r["y"])] * len(c[0])) for r in drawn if not (split and r["last"]) for c in cut(as_chain(r), longest)]
     if data:
         field.train(data)
     x, y = [], []

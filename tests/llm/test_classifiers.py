@@ -124,3 +124,25 @@ def test_gradient_equals_differences():
         e = np.zeros(9)
         e[i] = 1e-5
         assert got[i] == pytest.approx((likelihood(theta + e) - likelihood(theta - e)) / 2e-5, abs=1e-4)
+
+
+def test_long_texts_train_whole():
+    from signalmill.llm import toxicity as T
+
+    for size, longest in ((0, 3), (1, 3), (3, 3), (4, 3), (11, 3), (11, 100)):
+        seen, gaps = [(i,) for i in range(size)], list(range(1, size + 2))
+        parts = T.cut((seen, gaps), longest)
+        assert [f for s, _ in parts for f in s] == seen and sum(sum(g) for _, g in parts) == sum(gaps)
+        assert all(len(g) == len(s) + 1 and len(s) <= longest for s, g in parts)
+
+
+def test_features_far_behind_in_long_texts_are_learned(spark):
+    from signalmill.llm import toxicity as T
+
+    rows = [(i, "plain words here " * (40 if i % 2 else 300) + ("badbad plain " * 100 + "vileone here" if i % 4 == 0 else "good ones")) for i in range(240)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    y = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    new = spark.createDataFrame([(10_001, "a vileone there"), (10_002, "a plain good thing")], "doc_id long, text string")
+    model = T.fit(d, y, longest=64)
+    best = {r.doc_id: model.evidence(r.text, T._Known(model.ids), {})[0] for r in new.collect()}
+    assert best[10_001] > 0.5 > best[10_002], "the word that ends each toxic text is tagged"
