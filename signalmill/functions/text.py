@@ -83,6 +83,18 @@ def unescape(text: pd.Series) -> pd.Series:
     return text.map(html.unescape, na_action="ignore")
 
 
+@pandas_udf(StringType())
+def unescape_closed(text: pd.Series) -> pd.Series:
+    """Entities that end in a semicolon decoded; an ampersand without one stays as it is."""
+    import html
+    import re
+    from html.entities import html5
+
+    closed = re.compile(r"&(?:#(?:[0-9]+|[xX][0-9a-fA-F]+)|([A-Za-z][A-Za-z0-9]*));")
+    decoded = lambda m: html5.get(m[1] + ";", m[0]) if m[1] else html.unescape(m[0])
+    return text.map(lambda t: closed.sub(decoded, t), na_action="ignore")
+
+
 # Entities that the builtin variant decodes; the ampersand comes last so that nothing is decoded twice.
 ENTITIES = (
     ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "'"), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", "\xa0"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"),
@@ -99,9 +111,9 @@ def _finish(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, "\n{3,}", "\n\n"), r"(?U)^\s+|\s+$", "")
 
 
-def clean_html(html: Column) -> Column:
-    """Plain text of an HTML fragment."""
-    return _finish(unescape(without_tags(html)))
+def clean_html(html: Column, closed_only: bool = False) -> Column:
+    """Plain text of an HTML fragment; with ``closed_only`` entities without a semicolon stay as they are."""
+    return _finish((unescape_closed if closed_only else unescape)(without_tags(html)))
 
 
 def clean_html_builtin(html: Column) -> Column:

@@ -37,6 +37,20 @@ def test_clean_html(spark):
     assert one(spark, text.clean_html(s(html))) == "one\ntwo & 'three' link\n\n4 < 5 © …"
     assert one(spark, text.clean_html(s("<p class='x'>a</p><script>b</script>"))) == "a\nb"
     assert one(spark, text.clean_html(s(None))) is None
+    assert one(spark, text.clean_html(s("a&ampp{} &amp; &copy 1 &copy; &#x27;&#39 &ampx; &amp;lt;&quot"), closed_only=True)) == "a&ampp{} & &copy 1 © '&#39 &ampx; &lt;&quot"
+
+
+def test_page_queries_equal_their_sql_on_entities_without_semicolon(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    rows = [(1, "<p>AT&ampT &amp; x&ampp{}</p>"), (2, "&copy 2024 &copy; &quot&quot;"), (3, "&am<b>p; &amp;lt; &amp"), (4, "&ampquot; &lt&lt;"), (5, None)]
+    spark.createDataFrame(rows, "page_id long, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    for name in ("clean_html_pages", "clean_html_builtin_pages"):
+        assert dict(map(tuple, entry.queries()[name](spark, str(tmp_path)).collect())) == dict(con.sql(entry.oracle_sql()[name]).fetchall()), name
 
 
 def test_titles_and_links(spark):
