@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from signalmill.functions.vectors import decide, normalize
-from signalmill.operators.staging import staged
+from signalmill.operators.staging import bound_batches, staged
 from signalmill.operators.tables import rank_in_order
 
 
@@ -50,6 +50,7 @@ def greedy(
     task holds more than ``fold`` findings, and there are about as many rounds as founders over ``fold``.
     """
     fresh = findings.select("kind", F.col("id").cast("long").alias("ord"), F.coalesce("statement", F.lit("")).alias("text"), F.col("embedding").cast("array<double>").alias("v"))
+    bound_batches(findings.sparkSession)
     fold = max(fold, block)
     old = clusters.select("kind", F.col("id").cast("long").alias("key"), F.coalesce("canonical_statement", F.lit("")).alias("text"), F.col("centroid").cast("array<double>").alias("v"))
     sizes = fresh.select("kind").unionByName(old.select("kind")).groupBy("kind").count()

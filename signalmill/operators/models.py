@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from signalmill.functions.jsons import check_findings
+from signalmill.operators.staging import bound_batches
 
 # Attempts, the longest pause, texts in an embedding batch.
 ATTEMPTS, LONGEST_PAUSE, EMBED_BATCH = 3, 5, 64
@@ -100,6 +101,7 @@ def triage(items: DataFrame, model: Callable[[str], str] = offline_triage, max_c
         for texts in batches:
             yield texts.map(lambda t: read_triage(with_retry(lambda: model((t or "")[:max_chars]))))
 
+    bound_batches(items.sparkSession)
     return items.withColumn("worth_reading", F.pandas_udf(run, "boolean")("raw_text"))
 
 
@@ -123,6 +125,7 @@ def deep_read(items: DataFrame, model: Callable[[str], str] = offline_reader, te
             got = [judge_one(t or "", model) for t in texts]
             yield pd.DataFrame({"findings": [g[0] for g in got], "error": [g[1] for g in got], "attempts": [g[2] for g in got]})
 
+    bound_batches(items.sparkSession)
     read = F.pandas_udf(run, f"findings array<{element}>, error string, attempts int")
     out = items.withColumn("_r", read(text))
     return out.select(*items.columns, "_r.findings", "_r.error", "_r.attempts")
@@ -168,6 +171,7 @@ def judge_in_turn(claimed: DataFrame, triage_model: Callable[[str], str] = offli
                 out.append((r.id, outcome, worth is False, bool(worth), findings, error))
             yield pd.DataFrame(out, columns=["id", "outcome", "triaged_out", "deep_read", "findings", "error"])
 
+    bound_batches(claimed.sparkSession)
     return rows.mapInPandas(run, OUTCOME)
 
 
@@ -182,6 +186,7 @@ def embed(findings: DataFrame, model: Callable[[list[str]], list[list[float]]] =
                 got += with_retry(lambda k=k: model(values[k : k + batch]))
             yield pd.Series(got)
 
+    bound_batches(findings.sparkSession)
     return findings.withColumn("embedding", F.when(F.col("embedding").isNull(), F.pandas_udf(run, "array<float>")(text)).otherwise(F.col("embedding")))
 
 

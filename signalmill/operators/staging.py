@@ -1,4 +1,5 @@
-"""Intermediate tables that survive lost executors: written to the folder that ``spark.checkpoint.dir`` names."""
+"""Intermediate tables that survive lost executors, written to the folder that ``spark.checkpoint.dir`` names, and batches
+of bounded size for what runs in Python."""
 
 from __future__ import annotations
 
@@ -8,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
+BATCH_BYTES = 4_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -22,8 +24,20 @@ def shared_folder(spark: SparkSession) -> str:
     return _OWN[0]
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Let Arrow batches hold ``BATCH_BYTES`` at most: rows are whole texts or blocks of vectors, so a number of rows bounds
+    nothing.
+
+    The session's limit is lowered once and stays; results do not depend on it.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def staged(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written once and read back: lineage ends there."""
+    bound_batches(df.sparkSession)
     path = f"{shared_folder(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

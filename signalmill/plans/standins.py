@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from signalmill.operators.staging import bound_batches
+
 NOW = "2024-01-31 00:00:00"
 KINDS = ("pain", "build", "signal", "research", "read", "pattern", "oddity")
 
@@ -14,6 +16,7 @@ def now():
 
 
 def load(spark: SparkSession, d: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
