@@ -50,16 +50,33 @@ def claim_in_turns(items: DataFrame, batch_size: int, now: Column, per_source: i
     return after.select(*items.columns), claimed.select(*items.columns, "turn")
 
 
-def changes_of_claim(items: DataFrame, batch_size: int, now: Column, per_source: int = PER_SOURCE, stuck_seconds: int = STUCK_SECONDS, max_attempts: int = MAX_ATTEMPTS) -> tuple[DataFrame, DataFrame]:
-    """(retired items, claimed items with their ``turn``), the rows that ``claim_in_turns`` changes and no others."""
+def changes_of_claim(
+    items: DataFrame, batch_size: int, now: Column, per_source: int = PER_SOURCE, stuck_seconds: int = STUCK_SECONDS, max_attempts: int = MAX_ATTEMPTS, turns: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """(retired items, claimed items with their ``turn``), the rows that ``claim_in_turns`` changes and no others.
+
+    With ``turns``, as ``numbered_turns`` gave them when the claims began, turns go on where the last claim ended; the
+    batch, which may be large then, is told by numbers that are counted in parts, not by one task's sort.
+    """
     retired = items.where(to_retire(now, None, stuck_seconds, max_attempts)).withColumn("state", F.lit("failed"))
     order = items.where(claimable(now, None, stuck_seconds, max_attempts)).select("id", "source")
-    turn = F.struct("cycle", "source", "rn")
-    first = in_turns(order, per_source).select(F.col("id").alias("_claimed"), turn.alias("turn")).orderBy("turn").limit(batch_size)
+    if turns is None:
+        turn = F.struct("cycle", "source", "rn")
+        first = in_turns(order, per_source).select(F.col("id").alias("_claimed"), turn.alias("turn")).orderBy("turn").limit(batch_size)
+    else:
+        left = turns.join(order.select("id"), "id").withColumn("_all", F.lit(0))
+        numbered = rank_in_order(left, ["_all"], [F.col(f"turn.{c}") for c in ("cycle", "source", "rn")], "_place")
+        first = numbered.where(F.col("_place") <= batch_size).select(F.col("id").alias("_claimed"), "turn")
     claimed = items.join(first, F.col("id") == F.col("_claimed"))
     return retired, claimed.withColumns({"state": F.lit("processing"), "processing_at": now, "attempts": F.col("attempts") + 1}).select(*items.columns, "turn")
 
 
+def numbered_turns(items: DataFrame, now: Column, per_source: int = PER_SOURCE, stuck_seconds: int = STUCK_SECONDS, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
+    """id and ``turn`` of all claimable items."""
+    order = items.where(claimable(now, None, stuck_seconds, max_attempts)).select("id", "source")
+    return in_turns(order, per_source).select("id", F.struct("cycle", "source", "rn").alias("turn"))
+
+
 def _claimed(items: DataFrame, ids: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
     marked = items.join(ids, F.col("id") == F.col("_claimed"), "left")
     hit = F.col("_claimed").isNotNull()

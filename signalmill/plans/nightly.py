@@ -6,8 +6,9 @@ that dies leaves the state as it was; ids and insert-ignore make a second run ha
 Items are a merged table (``operators.merged``): a night inserts its new items, each wave writes the changed states of
 the items it claimed, and at the end the changes are folded into the open rows, so what is written follows the new items.
 
-Models are asked once an item: each wave of claimed items, at most ``Parameters.wave``, is judged into a written table,
-from which findings, states, counts and the error streak all derive.
+Models are asked once an item: each wave of claimed items is judged into a written table, from which findings, states,
+counts and the error streak all derive. Turns are numbered once a night; a wave takes as many items as the waves before it
+together, so a night has few waves however many items it has, and what waves read and write stays in proportion to them.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from signalmill.functions.jsons import parse_briefing
 from signalmill.functions.text import strip_nul, thread_key
 from signalmill.operators import briefing, clusters, counts, dedupe, models, queue, ranking, rendering, tables, threads
 from signalmill.operators.merged import MergedTable
+from signalmill.operators.staging import bound_batches
 from signalmill.schema import FETCHED, TABLES, add_columns, empty
 from signalmill.sources import registry
 
@@ -49,7 +51,8 @@ class Models:
 
 @dataclass
 class Parameters:
-    """``wave``: items claimed and judged together. ``max_items`` and ``max_seconds`` end judging, checked between waves."""
+    """``wave``: items claimed and judged together at first; without ``max_seconds`` a later wave has as many as all before
+    it, if that is more. ``max_items`` and ``max_seconds`` end judging, checked between waves."""
 
     wave: int = 10_000
     max_items: int | None = None
@@ -114,6 +117,7 @@ class State:
 
     def staged(self, name: str, df: DataFrame) -> DataFrame:
         """A table of the run itself, written and read back."""
+        bound_batches(self.spark)
         path = f"{self.root}/stages/{name}"
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
@@ -166,9 +170,9 @@ def ingest(state: State, v: int, fetched: DataFrame, now) -> tuple[MergedTable,
     return table.change(open_.withColumnRenamed("_state", "state")), fresh
 
 
-def wave(items: DataFrame, found: DataFrame, m: Models, p: Parameters, now, size: int) -> tuple[DataFrame, DataFrame]:
+def wave(items: DataFrame, turns: DataFrame, found: DataFrame, m: Models, now, size: int) -> tuple[DataFrame, DataFrame]:
     """(retired items, claimed items ready to be judged): turns, what their threads hold in this run, and the prompt."""
-    retired, claimed = queue.changes_of_claim(items, size, now)
+    retired, claimed = queue.changes_of_claim(items, size, now, turns=turns)
     claimed = claimed.withColumn("thread_key", thread_key(F.col("thread_id"), F.col("id")))
     taken = found.groupBy("thread_key").agg(F.count(F.lit(1)).alias("_taken"))
     claimed = claimed.join(taken, "thread_key", "left").withColumn("before", F.coalesce("_taken", F.lit(0))).drop("_taken")
@@ -185,7 +189,8 @@ def judge(state: State, v: int, table: MergedTable, m: Models, p: Parameters, no
     host was silent ``max_errors`` times in a row.
 
     A wave reads the open items and writes changes of those it claimed or retired. Findings and log are a folder each with
-    a partition a wave, so they are one scan however many waves there were.
+    a partition a wave, so they are one scan however many waves there were. Nothing becomes claimable during a night that was
+    not when it began, so the turns numbered then hold for all waves; an item that is ready again keeps its turn.
     """
     spark, began, n, streak, aborted = state.spark, clock(), 0, 0, False
     names = [f.name for f in spark.createDataFrame([], TABLES["findings"]).schema if f.name not in ("id", "embedding", "cluster_id", "created_at", "item_id")]
@@ -199,13 +204,16 @@ def judge(state: State, v: int, table: MergedTable, m: Models, p: Parameters, no
         return spark.read.schema(f"{columns}, wave int").option("basePath", f"{folder}/{name}").parquet(f"{folder}/{name}") if n else spark.createDataFrame([], f"{columns}, wave int")
 
     found, log = written("found", shape), written("log", models.OUTCOME)
-    left = p.max_items
+    turns = state.staged(f"turns/v{v}", queue.numbered_turns(table.read(open_only=True), now))
+    left, claimed = p.max_items, 0
     while not aborted and (left is None or left > 0) and (p.max_seconds is None or clock() - began < p.max_seconds):
-        retired, ready = wave(table.read(open_only=True), found, m, p, now, p.wave if left is None else min(p.wave, left))
+        size = p.wave if p.max_seconds is not None else max(p.wave, claimed)
+        size = size if left is None else min(size, left)
+        retired, ready = wave(table.read(open_only=True), turns, found, m, now, size)
         ready = state.staged(f"claimed/v{v}/{n + 1}", ready)
         if ready.isEmpty():
             break
-        n += 1
+        n, claimed = n + 1, claimed + size
         log = written("log", models.OUTCOME, models.judge_in_turn(ready, m.triage, m.reader, queue.PER_THREAD, p.max_errors))
         outcome = log.where(F.col("wave") == n).drop("wave")
         good = outcome.where("outcome = 'judged'").join(ready.select("id", "thread_key", "turn"), "id").select("id", "thread_key", "turn", F.posexplode("findings").alias("pos", "f"))

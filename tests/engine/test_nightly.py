@@ -1,5 +1,6 @@
 import json
 import sys
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -92,6 +93,19 @@ def test_models_are_asked_once_an_item_and_full_threads_never(spark, tmp_path):
     assert sources == {"github", "hackernews"}, "turns go round the sources"
 
 
+def test_waves_are_few_and_keep_the_order_of_one(spark, tmp_path):
+    waves = lambda night: len(list(Path(night).glob("stages/waves/*/log/wave=*")))
+    said = answer()
+    m = nightly.Models(triage=lambda t: '{"worth_reading": true}', reader=lambda t: said)
+    lone = fetched(spark, 40).withColumn("thread_id", F.lit(None).cast("string"))
+    night = lambda name, **p: nightly.run(nightly.State(spark, str(tmp_path / name)), lone, "2024-01-30 03:00:00", m, nightly.Parameters(**p))
+    read = lambda state: [r.item_id for r in state.read("findings").orderBy("id").collect()]
+    once, many, timed = read(night("a", wave=40)), read(night("b", wave=3)), night("c", wave=16, max_seconds=1e9)
+    assert len(once) == 40 and many == once, "a wave ends inside a cycle and the next one goes on there"
+    assert (waves(tmp_path / "a"), waves(tmp_path / "b"), waves(tmp_path / "c")) == (1, 5, 3), "3, 3, 6, 12, 16; a limit of time keeps waves as they are"
+    assert read(timed) == once
+
+
 def test_silent_host_ends_the_run_and_blips_do_not(spark, tmp_path):
     def silent(_):
         raise models.TransportError("no answer")
