@@ -13,7 +13,8 @@ words around them are one place with several items, so a run of one repeated wor
 Scale: the automaton holds the benchmark only; its texts are gathered in blocks of at most ``block_bytes`` bytes. The driver
 and a process hold one block (some 50 bytes a byte of text), whatever the benchmark's size: one block is one narrow pass over
 the documents; of several each has tasks of its own, which write the hit texts' digests and runs of words, and a join by
-digest brings them to the rows. A process keeps the block it built, named by its content, so it builds once a block. A single
+digest brings them to the rows. A process keeps the block it built, named by its content, so it builds once a block; passes of
+several blocks have processes of their own, no more than run at once, whatever other steps have left idle. A single
 item may exceed a block and then has one of its own.
 
 Defined results: null or empty text has no words and no hits; texts of any length are scanned whole; null ``item_id``
@@ -27,6 +28,7 @@ from __future__ import annotations
 import hashlib
 import re
 from array import array
+from contextlib import contextmanager
 from functools import reduce
 
 import pyarrow as pa
@@ -188,6 +190,21 @@ def _offsets(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 _RUN = "struct<from:int,to:int,start:int,end:int>"
 
 
+@contextmanager
+def _own_processes(spark: SparkSession):
+    """Functions that are handed to Spark within run in Python processes that no others use.
+
+    Spark keeps idle processes by their environment and takes them in turn: steps with several functions a task leave more
+    than there are cores, and each would build every block.
+    """
+    environment = spark.sparkContext.environment
+    environment["SIGNALMILL_PROCESSES"] = "op10-blocks"
+    try:
+        yield
+    finally:
+        environment.pop("SIGNALMILL_PROCESSES", None)
+
+
 def _hits(docs: DataFrame, blocks: list[DataFrame], window: int) -> DataFrame:
     """The digest of each text that a block hits, once a block: the hit runs in words and code points, the items.
 
@@ -215,7 +232,8 @@ def _hits(docs: DataFrame, blocks: list[DataFrame], window: int) -> DataFrame:
                 )
             release_memory()
 
-        branches.append(texts.mapInArrow(run, schema).withColumn("block", F.lit(number)))
+        with _own_processes(docs.sparkSession):
+            branches.append(texts.mapInArrow(run, schema).withColumn("block", F.lit(number)))
     # Copies of a text have equal runs: one a block is kept, before anything is exchanged.
     once = reduce(DataFrame.union, branches).groupBy("digest", "block").agg(F.min("runs").alias("runs"), F.min("items").alias("items"))
     # A list has one entry a block at most.

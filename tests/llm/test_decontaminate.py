@@ -106,3 +106,32 @@ def test_repeated_words_cost_no_more_than_others():
         return time.perf_counter() - at
 
     assert min(took(16_000) for _ in range(3)) < 12 * min(took(4_000) for _ in range(3)), "quadratic would be 16 times"
+
+
+def test_processes_that_other_steps_left_idle_build_no_blocks(spark, tmp_path, monkeypatch):
+    import os
+
+    cores, build, log = spark.sparkContext.defaultParallelism, D.Matcher, str(tmp_path)
+
+    def slow(batches):
+        import time
+
+        for batch in batches:
+            time.sleep(0.2)
+            yield batch
+
+    # Each of these tasks has three processes at once, which Spark then keeps for later tasks and takes in turn.
+    spark.range(0, 400, 1, cores).mapInArrow(slow, "id long").mapInArrow(slow, "id long").mapInArrow(slow, "id long").count()
+
+    def logged(items, window):
+        with open(f"{log}/{os.getpid()}", "a") as f:
+            f.write("x")
+        return build(items, window)
+
+    monkeypatch.setattr(D, "Matcher", logged)
+    d = spark.createDataFrame([(i, f"text w{i % 60} of a kind") for i in range(600)], "doc_id long, text string").repartition(16)
+    b = spark.createDataFrame([(i, f"w{i} of a kind") for i in range(60)], "item_id long, text string")
+    blocks = len(D._blocks(b, 150))
+    assert blocks > 3 and D.decontaminate(d, b, window=4, block_bytes=150).where("n_hit = 4").count() == 600
+    builds = [os.path.getsize(f"{log}/{p}") for p in os.listdir(log)]
+    assert len(builds) <= cores and max(builds) <= blocks
